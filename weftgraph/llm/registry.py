@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import bpe, minhash, substring_dedup
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
 }
 
