@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, substring_dedup
+from . import bpe, chat, minhash, quality, substring_dedup, warc
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_chat_format": chat.op4_chat_format,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
-    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op8_warc_zstd": warc.op8_warc_zstd,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_chat_format": chat.OP4_SQL,
+}
