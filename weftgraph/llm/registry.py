@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, minhash, quality, substring_dedup, warc
+from . import bpe, chat, decontaminate, langid, minhash, quality, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,7 +10,10 @@ QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_chat_format": chat.op4_chat_format,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_warc_zstd": warc.op8_warc_zstd,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
