@@ -1,9 +1,8 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a linked list. Each pair of neighbours that has a rank waits in that rank's
-bucket, as its left position. A bitmap over ranks, with a bitmap over its words and one over those,
-gives the least rank that has anything waiting (find-first-set at each level); its leftmost position is
-merged. A pair that has changed since is stale and skipped. No step depends on the pre-token's length
+bucket, as its left position. A bitmap over ranks, in words, and a bitmap over the words give the least
+rank that has anything waiting (find-first-set at each level); its leftmost position is merged. A pair that has changed since is stale and skipped. No step depends on the pre-token's length
 but the bucket's heap, so one of millions of bytes takes n log n.
 
 Short pre-tokens repeat, so a worker keeps their ids in a dictionary of bounded size.
@@ -29,119 +28,114 @@ from pyspark.sql import functions as F
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Pre-tokens of at most KEEP_CHARS characters are kept, KEEP of them.
-KEEP, KEEP_CHARS = 250_000, 40
+#: Pre-tokens of at most KEEP_CHARS characters are kept, KEEP of them (some 300 MB), the later half for longer.
+KEEP, KEEP_CHARS = 1_200_000, 40
 #: Pre-tokens that one step handles.
 STEP = 1 << 16
 
 
-class RankQueue:
-    """Buckets of positions by rank; pop() gives the least rank's leftmost position."""
-
-    def __init__(self, ranks: int):
-        self.bits = [[0] * (-(-ranks // 64)), [0] * (-(-ranks // 4096)), [0] * (-(-ranks // 262144))]
-        self.bucket: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        if held := self.bucket.get(rank):
-            heappush(held, at)
-            return
-        self.bucket[rank] = [at]
-        one, two, three = self.bits
-        one[rank >> 6] |= 1 << (rank & 63)
-        two[rank >> 12] |= 1 << (rank >> 6 & 63)
-        three[rank >> 18] |= 1 << (rank >> 12 & 63)
-
-    def pop(self) -> tuple[int, int] | None:
-        one, two, three = self.bits
-        for top, word in enumerate(three):
-            if word:
-                break
-        else:
-            return None
-        b = (top << 6) + (word & -word).bit_length() - 1
-        a = (b << 6) + (two[b] & -two[b]).bit_length() - 1
-        rank = (a << 6) + (one[a] & -one[a]).bit_length() - 1
-        held = self.bucket[rank]
-        at = heappop(held)
-        if not held:
-            del self.bucket[rank]
-            one[a] &= ~(1 << (rank & 63))
-            if not one[a]:
-                two[b] &= ~(1 << (a & 63))
-                if not two[b]:
-                    three[top] &= ~(1 << (b & 63))
-        return rank, at
-
-
 class Coder:
+    """Encoder and decoder of one rank file."""
+
     def __init__(self, lines: bytes, pattern: str = public_tokenizers.PATTERN):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         self.bytes = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes[rank] = token
+        self.names = [str(i) for i in range(len(self.bytes))]
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(len(self.bytes))
-        self.kept: dict[str, tuple[tuple[int, ...], str]] = {}
+        # ranks in words of 2**shift bits, and one bitmap of the words that aren't empty
+        self.shift = max(1, -(-len(self.bytes).bit_length() // 2))
+        self.words = [0] * ((len(self.bytes) >> self.shift) + 1)
+        self.kept: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        rank_of = self.ranks.get
+        if (whole := rank_of(piece)) is not None:
             return [whole]
-        n, queue = len(piece), self.queue  # the queue is empty between pieces
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        pair = [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
-        for i, r in enumerate(pair):
-            if r >= 0:
-                queue.push(r, i)
-        while top := queue.pop():
-            rank, at = top
+        n, shift, words = len(piece), self.shift, self.words  # all words are 0 between pieces
+        mask, top = (1 << shift) - 1, 0
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair: list[int | None] = [None] * n  # the rank of a part with the one after it
+        bucket: dict[int, list[int]] = {}
+        for i in range(n - 1):
+            if (r := rank_of(piece[i : i + 2])) is not None:
+                pair[i] = r
+                if r in bucket:
+                    bucket[r].append(i)
+                else:
+                    bucket[r] = [i]
+                    words[r >> shift] |= 1 << (r & mask)
+                    top |= 1 << (r >> shift)
+        while top:
+            w = (top & -top).bit_length() - 1
+            word = words[w]
+            rank = (w << shift) + (word & -word).bit_length() - 1
+            waiting = bucket[rank]
+            if len(waiting) > 1:
+                at = heappop(waiting)
+            else:
+                at = waiting[0]
+                del bucket[rank]
+                words[w] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
             if pair[at] != rank:
                 continue  # stale
             gone = after[at]
-            end = after[gone]
-            after[at], pair[gone] = end, -1
+            end = after[at] = after[gone]
+            pair[gone] = None
+            changed = []
             if end < n:
                 before[end] = at
-                pair[at] = r = ranks.get(piece[at : after[end]], -1)
-                if r >= 0:
-                    queue.push(r, at)
+                pair[at] = r = rank_of(piece[at : after[end]])
+                if r is not None:
+                    changed.append((r, at))
             else:
-                pair[at] = -1
-            if (left := before[at]) >= 0:
-                pair[left] = r = ranks.get(piece[left:end], -1)
-                if r >= 0:
-                    queue.push(r, left)
-        out, at = [], 0
+                pair[at] = None
+            left = before[at]
+            if left >= 0:
+                pair[left] = r = rank_of(piece[left:end])
+                if r is not None:
+                    changed.append((r, left))
+            for r, i in changed:
+                if r in bucket:
+                    heappush(bucket[r], i)
+                else:
+                    bucket[r] = [i]
+                    words[r >> shift] |= 1 << (r & mask)
+                    top |= 1 << (r >> shift)
+        out, at, ranks = [], 0, self.ranks
         while at < n:
             out.append(ranks[piece[at : after[at]]])
             at = after[at]
         return out
 
-    def _entry(self, token: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.encode_piece(token.encode()))
-        entry = (ids, " ".join(map(str, ids)))
+    def _missed(self, token: str) -> tuple[int, ...]:
+        """Ids of a pre-token that isn't among the newer half of those kept."""
+        ids = self.older.get(token) or tuple(self.encode_piece(token.encode()))
         if len(token) <= KEEP_CHARS:
-            if len(self.kept) >= KEEP:
-                self.kept.clear()
-            self.kept[token] = entry
-        return entry
-
-    def steps(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
-        """The pre-tokens' ids, at most STEP pre-tokens at a time."""
-        kept, entry = self.kept, self._entry
+            if len(self.kept) >= KEEP // 2:
+                self.older, self.kept = self.kept, {}
+            self.kept[token] = ids
+        return ids
+
+    def steps(self, text: str) -> Iterator[list[int]]:
+        """A text's ids, those of at most STEP pre-tokens at a time."""
         if len(text) <= STEP * 4:
             groups = [self.pattern.findall(text)]
         else:
             found = (m[0] for m in self.pattern.finditer(text))
             groups = iter(lambda: list(islice(found, STEP)), [])
+        missed = self._missed
         for tokens in groups:
-            yield [kept.get(t) or entry(t) for t in tokens]
+            kept = self.kept.get
+            yield list(chain.from_iterable([kept(t) or missed(t) for t in tokens]))
 
     def encode(self, text: str) -> list[int]:
-        return [i for step in self.steps(text) for ids, _ in step for i in ids]
+        return list(chain.from_iterable(self.steps(text)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -149,11 +143,10 @@ class Coder:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, hash of the ids, hash of the bytes they decode to."""
         n, names, back, gap = 0, hashlib.sha256(), hashlib.sha256(), ""
-        for step in self.steps(text):
-            if step:
-                ids = list(chain.from_iterable(e[0] for e in step))
+        for ids in self.steps(text):
+            if ids:
                 n += len(ids)
-                names.update((gap + " ".join([e[1] for e in step])).encode())
+                names.update((gap + " ".join(map(self.names.__getitem__, ids))).encode())
                 back.update(self.decode(ids))
                 gap = " "
         return n, names.hexdigest(), back.hexdigest()
