@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, minhash, quality, substring_dedup, toxicity, warc
+from . import bpe, chat, decontaminate, langid, minhash, quality, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_warc_zstd": warc.op8_warc_zstd,

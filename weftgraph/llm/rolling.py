@@ -103,15 +103,29 @@ def starts_of_windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndar
     return np.repeat(first[:-1] - before, counts) + np.arange(total), doc
 
 
-def runs(symbols: np.ndarray, first: np.ndarray, size: int, gram: int):
+def _several(grams: np.ndarray, every: np.ndarray, w: int, key: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a run's key stands at more than one place in the run; only then can it hold a window twice."""
+    padded = np.zeros(len(every) + 2 * (w - 1), U)
+    padded[w - 1 : w - 1 + len(every)] = every
+    chosen = np.flatnonzero(~sliding_min(~padded, w) == grams)  # the least gram of some window
+    lo, hi = np.searchsorted(chosen, start), np.searchsorted(chosen, start + n + w - 1)
+    count = hi - lo
+    entry = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    same = grams[chosen[entry]] == np.repeat(key, count)
+    return np.bincount(np.repeat(np.arange(len(key)), count)[same], minlength=len(key)) > 1
+
+
+def runs(symbols: np.ndarray, first: np.ndarray, size: int, gram: int, several: bool = False):
     """Runs of consecutive windows with the same least gram: key, hash of all the run covers, document,
-    first symbol within the document, number of windows."""
+    first symbol within the document, number of windows (and whether the key stands in it several times)."""
     at, doc = starts_of_windows(first, size)
     if not len(at):
         z = np.zeros(0, np.int64)
-        return z.astype(U), z.astype(U), z, z, z
+        return (z.astype(U), z.astype(U), z, z, z) + ((z.astype(bool),) if several else ())
     sums = Sums(symbols)
-    least = sliding_min(sums.grams(gram), size - gram + 1)[at]
+    grams = sums.grams(gram)
+    every = sliding_min(grams, size - gram + 1)
+    least = every[at]
     new = np.ones(len(at), bool)
     new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
     head = np.flatnonzero(new)
@@ -123,7 +137,8 @@ def runs(symbols: np.ndarray, first: np.ndarray, size: int, gram: int):
         n = np.minimum(left, RUN_MOST)
     start = at[head]
     whole = mix(sums.ranges(start, start + n + size - 1) + n.astype(U) * U(0x9E3779B97F4A7C15))
-    return least[head], whole, doc[head], start - first[doc[head]], n
+    out = least[head], whole, doc[head], start - first[doc[head]], n
+    return (*out, _several(grams, every, size - gram + 1, least[head], start, n)) if several else out
 
 
 def window_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
