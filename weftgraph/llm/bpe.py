@@ -186,6 +186,24 @@ def digests(docs: DataFrame, path: str = RANKS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(go, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenized(docs: DataFrame, path: str = RANKS) -> DataFrame:
+    """Per row of docs: doc_id, ids, n_tokens, ids_sha256, decoded_sha256."""
+    shared = docs.sparkSession.sparkContext.broadcast(rank_file(path))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shared.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part, rows = b.slice(at, 256), []
+                for t in part.column(part.schema.get_field_index("text")):
+                    ids = coder.encode(t.as_py() or "")
+                    rows.append((ids, len(ids), hashlib.sha256(" ".join(map(coder.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
+                kinds = [pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(go, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def encode_documents(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """docs with a column ids; an existing column of that name is replaced."""
     rest = [c for c in docs.columns if c not in ("text", "ids")]
