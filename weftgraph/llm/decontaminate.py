@@ -65,11 +65,11 @@ def normal_bytes(text: str) -> bytes:
     return normal(raw, np.array([0, len(raw)]))[0].tobytes()
 
 
-def banded(item: np.ndarray, doc: np.ndarray, base: int, width: int, free: bool = True) -> tuple[int, int]:
+def banded(item: np.ndarray, doc: np.ndarray, base: int, width: int, most: int) -> tuple[int, int]:
     """Least edits that turn item into a stretch of doc, and where that ends. The alignment stays on diagonals
-    base to base + width - 1; it may begin on any of them, or, if not free, at base only."""
+    base to base + width - 1 and may begin on any of them. Gives up once all its cells exceed most."""
     cols = np.arange(width)
-    cost = np.zeros(width, np.int64) if free else cols.copy()
+    cost = np.zeros(width, np.int64)
     cost[cols + base < 0] = 1 << 20
     cost[cols + base > len(doc)] = 1 << 20
     padded = np.full(len(item) + width + 1, -1, np.int64)
@@ -82,6 +82,8 @@ def banded(item: np.ndarray, doc: np.ndarray, base: int, width: int, free: bool
         cost = np.minimum.accumulate(step - cols) + cols
         out = cols + (base + i + 1 - len(doc))
         cost[out > 0] = 1 << 20
+        if i & 7 == 7 and cost.min() > most:
+            break
     best = int(cost.argmin())
     return int(cost[best]), base + len(item) + best
 
@@ -140,12 +142,20 @@ class Items:
             diagonal = np.repeat(at, count)[enough] - offs[doc] - place[entry[enough]] + (1 << 20)
             half = self.half[item]
             block = diagonal // half  # a band is two blocks: this one and the next, or the one before and this
-            keys2 = np.concatenate([(pair << 36) | block, (pair << 36) | (block - 1)])
-            band, index, counts = np.unique(keys2, return_index=True, return_counts=True)
-            index %= len(pair)
+            both, twin = np.concatenate([block, block - 1]), np.concatenate([pair, pair])
+            gram = np.concatenate([place[entry[enough]]] * 2)
+            order = np.lexsort((gram, both, twin))
+            both, twin, gram = both[order], twin[order], gram[order]
+            head = np.ones(len(order), bool)
+            head[1:] = (both[1:] != both[:-1]) | (twin[1:] != twin[:-1])
+            once = head.copy()
+            once[1:] |= gram[1:] != gram[:-1]  # an item's q-gram counts once a band
+            at = np.flatnonzero(head)
+            counts = np.add.reduceat(once, at, dtype=np.int64)
+            index = order[at] % len(pair)
             good = counts >= self.need[item[index]]
-            band, index = band[good], index[good]
-            found.append(np.stack([doc[index], item[index], (band & ((1 << 36) - 1)) * self.half[item[index]] - (1 << 20)], axis=1))
+            index, at = index[good], at[good]
+            found.append(np.stack([doc[index], item[index], both[at] * self.half[item[index]] - (1 << 20)], axis=1))
         return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
     def matches(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -157,13 +167,13 @@ class Items:
             if old and old[0] == 0:
                 continue
             base = diagonal - k
-            cost, end = banded(own, text, base, 2 * int(self.half[item]) + 2 * k)
+            cost, end = banded(own, text, base, 2 * int(self.half[item]) + 2 * k, k)
             if cost <= k and (old is None or (cost, end) < old):
                 best[doc, item] = (cost, end)
         for (doc, item), (cost, end) in sorted(best.items()):
             text, own, k = data[offs[doc] : offs[doc + 1]], self.items[item][1], int(self.k[item])
             tail = text[max(0, end - len(own) - k) : end]
-            _, size = banded(own[::-1], tail[::-1], -k, 2 * k + 1, True) if cost else (0, len(own))
+            _, size = banded(own[::-1], tail[::-1], -k, 2 * k + 1, k) if cost else (0, len(own))
             yield doc, item, cost, max(0, end - size), end
 
 
