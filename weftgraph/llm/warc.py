@@ -37,7 +37,7 @@ SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: Uncompressed bytes after which an archive is closed, records a dictionary learns from, and its size.
-ARCHIVE_BYTES, SAMPLES, DICTIONARY_BYTES = 16 << 20, 200, 32 << 10
+ARCHIVE_BYTES, SAMPLES, DICTIONARY_BYTES = 2 << 20, 120, 16 << 10
 #: Only payloads of at least this many bytes are replaced by revisits.
 REVISIT_FROM = 0
 LEVEL = 3
