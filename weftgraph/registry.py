@@ -370,3 +370,49 @@ def flagship(g):
 def entries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """name -> (spark, sf_dir) -> DataFrame."""
     return {name: (lambda spark, sf_dir, f=f: f(projected(spark, sf_dir))) for name, f in QUERIES.items()}
+
+
+# --- details ---
+
+from .operators import details as T  # noqa: E402
+from .operators.reconcile import without_orphans  # noqa: E402
+from .streaming.reconcile import emit_counts  # noqa: E402
+
+query("override_methods", sql("SELECT e.source_id AS method_id, e.target_id AS parent_id, a.source_id AS class_id, b.source_id AS parent_class_id FROM g_edges e JOIN g_edges a ON a.type = 'CONTAINS' AND a.target_id = e.source_id JOIN g_edges b ON b.type = 'CONTAINS' AND b.target_id = e.target_id WHERE e.type = 'OVERRIDES'", "g_edges"))(lambda g: T.override_methods(g).select("method_id", "parent_id", "class_id", "parent_class_id"))
+query("interface_methods", sql("SELECT i.node_id AS interface_id, m.node_id AS method_id, m.name AS method_name FROM g_nodes i JOIN g_edges e ON e.type = 'CONTAINS' AND e.source_id = i.node_id JOIN g_nodes m ON m.node_id = e.target_id AND m.kind = 'Method' WHERE i.kind = 'Interface'", "g_nodes", "g_edges"))(lambda g: T.interface_methods(g).select("interface_id", "method_id", "method_name"))
+query("signature_types", sql("SELECT m.node_id AS method_id, t.node_id AS type_id, t.name AS type_name, c.source_id AS class_id FROM g_nodes m JOIN g_edges e ON e.type = 'TYPE_HINT' AND e.source_id = m.node_id JOIN g_nodes t ON t.node_id = e.target_id JOIN g_edges c ON c.type = 'CONTAINS' AND c.target_id = m.node_id WHERE m.kind = 'Method'", "g_nodes", "g_edges"))(lambda g: T.signature_types(g).select("method_id", "type_id", "type_name", "class_id"))
+query("source_chains", sql("""SELECT a.source_id AS call_id, a.position, a.target_id AS value_id, p.source_id AS source_call_id, CASE WHEN c.callee_kind = 'Method' THEN concat(c.callee_name, '()') ELSE c.callee_name END AS made_by,
+CASE c.call_kind WHEN 'method' THEN 'method_call' WHEN 'constructor' THEN 'instantiation' ELSE 'property_access' END AS ref_type FROM g_edges a JOIN g_edges p ON p.type = 'PRODUCES' AND p.target_id = a.target_id JOIN g_callfact c ON c.call_id = p.source_id WHERE a.type = 'ARGUMENT'""", "g_edges", "g_callfact"))(lambda g: T.source_chains(g).select("call_id", "position", "value_id", "source_call_id", "made_by", "ref_type"))
+query("argument_keys", sql("SELECT a.source_id AS call_id, a.target_id AS value_id, replace(a.parameter, '::__construct().', '::') AS key, a.expression AS shown, v.value_kind FROM g_edges a JOIN g_nodes v ON v.node_id = a.target_id WHERE a.type = 'ARGUMENT'", "g_edges", "g_nodes"))(T.argument_keys)
+_DEPS = f"deps AS (SELECT c.source_id AS class_id, u.source_id AS member_id, u.target_id FROM g_edges u JOIN g_nodes m ON m.node_id = u.source_id AND m.kind IN ('Method', 'Property') JOIN g_edges c ON c.type = 'CONTAINS' AND c.target_id = u.source_id WHERE u.type = 'USES' AND NOT EXISTS ({_INSIDE.format('u.target_id', 'c.source_id')}))"
+_TC = f"tc AS (SELECT t.target_id, CASE WHEN n.kind IN {_TYPES} THEN t.target_id ELSE o.node_id END AS class_id FROM (SELECT DISTINCT target_id FROM g_edges WHERE type = 'USES') t JOIN g_nodes n ON n.node_id = t.target_id LEFT JOIN (SELECT e.target_id, c.node_id FROM g_edges e JOIN g_nodes c ON c.node_id = e.source_id AND c.kind IN {_TYPES} WHERE e.type = 'CONTAINS') o ON o.target_id = t.target_id)"
+query("member_dependencies", sql("SELECT class_id, member_id, target_id FROM deps", "g_edges", "g_nodes", "g_anc", ctes=_DEPS))(lambda g: T.member_dependencies(g).select("class_id", "member_id", "target_id"))
+query("constructor_targets", sql("SELECT DISTINCT c.scope_id, k.source_id AS class_id FROM g_callfact c JOIN g_edges k ON k.type = 'CONTAINS' AND k.target_id = c.callee_id WHERE c.call_kind = 'constructor'", "g_callfact", "g_edges"))(T.constructor_targets)
+query("target_classes", sql("SELECT target_id, class_id FROM tc WHERE class_id IS NOT NULL", "g_edges", "g_nodes", ctes=_TC))(T.target_classes)
+query("merged_sites", sql("""SELECT n.owner_id AS class_id, c.callee_id, count(*) AS n, string_agg(concat(c.scope_id, ':', coalesce(CAST(c.call_line AS VARCHAR), '?')), ',' ORDER BY concat(c.scope_id, ':', coalesce(CAST(c.call_line AS VARCHAR), '?'))) AS sites, CASE WHEN count(*) = 1 THEN min(c.call_line) END AS line
+FROM g_callfact c JOIN g_near_class n ON n.node_id = c.call_id WHERE c.callee_id IS NOT NULL GROUP BY 1, 2""", "g_callfact", "g_near_class"))(T.merged_sites)
+query("access_counts", sql("SELECT target_id AS property_id, count(*) AS accesses, count(DISTINCT source_id) AS methods FROM g_refs WHERE ref_type = 'property_access' GROUP BY 1", "g_refs"))(T.access_counts)
+query("return_flows", sql("SELECT e.target_id AS result_id, e.source_id AS local_id, coalesce(a.target_id = b.target_id, false) AS type_ok FROM g_edges e LEFT JOIN g_edges a ON a.type = 'TYPE_OF' AND a.source_id = e.source_id LEFT JOIN g_edges b ON b.type = 'TYPE_OF' AND b.source_id = e.target_id WHERE e.type = 'ASSIGNED_FROM'", "g_edges"))(T.return_flows)
+query("class_expansion", sql("SELECT node_id, min(depth) AS depth FROM walk GROUP BY node_id HAVING min(depth) > 0", "g_edges", "g_nodes", "g_anc",
+    ctes=f"{_DEPS}, {_TC}, hop AS (SELECT source_id AS a, target_id AS b FROM g_edges WHERE type = 'EXTENDS' UNION SELECT d.class_id, t.class_id FROM deps d JOIN tc t ON t.target_id = d.target_id WHERE t.class_id IS NOT NULL), walk AS (SELECT 'n:3' AS node_id, CAST(0 AS BIGINT) AS depth UNION SELECT h.b, w.depth + 1 FROM walk w JOIN hop h ON h.a = w.node_id WHERE w.depth < 2)"))(lambda g: T.class_expansion(g, "n:3"))
+query("ranked_references", sql(f"SELECT target_id, count(*) AS n, CAST(min({_PRIORITY}) AS BIGINT) AS best, count(DISTINCT ref_type) AS kinds FROM g_refs GROUP BY 1", "g_refs"))(T.ranked_references)
+query("calls_at_line", sql("SELECT r.source_id, r.target_id, c.call_id FROM g_refs r JOIN g_callfact c ON c.scope_id = r.source_id WHERE r.type = 'USES' AND r.loc_line IS NOT NULL AND (c.call_line = r.loc_line % 1000 OR (c.call_kind = 'constructor' AND abs(c.call_line - r.loc_line % 1000) <= 1))", "g_refs", "g_callfact"))(T.calls_at_line)
+query("methods_in_order", sql("SELECT e.source_id AS class_id, count(*) AS n, string_agg(m.node_id, ',' ORDER BY m.start_line, m.node_id) AS methods FROM g_edges e JOIN g_nodes m ON m.node_id = e.target_id AND m.kind = 'Method' WHERE e.type = 'CONTAINS' GROUP BY 1", "g_edges", "g_nodes"))(T.methods_in_order)
+
+
+def _texts(g):
+    return g.source.table("documents").select(F.concat(F.lit("c:"), "doc_id").alias("node_id"), "text")
+
+
+query("whole_chunks", sql(f"SELECT n.node_id, n.kind, CAST(length({_CUT}) AS BIGINT) AS chars, length(text) > 400 AS cut FROM documents d JOIN g_nodes n ON n.node_id = concat('c:', d.doc_id)", "g_nodes"))(lambda g: T.whole_chunks(g.nodes.select("node_id", "kind"), _texts(g), 100))
+query("class_prefix", "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[1:20], chr(10))) AS prefix_md5 FROM documents")(lambda g: T.class_prefixes(g.source.table("documents")))
+query("flow_context", sql("SELECT flow_id, CAST(k AS BIGINT) AS k, target_id FROM (SELECT f.flow_id, u.target_id, row_number() OVER (PARTITION BY f.flow_id ORDER BY u.target_id) AS k FROM g_flows f JOIN (SELECT DISTINCT source_id, target_id FROM g_edges WHERE type = 'USES') u ON u.source_id = f.method_node_id) WHERE k <= 12", "g_flows", "g_edges"))(T.flow_context)
+query("find_message", sql("SELECT id, sources, targets FROM (SELECT s.id, s.sources, coalesce(t.targets, 0) AS targets FROM (SELECT to_id AS id, count(DISTINCT flow_id) AS sources FROM g_emits WHERE to_label = 'Message' GROUP BY 1) s LEFT JOIN (SELECT from_id, count(DISTINCT flow_id) AS targets FROM g_handled_by GROUP BY 1) t ON t.from_id = s.id) WHERE contains(lower(id), 'ic') ORDER BY id LIMIT 50", *_F))(lambda g: W.find(W.list_entities(g, "Message"), "id", [], "IC"))
+query("legacy_sweep", sql("SELECT type, count(*) AS n FROM g_edges WHERE type <> 'OVERRIDES' GROUP BY 1", "g_edges"))(lambda g: _n(g.edges.where("type <> 'OVERRIDES'"), "type"))
+query("orphan_vectors", sql("SELECT collection, count(*) AS n FROM g_vectors WHERE CAST(substr(node_id, 3) AS BIGINT) % 5 <> 0 GROUP BY 1", "g_vectors"))(lambda g: _n(without_orphans(g.vectors, g.source.table("part").where("p_partkey % 5 = 0").select(F.concat(F.lit("p:"), "p_partkey").alias("node_id")), "node_id"), "collection"))
+query("explanation_upsert", "SELECT concat('c:', c_custkey) AS node_id, CASE WHEN l.doc_id IS NOT NULL THEN concat('about ', c_custkey) END AS explanation, CASE WHEN l.doc_id IS NOT NULL THEN 'm' END AS explain_model FROM customer c LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = c.c_custkey")(
+    lambda g: X.upsert_explanations(g.nodes.where("kind = 'Method'").select("node_id"), g.source.table("labels").where("quality = 1").select(F.concat(F.lit("c:"), "doc_id").alias("node_id"), F.concat(F.lit("about "), "doc_id").alias("explanation")).distinct(), "m").select("node_id", "explanation", "explain_model")
+)
+query("event_windows", "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(
+    lambda g: emit_counts(g.source.table("events")).select(F.unix_timestamp(F.col("window.start")).alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+)
