@@ -93,8 +93,13 @@ def test_context(service):
     assert [(e["fqn"], e["refType"]) for e in c["usedBy"]] == [(NS + "C::act()", "method_call")]
     assert [(e["fqn"], e["refType"]) for e in c["uses"]] == [(NS + "E::$id", "property_access"), (NS + "E::__construct()", "instantiation"), (NS + "I::save()", "method_call")]
     assert service.context(NS + "E::__construct()")["target"]["fqn"] == NS + "E"
-    e = {x["fqn"] for x in service.context(NS + "E")["usedBy"]}
-    assert NS + "S::run()" in e and "src/app.php" not in e
+    e = service.context(NS + "E", depth=2)["usedBy"]
+    assert [(x["fqn"], x["refType"]) for x in e] == [(NS + "S::run()", "instantiation"), (NS + "E::$id", "property_access"), (NS + "C", "type_hint"), (NS + "S", "type_hint")]
+    assert fqns(e[0]["children"]) == [NS + "C::act()"] and (e[1]["accessCount"], e[1]["methodCount"]) == (1, 1)
+    assert "src/app.php" in fqns(service.context(NS + "E", imports=True)["usedBy"])
+    assert fqns(service.context(NS + "E", direct=True)["usedBy"]) == [NS + "S::run()", NS + "C::act()"]
+    i = service.context(NS + "I", depth=2)["usedBy"]
+    assert [(x["fqn"], x["refType"]) for x in i] == [(NS + "R", "implements"), (NS + "S::$repo", "property_type"), (NS + "S", "property_type")] or [(x["fqn"], x["refType"]) for x in i] == [(NS + "R", "implements"), (NS + "S::$repo", "property_type")]
     v = service.context("c1::r", depth=3)["usedBy"]
     assert fqns(v) == ["c2::r"] and fqns(v[0]["children"]) == [NS + "S::run().$e"]
     assert service.context(NS + "I", impl=True)["uses"][-2:][0]["refType"] == "implements"

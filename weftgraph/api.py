@@ -170,66 +170,115 @@ class Api:
             "overrides": True if flags and flags.is_override else None,
         })
 
-    def context(self, query: str, depth: int = 1, limit: int = 100, impl: bool = False) -> dict:
-        """Definition, USED BY and USES of a symbol, each by kind. A constructor answers for its class."""
+    def context(self, query: str, depth: int = 1, limit: int = 100, impl: bool = False, direct: bool = False, imports: bool = False) -> dict:
+        """Definition, USED BY and USES of a symbol, each by kind. A constructor answers for its class.
+        direct: only references to the symbol itself, none to its members; imports: files count as users."""
         node = self.one(query)
         if node.kind == "Method" and node.name == "__construct":
             up = self.g.nearest_class.where(F.col("node_id") == node.node_id).collect()
             node = self._nodes({up[0].owner_id}).get(up[0].owner_id, node) if up else node
-        return {"target": target(node), "maxDepth": depth, "definition": self.definition(node), "usedBy": self.used_by(node, depth, limit), "uses": self.uses(node, depth, limit, impl)}
+        return {"target": target(node), "maxDepth": depth, "definition": self.definition(node), "usedBy": self.used_by(node, depth, limit, direct, imports), "uses": self.uses(node, depth, limit, impl)}
 
     def _show_reference(self, e: Entry, n) -> dict:
         d = e.edge
-        return {"depth": e.depth, "id": e.node_id, "kind": n and n.kind, "fqn": n.fqn if n else e.node_id, "file": d.get("file"), "line": line(d.get("line")), "refType": d.get("ref_type"), "on": d.get("on_expr"), "onKind": d.get("on_kind"), "sites": d.get("sites")}
+        return {"depth": e.depth, "id": e.node_id, "kind": n and n.kind, "fqn": n.fqn if n else e.node_id, "file": d.get("file"), "line": line(d.get("line")), "refType": d.get("ref_type"), "on": d.get("on_expr"), "onKind": d.get("on_kind"), "callee": d.get("callee"), "accessCount": d.get("accesses"), "methodCount": d.get("methods"), "sites": d.get("sites")}
 
-    def _refs_in(self, ids: list[str]) -> list:
+    def _refs_in(self, ids: list[str], imports: bool = False) -> list:
         """References to these nodes with the call behind each, ordered by priority, file and line."""
         g = self.g
-        r = g.refs.where(F.col("target_id").isin(ids) & (F.col("source_kind") != "File"))
+        r = g.refs.where(F.col("target_id").isin(ids))
+        r = r if imports else r.where("source_kind <> 'File'")
         on, kind = receiver_on(F.col("receiver_name"), F.col("receiver_value_kind"))
         c = g.calls.where(F.col("callee_id").isin(ids)).groupBy(F.col("scope_id").alias("source_id"), F.col("callee_id").alias("target_id"))
         c = c.agg(F.min_by(F.struct(on.alias("on_expr"), kind.alias("on_kind"), call_reference(F.col("call_kind"), F.col("callee_kind")).alias("call_ref")), "call_id").alias("c"))
         r = r.join(c, ["source_id", "target_id"], "left").withColumn("ref_type", F.coalesce("c.call_ref", "ref_type"))
         return r.select("target_id", "source_id", "ref_type", F.coalesce("loc_file", "source_file").alias("file"), F.coalesce("loc_line", "source_line").alias("line"), "c.on_expr", "c.on_kind", priority(F.col("ref_type")).alias("p")).orderBy("p", F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), "source_id").collect()
 
-    def used_by(self, node, depth: int, limit: int) -> list[dict]:
+    def _class_entries(self, node, depth: int, limit: int, imports: bool) -> list[Entry]:
+        """USED BY of a class by kinds of reference, in this order: subtypes, instantiations, properties of its
+        type, calls of its methods, accesses of its properties, other type references. Calls from a class that
+        holds the target in a property stand below that property."""
+        from .operators import context as C
+
+        g, i = self.g, node.node_id
+        order = lambda rows: sorted(rows, key=lambda e: (e.edge.get("file") or "", e.edge.get("line") or 0, e.node_id))
+        at = g.calls.select("call_id", "call_file", "call_line")
+        subtypes = [Entry(r.source_id, 1, {"ref_type": r.ref_type, "file": r.file, "line": r.line}) for r in C.class_children(g).where(F.col("target_id") == i).orderBy("file", "line", "source_id").limit(limit).collect()]
+        made = [Entry(r.scope_id, 1, {"ref_type": "instantiation", "file": r.call_file, "line": r.call_line}) for r in C.constructor_calls(g).where(F.col("class_id") == i).join(at, "call_id").orderBy("call_id").limit(limit).collect() if r.scope_id]
+        table = C.interface_injections(g).where(F.col("interface_id") == i) if node.kind == "Interface" else C.typed_properties(g).where(F.col("target_id") == i)
+        rows = table.join(g.nodes.select(F.col("node_id").alias("property_id"), "file", "start_line"), "property_id").collect()
+        if node.kind == "Interface" and any(r.via == "self" for r in rows):
+            rows = [r for r in rows if r.via == "self"]  # direct injection points, if there are any
+        props = order({r.property_id: Entry(r.property_id, 1, {"ref_type": "property_type", "file": r.file, "line": r.start_line}) for r in rows}.values())[:limit]
+        holders = {r.property_id: r.class_id for r in C._contains(g, "class_id", "property_id").where(F.col("property_id").isin([e.node_id for e in props])).collect()} if props else {}
+        of_class = g.nearest_class.select(F.col("node_id").alias("call_id"), F.col("owner_id").alias("by_class"))
+        calls = C.external_calls(g).where(F.col("class_id") == i).join(of_class, "call_id", "left").join(at, "call_id").orderBy("call_id").collect()
+        names = {r.node_id: r.name for r in g.nodes.where(F.col("node_id").isin(sorted({c.callee_id for c in calls}))).select("node_id", "name").collect()} if calls else {}
+        free, below = {}, {}
+        for c in calls:
+            e = {"ref_type": "method_call", "file": c.call_file, "line": c.call_line, "on_expr": c.on_expr, "on_kind": c.on_kind, "callee": f"{names[c.callee_id]}()"}
+            if c.by_class in holders.values():
+                below.setdefault(c.by_class, {}).setdefault(c.callee_id, []).append((c.scope_id, e))
+            elif c.scope_id not in free:
+                free[c.scope_id] = Entry(c.scope_id, 1, e)
+        for e in props if depth > 1 else []:
+            for callee, sites in sorted(below.get(holders.get(e.node_id), {}).items()):
+                one = {**sites[0][1], "line": sites[0][1]["line"] if len(sites) == 1 else None}
+                if len(sites) > 1:
+                    one["sites"] = [{"method": m, "line": x["line"]} for m, x in sites]
+                e.children.append(Entry(callee, 2, one))
+        accesses = C.external_accesses(g).where(F.col("class_id") == i).groupBy("callee_id").agg(F.sum("accesses").alias("accesses"), F.countDistinct("scope_id").alias("methods"), F.min("first_line").alias("line")).orderBy("callee_id").limit(limit).collect()
+        groups = [Entry(r.callee_id, 1, {"ref_type": "property_access", "line": r.line, "accesses": r.accesses, "methods": r.methods}) for r in accesses]
+        seen = {e.node_id for e in made}
+        hints = [Entry(r.entry_id, 1, {"ref_type": r.ref_type}) for r in C.handler_param_return(g).where(F.col("target_id") == i).orderBy("entry_id").limit(limit).collect() if r.entry_id not in seen]
+        files = [Entry(r.source_id, 1, r.asDict()) for r in self._refs_in([i], True) if r.ref_type == "type_hint"] if imports else []
+        known = {e.node_id for e in hints}
+        return [*subtypes, *made, *props, *order(free.values()), *groups, *hints, *(e for e in files if e.node_id not in known)][:limit]
+
+    def used_by(self, node, depth: int, limit: int, direct: bool = False, imports: bool = False) -> list[dict]:
         g = self.g
         if node.kind == "Value":
             return self._value_walk(node.node_id, depth, limit, forward=True)
+        if node.kind in ("Class", "Interface") and not direct:
+            return self._tree(self._with_callers(self._class_entries(node, depth, limit, imports), node.node_id, depth, limit), self._show_reference)
         inside = {r.node_id for r in g.anc.where(F.col("ancestor_id") == node.node_id).select("node_id").collect()} if node.kind in INHERITABLE else set()
         seen: dict[str, list[tuple[str, dict]]] = {}
 
-        def edges(n: str):
-            if n not in seen:
-                seen[n] = [(r.source_id, r.asDict()) for r in self._refs_in([n]) if r.source_id not in inside]
-            return seen[n]
-
-        walk = depth_first(node.node_id, lambda n: edges(n), 1, limit)
-        if depth > 1:
-            # callers of chainable sources only; each level's references are fetched at once
-            level = [e for e in walk if e.edge.get("ref_type") in CHAINABLE]
-            visited = {node.node_id, *(e.node_id for e in walk)}
-            count = len(walk)
-            for d in range(2, depth + 1):
-                rows: dict[str, list] = {}
-                for r in self._refs_in([e.node_id for e in level]) if level else []:
-                    rows.setdefault(r.target_id, []).append(r)
-                nxt = []
-                for e in level:
-                    for r in rows.get(e.node_id, []):
-                        if count >= limit:
-                            break
-                        if r.source_id in visited:
-                            continue
-                        visited.add(r.source_id)
-                        count += 1
-                        child = Entry(r.source_id, d, r.asDict())
-                        e.children.append(child)
-                        if r.ref_type in CHAINABLE:
-                            nxt.append(child)
-                level = nxt
+        rows = [(r.source_id, r.asDict()) for r in self._refs_in([node.node_id], imports) if r.source_id not in inside]
+        walk = depth_first(node.node_id, lambda n: rows, 1, limit)
+        visited = {node.node_id, *(e.node_id for e in walk)}
+        self._expand_callers(walk, visited, depth, limit, len(walk))
         return self._tree(walk, self._show_reference)
 
+    def _with_callers(self, entries: list[Entry], root: str, depth: int, limit: int) -> list[Entry]:
+        """Below each entry that implies callers, these; every entry has visited nodes of its own."""
+        for e in entries:
+            if depth > 1 and e.edge.get("ref_type") in ("method_call", "instantiation") and not e.children:
+                self._expand_callers([e], {root, e.node_id}, depth, limit, 0)
+        return entries
+
+    def _expand_callers(self, level: list[Entry], visited: set[str], depth: int, limit: int, count: int) -> None:
+        """Callers of chainable sources, level by level; each level's references are fetched at once."""
+        level = [e for e in level if e.edge.get("ref_type") in CHAINABLE]
+        for d in range(2, depth + 1):
+            rows: dict[str, list] = {}
+            for r in self._refs_in([e.node_id for e in level]) if level else []:
+                rows.setdefault(r.target_id, []).append(r)
+            found = []
+            for e in level:
+                for r in rows.get(e.node_id, []):
+                    if count >= limit:
+                        break
+                    if r.source_id in visited:
+                        continue
+                    visited.add(r.source_id)
+                    count += 1
+                    child = Entry(r.source_id, d, r.asDict())
+                    e.children.append(child)
+                    if r.ref_type in CHAINABLE:
+                        found.append(child)
+            level = found
+
     def uses(self, node, depth: int, limit: int, impl: bool = False) -> list[dict]:
         from .operators import context as C
 

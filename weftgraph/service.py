@@ -56,8 +56,8 @@ class Service:
     def overrides(self, symbol: str, direction: str = "up", depth: int = 5, limit: int = 100, project: str = "default") -> dict:
         return self.api(project).overrides(symbol, direction, depth, limit)
 
-    def context(self, symbol: str, depth: int = 1, limit: int = 100, impl: bool = False, project: str = "default") -> dict:
-        return self.api(project).context(symbol, depth, limit, impl)
+    def context(self, symbol: str, depth: int = 1, limit: int = 100, impl: bool = False, direct: bool = False, imports: bool = False, project: str = "default") -> dict:
+        return self.api(project).context(symbol, depth, limit, impl, direct, imports)
 
     # --- flows: a list, candidates, or the details of one ---
 
