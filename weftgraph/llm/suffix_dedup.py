@@ -33,7 +33,7 @@ from .common import longs, stored, table, text_slices
 from .substring_dedup import _pack, covered, spans_of
 
 SIZE, GRAM = 200, 32
-BUCKET_BYTES, SHARD_BYTES, HOT_BYTES = 1 << 20, 1 << 17, 1 << 18
+BUCKET_BYTES, SHARD_BYTES, HOT_BYTES = 1 << 20, 1 << 17, 1 << 22
 
 
 def _symbols(data: np.ndarray) -> np.ndarray:
@@ -52,10 +52,10 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     while True:
         after = np.full(n, -1, np.int64)
         after[:-h] = rank[h:]
-        order = np.lexsort((after, rank))
-        new = np.ones(n, np.int64)
-        new[0] = 0
-        new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (after[order[1:]] != after[order[:-1]])
+        both = rank * (n + len(ends) + 1) + after + 1
+        order = np.argsort(both)
+        new = np.zeros(n, np.int64)
+        new[1:] = both[order[1:]] != both[order[:-1]]
         rank[order] = np.cumsum(new)
         h *= 2
         if h >= depth or h >= n or rank[order[-1]] == n - 1:
@@ -76,8 +76,7 @@ class Shard:
         rank[self.order] = np.arange(len(text))
         self.run = np.repeat(np.arange(len(runs)), lengths + 1)[self.order]
         self.offset = self.order - starts[self.run]
-        self.has_two = self.offset >= 2
-        before = np.maximum(self.order - 2, 0)
+        before = np.maximum(self.order - 2, 0)  # a run's first two suffixes have no such symbols; none is asked for
         self.leads = rank[before]
         self.two = (((text[before].astype(np.int64) - 1) & 255) << 8 | ((text[before + (len(text) > 1)].astype(np.int64) - 1) & 255)).astype(np.uint16)
 
@@ -97,25 +96,24 @@ def repeated(runs: list[bytes], size: int = SIZE, shard_bytes: int = SHARD_BYTES
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     base = np.cumsum([0] + [len(s.order) for s in shards])
     first = np.cumsum([0] + [int(s.run.max()) + 1 for s in shards])
-    two, has_two = np.concatenate([s.two for s in shards]), np.concatenate([s.has_two for s in shards])
+    two, offset = np.concatenate([s.two for s in shards]), np.concatenate([s.offset for s in shards])
     leads = np.concatenate([s.leads + b for s, b in zip(shards, base)])
-    # the interleave: entries (transform and place in it), in order of the prefix compared so far
-    entry, interval = np.arange(base[-1]), np.zeros(base[-1], np.int64)
+    # the interleave: entries (transform and place in it), in order of the prefix compared so far; they begin
+    # at the places that have size symbols before them in their run
+    entry = np.flatnonzero(offset >= size)
+    interval = np.zeros(len(entry), np.int32)
     for _ in range(size // 2):
-        more = has_two[entry]
-        entry, interval = entry[more], interval[more]
         symbols = two[entry]
         turn = np.argsort(symbols, kind="stable")
         symbols, interval = symbols[turn], interval[turn]
         bound = np.ones(len(turn) + 1, bool)
         bound[1:-1] = (symbols[1:] != symbols[:-1]) | (interval[1:] != interval[:-1])
         shared = ~(bound[:-1] & bound[1:])
-        entry, interval = leads[entry[turn[shared]]], np.cumsum(bound[:-1])[shared]
+        entry, interval = leads[entry[turn[shared]]], np.cumsum(bound[:-1], dtype=np.int32)[shared]
         if not len(entry):
             break
     run = np.concatenate([s.run + f for s, f in zip(shards, first)])[entry]
-    offset = np.concatenate([s.offset for s in shards])[entry]
-    return run, offset
+    return run, offset[entry]
 
 
 def _emit_runs(size: int, gram: int):
