@@ -22,7 +22,15 @@ SPACES = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch at most. Texts are long, and a batch stands in the JVM and in Python at once.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the directory. Bounds the session's Arrow batches, which any operator may read it in."""
+    if int(spark.conf.get(_ROWS)) > BATCH_ROWS or int(spark.conf.get(_ROWS)) <= 0:
+        spark.conf.set(_ROWS, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
