@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Budgets, markers and patterns that results depend on.
 MAX_TOKENS = 8000
 CHARS_PER_TOKEN = 4
 MARKER = "\n// ... truncated ..."
+METHODS_NOTE = "\n    // ... ({} methods, chunked for embedding)\n\n"
+PREFIX_LINES = 20
+PREFIX_MARGIN = 100
+PROPERTY_TYPE = r"(?:public|protected|private)?\s*(?:static\s+)?(?:readonly\s+)?(\S+)\s+\$"
+MODIFIERS = r"\b(?:public|protected|private|static|final|abstract)\s+"
+ATTRIBUTES = r"#\[[^\]]*\]\s*"
 
 
 def display_name(kind: Column, name: Column) -> Column:
@@ -44,8 +51,8 @@ def signature(kind: Column, documentation: Column) -> Column:
         end = F.array_position(F.transform(rest, lambda x: x.contains(")")), F.lit(True))
         taken = F.slice(rest, F.lit(1), F.when(end > 0, end).otherwise(F.size(rest)).cast("int"))
         one = F.array_join(taken, " ")
-        one = F.regexp_replace(one, r"\b(?:public|protected|private|static|final|abstract)\s+", "")
-        one = F.regexp_replace(one, r"#\[[^\]]*\]\s*", "")
+        one = F.regexp_replace(one, MODIFIERS, "")
+        one = F.regexp_replace(one, ATTRIBUTES, "")
         one = F.trim(F.regexp_replace(one, r"\s+", " "))
         return F.when(one.contains("(") & ~one.contains(")"), F.concat(F.substring_index(one, "(", 1), F.lit("(...)"))).otherwise(one)
 
@@ -59,7 +66,7 @@ def property_facts(documentation: Column, name: Column) -> Column:
     lines = F.flatten(F.transform(docs, _lines))
     line = F.get(F.filter(lines, lambda x: x.contains(name)), 0)
     seen = F.regexp_extract(line, r"^(public|protected|private) ", 1)
-    kind = F.regexp_extract(line, r"(?:public|protected|private)?\s*(?:static\s+)?(?:readonly\s+)?(\S+)\s+\$", 1)
+    kind = F.regexp_extract(line, PROPERTY_TYPE, 1)
     short = F.element_at(F.split(F.regexp_replace(kind, r"^\\+", ""), r"\\"), -1)
     return F.struct(
         F.nullif(seen, F.lit("")).alias("visibility"),

@@ -31,8 +31,9 @@ class Graph:
         self._nodes, self._edges = nodes, edges
 
     def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """df, stored and read again; partitioned, with few files a partition but large ones split."""
         path = f"{self.path}/{name}-{uuid.uuid4().hex}"
-        (df.repartition(*by) if by else df).write.partitionBy(*by).option("compression", "zstd").parquet(path)
+        (df.hint("rebalance", *by) if by else df).write.partitionBy(*by).option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.select(*[c for c in df.columns if c not in by], *by).schema).parquet(path)
 
     @cached_property

@@ -8,11 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKER, line_range, token_estimate, truncated
+from ..functions.text import CHARS_PER_TOKEN, MARKER, METHODS_NOTE, PREFIX_LINES, PREFIX_MARGIN, line_range, token_estimate, truncated
 from ..graph import Graph
 
-MARGIN = 100
-
 
 def source(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes (node_id, file, start_line, end_line and enclosing_*) with their source: the enclosing range
@@ -24,18 +22,18 @@ def source(files: DataFrame, nodes: DataFrame) -> DataFrame:
 def class_prefix(text: str, first_method: int | None, methods: int) -> str:
     """Lines before the first method (else 20 at most) and a note of what follows."""
     lines = text.split("\n")
-    head = lines[:first_method] if first_method is not None and first_method > 0 else lines[:20]
-    return "\n".join(head) + f"\n    // ... ({methods} methods, chunked for embedding)\n\n"
+    head = lines[:first_method] if first_method is not None and first_method > 0 else lines[:PREFIX_LINES]
+    return "\n".join(head) + METHODS_NOTE.format(methods)
 
 
 def pack(text: str, methods: list[str], first_method: int | None, max_tokens: int) -> list[str]:
     """Chunks of a class: whole if it fits, else its prefix with as many methods as fit, greedily; a class
     without methods, or with a prefix beyond the budget, is cut."""
-    most = max_tokens * 4
+    most = max_tokens * CHARS_PER_TOKEN
     if len(text) <= most:
         return [text]
     prefix = class_prefix(text, first_method, len(methods))
-    room = most - len(prefix) - MARGIN
+    room = most - len(prefix) - PREFIX_MARGIN
     if not methods or room <= 0:
         return [text[:most] + MARKER]
     chunks, held, size = [], [], 0

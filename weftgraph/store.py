@@ -70,7 +70,7 @@ class Project:
         kept = {n: t for n in (*FLOW_KEYS, "flow_edges", "embeddings") if (t := self.table(n)) is not None}
         nodes.sortWithinPartitions("kind", "fqn").write.parquet(f"{at}/nodes")
         stored = self.spark.read.parquet(f"{at}/nodes")
-        endpoints(edges, stored).repartition("type").write.partitionBy("type").parquet(f"{at}/edges")
+        endpoints(edges, stored).hint("rebalance", "type").write.partitionBy("type").parquet(f"{at}/edges")
         for n, t in kept.items():
             t.write.parquet(f"{at}/{n}")
         if validate:
