@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -28,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import place, stored, table
 
 #: Fixed values of the formats: frame magics, and those of the WARC revisit profile.
 ZSTD_MAGIC = 0xFD2FB528
@@ -231,6 +230,6 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = place(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark.read.schema("n_records long, content binary").parquet(path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
