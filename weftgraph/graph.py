@@ -31,6 +31,8 @@ class Graph:
 
     def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)  # derived tables go when the driver ends
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
         self._nodes, self._edges = nodes, edges
 
     def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
