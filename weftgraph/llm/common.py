@@ -6,6 +6,8 @@ written as Parquet to the folder named by ``spark.checkpoint.dir``, which the wh
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,10 +52,15 @@ def place(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, which goes when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    atexit.register(_delete, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
     return path
 
 
+def _delete(store, at) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        store.delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, place(df.sparkSession, name)
