@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from functools import cached_property
@@ -25,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _delete(store, at) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        store.delete(at, True)
+
+
 class Graph:
     """nodes and edges as Parquet, partitioned by kind and type; closures and facts are built on first use
     and stored beside them, so that a lost executor costs a read and no recomputation."""
@@ -32,7 +39,7 @@ class Graph:
     def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
         at = spark._jvm.org.apache.hadoop.fs.Path(self.path)  # derived tables go when the driver ends
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+        atexit.register(_delete, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
         self._nodes, self._edges = nodes, edges
 
     def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
