@@ -49,16 +49,22 @@ def test_first_of_groups_keeps_columns(spark):
     assert [tuple(r) for r in M.first_of_groups(df).collect()] == [(3, a, 1, "x")]
 
 
-def test_sketches_estimate_similarity():
+def test_sketches_lose_no_link_and_tell_apart(spark):
     rnd = np.random.default_rng(1)
-    for j in (0.6, 0.75, 0.9):
-        both = rnd.integers(0, 1 << 63, 2000, dtype=np.uint64)
-        k = int(2000 * (1 - j) / (1 + j))
-        sets = [np.sort(np.concatenate([both[: 2000 - k], rnd.integers(0, 1 << 63, k, dtype=np.uint64)])) for _ in range(2)]
-        s = M.sketches(M.samples(np.concatenate(sets), np.array([0, 2000, 4000])))
-        bits = int(np.bitwise_count((s[0] ^ s[1]).view(np.uint64)).sum())
-        assert abs(bits - M.most_bits(j)) < 40
-        assert bits <= M.FAR_BITS
+    rows, want = [], {}
+    for n in (1, 3, 4, 20, 150, 600, 3000):
+        for j in (0.76, 0.3):
+            for _ in range(60):
+                k = int(n * (1 - j) / (1 + j))
+                both = rnd.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+                a, b = (np.unique(np.concatenate([both[: n - k], rnd.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2)])) for _ in range(2))
+                s, f = M.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+                rows.append((len(rows), len(a), int(f[0]), s[0].tolist(), len(b), int(f[1]), s[1].tolist()))
+                want[len(rows) - 1] = (n, j)
+    df = spark.createDataFrame(rows, "id int, n_shingles long, filled long, sketch array<long>, n_shingles_b long, filled_b long, sketch_b array<long>")
+    passed = {r.id for r in df.where(M._may_link()).collect()}
+    assert all(i in passed for i, (n, j) in want.items() if j > 0.75)
+    assert not any(i in passed for i, (n, j) in want.items() if j == 0.3 and n >= 150)
 
 
 def test_components(spark):

@@ -1,17 +1,20 @@
 """MinHash near-dedup with odd sketches.
 
-1. Each document's set of 5-word shingles gives 128 MinHash samples. Four at a time they key 32 bands;
-   all of them together are folded into a 512-bit parity bitmap, the odd sketch.
+1. Each document's set of 5-word shingles gives 128 MinHash samples, which four at a time key 32 bands, and
+   one-permutation MinHash samples, one for each of 16384 bins that isn't empty, which are folded into a
+   2048-bit parity bitmap, the odd sketch. The population count of two sketches' XOR tells how many samples
+   differ; for sets up to some hundred shingles that is nearly the sets' difference itself.
 2. Documents with equal sets are one class, for which the smallest doc_id stands.
 3. First round: in each band bucket every class points at the bucket's smallest. A class keeps the
    pointer whose sketches agree best (population count of the XOR), and that one link is confirmed on
    the full sets. Connected components follow.
-4. Second round: only buckets that hold several components are looked at again. Their pairs across
-   components are joined where sizes and sketches allow a similarity of 0.75; survivors are confirmed
-   on the full sets too. Pairs inside a component can't change the result, so all links count.
+4. Only buckets that hold several components are looked at again. While many classes gain a link, every such bucket takes turns of a few random hubs, and each class of another component
+   has its best hub confirmed: rows stay linear in the buckets.
+5. Last round: all pairs across components that sizes and sketches allow to reach 0.75 are joined and
+   confirmed on the full sets. Pairs inside a component can't change the result, so all links count.
 
-A pair at similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 < 6e-6; the sketch bound
-of 0.5 lies more than six standard deviations below 0.75. There are no caps; a bucket of one component,
+A pair at similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 < 6e-6; the sketches' bound lies
+SIGMAS deviations (estimated from above) beyond what 0.75 gives, which loses less than one such pair in 50,000. There are no caps; a bucket of one component,
 however large, costs one row a member.
 
 Defined results: null or blank text has an empty set, is linked with nothing and kept; rows with one
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling as R
@@ -34,24 +37,23 @@ from .components import components
 SHINGLE = 5
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BANDS, ROWS, BITS = 32, 4, 512
+BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
+#: Bins of the one-permutation samples, and bits of the odd sketch they are folded into.
+BIN_BITS, BITS = 14, 2048
 U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * U(2) + U(1)
 _B = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
-_SALT = R.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-
-
-def most_bits(similarity: float) -> int:
-    """Odd bits that sketches of two sets differ in, on average, at this similarity."""
-    return int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - similarity) / BITS)))
-
-
-#: Pairs whose sketches differ in more bits are taken to lie below 0.5.
-FAR_BITS = most_bits(0.5)
+#: Standard deviations by which a pair's sketches may lie above what a similarity of 0.75 gives.
+SIGMAS = 4
+#: In a turn every open bucket has HUBS random hubs; turns go on, HUB_TURNS at most, while at least one row
+#: in FEW_FOUND gains a link. They only save the last round work: it is whole in any case.
+HUBS, FEW_FOUND, HUB_TURNS = 4, 2000, 3
+#: At most so many pairs have their ids broadcast (16 MB) to pick texts before the shuffle; beyond, all are shuffled.
+FEW_PAIRS = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -86,12 +88,18 @@ def samples(sets: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(mins: np.ndarray) -> np.ndarray:
-    """Odd sketches as rows of BITS / 64 longs."""
-    n = len(mins)
-    at = (R.mix(mins ^ _SALT) & U(BITS - 1)).astype(np.int64) + np.arange(n)[:, None] * BITS
-    odd = (np.bincount(at.ravel(), minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS)
-    return np.packbits(odd, axis=1).view(np.int64)
+def sketches(sets: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Odd sketches, as rows of BITS / 64 longs, and the number of samples in each. A sample is the least hash
+    of a bin, a bin being all hashes with the same leading bits; sets are sorted, so that is its first."""
+    n = len(edges) - 1
+    doc = np.repeat(np.arange(n), np.diff(edges))
+    bins = sets >> U(64 - BIN_BITS)
+    first = np.ones(len(sets), bool)
+    first[1:] = (bins[1:] != bins[:-1]) | (doc[1:] != doc[:-1])
+    doc = doc[first]
+    at = (R.mix(sets[first]) & U(BITS - 1)).astype(np.int64) + doc * BITS
+    odd = (np.bincount(at, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS)
+    return np.packbits(odd, axis=1).view(np.int64), np.bincount(doc, minlength=n)
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
@@ -114,13 +122,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(edges)
             full = n > 0
             mins = samples(sets, edges) if full.any() else np.empty((0, SAMPLES), U)
-            keys, bits = np.zeros((rows, BANDS), np.int64), np.zeros((rows, BITS // 64), np.int64)
-            keys[full], bits[full] = band_keys(mins), sketches(mins)
+            keys = np.zeros((rows, BANDS), np.int64)
+            keys[full] = band_keys(mins)
+            bits, filled = sketches(sets, edges)
             one, two = np.zeros(rows, U), np.zeros(rows, U)
             if full.any():
                 starts = edges[:-1][full]
                 one[full], two[full] = np.add.reduceat(sets, starts), np.bitwise_xor.reduceat(R.mix(sets + U(1)), starts)
-            yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _lists(keys), _lists(bits)], ["doc_id", "n_shingles", "set1", "set2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _lists(keys), _lists(bits), pa.array(filled)], ["doc_id", "n_shingles", "set1", "set2", "bands", "sketch", "filled"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,59 +155,107 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough."""
+    """Those pairs (a, b), stored ones, whose full sets are similar enough."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    if pairs.count() <= FEW_PAIRS:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return both.mapInArrow(_confirm, "a long, b long")
 
 
-def _differ(a: str, b: str):
+#: What the tests of a pair read of either side; the other side's names end in _b.
+SKETCH = ["n_shingles", "filled", "sketch"]
+
+
+def _bits() -> Column:
     """Bits in which two sketches differ."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)), F.lit(0))
+    return sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(BITS // 64)), F.lit(0))
+
+
+def _may_link() -> Column:
+    """Whether sizes and sketches leave a similarity of 0.75 possible.
+
+    At 0.75 the union has (n + n') / 1.75 elements, u of which are samples; 0.75 u of them are common, which
+    leaves f + f' - 1.5 u that differ. Not all elements are samples, hence the deviation: twice that of u draws
+    from the union, which simulations of 20 to 10,000 shingles stay below. Elements that meet in a bit of the
+    sketch only lower the count."""
+    bins = float(1 << BIN_BITS)
+    total = (F.col("n_shingles") + F.col("n_shingles_b")) / F.lit(1.75)
+    u = bins * (1 - F.exp(-total / bins))
+    spread = 4 * F.sqrt(0.1875 * u * F.greatest(F.lit(0.0), 1 - u / total)) + 0.75
+    most = F.greatest(F.lit(0.0), F.col("filled") + F.col("filled_b") - 1.5 * u) + SIGMAS * spread
+    gone = F.exp(-4 * most / BITS)
+    odd = BITS / 2 * (1 - F.exp(-2 * most / BITS)) + SIGMAS * F.sqrt(F.greatest(F.lit(0.0), BITS / 4 * (1 - gone) - most * gone))
+    sizes = 100 * F.least("n_shingles", "n_shingles_b") >= PERCENT * F.greatest("n_shingles", "n_shingles_b")
+    return sizes & (_bits() <= F.least(most, odd))
+
+
+def _first_common_band() -> Column:
+    """Number of the first band in which both sides have the same (shortened) key."""
+    same = lambda i: F.col("short")[i] == F.col("short_b")[i]
+    out = F.when(same(0), 0)
+    for i in range(1, BANDS):
+        out = out.when(same(i), i)
+    return out
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id of the group), links (confirmed
-    links of its class to others in the first round), kept."""
-    signed = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sign, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch array<long>"), "minhash-signed")
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id of the group), kept."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    signed = stored(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch array<long>, filled long"), "minhash-signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(full.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("class_id")), "minhash-classes")
-    member = stored(full.select("doc_id", "set1", "set2", "n_shingles").join(classes, ["set1", "set2", "n_shingles"]).select("doc_id", "class_id", "set1", "set2", "n_shingles"), "minhash-members")
-    chosen = member.where("doc_id = class_id").select("doc_id", "set1", "set2", "n_shingles").distinct()
-    heads = stored(full.join(chosen, ["doc_id", "set1", "set2", "n_shingles"]).dropDuplicates(["doc_id", "set1", "set2", "n_shingles"]).select(F.col("doc_id").alias("a"), "n_shingles", "bands", "sketch"), "minhash-heads")
-    buckets = heads.select("a", F.explode("bands").alias("bucket"))
+    key = ["set1", "set2", "n_shingles"]
+    classes = full.groupBy(*key).agg(F.min("doc_id").alias("a"), F.min_by(F.struct("bands", "sketch", "filled"), "doc_id").alias("of"))
+    classes = stored(classes.select(*key, "a", "of.bands", "of.sketch", "of.filled"), "minhash-classes")
+    member = stored(full.select("doc_id", *key).join(classes.select(*key, F.col("a").alias("class_id")), key).select("doc_id", "class_id"), "minhash-members")
+    buckets = classes.select("a", F.posexplode("bands").alias("band", "bucket"))
     least = stored(buckets.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b < z").select("bucket", "b"), "minhash-buckets")
-    sketch = heads.select("a", "sketch", "n_shingles")
+    sketch = classes.select("a", *SKETCH)
+    other = classes.select(F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in SKETCH])
+    several = stored(buckets.join(least, "bucket").select("bucket", "band", "a", "b"), "minhash-several")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """Of each a, the b whose sketch is closest for its size."""
+        both = pairs.where("a <> b").distinct().join(sketch, "a").join(other, "b").where(_may_link())
+        both = both.select("a", "b", (_bits() / (F.col("filled") + F.col("filled_b"))).alias("apart"))
+        return stored(both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "minhash-best")
 
-    pointers = stored(buckets.join(least, "bucket").where("a > b").select("a", "b").distinct(), "minhash-pointers")
-    near = pointers.join(sketch, "a").join(sketch.toDF("b", "sketch_b", "n_b"), "b")
-    near = near.select("a", "b", _differ("sketch", "sketch_b").alias("bits")).where(F.col("bits") <= FAR_BITS)
-    best = stored(near.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "minhash-best")
     owner = member.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("z")).where("b < z")
-    same = member.join(stored(owner, "minhash-owners"), "doc_id").where("class_id > b").select(F.col("class_id").alias("a"), "b").distinct()
-    first = stored(confirmed(docs, best).union(same), "minhash-links")  # rows with one doc_id are linked as well
-    groups = components(first)
-
-    where = sketch.join(groups.toDF("a", "group"), "a", "left").select("a", "sketch", "n_shingles", F.coalesce("group", "a").alias("group"))
-    where = stored(where, "minhash-where")
-    inside = buckets.join(least.select("bucket"), "bucket").join(where.select("a", "group"), "a")
-    inside = stored(inside, "minhash-inside")
-    several = inside.groupBy("bucket").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("bucket")
-    open_ = stored(inside.join(stored(several, "minhash-several"), "bucket").join(where.drop("group"), "a"), "minhash-open")
-    other = open_.select("bucket", F.col("a").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("n_b"), F.col("group").alias("group_b"))
-    may = (F.col("group") < F.col("group_b")) & (100 * F.least("n_shingles", "n_b") >= PERCENT * F.greatest("n_shingles", "n_b")) & (_differ("sketch", "sketch_b") <= FAR_BITS)
-    # one condition with the key, so that pairs are dropped inside the join
-    pairs = open_.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & may).select("a", "b").distinct()
-    second = stored(confirmed(docs, stored(pairs, "minhash-pairs")), "minhash-links")
-    links = first.union(second)
+    same = member.join(stored(owner, "minhash-owners"), "doc_id").where("class_id > b").select(F.col("class_id").alias("a"), "b")
+    # rows with one doc_id are linked as well
+    links = stored(confirmed(docs, best(several.select("a", "b"))).union(same).distinct(), "minhash-links")
     groups = components(links)
-    count = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    of_class = groups.toDF("class_id", "group").join(stored(count, "minhash-counts"), "class_id", "left")
-    ids = member.select("doc_id", "class_id").distinct().join(stored(of_class, "minhash-groups"), "class_id", "left")
-    per_doc = ids.groupBy("doc_id").agg(F.min(F.coalesce("group", "class_id")).alias("component_id"), F.sum("links").alias("links"))
-    out = signed.select("doc_id", "n_shingles").join(stored(per_doc, "minhash-docs"), "doc_id", "left")
+    for turn in range(HUB_TURNS + 1):
+        inside = several.join(groups.toDF("a", "group"), "a", "left").select("bucket", "band", "a", F.coalesce("group", "a").alias("group"))
+        inside = stored(inside, "minhash-inside")
+        hubs = [F.min_by(F.struct("a", "group"), F.xxhash64("a", F.lit(turn), F.lit(i))) for i in range(HUBS)]
+        open_ = inside.groupBy("bucket").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.array(*hubs).alias("hubs"))
+        open_ = stored(open_.where("g0 < g1").select("bucket", "hubs"), "minhash-open")
+        if turn == HUB_TURNS:
+            break
+        tried = inside.join(open_, "bucket").select("a", "group", F.explode("hubs").alias("hub")).where("group <> hub.group")
+        new = stored(confirmed(docs, best(tried.select("a", F.col("hub.a").alias("b")))), "minhash-links")
+        links, found = links.union(new), new.count()
+        groups = components(links) if found else groups
+        if found * FEW_FOUND < several.count():
+            open_ = open_.select("bucket")
+            if found:
+                inside = several.join(groups.toDF("a", "group"), "a", "left").select("bucket", "band", "a", F.coalesce("group", "a").alias("group"))
+            break
+    short = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("short")
+    rest = stored(inside.join(open_.select("bucket"), "bucket").join(classes.select("a", *SKETCH, short), "a"), "minhash-rest")
+    right = rest.select("bucket", F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("group", "short", *SKETCH)])
+    # one condition with the key, so that pairs are dropped inside the join; a pair passes in its first bucket
+    may = (F.col("group") < F.col("group_b")) & _may_link() & (_first_common_band() == F.col("band"))
+    pairs = rest.alias("x").join(right.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & may).select("a", "b").distinct()
+    new = stored(confirmed(docs, stored(pairs, "minhash-pairs")), "minhash-links")
+    if new.head(1):
+        groups = components(links.union(new))
+    ids = member.join(groups.toDF("class_id", "group"), "class_id", "left").groupBy("doc_id").agg(F.min(F.coalesce("group", "class_id")).alias("component_id"))
+    out = signed.select("doc_id", "n_shingles").join(stored(ids, "minhash-ids"), "doc_id", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
