@@ -77,6 +77,16 @@ class Graph:
     def subtypes(self) -> DataFrame:
         return self.keep(closure.subtypes(self.edges, self.keep), "subtypes")
 
+    @cached_property
+    def inherits(self) -> DataFrame:
+        """Closure over EXTENDS and IMPLEMENTS."""
+        return self.keep(closure.subtypes(self.edges, self.keep, ("EXTENDS", "IMPLEMENTS")), "inherits")
+
+    @cached_property
+    def overriding(self) -> DataFrame:
+        """Closure over OVERRIDES."""
+        return self.keep(closure.subtypes(self.edges, self.keep, ("OVERRIDES",)), "overriding")
+
     @cached_property
     def calls(self) -> DataFrame:
         return self.keep(facts.calls(self.nodes, self.edges), "calls")

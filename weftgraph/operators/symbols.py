@@ -125,12 +125,19 @@ def along(g: Graph, types: list[str], up: bool) -> DataFrame:
     return g.of_type(*types).select(F.col(a).alias("node_id"), F.col(b).alias("next_id")).distinct()
 
 
+def _within(table: DataFrame, node_id: str, up: bool, depth: int) -> DataFrame:
+    """(node_id, depth) from a stored closure; in a cycle the node itself is left out."""
+    here, there = ("node_id", "ancestor_id") if up else ("ancestor_id", "node_id")
+    found = table.where((F.col(here) == node_id) & (F.col("distance") <= depth) & (F.col(there) != node_id))
+    return found.select(F.col(there).alias("node_id"), F.col("distance").alias("depth"))
+
+
 def inherit(g: Graph, node_id: str, up: bool, depth: int = 5) -> DataFrame:
-    return levels(g, node_id, along(g, ["EXTENDS", "IMPLEMENTS"], up), depth)
+    return _within(g.inherits, node_id, up, depth)
 
 
 def overrides(g: Graph, node_id: str, up: bool, depth: int = 5) -> DataFrame:
-    return levels(g, node_id, along(g, ["OVERRIDES"], up), depth)
+    return _within(g.overriding, node_id, up, depth)
 
 
 def internal_references(g: Graph) -> DataFrame:
