@@ -25,11 +25,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Pre-tokens of at most KEEP_CHARS characters are kept, KEEP of them (some 300 MB), the later half for longer.
-KEEP, KEEP_CHARS = 1_200_000, 40
+#: Pre-tokens of at most KEEP_CHARS characters are kept, KEEP of them (some 170 MB), the later half for longer.
+KEEP, KEEP_CHARS = 700_000, 40
 #: Pre-tokens that one step handles.
 STEP = 1 << 16
 
@@ -152,16 +152,9 @@ class Coder:
         return n, names.hexdigest(), back.hexdigest()
 
 
-_coders: dict[int, Coder] = {}
-
-
 def _coder(lines: bytes) -> Coder:
     """One coder a worker, kept from task to task."""
-    key = hash(lines)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(lines)
-    return _coders[key]
+    return held(("bpe", hash(lines)), lambda: Coder(lines))
 
 
 def rank_file(path: str = RANKS) -> bytes:

@@ -10,7 +10,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,9 +68,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task: one object at a time, with its dictionaries."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def text_slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES, holds: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row count, bytes, offsets) of consecutive rows of at most ``limit`` bytes together,
-    but one row at least. Null texts have no bytes. No copy of the texts is made."""
+    but one row at least. Null texts have no bytes. No copy of the texts is made.
+    Unless the caller holds something itself, what the worker held for another operator goes."""
+    if not holds:
+        _held.clear()
     col = batch.column(batch.schema.get_field_index(text))
     n = len(col)
     if not n:

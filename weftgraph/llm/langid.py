@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import SPACES, stored, table, text_slices
+from .common import SPACES, held, stored, table, text_slices
 
 SAMPLE, WORDS = 600, 12_000
 PIECE = 24
 DIM, HIDDEN = 12, 24
 EPOCHS, BATCH, RATE = 5, 128, 4e-3
 #: Words that a worker keeps.
-KEEP = 1_500_000
+KEEP = 1_000_000
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}")
 
@@ -241,16 +241,9 @@ def learn(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
     return kinds, net.weights
 
 
-_readers: dict[int, Reader] = {}
-
-
 def _reader(weights: list[np.ndarray]) -> Reader:
     """One reader a worker, kept from task to task."""
-    key = hash(tuple(w.tobytes() for w in weights))
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(Network.of(weights))
-    return _readers[key]
+    return held(("langid", hash(tuple(w.tobytes() for w in weights))), lambda: Reader(Network.of(weights)))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], list[np.ndarray]]) -> DataFrame:
@@ -262,7 +255,7 @@ def predict(docs: DataFrame, model: tuple[list[str], list[np.ndarray]]) -> DataF
         for b in batches:
             names, scores = [], []
             texts = b.column(b.schema.get_field_index("text"))
-            for at, rows, data, offs in text_slices(b, "text"):
+            for at, rows, data, offs in text_slices(b, "text", holds=True):
                 p = _reader(weights).pooled(data, offs) if kinds else np.zeros((rows, 1))
                 best = p.argmax(1)
                 for i in range(rows):
