@@ -79,3 +79,10 @@ def test_edges(spark):
     assert rated(df, labels) == expected(rows, [(4, 1), (7, 1)])
     assert {r[-2] for r in rated(df, labels.limit(0))} == {0.0}
     assert rated(df.limit(0), labels) == []
+
+
+def test_every_good_document_counts(spark):
+    docs = [(i, f"a{i % 7} b{i % 11} c{i % 13}") for i in range(24_000)]
+    labels = [(i, int(i % 50 != 0)) for i in range(24_000)]  # 23,520 are good
+    got = rated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert got == expected(docs, labels)

@@ -1,11 +1,10 @@
 """Quality rules: counts of each text, and a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
 Words and pairs of neighbouring words are hashed into BUCKETS. Two multinomials are counted over all
-documents: the raw corpus, and the trusted target, which is a sample of at most TRUSTED documents that
-labels call good (those whose ids hash lowest). A document's score is the mean, over its n-grams, of
-log(target / raw); below THRESHOLD it is rejected. The buckets are the same number however large the
-corpus, so the weights (BUCKETS doubles) go to the tasks as a literal, and the trusted ids, at most
-TRUSTED longs, by broadcast.
+documents: the raw corpus, and the trusted target, which is all documents that labels call good. A
+document's score is the mean, over its n-grams, of log(target / raw); below THRESHOLD it is rejected. The
+buckets are the same number however large the corpus, so the weights (BUCKETS doubles) go to the tasks as
+a literal. The good ids grow with the corpus and are joined as any other table.
 
 n_repeat_words: 3-word windows are compared by 64-bit hashes, sorted with their places inside the row;
 nothing leaves the row, whatever its length.
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import SPACES, table
 
 BUCKETS = 1 << 16
-TRUSTED = 20_000
 THRESHOLD = -0.25
 SMOOTHING = 1.0
 #: Base rules: words a document needs, and the percentage of words in repeated windows that it may have.
@@ -38,9 +36,9 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def n_grams(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and text with words, h1 (hashes of words) and h2 (of pairs)."""
-    words = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def n_grams(docs: DataFrame, *more: str) -> DataFrame:
+    """docs' doc_id, text and columns of more with words, h1 (hashes of words) and h2 (of pairs)."""
+    words = docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"))
     words = words.withColumn("words", F.filter(F.split("text", SPACES), lambda w: w != ""))
     hashed = words.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
     pairs = F.greatest(F.size("h1") - 1, F.lit(0))
@@ -53,10 +51,11 @@ def _bucket(h: Column) -> Column:
 
 def weights(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log(target / raw) of every bucket."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
-    grams = n_grams(docs).select("doc_id", F.explode(F.transform(F.concat("h1", "h2"), _bucket)).alias("bucket"))
-    marked = grams.join(F.broadcast(good.withColumn("good", F.lit(1))), "doc_id", "left")
-    rows = marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")).collect()  # BUCKETS rows at most
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(1))
+    # before the n-grams, which are many times the text; always a merge join, so that disk grows with the input
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
+    grams = n_grams(marked, "good").select("good", F.explode(F.transform(F.concat("h1", "h2"), _bucket)).alias("bucket"))
+    rows = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")).collect()  # BUCKETS rows at most
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in rows:
         raw[r.bucket], target[r.bucket] = r.raw, r.target
