@@ -96,3 +96,31 @@ def test_nothing_to_learn(spark):
     for l in (lab, lab.limit(0)):
         assert [r.score < 1e-9 for r in T.scores(df, T.learn(df, l)).collect()] == [True, True]
     assert T.scores(df.where(F.lit(False)), T.learn(df, lab)).count() == 0
+
+
+RUNS = {
+    "s t u p i d i d i o t": "stupid idiot",
+    "s t u p i d  m o r o n": "stupid moron",
+    "s.t.u.p.i.d.i.d.i.o.t": "stupid idiot",
+    "w o r t h l e s s p e o p l e p a t h e t i c p r o c e s s s t u p i d t r a s h i d i o t": "worthless people pathetic process stupid trash idiot",
+    "i d " + "i " * 60 + "o t": "idiot",
+    "i" * 60 + "d10t": "idiot",
+    "m-o-r-o-n" + "-" * 50 + "s": "moron s",
+}
+
+
+@pytest.mark.parametrize("seen", RUNS)
+def test_runs_of_any_length_are_words(chars, seen):
+    f = T.Features(chars, None).of_text(seen.upper())
+    assert {w for w in RUNS[seen].split() if len(w) > 1} <= f
+
+
+def test_run_after_a_word_and_short_run(chars):
+    model = T.CharModel(dict.fromkeys(["such", "a", "moron", "ass", "the"], 50))
+    assert "moron" in T.Features(model, None).of_text("such a m o r o n")
+    assert "ass" in T.Features(model, None).of_text("the a s s")
+
+
+def test_a_long_document_letter_by_letter(chars):
+    text = " ".join("thepeople" * 10_000 + "idiot" + "hello" * 10_000)
+    assert "idiot" in T.Features(chars, None).of_text(text)

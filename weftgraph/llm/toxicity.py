@@ -1,9 +1,10 @@
 """Toxicity by noisy-channel deobfuscation and a linear score of the restored text.
 
 Channel: a writer may replace letters (leetspeak), repeat them, or put separators or spaces between
-them. A token that shows any of it becomes a lattice: each character is read as itself, as a letter it
-may stand for, as a repeat of the letter before, or as nothing. Viterbi finds the likeliest letters under
-a character trigram model times the channel's probabilities. Plain tokens are their own restoration.
+them. A token or spaced-out run that shows any of it becomes a lattice, whatever its length: each character
+is read as itself, as a letter it may stand for, as a repeat of the letter before, or as nothing; a separator
+or space also as the end of a word. Viterbi finds the likeliest words under a character trigram model times
+the channel's probabilities. Plain tokens are their own restoration.
 
 Score: logistic regression over the presence of restored words and of their beginnings.
 
@@ -46,8 +47,11 @@ SEPARATORS = set(".-_*~'`^:/\\,;#+=&%​­")
 KEPT, SUBSTITUTED, SEPARATED, REPEATED, DOUBLED = math.log(0.9), math.log(0.08), math.log(0.05), math.log(0.02), math.log(0.001)
 EDGE = "\x02"
 
-_spaced = re.compile(r"(?<!\S)(?:\S[ .\-_*]{1,2}){3,}\S(?![^\s.,;:!?])")
+# no character is both letter and separator here, so a long run is read once
+_spaced = re.compile(r"(?<!\S)(?:[^\s.\-_*][ .\-_*]{1,3}){2,}[^\s.\-_*](?![^\s.,;:!?])")
 _suspicious = re.compile(r"[^\W\d_](?:[^\W\d_]*?)[\d@$!|+(€£¡§.\-_*~'`^:/\\,;#=&%​­]+[^\W\d_]|[\d@$!|(€£¡§][^\W_]|(.)\1\1")
+# no word has five equal letters in a row: more of them say no more than four
+_stretched = re.compile(r"([^\W_])(?:[ .\-_*]*\1){4,}")
 _word = re.compile(r"[^\W_]+")
 _trailing = "".join(SEPARATORS) + "!?()[]{}<>\"|@$"
 
@@ -77,27 +81,36 @@ class CharModel:
         return got if got is not None else self.new.get(context, self.unseen)
 
     def restore(self, token: str) -> str:
-        """The likeliest letters behind a token (in lower case)."""
-        best: dict[str, tuple[float, str]] = {EDGE + EDGE: (0.0, "")}
+        """The likeliest words behind a token or run (in lower case), with a space between them."""
+        token = _stretched.sub(r"\1\1\1\1", token)
+        # a path is a chain of (what came before, letter): the few contexts share their beginnings
+        best: dict[str, tuple[float, tuple | None]] = {EDGE + EDGE: (0.0, None)}
         for k, c in enumerate(token):
-            new: dict[str, tuple[float, str]] = {}
+            new: dict[str, tuple[float, tuple | None]] = {}
             own = c.isalpha()
             reads = ([(c, KEPT)] if own else []) + [(x, SUBSTITUTED) for x in LEET.get(c, "")]
-            for context, (score, text) in best.items():
-                moves = [(context[1] + r, score + p + self._step(context, r), text + r) for r, p in reads]
+            many = token[max(0, k - 2) : k + 3].count(c) >= 3  # two alike are mostly meant
+            for context, (score, path) in best.items():
+                moves = [(context[1] + r, score + p + self._step(context, r), (path, r)) for r, p in reads]
                 if c in SEPARATORS or c == " ":
-                    moves.append((context, score + SEPARATED, text))
+                    moves.append((context, score + SEPARATED, path))
+                    if context[1] != EDGE and k < len(token) - 1:  # the trigrams say how likely a word ends here
+                        moves.append((EDGE + EDGE, score + SEPARATED + self._step(context, EDGE), (path, " ")))
                 elif not reads:
-                    moves.append((context, score + SEPARATED + SUBSTITUTED, text))
-                many = token[max(0, k - 2) : k + 3].count(c) >= 3  # two alike are mostly meant
+                    moves.append((context, score + SEPARATED + SUBSTITUTED, path))
                 for r, p in reads:
                     if r == context[1]:
-                        moves.append((context, score + p + (REPEATED if many else DOUBLED), text))
+                        moves.append((context, score + p + (REPEATED if many else DOUBLED), path))
                 for key, s, t in moves:
                     if key not in new or s > new[key][0]:
                         new[key] = (s, t)
             best = new
-        return max((s + self._step(k, EDGE), t) for k, (s, t) in best.items())[1] if best else ""
+        path = max(((s + self._step(k, EDGE), k) for k, (s, _) in best.items()), default=(0.0, ""))[1]
+        path, letters = best[path][1] if best else None, []
+        while path is not None:
+            path, r = path
+            letters.append(r)
+        return "".join(reversed(letters)).strip()
 
 
 def beginnings(word: str) -> list[str]:
@@ -109,16 +122,24 @@ def restored(token: str, model: CharModel) -> list[str]:
     own = _word.findall(token)
     if _suspicious.search(token):
         bare = token.rstrip(_trailing)
-        if 3 <= len(bare) <= 40 and any(c.isalpha() for c in bare):
-            own.append(model.restore(bare))
+        if len(bare) >= 3 and any(c.isalpha() for c in bare):
+            own += model.restore(bare).split()
     return own
 
 
 def restore_text(text: str, model: CharModel) -> str:
     """A text with its suspicious tokens and spaced-out words replaced by what they stand for."""
     low = (text or "").lower()
-    low = _spaced.sub(lambda m: model.restore(m[0]) if sum(map(str.isalnum, m[0])) <= 40 else m[0], low)
-    return re.sub(r"\S+", lambda m: restored(m[0], model)[-1] if _suspicious.search(m[0]) and restored(m[0], model) else m[0], low)
+    low = _spaced.sub(lambda m: model.restore(m[0]), low)
+
+    def meant(m: re.Match) -> str:
+        bare = m[0].rstrip(_trailing)
+        if not _suspicious.search(m[0]) or len(bare) < 3 or not any(c.isalpha() for c in bare):
+            return m[0]
+        got = model.restore(bare)
+        return m[0] if got == bare else got
+
+    return re.sub(r"\S+", meant, low)
 
 
 class Features:
@@ -145,9 +166,8 @@ class Features:
             if got := self.of_token(t):
                 out.update(got)
         for m in _spaced.finditer(text):
-            if sum(map(str.isalnum, m[0])) <= 40:
-                got = beginnings(self.model.restore(m[0].lower()))
-                out.update(got if self.number is None else (self.number[f] for f in got if f in self.number))
+            got = [f for w in self.model.restore(m[0].lower()).split() for f in beginnings(w)]
+            out.update(got if self.number is None else (self.number[f] for f in got if f in self.number))
         return out
 
 
