@@ -124,3 +124,9 @@ def test_run_after_a_word_and_short_run(chars):
 def test_a_long_document_letter_by_letter(chars):
     text = " ".join("thepeople" * 10_000 + "idiot" + "hello" * 10_000)
     assert "idiot" in T.Features(chars, None).of_text(text)
+
+
+@pytest.mark.parametrize("seen,meant", [("stuupid", "stupid"), ("iddiioott", "idiot"), ("Moorron,", "moron"), ("idio7", "idiot"), ("hello", "hello"), ("common", "common")])
+def test_doubled_letters_are_decoded(chars, seen, meant):
+    assert meant in T.Features(chars, None).of_text(seen)
+    assert T.restore_text(seen, chars).rstrip(",") == meant

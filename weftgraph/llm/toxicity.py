@@ -49,7 +49,8 @@ EDGE = "\x02"
 
 # no character is both letter and separator here, so a long run is read once
 _spaced = re.compile(r"(?<!\S)(?:[^\s.\-_*][ .\-_*]{1,3}){2,}[^\s.\-_*](?![^\s.,;:!?])")
-_suspicious = re.compile(r"[^\W\d_](?:[^\W\d_]*?)[\d@$!|+(€£¡§.\-_*~'`^:/\\,;#=&%​­]+[^\W\d_]|[\d@$!|(€£¡§][^\W_]|(.)\1\1")
+# plain letters of which no two alike are neighbours have one reading: themselves; all else is decoded
+_suspicious = re.compile(r"[\W\d_]|(.)\1")
 # no word has five equal letters in a row: more of them say no more than four
 _stretched = re.compile(r"([^\W_])(?:[ .\-_*]*\1){4,}")
 _word = re.compile(r"[^\W_]+")
@@ -117,14 +118,15 @@ def beginnings(word: str) -> list[str]:
     return [word] + [f"{word[:n]}~" for n in (4, 5) if len(word) >= n]
 
 
+def _hides(bare: str) -> bool:
+    """Whether a token without its trailing punctuation may read otherwise than it stands."""
+    return len(bare) >= 3 and any(c.isalpha() for c in bare) and _suspicious.search(bare) is not None
+
+
 def restored(token: str, model: CharModel) -> list[str]:
-    """The words a token (no spaces in it, lower case) stands for: as it reads and, if suspicious, restored."""
-    own = _word.findall(token)
-    if _suspicious.search(token):
-        bare = token.rstrip(_trailing)
-        if len(bare) >= 3 and any(c.isalpha() for c in bare):
-            own += model.restore(bare).split()
-    return own
+    """The words a token (no spaces in it, lower case) stands for: as it reads and, where it may hide others, restored."""
+    own, bare = _word.findall(token), token.rstrip(_trailing)
+    return own + model.restore(bare).split() if _hides(bare) else own
 
 
 def restore_text(text: str, model: CharModel) -> str:
@@ -134,9 +136,7 @@ def restore_text(text: str, model: CharModel) -> str:
 
     def meant(m: re.Match) -> str:
         bare = m[0].rstrip(_trailing)
-        if not _suspicious.search(m[0]) or len(bare) < 3 or not any(c.isalpha() for c in bare):
-            return m[0]
-        got = model.restore(bare)
+        got = model.restore(bare) if _hides(bare) else bare
         return m[0] if got == bare else got
 
     return re.sub(r"\S+", meant, low)
