@@ -130,3 +130,16 @@ def test_a_long_document_letter_by_letter(chars):
 def test_doubled_letters_are_decoded(chars, seen, meant):
     assert meant in T.Features(chars, None).of_text(seen)
     assert T.restore_text(seen, chars).rstrip(",") == meant
+
+
+def test_the_character_model_counts_all_allowed_rows(spark):
+    rows = [(i, f"alara q{'xyz'[i % 3]}zz i d i o t m.o.r.o.n 1d1ot " + "w" * 40) for i in range(9000)] + [(9001, "unlabelled"), (None, "nobody")]
+    labels = [(i, i % 2) for i in range(9000)] + [(None, 1), (3, 7)]
+    own = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = T.trigrams({"alara": len(own), "w" * 40: len(own)})
+    for i in own:
+        want.update(T.trigrams({f"q{'xyz'[i % 3]}zz": 1}))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = T.char_model(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    whole = T.CharModel.of_trigrams(want)
+    assert len(own) > 5500 and (got.log, got.new, got.unseen) == (whole.log, whole.new, whole.unseen)

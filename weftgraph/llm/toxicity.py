@@ -8,9 +8,10 @@ the channel's probabilities. Plain tokens are their own restoration.
 
 Score: logistic regression over the presence of restored words and of their beginnings.
 
-Learning uses labelled rows whose crc32(doc_id) mod 3 is not 1, a sample of at most SAMPLE of either label
-(those whose ids hash lowest): the character model from their words, the features and their weights.
-What the driver gets is bounded by SAMPLE, WORDS and FEATURES. Nothing but text enters a score.
+Learning uses labelled rows whose crc32(doc_id) mod 3 is not 1: the character model counts the trigrams of
+all their words; the features and their weights come from a sample of at most SAMPLE of either label (those
+whose ids hash lowest). What the driver gets is bounded by the alphabet's trigrams, SAMPLE and FEATURES.
+Nothing but text enters a score.
 
 Defined results: null and empty texts score the model's bias; without labelled rows of both kinds every
 score is 0; repeated rows score alike; a label outside 0 and 1 is no label; other columns are ignored.
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, held, stored, table
 
-#: Documents of either label to learn from, words that the character model sees, features at most.
-SAMPLE, WORDS, FEATURES = 3000, 50_000, 400
+#: Documents of either label that the regression learns from, features at most.
+SAMPLE, FEATURES = 3000, 400
 THRESHOLD = 0.7
 #: A feature is in this share of the toxic sample at least, and RATIO times as common as in the other.
 LEAST_SHARE, RATIO = 0.004, 8.0
-#: Restorations that a worker keeps.
+#: Restorations that a worker keeps; words, and trigrams, that it counts before it hands their counts on.
 KEEP = 200_000
 #: What a character may stand for, beside itself.
 LEET = {
@@ -54,24 +55,37 @@ _suspicious = re.compile(r"[\W\d_]|(.)\1")
 # no word has five equal letters in a row: more of them say no more than four
 _stretched = re.compile(r"([^\W_])(?:[ .\-_*]*\1){4,}")
 _word = re.compile(r"[^\W_]+")
+# a letter alone is a word only if nothing touches it: i.d.i.o.t has none
+_plain = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])|(?<!\S)[^\W\d_](?!\S)")
 _trailing = "".join(SEPARATORS) + "!?()[]{}<>\"|@$"
 
 
+def trigrams(words: dict[str, int]) -> Counter:
+    three = Counter()
+    for w, n in words.items():
+        w = EDGE + EDGE + w + EDGE
+        for i in range(2, len(w)):
+            three[w[i - 2 : i + 1]] += n
+    return three
+
+
 class CharModel:
     """Trigrams of letters, smoothed; Viterbi over the lattices of obfuscated tokens."""
 
     def __init__(self, words: dict[str, int]):
-        letters = Counter()
-        for w, n in words.items():
-            for c in w:
-                letters[c] += n
-        self.letters = {c for c, _ in letters.most_common(80)}
-        two, three = Counter(), Counter()
-        for w, n in words.items():
-            w = EDGE + EDGE + w + EDGE
-            for i in range(2, len(w)):
-                two[w[i - 2 : i]] += n
-                three[w[i - 2 : i + 1]] += n
+        self._fit(trigrams(words))
+
+    @classmethod
+    def of_trigrams(cls, three: dict[str, int]) -> CharModel:
+        model = cls.__new__(cls)
+        model._fit(three)
+        return model
+
+    def _fit(self, three: dict[str, int]) -> None:
+        self.letters = {k[2] for k in three if k[2] != EDGE}
+        two = Counter()
+        for k, n in three.items():
+            two[k[:2]] += n
         some = len(self.letters) + 1
         self.log = {k: math.log((n + 0.01) / (two[k[:2]] + 0.01 * some)) for k, n in three.items()}
         self.new = {k: math.log(0.01 / (n + 0.01 * some)) for k, n in two.items()}
@@ -177,7 +191,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the documents to learn from."""
-    own = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    own = allowed(labels)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     ids = own.where("toxic = 1").orderBy(*order).limit(SAMPLE).union(own.where("toxic = 0").orderBy(*order).limit(SAMPLE))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
@@ -193,6 +207,41 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return first.select("text", "toxic")
 
 
+def allowed(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labelled rows that may be learnt from."""
+    own = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out())
+    return own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n): letter trigrams of the batches' words, each word once a text."""
+    words, three = Counter(), Counter()
+
+    def out() -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays([pa.array(list(three), pa.string()), pa.array(list(three.values()), pa.int64())], ["gram", "n"])
+        three.clear()
+        return rows
+
+    for b in batches:
+        for text in b.column("text"):
+            words.update(set(_plain.findall(_spaced.sub(" ", (text.as_py() or "").lower()))))
+            if len(words) >= KEEP:
+                three.update(trigrams(words))
+                words.clear()
+            if len(three) >= KEEP:
+                yield out()
+    three.update(trigrams(words))
+    yield out()
+
+
+def char_model(docs: DataFrame, labels: DataFrame) -> CharModel:
+    """From all texts that may be learnt from; a merge join, so that disk grows with the input."""
+    own = docs.select("doc_id", "text").where("doc_id is not null and text is not null").where(~held_out())
+    own = own.join(allowed(labels).select("doc_id").hint("merge"), "doc_id", "left_semi").select("text")
+    rows = own.mapInArrow(_letters, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # the alphabet bounds them
+    return CharModel.of_trigrams({r.gram: r.n for r in rows})
+
+
 def _counted(feature_of):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,9 +291,7 @@ def shift(rows: list[list[int]], toxic: np.ndarray, weights: np.ndarray, bias: f
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     texts = stored(sample(docs, labels), "toxicity-sample")
-    words = texts.mapInArrow(_counted(lambda t: [w for w in {x.lower() for x in _word.findall(t)} if w.isalpha() and len(w) <= 30]), "name string, toxic int")
-    words = words.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(WORDS).collect()
-    chars = CharModel({r.name: r.n for r in words})
+    chars = char_model(docs, labels)
     size = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(size) < 2:
         return Model(chars, [], np.zeros(0), -40.0)
