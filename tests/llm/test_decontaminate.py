@@ -87,3 +87,11 @@ def test_empty_tables_and_filter(spark):
     assert sorted((r.doc_id or 0, r.item_id or "") for r in D.without_leaks(docs, bench).collect()) == [(0, "k"), (2, "")]
     assert D.contaminated(docs, bench.limit(0)).count() == 0
     assert D.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_short_items_are_found(spark):
+    items = [(1, "Paris"), (2, "x"), (3, "forty two"), (4, "12 monkeys"), (5, "the white dog"), (6, "abcdefghijklmno"), (7, " \n")]
+    docs = [(1, "It was  PARIS."), (2, "forty\ntwo 12 monkoys"), (3, "a whte dog and the whte dog"), (4, "abcdefghXjklmno"), (5, "forty tw"), (6, ""), (7, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in D.contaminated(df, bench).collect()}
+    assert got == expected(docs, items, D.EDITS) == {(1, 1, 0), (2, 3, 0), (2, 4, 1), (3, 5, 1), (4, 2, 0), (4, 6, 1)}
