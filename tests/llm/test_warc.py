@@ -75,3 +75,15 @@ def test_damage_is_found():
     for bad in (good.replace(b"WARC/1.1", b"WARC/9.9"), good[:-1], good.replace(b"page 0", b"page 9", 1), good.replace(b"Content-Length: ", b"Content-Length: 1", 1), good.replace(b"WARC-Date: ", b"WARC-Date", 1), good.replace(b"response", b"metadata", 1)):
         with pytest.raises((ValueError, KeyError)):
             W.parse(bad)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 12])
+def test_every_archive_leads_with_a_dictionary(n):
+    recs = archive(n)
+    data = W.pack(recs)
+    assert struct.unpack_from("<I", data)[0] == W.DICTIONARY_FRAME
+    assert [r for _, r in W.records(data)] == recs
+    assert [r for _, r in W.records(data + W.pack(recs[:1]))] == recs + recs[:1]
+    bare = zstandard.ZstdCompressor(level=W.LEVEL, write_checksum=True).compress(recs[0])
+    first = [e - s for m, s, e in W.frames(data) if m == W.ZSTD_MAGIC][0]
+    assert first < len(bare)

@@ -57,17 +57,21 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(lines).encode("ascii") + block + b"\r\n\r\n"
 
 
+def _headers() -> bytes:
+    return record(0, "http://", b"", "", 0) + record(0, "https://www.", b"", "", None)
+
+
 def pack(records: list[bytes]) -> bytes:
-    """An archive. Where too little is there to learn a dictionary from, it has none."""
+    """An archive. Where too little is there to learn a dictionary from, its dictionary is the common headers."""
     try:
         learnt = zstandard.train_dictionary(DICTIONARY_BYTES, records[:SAMPLES], level=LEVEL) if len(records) >= 8 else None
     except zstandard.ZstdError:
         learnt = None
+    if learnt is None:
+        learnt = zstandard.ZstdCompressionDict(_headers(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=learnt, write_checksum=True, write_content_size=True)
-    head = b""
-    if learnt is not None:
-        body = zstandard.ZstdCompressor(level=LEVEL).compress(learnt.as_bytes())
-        head = struct.pack("<II", DICTIONARY_FRAME, len(body)) + body
+    body = zstandard.ZstdCompressor(level=LEVEL).compress(learnt.as_bytes())
+    head = struct.pack("<II", DICTIONARY_FRAME, len(body)) + body
     return head + b"".join(map(packer.compress, records))
 
 
@@ -104,10 +108,10 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int]]:
 
 
 def records(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(byte at which it starts, record) of an archive."""
-    reader, first = zstandard.ZstdDecompressor(), True
+    """(byte at which it starts, record) of an archive, or of several one after the other, each with its dictionary."""
+    reader = zstandard.ZstdDecompressor()
     for magic, at, end in frames(data):
-        if magic == DICTIONARY_FRAME and first:
+        if magic == DICTIONARY_FRAME:
             body = data[at + 8 : end]
             if body[:4] == struct.pack("<I", ZSTD_MAGIC):
                 body = zstandard.ZstdDecompressor().decompress(body)
@@ -117,7 +121,6 @@ def records(data: bytes) -> Iterator[tuple[int, bytes]]:
                 yield at, reader.decompress(data[at:end])
             except zstandard.ZstdError as e:
                 raise ValueError(f"byte {at}: frame can't be decoded: {e}") from e
-        first = False
 
 
 def _fields(lines: list[bytes], what: str) -> dict[str, str]:
