@@ -1,7 +1,10 @@
 """Rabin-Karp hashing in numpy: words, fixed-length windows, and runs of windows that share a minimum.
 
-All arithmetic is modulo 2**64. A polynomial with an odd base can be shifted by the base's inverse,
-so every window hash is two prefix sums and a product. Values are mixed afterwards.
+Fingerprints are polynomials modulo the prime 2**61 - 1 at a base that was drawn at random: two different
+strings of n symbols meet for at most n of all bases, however they are made. (Modulo 2**64 this doesn't
+hold: there the Thue-Morse string of 1,024 symbols meets its complement at every odd base.) A polynomial
+can be shifted by the base's inverse, so every window's fingerprint is two prefix sums and a product.
+Fingerprints are mixed to 64 bits afterwards.
 
 A window of L symbols is keyed by the least hash of the k-grams inside it. Equal windows have equal
 keys wherever they stand, and neighbouring windows mostly share a key, so one row can speak for a
@@ -14,23 +17,62 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-BASE = 0xD6E8FEB86659FD93
-INVERSE = pow(BASE, -1, 1 << 64)
+PRIME = (1 << 61) - 1
+BASE = 0x1A7C90E4D3B5F62B
+INVERSE = pow(BASE, -1, PRIME)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Windows one run holds at most; longer runs are split, counted from their own start.
 RUN_MOST = 1 << 19
+_P, _LOW, _MIDDLE = U(PRIME), U((1 << 31) - 1), U((1 << 30) - 1)
+_PIECE = 1 << 14
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
+def fold(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1, for any 64-bit x."""
+    over = x >> U(61)
+    over += x & _P
+    np.subtract(over, _P, out=over, where=over >= _P)
+    return over
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a1, a0, b1, b0 = a >> U(31), a & _LOW, b >> U(31), b & _LOW
+    middle = a1 * b0
+    b0 *= a0
+    a0 *= b1
+    middle += a0
+    a1 *= b1
+    a1 += a1
+    a1 += b0
+    a1 += middle >> U(30)
+    middle &= _MIDDLE
+    middle <<= U(31)
+    a1 += middle
+    return fold(a1)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, for factors below it: halves of 31 bits, as 2**61 is 1. Works in pieces
+    that stay in the processor's cache."""
+    if len(a) <= _PIECE:
+        return _times(a, b)
+    out = np.empty(len(a), U)
+    for i in range(0, len(a), _PIECE):
+        out[i : i + _PIECE] = _times(a[i : i + _PIECE], b[i : i + _PIECE])
+    return out
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i up to n."""
     if len(_powers[0]) <= n:
         size = max(n + 1, 1 << 16)
         for k, base in enumerate((BASE, INVERSE)):
-            p = np.full(size, base, U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
+            p = np.ones(1, U)
+            while len(p) < size:
+                p = np.concatenate([p, times(p, np.full(len(p), pow(base, len(p), PRIME), U))])
+            _powers[k] = p[:size]
     return _powers[0], _powers[1]
 
 
@@ -45,20 +87,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Sums:
-    """Prefix sums of symbol * BASE**i, from which any range's polynomial follows."""
+    """Prefix sums of symbol * BASE**i modulo 2**61 - 1, from which any range's polynomial follows.
+    Symbols are below 2**61; 0 isn't one, so that no string is another's with zeros added."""
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
-        pw, _ = powers(n)
+        shift = powers(n)[0]
         self.c = np.zeros(n + 1, U)
-        np.cumsum(symbols * pw[:n], out=self.c[1:])
+        for i in range(0, n, _PIECE):
+            e = min(i + _PIECE, n)
+            terms = _times(symbols[i:e], shift[i:e])
+            high = np.cumsum(terms >> U(32))
+            terms &= U(0xFFFFFFFF)
+            low = np.cumsum(terms)
+            low += high >> U(29)
+            high &= U((1 << 29) - 1)
+            high <<= U(32)
+            low += high
+            low += self.c[i]
+            self.c[i + 1 : e + 1] = fold(low)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.c[end] - self.c[start]) * powers(len(self.c))[1][start]
+        return times(fold(self.c[end] + (_P - self.c[start])), powers(len(self.c))[1][start])
 
     def grams(self, k: int) -> np.ndarray:
+        """Mixed hashes of all k neighbours."""
         n = len(self.c) - k
-        return mix((self.c[k:] - self.c[:n]) * powers(len(self.c))[1][:n]) if n > 0 else np.zeros(0, U)
+        out = np.zeros(max(n, 0), U)
+        shift = powers(len(self.c))[1]
+        for i in range(0, n, _PIECE):
+            e = min(i + _PIECE, n)
+            out[i:e] = mix(_times(fold(self.c[i + k : e + k] + (_P - self.c[i:e])), shift[i:e]))
+        return out
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,9 +140,10 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A symbol for each word, below 2**61 and not 0."""
     if not len(starts):
         return np.zeros(0, U)
-    return mix(Sums(data.astype(U) + U(1)).ranges(starts, ends) + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
+    return np.maximum(mix(Sums(data.astype(U) + U(1)).ranges(starts, ends)) >> U(3), U(1))
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -136,7 +197,7 @@ def runs(symbols: np.ndarray, first: np.ndarray, size: int, gram: int, several:
         head, left = np.repeat(head, parts) + k * RUN_MOST, np.repeat(n, parts) - k * RUN_MOST
         n = np.minimum(left, RUN_MOST)
     start = at[head]
-    whole = mix(sums.ranges(start, start + n + size - 1) + n.astype(U) * U(0x9E3779B97F4A7C15))
+    whole = mix(sums.ranges(start, start + n + size - 1))
     out = least[head], whole, doc[head], start - first[doc[head]], n
     return (*out, _several(grams, every, size - gram + 1, least[head], start, n)) if several else out
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import rolling as R
 from .common import longs, stored, table, text_slices
-from .substring_dedup import _pack, covered, spans_of
+from .substring_dedup import SHIFT, WINDOWS, covered, pack, spans_of
 
 SIZE, GRAM = 200, 32
 BUCKET_BYTES, SHARD_BYTES, HOT_BYTES = 1 << 20, 1 << 17, 1 << 22
@@ -123,16 +123,14 @@ def _emit_runs(size: int, gram: int):
             for at, _, data, offs in text_slices(b, "text"):
                 key, whole, doc, start, n, several = R.runs(_symbols(data), offs, size, gram, True)
                 doc = doc + at
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(docs[doc]), pa.array(_pack(start, n, tags[doc])), pa.array(several)], ["key", "run", "doc", "span", "several"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(docs[doc]), pa.array(tags[doc]), pa.array(pack(start, n)), pa.array(several)], ["key", "run", "doc", "tag", "span", "several"])
 
     return go
 
 
-def _asked(b: pa.RecordBatch, i: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
+def _asked(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     want = b.column(b.schema.get_field_index("asked"))[i].values
-    spans, keys = want.field("span").to_numpy(), want.field("key").to_numpy()
-    mine = ((spans >> 20) & 0xFFFF) == tag
-    return spans[mine], keys[mine]
+    return want.field("span").to_numpy(), want.field("key").to_numpy()
 
 
 def _emit_texts(size: int):
@@ -142,14 +140,14 @@ def _emit_texts(size: int):
         for b in batches:
             docs, tags = longs(b, "doc"), longs(b, "tag")
             for at, rows, data, offs in text_slices(b, "text"):
-                raw, out = data.tobytes(), ([], [], [], [])
+                raw, out = data.tobytes(), ([], [], [], [], [])
                 for i in range(rows):
-                    spans, keys = _asked(b, at + i, tags[at + i])
+                    spans, keys = _asked(b, at + i)
                     for span, key in zip(spans.tolist(), keys.tolist()):
-                        s = int(offs[i]) + (span >> 36)
-                        for x, v in zip(out, (key, docs[at + i], span, raw[s : s + (span & 0xFFFFF) + size - 1])):
+                        s = int(offs[i]) + (span >> SHIFT)
+                        for x, v in zip(out, (key, docs[at + i], tags[at + i], span, raw[s : s + (span & WINDOWS) + size - 1])):
                             x.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "doc", "span", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "doc", "tag", "span", "bytes"])
 
     return go
 
@@ -163,12 +161,12 @@ def _emit_windows(size: int):
             for at, rows, data, offs in text_slices(b, "text"):
                 hashes = R.window_hashes(_symbols(data), size)
                 for i in range(rows):
-                    spans, keys = _asked(b, at + i, tags[at + i])
-                    n, s = spans & 0xFFFFF, spans >> 36
+                    spans, keys = _asked(b, at + i)
+                    n, s = spans & WINDOWS, spans >> SHIFT
                     total = int(n.sum())
                     if total:
                         pos = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(total)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, n)), pa.array(hashes[offs[i] + pos].view(np.int64)), pa.array(np.full(total, docs[at + i])), pa.array(_pack(pos, np.ones(total, np.int64), np.full(total, tags[at + i])))], ["key", "window", "doc", "span"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, n)), pa.array(hashes[offs[i] + pos].view(np.int64)), pa.array(np.full(total, docs[at + i])), pa.array(np.full(total, tags[at + i])), pa.array(pack(pos, np.ones(total, np.int64)))], ["key", "window", "doc", "tag", "span"])
 
     return go
 
@@ -177,7 +175,7 @@ def _merge(size: int):
     """Spans of the repeats in one bucket."""
 
     def go(rows: pa.Table) -> pa.Table:
-        docs, spans = rows["doc"].to_numpy(), rows["span"].to_numpy()
+        docs, tags, spans = (rows[c].to_numpy() for c in ("doc", "tag", "span"))
         run, offset = repeated(rows["bytes"].to_pylist(), size)
         order = np.lexsort((offset, run))
         run, offset = run[order], offset[order]
@@ -185,51 +183,53 @@ def _merge(size: int):
         new[1:] = (run[1:] != run[:-1]) | (offset[1:] != offset[:-1] + 1)
         head = np.flatnonzero(new)
         n, own = np.diff(np.append(head, len(run))), run[head]
-        found = _pack((spans[own] >> 36) + offset[head], n, (spans[own] >> 20) & 0xFFFF)
-        return pa.table({"doc": pa.array(docs[own], pa.int64()), "span": pa.array(found, pa.int64())})
+        found = pack((spans[own] >> SHIFT) + offset[head], n)
+        return pa.table({"doc": pa.array(docs[own], pa.int64()), "tag": pa.array(tags[own], pa.int64()), "span": pa.array(found, pa.int64())})
 
     return go
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(doc, spans) of docs (doc, tag, text): which windows start anywhere else."""
+    """(doc, tag, spans) of docs (doc, tag, text): which windows start anywhere else."""
     own = docs.where("text is not null")
-    runs = own.mapInArrow(_emit_runs(size, gram), "key long, run long, doc long, span long, several boolean")
+    runs = own.mapInArrow(_emit_runs(size, gram), "key long, run long, doc long, tag long, span long, several boolean")
     keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("r0"), F.max("run").alias("r1"), F.max("several").alias("inside")).where("n > 1 or inside")
     keys = stored(keys.select("key", F.expr("n > 1 and r0 = r1").alias("pure")), "suffix-keys")
     shared = stored(runs.drop("several").join(keys, "key"), "suffix-runs")
     mixed = shared.where("not pure")
-    kinds = mixed.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "span")).alias("first"))
-    kinds = stored(kinds.select("key", "run", "n", "first.doc", "first.span"), "suffix-kinds")
+    kinds = mixed.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tag", "span")).alias("first"))
+    kinds = stored(kinds.select("key", "run", "n", "first.doc", "first.tag", "first.span"), "suffix-kinds")
     copies = kinds.where("n > 1").select("key", "run")
-    found = shared.where("pure").select("doc", "span").union(mixed.join(copies, ["key", "run"]).select("doc", "span"))
+    own_span = ["doc", "tag", "span"]
+    found = shared.where("pure").select(*own_span).union(mixed.join(copies, ["key", "run"]).select(*own_span))
 
-    length = F.col("span").bitwiseAND(F.lit(0xFFFFF)) + (size - 1)
+    length = F.col("span").bitwiseAND(F.lit(WINDOWS)) + (size - 1)
     of_key = kinds.groupBy("key").agg(F.sum(length).alias("bytes"))
     total = of_key.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     hot = stored(of_key.where(F.col("bytes") > hot_bytes).select("key"), "suffix-hot")
     some_hot = bool(hot.head(1))
     buckets = max(1, int(total) // bucket_bytes)
     calm = kinds.join(hot, "key", "left_anti") if some_hot else kinds
-    asked = lambda rows: rows.groupBy("doc").agg(F.collect_list(F.struct("key", "span")).alias("asked"))
-    texts = own.join(asked(calm), "doc").mapInArrow(_emit_texts(size), "key long, doc long, span long, bytes binary")
+    asked = lambda rows: rows.groupBy("doc", "tag").agg(F.collect_set(F.struct("key", "span")).alias("asked"))
+    once = own.dropDuplicates(["doc", "tag"])
+    texts = once.join(asked(calm), ["doc", "tag"]).mapInArrow(_emit_texts(size), "key long, doc long, tag long, span long, bytes binary")
     texts = texts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    found = found.union(stored(texts.groupBy("bucket").applyInArrow(_merge(size), "doc long, span long"), "suffix-merged"))
+    found = found.union(stored(texts.groupBy("bucket").applyInArrow(_merge(size), "doc long, tag long, span long"), "suffix-merged"))
     if some_hot:
-        windows = stored(own.join(asked(kinds.join(hot, "key", "left_semi")), "doc").mapInArrow(_emit_windows(size), "key long, window long, doc long, span long"), "suffix-windows")
+        windows = stored(once.join(asked(kinds.join(hot, "key", "left_semi")), ["doc", "tag"]).mapInArrow(_emit_windows(size), "key long, window long, doc long, tag long, span long"), "suffix-windows")
         twice = stored(windows.groupBy("key", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "window"), "suffix-twice")
-        found = found.union(windows.join(twice, ["key", "window"]).select("doc", "span"))
-    return found.groupBy("doc").agg(F.collect_list("span").alias("spans"))
+        found = found.union(windows.join(twice, ["key", "window"]).select(*own_span))
+    return found.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans"))
 
 
 def _cut(size: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tags, out = longs(b, "tag"), []
+            out = []
             for at, rows, data, offs in text_slices(b, "text"):
                 for i in range(rows):
                     own = data[offs[i] : offs[i + 1]]
-                    gone = covered(len(own), spans_of(b, at + i, tags[at + i]), size)
+                    gone = covered(len(own), spans_of(b, at + i), size)
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                     out.append((len(own), int(gone.sum()), len(edges) // 2, list(zip(edges[0::2].tolist(), edges[1::2].tolist())), hashlib.sha256(own[~gone].tobytes()).hexdigest()))
             spans = pa.array([[{"start": s, "end": e} for s, e in x[3]] for x in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
@@ -241,10 +241,10 @@ def _cut(size: int):
 
 def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, removed (byte intervals), kept_sha256."""
-    # rows are known by a hash of id and text, and a tag: equal rows have equal spans
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc"), (F.crc32(F.col("text").cast("binary")) % 65536).alias("tag"))
+    # rows are known by two hashes of id and text: equal rows have equal spans
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc"), F.xxhash64("text", "doc_id").alias("tag"))
     spans = repeated_spans(rows.select("doc", "tag", "text"), size, gram, bucket_bytes, hot_bytes)
-    return rows.join(spans, "doc", "left").select("doc_id", "text", "tag", "spans").mapInArrow(_cut(size), "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept_sha256 string")
+    return rows.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(size), "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept_sha256 string")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
