@@ -14,8 +14,7 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _pull(pairs: DataFrame) -> DataFrame:
     """Each a's neighbours b, beside the least of them and a itself."""
-    least = stored(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "components-least")
-    return pairs.join(least, "a")
+    return pairs.join(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "a")
 
 
 def _is_star(edges: DataFrame) -> bool:

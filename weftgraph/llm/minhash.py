@@ -5,20 +5,28 @@
    2048-bit parity bitmap, the odd sketch. The population count of two sketches' XOR tells how many samples
    differ; for sets up to some hundred shingles that is nearly the sets' difference itself.
 2. Documents with equal sets are one class, for which the smallest doc_id stands.
-3. First round: in each band bucket every class points at the bucket's smallest. A class keeps the
-   pointer whose sketches agree best (population count of the XOR), and that one link is confirmed on
-   the full sets. Connected components follow.
-4. Only buckets that hold several components are looked at again. While many classes gain a link, every such bucket takes turns of a few random hubs, and each class of another component
-   has its best hub confirmed: rows stay linear in the buckets.
-5. Last round: all pairs across components that sizes and sketches allow to reach 0.75 are joined and
-   confirmed on the full sets. Pairs inside a component can't change the result, so all links count.
+3. Turns. In each band bucket that holds several classes, all point at one hub, the class that meets most
+   others in all its buckets: of a text and its edited copies that is the text. A class keeps the hub that it
+   shares most bands with; if sketches allow that pair 0.75, it is confirmed on the full sets. Components
+   follow. Buckets that hold several components stay open. While they ask for many comparisons and the last
+   turn linked a good share of what it tried, another turn follows, where classes outside the hub's component
+   point at the one among them that meets most others.
+4. Last round, which alone decides what is whole: classes of open buckets are compared across components.
+   Two sets at 0.75 share one of the rarest quarter of either's shingles (counted over the classes of open
+   buckets), so only rows of these are joined, where component, size and place in the order allow 0.75. A
+   boilerplate passage in unrelated texts is never among the rarest, so it makes no pairs. What sketches
+   allow is confirmed on the full sets. Of two rows one is outside the shingle's main component, and a
+   frequent shingle's rows outside it are salted over many tasks, so no task takes all pairs of a group.
+   Pairs inside a component can't change the result, so all links between components count.
 
 A pair at similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 < 6e-6; the sketches' bound lies
-SIGMAS deviations (estimated from above) beyond what 0.75 gives, which loses less than one such pair in 50,000. There are no caps; a bucket of one component,
-however large, costs one row a member.
+SIGMAS deviations (estimated from above) beyond what 0.75 gives, which loses less than one such pair in
+50,000. Both bounds hold however full buckets are, as there are no caps. Shingles are compared by 61-bit
+fingerprints modulo a prime, mixed to 64 bits, and classes by two such sums and the set's size.
 
 Defined results: null or blank text has an empty set, is linked with nothing and kept; rows with one
-doc_id are one document, linked if any of them is; a null doc_id is a component of its own (null), kept.
+doc_id are one document, linked if any of them is; a null doc_id is a component of its own (null), kept;
+a text of any length is one row of a batch, in some 100 bytes of memory a byte; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import stored, table, text_slices
+from .common import longs, stored, table, text_slices
 from .components import components
 
 SHINGLE = 5
@@ -49,9 +57,11 @@ _A = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * U(2) + U(1)
 _B = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 #: Standard deviations by which a pair's sketches may lie above what a similarity of 0.75 gives.
 SIGMAS = 4
-#: In a turn every open bucket has HUBS random hubs; turns go on, HUB_TURNS at most, while at least one row
-#: in FEW_FOUND gains a link. They only save the last round work: it is whole in any case.
-HUBS, FEW_FOUND, HUB_TURNS = 4, 2000, 3
+#: Another turn follows while open buckets ask for more than so many comparisons a row, and the last turn
+#: linked one in LINKED of the pairs it tried. Turns only save the last round work: it is whole in any case.
+COMPARISONS, LINKED = 64, 8
+#: Comparisons by one shingle that a task gets at most; beyond, its rows are dealt to several.
+SHARE = 1 << 22
 #: At most so many pairs have their ids broadcast (16 MB) to pick texts before the shuffle; beyond, all are shuffled.
 FEW_PAIRS = 1_000_000
 
@@ -160,6 +170,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     if pairs.count() <= FEW_PAIRS:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "text"])
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return both.mapInArrow(_confirm, "a long, b long")
 
@@ -191,13 +202,64 @@ def _may_link() -> Column:
     return sizes & (_bits() <= F.least(most, odd))
 
 
-def _first_common_band() -> Column:
-    """Number of the first band in which both sides have the same (shortened) key."""
-    same = lambda i: F.col("short")[i] == F.col("short_b")[i]
-    out = F.when(same(0), 0)
-    for i in range(1, BANDS):
-        out = out.when(same(i), i)
-    return out
+def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every shingle: the class's id, its text's tag, the set's size, the shingle."""
+    for b in batches:
+        ids, tags = longs(b, "a"), longs(b, "tag")
+        for at, _, data, offs in text_slices(b, "text"):
+            sets, edges = shingle_sets(data, offs)
+            n = np.diff(edges)
+            doc = np.repeat(np.arange(len(n)), n) + at
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(tags[doc]), pa.array(np.repeat(n, n)), pa.array(sets.view(np.int64))], ["a", "tag", "n", "shingle"])
+
+
+def _linked_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that sizes and sketches let be similar enough."""
+    sketch = classes.select("a", *SKETCH)
+    other = classes.select(F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in SKETCH])
+    return pairs.join(sketch, "a").join(other, "b").where(_may_link()).select("a", "b").distinct()
+
+
+def _across(docs: DataFrame, classes: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components, of the classes open_ (a, group), that sketches let be similar."""
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("a"), F.xxhash64("text").alias("tag"), "text")
+    texts = texts.join(open_.select("a"), "a", "left_semi").dropDuplicates(["a", "tag"])
+    every = stored(texts.mapInArrow(_emit_sets, "a long, tag long, n long, shingle long"), "minhash-shingles")
+    often = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # the order within a set: frequency, then the shingle itself; those that stand once come first, and match none
+    seat = Window.partitionBy("a", "tag", "n").orderBy("f", "shingle")
+    rows = every.join(often, "shingle").withColumn("from_end", F.count(F.lit(1)).over(Window.partitionBy("a", "tag", "n")) - F.row_number().over(seat))
+    need = F.ceil(F.col("n") * F.lit(PERCENT) / F.lit(100))
+    rare = rows.where(F.col("from_end") >= need - 1).join(open_, "a").select("shingle", "a", "n", "from_end", "group").distinct()
+    rare = stored(rare, "minhash-rare")
+    main = rare.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle")
+    main = main.agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    parts = (F.lit(1) + (F.col("all") - F.col("most.n")) * F.col("all") / F.lit(SHARE)).cast("int")
+    main = stored(main.select("shingle", F.col("most.group").alias("main"), parts.alias("parts")), "minhash-main")
+    left = rare.join(main, "shingle").where("group <> main").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    right = rare.join(main, "shingle").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.select("shingle", "part", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("from_end").alias("from_end_b"), F.col("group").alias("group_b"))
+    small, large = F.least("n", "n_b"), F.greatest("n", "n_b")
+    # of what comes from this place on, both sets must hold what 0.75 needs
+    rest = F.least("from_end", "from_end_b") + 1
+    may = (F.col("group") != F.col("group_b")) & ((F.col("group_b") == F.col("main")) | (F.col("a") < F.col("b")))
+    may = may & (100 * small >= PERCENT * large) & ((100 + PERCENT) * rest >= PERCENT * (small + large))
+    both = left.alias("x").join(right.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") == F.col("y.part")) & may)
+    return _linked_sketches(both.select("a", "b").distinct(), classes)
+
+
+def _state(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """rows (a, met, buckets, group) with each group's component by groups (id, group)."""
+    if groups is not None:
+        rows = rows.join(groups.toDF("group", "into"), "group", "left").select("a", "met", "buckets", F.coalesce("into", "group").alias("group"))
+    return stored(rows, "minhash-state")
+
+
+def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
+    """state after links (a, b), whose components are sought among the groups they join only."""
+    group = state.select("a", "group")
+    ends = links.join(group.toDF("a", "x"), "a").join(group.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b")
+    return _state(state, components(ends))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -208,52 +270,39 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     key = ["set1", "set2", "n_shingles"]
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("a"), F.min_by(F.struct("bands", "sketch", "filled"), "doc_id").alias("of"))
     classes = stored(classes.select(*key, "a", "of.bands", "of.sketch", "of.filled"), "minhash-classes")
-    member = stored(full.select("doc_id", *key).join(classes.select(*key, F.col("a").alias("class_id")), key).select("doc_id", "class_id"), "minhash-members")
-    buckets = classes.select("a", F.posexplode("bands").alias("band", "bucket"))
-    least = stored(buckets.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b < z").select("bucket", "b"), "minhash-buckets")
-    sketch = classes.select("a", *SKETCH)
-    other = classes.select(F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in SKETCH])
-    several = stored(buckets.join(least, "bucket").select("bucket", "band", "a", "b"), "minhash-several")
-
-    def best(pairs: DataFrame) -> DataFrame:
-        """Of each a, the b whose sketch is closest for its size."""
-        both = pairs.where("a <> b").distinct().join(sketch, "a").join(other, "b").where(_may_link())
-        both = both.select("a", "b", (_bits() / (F.col("filled") + F.col("filled_b"))).alias("apart"))
-        return stored(both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "minhash-best")
-
+    member = stored(full.select("doc_id", *key).join(classes.select(*key, F.col("a").alias("class_id")), key).select("doc_id", "class_id").distinct(), "minhash-members")
     owner = member.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("z")).where("b < z")
-    same = member.join(stored(owner, "minhash-owners"), "doc_id").where("class_id > b").select(F.col("class_id").alias("a"), "b")
-    # rows with one doc_id are linked as well
-    links = stored(confirmed(docs, best(several.select("a", "b"))).union(same).distinct(), "minhash-links")
-    groups = components(links)
-    for turn in range(HUB_TURNS + 1):
-        inside = several.join(groups.toDF("a", "group"), "a", "left").select("bucket", "band", "a", F.coalesce("group", "a").alias("group"))
-        inside = stored(inside, "minhash-inside")
-        hubs = [F.min_by(F.struct("a", "group"), F.xxhash64("a", F.lit(turn), F.lit(i))) for i in range(HUBS)]
-        open_ = inside.groupBy("bucket").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.array(*hubs).alias("hubs"))
-        open_ = stored(open_.where("g0 < g1").select("bucket", "hubs"), "minhash-open")
-        if turn == HUB_TURNS:
-            break
-        tried = inside.join(open_, "bucket").select("a", "group", F.explode("hubs").alias("hub")).where("group <> hub.group")
-        new = stored(confirmed(docs, best(tried.select("a", F.col("hub.a").alias("b")))), "minhash-links")
-        links, found = links.union(new), new.count()
-        groups = components(links) if found else groups
-        if found * FEW_FOUND < several.count():
-            open_ = open_.select("bucket")
-            if found:
-                inside = several.join(groups.toDF("a", "group"), "a", "left").select("bucket", "band", "a", F.coalesce("group", "a").alias("group"))
-            break
-    short = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("short")
-    rest = stored(inside.join(open_.select("bucket"), "bucket").join(classes.select("a", *SKETCH, short), "a"), "minhash-rest")
-    right = rest.select("bucket", F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("group", "short", *SKETCH)])
-    # one condition with the key, so that pairs are dropped inside the join; a pair passes in its first bucket
-    may = (F.col("group") < F.col("group_b")) & _may_link() & (_first_common_band() == F.col("band"))
-    pairs = rest.alias("x").join(right.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & may).select("a", "b").distinct()
-    new = stored(confirmed(docs, stored(pairs, "minhash-pairs")), "minhash-links")
-    if new.head(1):
-        groups = components(links.union(new))
-    ids = member.join(groups.toDF("class_id", "group"), "class_id", "left").groupBy("doc_id").agg(F.min(F.coalesce("group", "class_id")).alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(stored(ids, "minhash-ids"), "doc_id", "left")
+    same = member.join(owner, "doc_id").where("class_id > b").select(F.col("class_id").alias("a"), "b")  # rows with one doc_id are linked
+
+    buckets = classes.select("a", F.explode("bands").alias("bucket"))
+    crowd = buckets.groupBy("bucket").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    # a class's buckets that hold others, a few dozen at most, in one row
+    met = buckets.join(crowd, "bucket").groupBy("a").agg(F.sum("others").alias("met"), F.collect_set("bucket").alias("buckets"))
+    state = _state(classes.select("a").distinct().join(met, "a", "left").withColumn("group", F.col("a")), None)
+    turn, before = 0, None
+    while True:
+        rows = state.select("a", "met", "group", F.explode("buckets").alias("bucket"))
+        if turn:  # those outside the largest component of their bucket
+            sizes = rows.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+            main = sizes.agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+            main = stored(main.select("bucket", F.col("most.group").alias("main"), ((F.col("all") - F.col("most.n")) * F.col("all")).alias("work")), "minhash-open")
+            work, size = main.agg(F.sum("work")).first()[0] or 0, rows.count()
+            if work <= COMPARISONS * size or before is not None and work * LINKED > before * (LINKED - 1):
+                break
+            before = work
+            rows = rows.join(main, "bucket").where("group <> main").select("a", "met", "group", "bucket")
+        rank = F.xxhash64("a", F.lit(turn)) if turn else F.col("met")
+        hubs = rows.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), (-F.col("a")).alias("less"), "group")).alias("hub"))
+        tried = rows.join(hubs, "bucket").where("group <> hub.group").groupBy("a", (-F.col("hub.less")).alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        tried = tried.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("less"))).alias("best")).select("a", (-F.col("best.less")).alias("b"))
+        found = confirmed(docs, stored(_linked_sketches(tried, classes), "minhash-pairs"))
+        state, turn = _merged(state, stored(found if turn else found.union(same), "minhash-links")), turn + 1
+    open_ = rows.join(main, "bucket").select("a", "group").distinct()
+    found = stored(confirmed(docs, stored(_across(docs, classes, open_), "minhash-pairs")), "minhash-links")
+    if found.head(1):
+        state = _merged(state, found)
+    ids = member.join(state.select(F.col("a").alias("class_id"), "group"), "class_id").groupBy("doc_id").agg(F.min("group").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles").join(ids, "doc_id", "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
