@@ -87,3 +87,34 @@ def test_every_archive_leads_with_a_dictionary(n):
     bare = zstandard.ZstdCompressor(level=W.LEVEL, write_checksum=True).compress(recs[0])
     first = [e - s for m, s, e in W.frames(data) if m == W.ZSTD_MAGIC][0]
     assert first < len(bare)
+
+
+def foreign(kind, block, **fields):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:12345678-1234-1234-1234-123456789abc>", "WARC-Date: 2020-01-01T00:00:00Z"]
+    lines += [f"{k.replace('_', '-')}: {v}" for k, v in fields.items()] + [f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+
+def test_foreign_archives(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\nX-Odd\r\n\r\n"
+    recs = [
+        foreign("warcinfo", b"software: any\r\n", Content_Type="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", Content_Type="application/http;msgtype=request", WARC_Target_URI="http://h/"),
+        foreign("response", http + b"hello", Content_Type="application/http;msgtype=response", WARC_Target_URI="http://h/"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 99\r\n\r\nhello", Content_Type="application/http", WARC_Payload_Digest="sha1:ANY"),
+        foreign("revisit", http, Content_Type="application/http", WARC_Profile="http://netpreserve.org/warc/1.0/revisit/server-not-modified", WARC_Refers_To="<urn:uuid:1>"),
+        foreign("resource", b"\0\1", WARC_Payload_Digest="sha256:" + hashlib.sha256(b"\0\1").hexdigest()),
+    ]
+    packer, body = zstandard.ZstdCompressor(level=3), b""
+    for r in recs:
+        stream = packer.compressobj()  # no content size in the frame
+        body += stream.compress(r) + stream.flush()
+    (tmp_path / "f.warc.zst").write_bytes(body)
+    got = W.read_files(spark, str(tmp_path / "f.warc.zst")).collect()
+    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "response", "revisit", "resource"]
+    assert [r.payload_bytes for r in got] == [15, 27, 5, 5, 0, 2] and {r.page_id for r in got} == {None}
+    assert got[2].payload_digest == base64.b32encode(hashlib.sha1(b"hello").digest()).decode() and got[3].payload_digest == "ANY"
+    assert got[4].refers_to_id == "<urn:uuid:1>" and got[0].record_id.startswith("<urn:uuid:")
+    for bad in (foreign("resource", b"x", WARC_Payload_Digest="sha1:WRONG"), recs[2].replace(b"Content-Length: ", b"Content-Length: -"), recs[0].replace(b"WARC-Date", b"WARC-Data")):
+        with pytest.raises(ValueError):
+            W.parse(bad)

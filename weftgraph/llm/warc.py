@@ -5,6 +5,7 @@ adaptive execution splits where one payload is very common); earlier pages becom
 task packs its rows into archives of bounded size. Reading walks the frames by their block headers,
 decodes each with the dictionary, and checks version line, header lines, Content-Length, the record's
 end, the HTTP lengths and the payload digest. A record that fails raises ValueError with its place.
+Foreign archives are read too: frames without content size, any record type and id, no digests.
 
 Archives are rows (name, content) of a Parquet table in the shared folder, as Spark has no writer for
 plain binary files; read_files() reads .warc.zst files from any store that Spark's binaryFile opens.
@@ -42,7 +43,8 @@ REVISIT_FROM = 0
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 
-SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: page_id and refers_to are those of our own ids; record_id and refers_to_id are what stands in the archive.
+SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -118,9 +120,13 @@ def records(data: bytes) -> Iterator[tuple[int, bytes]]:
             reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body))
         elif magic == ZSTD_MAGIC:
             try:
-                yield at, reader.decompress(data[at:end])
+                stream = reader.decompressobj()  # streaming writers leave the content size out
+                raw = stream.decompress(data[at:end])
             except zstandard.ZstdError as e:
                 raise ValueError(f"byte {at}: frame can't be decoded: {e}") from e
+            if not stream.eof:
+                raise ValueError(f"byte {at}: frame has no end")
+            yield at, raw
 
 
 def _fields(lines: list[bytes], what: str) -> dict[str, str]:
@@ -133,44 +139,68 @@ def _fields(lines: list[bytes], what: str) -> dict[str, str]:
     return out
 
 
-def _page(uri: str) -> int | None:
-    if not uri.startswith("<urn:page:") or not uri.endswith(">"):
-        raise ValueError(f"unknown record id {uri[:80]}")
-    return None if uri[10:-1] == "none" else int(uri[10:-1])
+def _page(uri: str | None) -> int | None:
+    """The page of one of our own ids, null for any other."""
+    number = (uri or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if uri == f"<urn:page:{number}>" and number.lstrip("-").isdigit() else None
+
+
+def _check_digest(given: str, payload: bytes) -> str:
+    """The digest without its label, after checking those of known kinds."""
+    kind, colon, value = given.rpartition(":")
+    if not colon or kind in ("sha1", "sha256", "md5"):
+        own = hashlib.new(kind or "sha1", payload).digest()
+        if value not in (base64.b32encode(own).decode(), own.hex()):
+            raise ValueError("payload digest differs")
+    return value
+
+
+def _http(block: bytes, kind: str) -> tuple[dict[str, str], bytes]:
+    """Header fields and body of an HTTP message. Servers' own header lines are taken as they are."""
+    top, gap, payload = block.partition(b"\r\n\r\n")
+    status, *lines = top.split(b"\r\n")
+    if not gap or not status.startswith(b"HTTP/"):
+        raise ValueError(f"no HTTP response in the {kind} record")
+    pairs = (x.decode("latin-1").partition(":") for x in lines)
+    return {name.strip().lower(): value.strip() for name, colon, value in pairs if colon}, payload
 
 
 def parse(raw: bytes) -> tuple[tuple, bytes | None]:
-    """A record's row in SCHEMA and its payload (None for a revisit), after checking it."""
+    """A record's row in SCHEMA and its payload (None for a revisit), after checking version, header lines and
+    lengths. Responses and revisits of HTTP have the message's body as payload, all other records their block.
+    Ids may be any; a digest that isn't given is computed."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
     version, *lines = head.split(b"\r\n")
     if not gap or version not in (b"WARC/1.0", b"WARC/1.1"):
         raise ValueError(f"no WARC record: {version[:40]!r}")
     f = _fields(lines, "record")
-    for name in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"):
+    for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in f:
             raise ValueError(f"record lacks {name}")
+    if not f["content-length"].isdigit():
+        raise ValueError(f"bad Content-Length {f['content-length']!r}")
     n = int(f["content-length"])
-    if n < 0 or len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
+    if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError(f"Content-Length is {n}, but {len(rest) - 4} bytes are there")
-    top, gap, payload = rest[:n].partition(b"\r\n\r\n")
-    status, *lines = top.split(b"\r\n")
-    if not gap or not status.startswith(b"HTTP/"):
-        raise ValueError("no HTTP response in the record")
-    size = int(_fields(lines, "HTTP response")["content-length"])
-    digest = f["warc-payload-digest"].removeprefix("sha1:")
-    kind, refers_to = f["warc-type"], None
-    if kind == "response":
-        if len(payload) != size:
+    block, kind, given = rest[:n], f["warc-type"], f.get("warc-payload-digest")
+    payload, size, coded = block, n, False
+    if kind in ("response", "revisit") and f.get("content-type", "").startswith("application/http") and (block or kind == "response"):
+        fields, payload = _http(block, kind)
+        coded = "transfer-encoding" in fields  # lengths and digests may be those of either form
+        length = fields.get("content-length", "")
+        size = int(length) if length.isdigit() and not coded else len(payload)
+        if kind == "response" and len(payload) != size:
             raise ValueError(f"HTTP Content-Length is {size}, but {len(payload)} bytes are there")
-        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-            raise ValueError("payload digest differs")
-    elif kind == "revisit":
-        if payload or f.get("warc-profile") != REVISIT_PROFILE:
-            raise ValueError("revisit with a payload or an unknown profile")
-        refers_to = _page(f["warc-refers-to"])
+    if kind == "revisit":
+        if payload and f.get("warc-profile") == REVISIT_PROFILE:
+            raise ValueError("revisit with a payload")
+        digest = given.rpartition(":")[2] if given else None
+        return (_page(f["warc-record-id"]), f.get("warc-target-uri"), size, digest, kind, _page(f.get("warc-refers-to")), f["warc-record-id"], f.get("warc-refers-to")), None
+    if given and not coded:
+        digest = _check_digest(given, payload)
     else:
-        raise ValueError(f"unknown record type {kind}")
-    return (_page(f["warc-record-id"]), f.get("warc-target-uri"), size, digest, kind, refers_to), payload if kind == "response" else None
+        digest = given.rpartition(":")[2] if given else base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return (_page(f["warc-record-id"]), f.get("warc-target-uri"), size, digest, kind, None, f["warc-record-id"], f.get("warc-refers-to")), payload
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +232,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at, raw in records(cell.as_py()):
                 try:
                     rows.append(parse(raw)[0])
-                except (ValueError, KeyError) as e:
+                except ValueError as e:
                     raise ValueError(f"record at byte {at}: {e}") from e
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
 
