@@ -16,7 +16,7 @@ conversation without an assistant has no examples; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -41,20 +41,15 @@ def unescape(x: Column) -> Column:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """Per conversation: conv_id, formatted, examples (array of end and of the loss span, in code points
     of formatted from 0; the end of the example is the end of its last turn)."""
-    rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    df = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    part = lambda t: F.concat(F.lit(TURN), escape(t.role), F.lit(TEXT), escape(t.text), F.lit(END))
-    df = df.select("conv_id", F.transform("turns", lambda t: F.struct(part(t).alias("part"), (t.role == ASSISTANT).alias("target"))).alias("parts"))
-    empty = F.array().cast("array<struct<end:int,loss_start:int,loss_end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("done"))
-    head = len(TURN) + len(ASSISTANT) + len(TEXT)
-
-    def step(a: Column, p: Column) -> Column:
-        end = a.at + F.length(p.part)
-        one = F.array(F.struct(end.alias("end"), (a.at + head).alias("loss_start"), (end - len(END)).alias("loss_end")))
-        return F.struct(end.alias("at"), F.when(p.target, F.concat(a.done, one)).otherwise(a.done).alias("done"))
-
-    return df.select("conv_id", F.array_join(F.transform("parts", lambda p: p.part), "").alias("formatted"), F.aggregate("parts", start, step, lambda a: a.done).alias("examples"))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    rows = turns.select("conv_id", "turn", text("role"), text("text"))
+    rows = rows.withColumn("part", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT), escape(F.col("text")), F.lit(END)))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.withColumn("i", F.row_number().over(order)).withColumn("end", F.sum(F.length("part")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    start = F.col("end") - F.length("part") + (len(TURN) + len(ASSISTANT) + len(TEXT))
+    example = F.when(F.col("role") == ASSISTANT, F.struct("end", start.alias("loss_start"), (F.col("end") - len(END)).alias("loss_end")))
+    df = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "part"))).alias("parts"), F.sort_array(F.collect_list(example)).alias("examples"))
+    return df.select("conv_id", F.array_join(F.transform("parts", lambda p: p.part), "").alias("formatted"), "examples")
 
 
 def expand(formatted: DataFrame, whole: bool = False) -> DataFrame:
