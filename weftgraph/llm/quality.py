@@ -77,8 +77,9 @@ def base_counts(grams: DataFrame) -> DataFrame:
     low = (1 << _INDEX_BITS) - 1
     # hash and place in one long, for a primitive sort; a text of more windows sorts pairs
     df = df.withColumn("packed", F.when(few, F.sort_array(F.transform("h3", lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))))
-    key = lambda i: F.shiftright(F.get("packed", i), _INDEX_BITS)
-    short = F.transform(F.filter("packed", lambda x, i: (F.shiftright(x, _INDEX_BITS) == key(i + 1)) | (F.shiftright(x, _INDEX_BITS) == key(i - 1))), lambda x: x.bitwiseAND(F.lit(low)).cast("int"))
+    at = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
+    alike = lambda x, y: (F.shiftright(x, _INDEX_BITS) == F.shiftright(y, _INDEX_BITS)) & (F.get("h3", at(x)) == F.get("h3", at(y)))
+    short = F.transform(F.filter("packed", lambda x, i: alike(x, F.get("packed", i + 1)) | alike(x, F.get("packed", i - 1))), at)
     pairs = F.sort_array(F.transform("h3", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     long = _let(pairs, lambda s: F.transform(F.filter(s, lambda x, i: (x.h == F.get(s, i + 1).h) | (x.h == F.get(s, i - 1).h)), lambda x: x.i))
     df = df.withColumn("places", F.sort_array(F.when(few, short).otherwise(long)))
@@ -96,7 +97,8 @@ def base_counts(grams: DataFrame) -> DataFrame:
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, the base counts, base_failed, llr and kept."""
-    table = F.array(*map(F.lit, weights(docs, labels)))
+    # one literal, folded once by the optimiser
+    table = F.split(F.lit(",".join(map(repr, weights(docs, labels)))), ",").cast("array<double>")
     df = base_counts(n_grams(docs))
     grams = F.concat("h1", "h2")
     total = F.aggregate(grams, F.lit(0.0), lambda a, h: a + F.get(table, _bucket(h)))
