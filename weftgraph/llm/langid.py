@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import SPACES, held, stored, table, text_slices
+from .common import SPACES, held, table, text_slices
 
 SAMPLE, WORDS = 600, 12_000
 PIECE = 24
@@ -222,21 +222,18 @@ class Reader:
 def learn(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
     """Labels, in order, and the network's weights."""
     own = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out())
-    kinds = [r.lang for r in own.select("lang").distinct().orderBy("lang").limit(1000).collect()]
+    kinds = [r.lang for r in own.select("lang").distinct().orderBy("lang").collect()]  # the network has a label for each
     if not kinds:
         return [], []
-    picked = [own.where(F.col("lang") == k).select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in kinds]
-    ids = picked[0]
-    for p in picked[1:]:
-        ids = ids.union(p)
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(ids.withColumnRenamed("lang", "kind")), "doc_id").where("lang = kind")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = own.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE).select("doc_id", F.col("lang").alias("kind"))
+    texts = docs.select("doc_id", "lang", "text").join(ids, "doc_id").where("lang = kind")
     words = texts.select("lang", F.explode(F.split("text", SPACES)).alias("word")).where(F.col("word").rlike(r"\p{L}")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    words = stored(words.select("lang", F.substring("word", 1, 64).alias("word"), "n"), "langid-words")
-    found: list[tuple[bytes, int]] = []
-    for i, k in enumerate(kinds):
-        rows = words.where(F.col("lang") == k).orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(WORDS).collect()
-        for r in rows:
-            found += [(p, i) for p in pieces(r.word.encode()) for _ in range(min(3, 1 + int(np.log2(r.n)) // 3))]
+    often = Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("word"), "word")
+    words = words.select("lang", F.substring("word", 1, 64).alias("word"), "n").withColumn("k", F.row_number().over(often)).where(F.col("k") <= WORDS)
+    number, found = {k: i for i, k in enumerate(kinds)}, []
+    for r in words.orderBy("lang", "k").collect():
+        found += [(p, number[r.lang]) for p in pieces(r.word.encode()) for _ in range(min(3, 1 + int(np.log2(r.n)) // 3))]
     net = train([w for w, _ in found], np.array([i for _, i in found]), len(kinds))
     return kinds, net.weights
 
