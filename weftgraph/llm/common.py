@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,22 +38,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _own: dict[str, str] = {}
+_places: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all machines share: spark.checkpoint.dir. Where that is unset, a folder of our own, but on
+    one machine only: on a cluster each executor would write to a disk that no other reads."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = _own.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='weftgraph-')}"
         _own[spark.sparkContext.applicationId] = at  # the setting can't be changed in a running session
     return at.rstrip("/")
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which goes when the driver ends."""
+    """A new path in the shared folder, which goes when the driver ends, or by release()."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    atexit.register(_delete, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+    if not _places:  # not at import: what is registered after the JVM's start runs before its end
+        atexit.register(release, 0)
+    _places.append((path, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at))
     return path
 
 
@@ -61,11 +68,26 @@ def _delete(store, at) -> None:
         store.delete(at, True)
 
 
+def taken() -> int:
+    """How many places there are, for release()."""
+    return len(_places)
+
+
+def release(since: int, *keep: str) -> None:
+    """Deletes the places made since taken() gave that number, but for keep: for a step whose result is stored."""
+    for path, store, at in [p for p in _places[since:] if p[0] not in keep]:
+        _delete(store, at)
+    _places[since:] = [p for p in _places[since:] if p[0] in keep]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark, path = df.sparkSession, place(df.sparkSession, name)
+    return stored_at(df, place(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _held: dict[object, object] = {}
