@@ -84,3 +84,9 @@ def near(rows):
                 a, b = root(d), root(sets[j][0])
                 top[max(a, b)] = min(a, b)
     return [(d, len(s), root(d), root(d) == d) for d, s in sets]
+
+
+def thue_morse(n):
+    """The string of n letters a and b, and its complement: they meet under any polynomial modulo 2**64."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))

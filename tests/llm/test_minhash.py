@@ -85,3 +85,44 @@ def test_components(spark):
             top[max(a, b)] = min(a, b)
     assert got == {x: root(x) for x in list(top)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_that_meet_modulo_a_power_of_two(spark):
+    one, two = brute.thue_morse(2048)
+    check(spark, [(1, f"a b {one} c"), (2, f"a b {two} c"), (3, one), (4, two)])
+
+
+def crowd(n, seed):
+    """n near copies of one text, and n unlinked texts of which 60 % is one boilerplate passage."""
+    rnd = random.Random(seed)
+    base, common = [f"b{i}" for i in range(120)], [f"c{i}" for i in range(104)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rnd.randrange(5)):
+            w[rnd.randrange(len(w))] = f"e{rnd.randrange(40)}"
+        rows.append((2 * i, " ".join(w)))
+        own = [f"u{i}x{j}" for j in range(30)]
+        rows.append((2 * i + 1, " ".join(common + own)))
+    rows.append((2 * n + 1, " ".join(common + own[:-1] + ["last"])))  # linked with the unlinked text before it only
+    return rows
+
+
+def test_crowded_buckets(spark):
+    rows = crowd(700, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in M.similar_groups(df).collect()}
+    want = {r[0]: r[2] for r in brute.near(rows)}
+    assert sum(got[d] == c for d, c in want.items()) >= 0.99 * len(want)
+    assert got == want
+
+
+def test_one_row_many_times(spark):
+    text, near = " ".join(f"w{i}" for i in range(80)), " ".join(f"w{i}" for i in range(79))
+    check(spark, [(4, text)] * 400 + [(3, near)] * 400 + [(9, "other words that are alone here")] * 5)
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(8)
+    words = [f"w{rnd.randrange(3000)}" for _ in range(80_000)]
+    check(spark, [(1, " ".join(words)), (2, " ".join(words[:75_000])), (3, " ".join(words[:40_000]))])

@@ -57,3 +57,18 @@ def test_odd_rows_pass(spark, sf):
         docs = f(spark, docs, sf)
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "2", "3", "3", "None"]
+
+
+def test_clashing_columns_and_empty_tables(spark, tmp_path):
+    names = ["tag", "spans", "rest", "a", "group", "bucket", "kept", "score", "toxic", "key", "n_words", "component_id", "item_id"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    docs = spark.createDataFrame([(i, f"some words of text {i}", None, None, 20, *range(len(names))) for i in range(4)], kind)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in (docs, docs.limit(0)):
+        want = sorted(map(tuple, rows.collect()))
+        for _, f in P.STAGES[:-1]:
+            out = f(spark, rows, str(tmp_path))
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes and sorted(map(tuple, out.collect())) == want
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert P.run(spark, str(tmp_path)).count() == 0

@@ -59,3 +59,29 @@ def test_suffix_array():
     order = S.suffix_array(text, 200)
     key = lambda i: [(0, j) if text[j] == 0 else (1, int(text[j])) for j in range(i, len(text))]
     assert order.tolist() == sorted(range(len(text)), key=key)
+
+
+def test_bytes_that_meet_modulo_a_power_of_two(spark):
+    one, two = brute.thue_morse(4096)
+    check(spark, [(1, "start " + one), (2, "other " + two), (3, "x" * 150 + one[:2048]), (4, "y" * 150 + two[:2048])])
+
+
+def test_a_row_that_stands_many_times(spark):
+    rnd = random.Random(1)
+    text = "".join(rnd.choice("abcdef ") for _ in range(900))
+    rows = [(2, text)] * 300 + [(3, text[:450] + "!" + text[450:])] * 300 + [(4, text[100:350] + "?")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = df.selectExpr("xxhash64(doc_id, text) as doc", "xxhash64(text, doc_id) as tag", "text")
+    assert sum(len(r.spans) for r in S.repeated_spans(own).collect()) < 100
+    check(spark, rows)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "ab" * 150, 5, "x", 6), (2, "ab" * 150, None, None, 7)], "doc_id long, text string, doc long, tag string, spans int")
+    assert [r.n_removed for r in S.suffix_dedup(df).collect()] == [300, 300]
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(2)
+    text = "".join(rnd.choice("abcdefghij ") for _ in range(400_000))
+    check(spark, [(1, text), (2, text[1000:300_000]), (3, "ab" * 60_000)])
