@@ -9,6 +9,11 @@ substring      words in 50-word windows that a smaller document has too are cut
 decontaminate  documents that hold a benchmark passage go
 tokens         byte-level BPE: ids, their number and hash, and the hash of the bytes they decode to
 
+Defined results: a null or empty text scores the model's bias, resembles nothing, has no words and no tokens, and is
+kept; rows with one doc_id are judged together, and rows without one are kept by near_dedup and substring; of
+repeated rows all are kept or none; ties go to the smaller id; empty tables give an empty result; a very long
+text is one row like any other; further columns, whatever their names, go through untouched up to the last stage.
+
 No SQL is given: a trained classifier and a tokenizer's merges are beyond it; tests hold run() against
 brute force.
 """
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, decontaminate, minhash, substring_dedup, toxicity
-from weftgraph.llm.common import stored, table
+from weftgraph.llm.common import place, release, stored_at, table, taken
 
 ORACLE_SQL = None
 
@@ -57,5 +62,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path, before = place(spark, f"pipeline-{name}"), taken()
+        docs = stored_at(stage(spark, docs, sf_dir), path)
+        release(before)  # what the stage itself stored
     return STAGES[-1][1](spark, docs, sf_dir)
