@@ -155,5 +155,7 @@ def sql(body: str, *views: str, ctes: str = "") -> str:
 
     for v in views:
         add(v)
-    parts = [f"{v} AS (\n{VIEWS[v][0]}\n)" for v in order] + ([ctes] if ctes else [])
+    # each computed once, however often it is named; a recursive one can't be told so
+    once = lambda v: "" if f"FROM {v} " in VIEWS[v][0] else "MATERIALIZED "
+    parts = [f"{v} AS {once(v)}(\n{VIEWS[v][0]}\n)" for v in order] + ([ctes] if ctes else [])
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
