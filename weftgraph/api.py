@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.classify import CHAINABLE, call_reference, priority, receiver_on
+from .functions.classify import CHAINABLE, call_reference, priority
 from .graph import Graph
 from .operators import definition as D
 from .operators import symbols as S
@@ -188,9 +188,8 @@ class Api:
         g = self.g
         r = g.refs.where(F.col("target_id").isin(ids))
         r = r if imports else r.where("source_kind <> 'File'")
-        on, kind = receiver_on(F.col("receiver_name"), F.col("receiver_value_kind"))
         c = g.calls.where(F.col("callee_id").isin(ids)).groupBy(F.col("scope_id").alias("source_id"), F.col("callee_id").alias("target_id"))
-        c = c.agg(F.min_by(F.struct(on.alias("on_expr"), kind.alias("on_kind"), call_reference(F.col("call_kind"), F.col("callee_kind")).alias("call_ref")), "call_id").alias("c"))
+        c = c.agg(F.min_by(F.struct("on_expr", "on_kind", call_reference(F.col("call_kind"), F.col("callee_kind")).alias("call_ref")), "call_id").alias("c"))
         r = r.join(c, ["source_id", "target_id"], "left").withColumn("ref_type", F.coalesce("c.call_ref", "ref_type"))
         return r.select("target_id", "source_id", "ref_type", F.coalesce("loc_file", "source_file").alias("file"), F.coalesce("loc_line", "source_line").alias("line"), "c.on_expr", "c.on_kind", priority(F.col("ref_type")).alias("p")).orderBy("p", F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), "source_id").collect()
 

@@ -12,7 +12,12 @@ TYPES = ("Class", "Interface", "Trait", "Enum")
 CHAINABLE = ("method_call", "property_access", "instantiation", "static_call", "caller")
 USED_BY_PRIORITY = {"instantiation": 0, "extends": 1, "implements": 1, "property_type": 2, "method_call": 3, "static_call": 3, "property_access": 4, "parameter_type": 5, "return_type": 5, "type_hint": 6}
 CALL_REFERENCE = {"method": "method_call", "method_static": "static_call", "constructor": "instantiation", "access": "property_access", "access_static": "static_property", "function": "function_call"}
-LAST = 10
+#: References that USED BY shows of a class; others are left out.
+REGISTERED = ("instantiation", "extends", "implements", "property_type", "method_call", "property_access", "parameter_type", "return_type", "type_hint")
+USES_PRIORITY = {"extends": 0, "implements": 0, "uses_trait": 0, "property_type": 1, "parameter_type": 2, "return_type": 2, "instantiation": 3, "type_hint": 4, "method_call": 5, "property_access": 5}
+#: Which reference a class is shown with where it is used in several ways.
+USES_CHOICE = {"instantiation": 0, "property_type": 1, "method_call": 2, "property_access": 2, "parameter_type": 3, "return_type": 4, "type_hint": 5}
+LAST, LAST_USE = 10, 99
 
 
 def reference_type() -> Column:
@@ -35,8 +40,8 @@ def _lookup(values: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])[key]
 
 
-def priority(ref_type: Column) -> Column:
-    return F.coalesce(_lookup(USED_BY_PRIORITY, ref_type), F.lit(LAST)).cast("long")
+def priority(ref_type: Column, values: dict[str, int] = USED_BY_PRIORITY, last: int = LAST) -> Column:
+    return F.coalesce(_lookup(values, ref_type), F.lit(last)).cast("long")
 
 
 def call_reference(call_kind: Column, callee_kind: Column) -> Column:
@@ -45,8 +50,17 @@ def call_reference(call_kind: Column, callee_kind: Column) -> Column:
     return F.coalesce(_lookup(CALL_REFERENCE, call_kind), other)
 
 
-def receiver_on(name: Column, value_kind: Column) -> tuple[Column, Column]:
-    """What a call is made on, and what kind that is: parameters and locals by name, else $this."""
-    on = F.when(value_kind.isin("parameter", "local"), name).when(value_kind == "result", F.concat(name, F.lit("()"))).otherwise(F.lit("$this"))
-    kind = F.when(value_kind == "parameter", "param").when(value_kind == "local", "local").when(value_kind == "result", "result").otherwise("self")
-    return on, kind
+def receiver_on() -> dict[str, Column]:
+    """What a call is made on, its kind, and the symbol behind it: parameters and locals by name; a result by
+    the member that gave it (made_*), itself read off a parameter, a local, or $this; without a receiver $this,
+    where the kind of call implies one."""
+    kind, made = F.col("receiver_value_kind"), F.col("made_name").isNotNull()
+    base = F.when(F.col("made_on_kind").isin("parameter", "local"), F.col("made_on")).otherwise(F.lit("$this"))
+    call = F.when(F.col("made_kind").isin("method", "method_static"), "()").otherwise("")
+    chain = F.concat(base, F.lit("->"), F.regexp_replace("made_name", r"^\$+", ""), call)
+    implied = kind.isNull() & F.col("call_kind").isin("access", "method", "method_static")
+    named = kind.isin("parameter", "local")
+    result = (kind == "result") & made
+    on = F.when(implied | (kind == "self"), "$this").when(named, F.col("receiver_name")).when(result, chain).when(kind.isNotNull(), F.col("receiver_name"))
+    of = F.when(implied, "self").when(kind == "parameter", "param").when(result, "property").otherwise(kind)
+    return {"on_expr": on, "on_kind": of, "on_symbol": F.when(result, F.col("made_fqn"))}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from functools import cached_property
@@ -19,9 +20,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all machines share; a folder of our own where it is unset."""
+    """spark.checkpoint.dir, which all machines share. Where it is unset, a folder of our own, but on one machine
+    only: on a cluster each executor would write to a disk that no other reads."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = _own.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='weftgraph-')}"
         _own[spark.sparkContext.applicationId] = at  # the setting can't be changed in a running session
     return at.rstrip("/")
@@ -117,8 +121,9 @@ class ProjectedGraph(Graph):
     """The graph of a directory of star-schema tables, with its flows and vectors."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.source = Projection(spark, sf_dir)
-        super().__init__(spark, self.source.nodes(), self.source.edges())
+        super().__init__(spark, None, None)
+        self.source = Projection(spark, sf_dir, self.keep)
+        self._nodes, self._edges = self.source.nodes(), self.source.edges()
 
     @cached_property
     def flows(self) -> DataFrame:

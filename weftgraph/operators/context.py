@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.classify import TYPES, call_reference, priority, receiver_on
+from ..functions.classify import LAST_USE, REGISTERED, TYPES, USES_CHOICE, USES_PRIORITY, call_reference, priority
 from ..functions.text import method_fqn
 from ..graph import Graph
 
@@ -29,6 +29,16 @@ def _rank(df: DataFrame, key: list[str], *order) -> DataFrame:
 # --- used by: classes ---
 
 
+def reference_calls(g: Graph) -> DataFrame:
+    """(source_id, target_id, loc_file, loc_line, call_id): of each use the call behind it, which stands in the
+    source, in the same file and on the same line, a constructor's up to one off; the least id of several."""
+    r = g.of_type("USES").where("loc_file is not null and loc_line is not null").select("source_id", "target_id", "loc_file", "loc_line").distinct()
+    lines = F.when(F.col("call_kind") == "constructor", F.sequence(F.col("call_line") - 1, F.col("call_line") + 1)).otherwise(F.array("call_line"))
+    c = g.calls.where("call_line is not null").select(F.col("scope_id").alias("source_id"), F.col("call_file").alias("loc_file"), F.explode(lines).alias("loc_line"), "call_id")
+    c = c.groupBy("source_id", "loc_file", "loc_line").agg(F.min("call_id").alias("call_id"))
+    return r.join(c, ["source_id", "loc_file", "loc_line"])
+
+
 def class_children(g: Graph) -> DataFrame:
     """Direct subtypes: of each class, who extends or implements it."""
     return g.refs.where("ref_type in ('extends', 'implements')").select("target_id", "source_id", "ref_type", F.col("source_file").alias("file"), F.col("source_line").alias("line"))
@@ -67,8 +77,7 @@ def external_calls(g: Graph) -> DataFrame:
     c = g.calls.where("callee_kind = 'Method' and receiver_id is not null").join(_contains(g, "class_id", "callee_id"), "callee_id")
     inside = g.anc.select(F.col("node_id").alias("call_id"), F.col("ancestor_id").alias("class_id"))
     c = c.join(inside, ["call_id", "class_id"], "left_anti")
-    on, kind = receiver_on(F.col("receiver_name"), F.col("receiver_value_kind"))
-    return c.select("class_id", "call_id", "scope_id", "callee_id", on.alias("on_expr"), kind.alias("on_kind"))
+    return c.select("class_id", "call_id", "scope_id", "callee_id", "on_expr", "on_kind")
 
 
 def external_accesses(g: Graph) -> DataFrame:
@@ -76,15 +85,13 @@ def external_accesses(g: Graph) -> DataFrame:
     c = g.calls.where("callee_kind = 'Property'").join(_contains(g, "class_id", "callee_id"), "callee_id")
     inside = g.anc.select(F.col("node_id").alias("call_id"), F.col("ancestor_id").alias("class_id"))
     c = c.join(inside, ["call_id", "class_id"], "left_anti")
-    on, kind = receiver_on(F.col("receiver_name"), F.col("receiver_value_kind"))
-    c = c.withColumn("on_expr", on).withColumn("on_kind", kind)
     return c.groupBy("class_id", "callee_id", "scope_id", "on_expr", "on_kind").agg(F.count(F.lit(1)).alias("accesses"), F.min("call_line").alias("first_line"))
 
 
 def used_by(g: Graph, limit: int = 100) -> DataFrame:
     """For every class: incoming references, method calls from classes with an injection left out, by
     priority, file and line; the first ``limit`` of each."""
-    r = incoming(g).where(F.col("target_kind").isin(*TYPES))
+    r = incoming(g).where(F.col("target_kind").isin(*TYPES) & F.col("ref_type").isin(*REGISTERED))
     inj = injections(g).withColumn("injected", F.lit(True))
     r = r.join(inj, ["target_id", "class_id"], "left").where("not (ref_type = 'method_call' and coalesce(injected, false))")
     r = r.withColumn("priority", priority(F.col("ref_type")))
@@ -129,11 +136,13 @@ def handler_method_call(g: Graph) -> DataFrame:
 
 
 def handler_property_groups(g: Graph) -> DataFrame:
-    """Accesses of each property, grouped by method: their lines in order."""
+    """Accesses of each property, grouped by method and by what they are made on: their lines in order."""
     r = incoming(g).where("ref_type = 'property_access'")
     r = r.withColumn("by", F.coalesce("method_id", "source_id"))
+    at = reference_calls(g).join(g.calls.select("call_id", "on_expr", "on_kind"), "call_id").drop("call_id")
+    r = r.join(at, ["source_id", "target_id", "loc_file", "loc_line"], "left")
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.coalesce("loc_line", F.lit(-1)))), lambda x: x.cast("string")), ",")
-    return r.groupBy("target_id", "by").agg(F.count(F.lit(1)).alias("n"), lines.alias("lines"))
+    return r.groupBy("target_id", "by", "on_expr", "on_kind").agg(F.count(F.lit(1)).alias("n"), lines.alias("lines"))
 
 
 def handler_param_return(g: Graph) -> DataFrame:
@@ -142,21 +151,47 @@ def handler_param_return(g: Graph) -> DataFrame:
     ret = F.expr("ref_type = 'return_type' and source_kind in ('Method', 'Function')")
     entry = F.when(ret, F.col("source_id")).when(F.col("source_kind").isin(*TYPES), F.col("source_id")).otherwise(F.col("class_id"))
     r = r.withColumn("entry_id", entry).where("entry_id is not null")
-    return r.groupBy("target_id", "entry_id").agg(F.min("ref_type").alias("ref_type"), F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.coalesce("loc_file", "source_file", F.lit("")), F.coalesce("loc_line", "source_line", F.lit(0)), "source_id", "ref_type")
+    return r.groupBy("target_id", "entry_id").agg(F.min_by("ref_type", first).alias("ref_type"), F.count(F.lit(1)).alias("n"))
 
 
 # --- uses ---
 
 
+def hinted_types(g: Graph) -> DataFrame:
+    """(class_id, used_id, hint): types that a class's members declare, a property's before a parameter's before
+    a method's own."""
+    kind = g.nodes.select(F.col("node_id").alias("member_id"), "kind")
+    members = _contains(g, "class_id", "member_id").join(kind, "member_id")
+    hints = g.of_type("TYPE_HINT").select(F.col("source_id").alias("hinted_id"), F.col("target_id").alias("used_id"))
+    own = members.select("class_id", F.col("member_id").alias("hinted_id"), F.when(F.col("kind") == "Property", 1).when(F.col("kind") == "Method", 3).alias("rank"))
+    argument = kind.where("kind = 'Argument'").select(F.col("member_id").alias("hinted_id"))
+    arguments = _contains(g, "member_id", "hinted_id").join(argument, "hinted_id").join(members.where("kind = 'Method'"), "member_id").select("class_id", "hinted_id", F.lit(2).alias("rank"))
+    best = own.union(arguments).where("rank is not null").join(hints, "hinted_id").groupBy("class_id", "used_id").agg(F.min("rank").alias("rank"))
+    return best.select("class_id", "used_id", F.when(F.col("rank") == 1, "property_type").when(F.col("rank") == 2, "parameter_type").otherwise("return_type").alias("hint"))
+
+
+def instantiated(g: Graph) -> DataFrame:
+    """(class_id, used_id): classes whose constructors a class's methods call."""
+    c = g.calls.where("call_kind = 'constructor'").join(_contains(g, "used_id", "callee_id"), "callee_id")
+    return c.join(_contains(g, "class_id", "scope_id"), "scope_id").select("class_id", "used_id").distinct()
+
+
 def class_uses(g: Graph) -> DataFrame:
-    """For every class: the classes that its members refer to, each with its best reference type."""
+    """For every class: the classes that its members refer to, each with its best reference. Supertypes stand
+    as such; declared property and return types come before instantiation, that before parameter types, and
+    these before what the edge itself says."""
     r = g.refs.where("type = 'USES'").join(_contains(g, "class_id", "source_id"), "source_id")
     t = F.when(F.col("target_kind").isin(*TYPES), F.col("target_id")).otherwise(F.col("owner_id"))
     r = r.join(_contains(g, "owner_id", "target_id"), "target_id", "left").withColumn("used_id", t).where("used_id is not null and used_id <> class_id")
-    r = r.select("class_id", "used_id", "ref_type")
     level = g.refs.where("type in ('EXTENDS', 'IMPLEMENTS', 'USES_TRAIT')").select(F.col("source_id").alias("class_id"), F.col("target_id").alias("used_id"), "ref_type")
-    r = r.union(level).withColumn("priority", priority(F.col("ref_type")))
-    return r.groupBy("class_id", "used_id").agg(F.min(F.struct("priority", "ref_type")).alias("best"), F.count(F.lit(1)).alias("n")).select("class_id", "used_id", F.col("best.priority").alias("priority"), F.col("best.ref_type").alias("ref_type"), "n")
+    r = r.join(level, ["class_id", "used_id"], "left_anti").select("class_id", "used_id", "ref_type")
+    r = r.join(hinted_types(g), ["class_id", "used_id"], "left").join(instantiated(g).withColumn("made", F.lit("instantiation")), ["class_id", "used_id"], "left")
+    strong = F.when(F.col("hint").isin("property_type", "return_type"), F.col("hint"))
+    r = r.select("class_id", "used_id", F.coalesce(strong, "made", "hint", "ref_type").alias("ref_type"))
+    choice = F.struct(priority(F.col("ref_type"), {**USES_CHOICE, "extends": -1, "implements": -1, "uses_trait": -1}), "ref_type")
+    best = r.union(level).groupBy("class_id", "used_id").agg(F.min_by("ref_type", choice).alias("ref_type"), F.count(F.lit(1)).alias("n"))
+    return best.select("class_id", "used_id", priority(F.col("ref_type"), USES_PRIORITY, LAST_USE).alias("priority"), "ref_type", "n")
 
 
 # --- interfaces ---
@@ -227,8 +262,7 @@ def type_references(g: Graph) -> DataFrame:
 
 def property_used_by(g: Graph) -> DataFrame:
     """Per property and scope: accesses, distinct receivers, first line."""
-    on, _ = receiver_on(F.col("receiver_name"), F.col("receiver_value_kind"))
-    c = g.calls.where("callee_kind = 'Property'").withColumn("on_expr", on)
+    c = g.calls.where("callee_kind = 'Property'")
     return c.groupBy(F.col("callee_id").alias("property_id"), "scope_id").agg(F.count(F.lit(1)).alias("sites"), F.countDistinct("on_expr").alias("receivers"), F.min("call_line").alias("line"))
 
 

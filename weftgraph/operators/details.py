@@ -108,14 +108,6 @@ def ranked_references(g: Graph) -> DataFrame:
     return r.groupBy("target_id").agg(F.count(F.lit(1)).alias("n"), F.min("priority").alias("best"), F.countDistinct("ref_type").alias("kinds"))
 
 
-def calls_at_line(g: Graph) -> DataFrame:
-    """(source_id, target_id, call_id): calls in a reference's source on its line, a constructor's up to one off."""
-    r = g.refs.where("type = 'USES' and loc_line is not null").select("source_id", "target_id", (F.col("loc_line") % 1000).alias("line"))
-    c = g.calls.select(F.col("scope_id").alias("source_id"), "call_id", "call_kind", "call_line")
-    near = (F.col("call_line") == F.col("line")) | ((F.col("call_kind") == "constructor") & (F.abs(F.col("call_line") - F.col("line")) <= 1))
-    return r.join(c, "source_id").where(near).select("source_id", "target_id", "call_id")
-
-
 def methods_in_order(g: Graph) -> DataFrame:
     """Per class: its methods by start line, as one string, as chunking takes them."""
     m = g.nodes.where("kind = 'Method'").select(F.col("node_id").alias("method_id"), "start_line")

@@ -28,17 +28,24 @@ UNION ALL SELECT 200000000 + c_custkey, concat('c:', c_custkey), 'Method', CASE
        FROM customer JOIN g_class ON c_nationkey = n_nationkey
 UNION ALL SELECT 300000000 + s_suppkey, concat('s:', s_suppkey), 'Property', concat('$', s_name), concat(fqn, '::$', s_name), concat(r_name, '.php'), s_suppkey, NULL, NULL
        FROM supplier JOIN g_class ON s_nationkey = n_nationkey
-UNION ALL SELECT 400000000 + p_partkey, concat('p:', p_partkey), CASE WHEN p_size <= 5 THEN 'Interface' ELSE 'Class' END, p_name,
+UNION ALL SELECT 400000000 + p_partkey, concat('p:', p_partkey), CASE WHEN p_size <= 5 THEN 'Interface' WHEN p_size = 6 THEN 'Trait' WHEN p_size = 7 THEN 'Enum' ELSE 'Class' END, p_name,
        concat('App', chr(92), p_brand, chr(92), p_name, '_', p_partkey), concat(p_brand, '.php'), p_partkey, NULL, NULL FROM part
 UNION ALL SELECT 500000000 + o_orderkey, concat('o:', o_orderkey), 'Call', concat('call', o_orderkey), concat('call', o_orderkey), o_orderpriority, o_orderkey % 1000,
-       CASE o_orderstatus WHEN 'F' THEN 'method' WHEN 'O' THEN 'constructor' ELSE 'access' END, NULL FROM orders
+       CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'method_static' ELSE 'method' END WHEN 'O' THEN CASE WHEN o_orderkey % 6 = 0 THEN 'function' ELSE 'constructor' END
+         ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'access_static' ELSE 'access' END END, NULL FROM orders
+UNION ALL SELECT 150000000 + n_nationkey, concat('f:', n_nationkey), 'Function', concat('fn_', n_name), concat('App', chr(92), 'fn_', n_name), concat(r_name, '.php'), n_nationkey, NULL, NULL FROM g_class
+UNION ALL SELECT 600000000 + c_custkey, concat('a:', c_custkey), 'Argument', '$p0', concat(fqn, '::', CASE WHEN c_custkey % 10 = 0 THEN '__construct' ELSE c_name END, '().$p0'), concat(r_name, '.php'), c_custkey, NULL, NULL
+       FROM customer JOIN g_class ON c_nationkey = n_nationkey WHERE c_custkey % 4 = 0
+UNION ALL SELECT 700000000 + s_suppkey, concat('w:', s_suppkey), 'Value', concat('$', s_name), concat(fqn, '::__construct().$', s_name), concat(r_name, '.php'), s_suppkey, NULL, 'parameter'
+       FROM supplier JOIN g_class ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0
 UNION ALL SELECT 1000000000 + l_orderkey * 1000 + rn, concat('v:', l_orderkey, ':', rn), 'Value', concat('$v', rn), concat('call', l_orderkey, '::$v', rn), NULL, rn, NULL,
        CASE l_returnflag WHEN 'A' THEN 'parameter' WHEN 'N' THEN 'local' ELSE 'result' END FROM g_values""",
         ['g_values', 'g_class'],
     ),
     "g_calls": (
-        r"""SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate,
-       CASE WHEN o_orderstatus = 'P' THEN concat('s:', o_orderkey % (SELECT count(*) FROM supplier)) ELSE concat('c:', o_orderkey % (SELECT count(*) FROM customer)) END AS callee_id
+        r"""SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority,
+       CASE WHEN o_orderstatus = 'P' THEN concat('s:', o_orderkey % ((SELECT count(*) FROM supplier) // 2) * 2)
+         WHEN o_orderstatus = 'O' AND o_orderkey % 6 = 0 THEN concat('f:', o_orderkey % 25) ELSE concat('c:', o_orderkey % (SELECT count(*) FROM customer)) END AS callee_id
 FROM orders""",
         [],
     ),
@@ -48,9 +55,17 @@ UNION ALL SELECT 'CONTAINS', concat('n:', c_nationkey), concat('c:', c_custkey),
 UNION ALL SELECT 'CONTAINS', concat('n:', s_nationkey), concat('s:', s_suppkey), NULL, NULL, NULL, NULL, NULL FROM supplier
 UNION ALL SELECT 'CONTAINS', concat('c:', o_custkey), concat('o:', o_orderkey), NULL, NULL, NULL, NULL, NULL FROM orders
 UNION ALL SELECT 'CONTAINS', concat('c:', o_custkey), concat('v:', l_orderkey, ':', rn), NULL, NULL, NULL, NULL, NULL FROM g_values JOIN orders ON l_orderkey = o_orderkey
-UNION ALL SELECT 'USES', concat('c:', o_custkey), concat('s:', l_suppkey), CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE concat('f', l_suppkey % 7) END, min(l_orderkey), NULL, NULL, NULL FROM g_values JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey
+UNION ALL SELECT 'USES', concat('c:', o_custkey), concat('s:', l_suppkey), CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE concat('f', l_suppkey % 7) END, min(l_orderkey), NULL, NULL, NULL FROM g_values JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 2 = 1 GROUP BY o_custkey, l_suppkey
 UNION ALL SELECT 'USES', concat('c:', o_custkey), concat('p:', l_partkey), concat('f', l_partkey % 7), min(l_orderkey), NULL, NULL, NULL FROM g_values JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey
-UNION ALL SELECT 'USES', concat('c:', o_custkey), callee_id, 'call', min(o_orderkey), NULL, NULL, NULL FROM g_calls WHERE o_orderstatus <> 'P' GROUP BY o_custkey, callee_id
+UNION ALL SELECT 'USES', concat('c:', o_custkey), callee_id, arg_min(o_orderpriority, o_orderkey), min(o_orderkey) % 1000, NULL, NULL, NULL FROM g_calls GROUP BY o_custkey, callee_id
+UNION ALL SELECT 'CONTAINS', concat('r:', n_regionkey), concat('f:', n_nationkey), NULL, NULL, NULL, NULL, NULL FROM nation
+UNION ALL SELECT 'CONTAINS', concat('c:', c_custkey), concat('a:', c_custkey), NULL, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT 'TYPE_HINT', concat('a:', c_custkey), concat('p:', c_custkey * 7 % (SELECT count(*) FROM part)), NULL, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT 'USES', concat('a:', c_custkey), concat('p:', c_custkey * 7 % (SELECT count(*) FROM part)), 'arg', c_custkey, NULL, NULL, NULL FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT 'ARGUMENT', concat('o:', o_orderkey), concat('v:', l_orderkey, ':', rn), NULL, NULL, 50 + rn, concat('$v', rn), concat(callee_id, '.$p', 50 + rn) FROM g_values JOIN g_calls ON l_orderkey + 1 = o_orderkey WHERE l_returnflag = 'R' AND l_orderkey % 4 = 0
+UNION ALL SELECT 'ASSIGNED_FROM', concat('s:', s_suppkey), concat('w:', s_suppkey), NULL, NULL, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 'TYPE_OF', concat('w:', s_suppkey), concat('p:', s_suppkey % (SELECT count(*) FROM part)), NULL, NULL, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 'USES_TRAIT', concat('p:', a.p_partkey), concat('p:', b.k), NULL, NULL, NULL, NULL, NULL FROM part a JOIN (SELECT p_brand AS brand, min(p_partkey) AS k FROM part WHERE p_size = 6 GROUP BY p_brand) b ON a.p_brand = b.brand WHERE a.p_size > 7 AND a.p_partkey % 3 = 0
 UNION ALL SELECT 'CALLS', concat('o:', o_orderkey), callee_id, NULL, NULL, NULL, NULL, NULL FROM g_calls
 UNION ALL SELECT 'RECEIVER', concat('o:', l_orderkey), concat('v:', l_orderkey, ':', rn), NULL, NULL, NULL, NULL, NULL FROM g_values WHERE rn = 1
 UNION ALL SELECT 'ARGUMENT', concat('o:', l_orderkey), concat('v:', l_orderkey, ':', rn), NULL, NULL, rn - 1, concat('$v', rn), concat(callee_id, '.$p', rn - 1) FROM g_values JOIN g_calls ON l_orderkey = o_orderkey
@@ -61,6 +76,7 @@ UNION ALL SELECT 'TYPE_HINT', concat('s:', s_suppkey), concat('p:', s_suppkey %
 UNION ALL SELECT 'TYPE_HINT', concat('c:', c_custkey), concat('p:', c_custkey % (SELECT count(*) FROM part)), NULL, NULL, NULL, NULL, NULL FROM customer
 UNION ALL SELECT 'EXTENDS', concat('p:', p_partkey), concat('p:', CAST(floor((p_partkey - 1) / 2.0) AS BIGINT)), NULL, NULL, NULL, NULL, NULL FROM part WHERE p_partkey > 0
 UNION ALL SELECT 'IMPLEMENTS', concat('p:', a.p_partkey), concat('p:', b.k), NULL, NULL, NULL, NULL, NULL FROM part a JOIN (SELECT p_brand AS brand, min(p_partkey) AS k FROM part WHERE p_size <= 5 GROUP BY p_brand) b ON a.p_brand = b.brand WHERE a.p_size > 5
+UNION ALL SELECT 'IMPLEMENTS', concat('n:', n_nationkey), concat('n:', n_nationkey - n_nationkey % 5 + 4), NULL, NULL, NULL, NULL, NULL FROM nation WHERE n_nationkey % 5 <> 4
 UNION ALL SELECT 'OVERRIDES', concat('c:', c_custkey), concat('c:', CAST(floor((c_custkey - 1) / 2.0) AS BIGINT)), NULL, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey > 0""",
         ['g_values', 'g_calls'],
     ),
@@ -117,20 +133,26 @@ JOIN g_edges h ON h.type = 'TYPE_HINT' AND h.source_id = c.target_id WHERE c.typ
         ELSE 'type_hint' END
       WHEN s.kind IN ('Class', 'Interface', 'Trait', 'Enum') AND EXISTS (SELECT 1 FROM g_hint_child h WHERE h.up = e.source_id AND h.target_id = e.target_id AND h.down_kind = 'Property') THEN 'property_type'
       ELSE 'type_hint' END
-    ELSE 'uses' END AS ref_type
+    WHEN t.kind = 'Function' THEN 'function_call' ELSE 'uses' END AS ref_type
 FROM g_edges e JOIN g_nodes s ON s.node_id = e.source_id JOIN g_nodes t ON t.node_id = e.target_id WHERE e.type IN ('USES', 'EXTENDS', 'IMPLEMENTS', 'USES_TRAIT')""",
         ['g_edges', 'g_nodes', 'g_hint_child'],
     ),
     "g_callfact": (
         r"""SELECT c.node_id AS call_id, c.call_kind, c.file AS call_file, c.start_line AS call_line, ce.target_id AS callee_id, cn.kind AS callee_kind, cn.name AS callee_name, cn.fqn AS callee_fqn,
   sc.source_id AS scope_id, sn.kind AS scope_kind, sn.fqn AS scope_fqn, r.target_id AS receiver_id, rn.name AS receiver_name, rn.value_kind AS receiver_value_kind,
-  p.result_id, l.local_id, y.target_id AS local_type_id
+  p.result_id, l.local_id, y.target_id AS local_type_id,
+  CASE WHEN rn.value_kind IS NULL THEN CASE WHEN c.call_kind IN ('access', 'method', 'method_static') THEN '$this' END WHEN rn.value_kind = 'self' THEN '$this' WHEN rn.value_kind = 'result' AND mn.name IS NOT NULL THEN
+    concat(CASE WHEN mv.value_kind IN ('parameter', 'local') THEN mv.name ELSE '$this' END, '->', ltrim(mn.name, '$'), CASE WHEN mc.call_kind IN ('method', 'method_static') THEN '()' ELSE '' END) ELSE rn.name END AS on_expr,
+  CASE WHEN rn.value_kind IS NULL THEN CASE WHEN c.call_kind IN ('access', 'method', 'method_static') THEN 'self' END WHEN rn.value_kind = 'parameter' THEN 'param' WHEN rn.value_kind = 'result' AND mn.name IS NOT NULL THEN 'property' ELSE rn.value_kind END AS on_kind,
+  CASE WHEN rn.value_kind = 'result' THEN mn.fqn END AS on_symbol
 FROM g_nodes c LEFT JOIN g_edges ce ON ce.type = 'CALLS' AND ce.source_id = c.node_id LEFT JOIN g_nodes cn ON cn.node_id = ce.target_id
 LEFT JOIN g_edges sc ON sc.type = 'CONTAINS' AND sc.target_id = c.node_id LEFT JOIN g_nodes sn ON sn.node_id = sc.source_id
 LEFT JOIN g_edges r ON r.type = 'RECEIVER' AND r.source_id = c.node_id LEFT JOIN g_nodes rn ON rn.node_id = r.target_id
 LEFT JOIN (SELECT source_id, min(target_id) AS result_id FROM g_edges WHERE type = 'PRODUCES' GROUP BY source_id) p ON p.source_id = c.node_id
 LEFT JOIN (SELECT target_id, min(source_id) AS local_id FROM g_edges WHERE type = 'ASSIGNED_FROM' GROUP BY target_id) l ON l.target_id = p.result_id
-LEFT JOIN g_edges y ON y.type = 'TYPE_OF' AND y.source_id = l.local_id WHERE c.kind = 'Call'""",
+LEFT JOIN g_edges y ON y.type = 'TYPE_OF' AND y.source_id = l.local_id
+LEFT JOIN g_edges mp ON mp.type = 'PRODUCES' AND mp.target_id = r.target_id LEFT JOIN g_nodes mc ON mc.node_id = mp.source_id LEFT JOIN g_edges ms ON ms.type = 'CALLS' AND ms.source_id = mp.source_id LEFT JOIN g_nodes mn ON mn.node_id = ms.target_id
+LEFT JOIN g_edges mr ON mr.type = 'RECEIVER' AND mr.source_id = mp.source_id LEFT JOIN g_nodes mv ON mv.node_id = mr.target_id WHERE c.kind = 'Call'""",
         ['g_edges', 'g_nodes'],
     ),
     "g_dataflow": (

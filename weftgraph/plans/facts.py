@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import reference_type
+from ..functions.classify import receiver_on, reference_type
 
 
 def _pairs(edges: DataFrame, kind: str, source: str, target: str, *more: str) -> DataFrame:
@@ -32,7 +32,17 @@ def calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     df = df.join(_first(_pairs(edges, "PRODUCES", "call_id", "result_id"), "call_id", "result_id"), "call_id", "left")
     df = df.join(_first(_pairs(edges, "ASSIGNED_FROM", "local_id", "result_id"), "result_id", "local_id"), "result_id", "left")
     kind = _first(_pairs(edges, "TYPE_OF", "local_id", "local_type_id"), "local_id", "local_type_id")
-    return df.join(kind, "local_id", "left")
+    df = df.join(kind, "local_id", "left")
+    # the call that gave the receiver, what it called, and what that was called on
+    made = _first(_pairs(edges, "PRODUCES", "made_id", "receiver_id"), "receiver_id", "made_id")
+    made = made.join(nodes.where("kind = 'Call'").select(F.col("node_id").alias("made_id"), F.col("call_kind").alias("made_kind")), "made_id")
+    made = made.join(_first(_pairs(edges, "CALLS", "made_id", "member_id"), "made_id", "member_id"), "made_id")
+    made = made.join(nodes.select(F.col("node_id").alias("member_id"), F.col("name").alias("made_name"), F.col("fqn").alias("made_fqn")), "member_id")
+    on = _first(_pairs(edges, "RECEIVER", "made_id", "on_id"), "made_id", "on_id")
+    made = made.join(on, "made_id", "left").join(nodes.select(F.col("node_id").alias("on_id"), F.col("name").alias("made_on"), F.col("value_kind").alias("made_on_kind")), "on_id", "left")
+    parts = ["made_kind", "made_name", "made_fqn", "made_on", "made_on_kind"]
+    df = df.join(made.select("receiver_id", *parts), "receiver_id", "left")
+    return df.withColumns(receiver_on()).drop(*parts)
 
 
 def arguments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -63,7 +73,10 @@ def type_flags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     own = flag(hint.withColumnRenamed("h", "source_id"), "has_return")
     props = hinted.where("down_kind = 'Property'")
     of_class = flag(props.withColumnRenamed("up", "source_id"), "has_property")
-    sibling = flag(props.join(contains.select("up", F.col("down").alias("source_id")), "up"), "has_class_property")
+    # asked of constructors only, so a class's properties meet one child of it, not all
+    constructor = nodes.where("name = '__construct'").select(F.col("node_id").alias("source_id"))
+    inside = contains.select("up", F.col("down").alias("source_id")).join(constructor, "source_id")
+    sibling = flag(props.join(inside, "up"), "has_class_property")
     df = uses
     for f in (args, own, of_class, sibling):
         df = df.join(f, ["source_id", "target_id"], "left")

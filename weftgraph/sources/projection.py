@@ -1,11 +1,15 @@
 """The star schema as a property graph, so that every operator runs on tables of any size.
 
-region, nation, customer, supplier, part, orders and lineitem become files, classes, methods, properties,
-classes again, calls and values; events become flows, messages and events; embeddings become vectors.
+region, nation, customer, supplier, part, orders and lineitem become files, classes and functions, methods
+and their arguments, properties and the parameters they are promoted from, types of all kinds, calls and
+values; events become flows, messages and events; embeddings become vectors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +23,29 @@ def _rows(df: DataFrame, columns: list[str], **values: Column) -> DataFrame:
 
 
 class Projection:
-    """Lazy DataFrames over one directory of Parquet tables."""
+    """Lazy DataFrames over one directory of Parquet tables. keep(df, name) stores what many of them read."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df):
+        self.spark, self.keep = spark, keep
         self.table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+    @cached_property
+    def sizes(self) -> dict[str, int]:
+        return {t: self.table(t).count() for t in ("supplier", "customer", "part", "orders")}
+
     def values(self) -> DataFrame:
+        return self._values
+
+    def calls(self) -> DataFrame:
+        return self._calls
+
+    @cached_property
+    def _values(self) -> DataFrame:
         """lineitem, numbered within its order by the whole row."""
         l = self.table("lineitem")
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
         rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("long")
-        return l.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", rn.alias("rn"))
+        return self.keep(l.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", rn.alias("rn")), "values")
 
     def classes(self) -> DataFrame:
         r = self.table("region")
@@ -48,24 +63,35 @@ class Projection:
         parts.append(_rows(self.table("customer").join(cls, F.col("c_nationkey") == F.col("n_nationkey")), NODE_COLUMNS, node_ord=F.lit(200000000) + F.col("c_custkey"), node_id=key("c:", "c_custkey"), kind=F.lit("Method"), name=name, fqn=F.concat("fqn", F.lit("::"), name, F.lit("()")), file=php("r_name"), start_line=F.col("c_custkey")))
         prop = F.concat(F.lit("$"), "s_name")
         parts.append(_rows(self.table("supplier").join(cls, F.col("s_nationkey") == F.col("n_nationkey")), NODE_COLUMNS, node_ord=F.lit(300000000) + F.col("s_suppkey"), node_id=key("s:", "s_suppkey"), kind=F.lit("Property"), name=prop, fqn=F.concat("fqn", F.lit("::"), prop), file=php("r_name"), start_line=F.col("s_suppkey")))
-        parts.append(_rows(self.table("part"), NODE_COLUMNS, node_ord=F.lit(400000000) + F.col("p_partkey"), node_id=key("p:", "p_partkey"), kind=pick(F.col("p_size") <= 5, "Interface", "Class"), name=F.col("p_name"), fqn=F.concat(F.lit("App\\"), "p_brand", F.lit("\\"), "p_name", F.lit("_"), F.col("p_partkey")), file=php("p_brand"), start_line=F.col("p_partkey")))
-        kind = F.when(F.col("o_orderstatus") == "F", "method").when(F.col("o_orderstatus") == "O", "constructor").otherwise("access")
+        type_kind = F.when(F.col("p_size") <= 5, "Interface").when(F.col("p_size") == 6, "Trait").when(F.col("p_size") == 7, "Enum").otherwise("Class")
+        parts.append(_rows(self.table("part"), NODE_COLUMNS, node_ord=F.lit(400000000) + F.col("p_partkey"), node_id=key("p:", "p_partkey"), kind=type_kind, name=F.col("p_name"), fqn=F.concat(F.lit("App\\"), "p_brand", F.lit("\\"), "p_name", F.lit("_"), F.col("p_partkey")), file=php("p_brand"), start_line=F.col("p_partkey")))
+        function = F.concat(F.lit("fn_"), "n_name")
+        parts.append(_rows(self.classes(), NODE_COLUMNS, node_ord=F.lit(150000000) + F.col("n_nationkey"), node_id=key("f:", "n_nationkey"), kind=F.lit("Function"), name=function, fqn=F.concat(F.lit("App\\"), function), file=php("r_name"), start_line=F.col("n_nationkey")))
+        taker = self.table("customer").where("c_custkey % 4 = 0").join(cls, F.col("c_nationkey") == F.col("n_nationkey"))
+        parts.append(_rows(taker, NODE_COLUMNS, node_ord=F.lit(600000000) + F.col("c_custkey"), node_id=key("a:", "c_custkey"), kind=F.lit("Argument"), name=F.lit("$p0"), fqn=F.concat("fqn", F.lit("::"), name, F.lit("().$p0")), file=php("r_name"), start_line=F.col("c_custkey")))
+        given = self.table("supplier").where("s_suppkey % 3 = 0").join(cls, F.col("s_nationkey") == F.col("n_nationkey"))
+        parts.append(_rows(given, NODE_COLUMNS, node_ord=F.lit(700000000) + F.col("s_suppkey"), node_id=key("w:", "s_suppkey"), kind=F.lit("Value"), name=prop, fqn=F.concat("fqn", F.lit("::__construct()."), prop), file=php("r_name"), start_line=F.col("s_suppkey"), value_kind=F.lit("parameter")))
+        fifth, sixth = F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") % 6 == 0
+        kind = F.when(F.col("o_orderstatus") == "F", F.when(fifth, "method_static").otherwise("method"))
+        kind = kind.when(F.col("o_orderstatus") == "O", F.when(sixth, "function").otherwise("constructor")).otherwise(F.when(fifth, "access_static").otherwise("access"))
         call = key("call", "o_orderkey")
         parts.append(_rows(self.table("orders"), NODE_COLUMNS, node_ord=F.lit(500000000) + F.col("o_orderkey"), node_id=key("o:", "o_orderkey"), kind=F.lit("Call"), name=call, fqn=call, file=F.col("o_orderpriority"), start_line=F.col("o_orderkey") % 1000, call_kind=kind))
         vkind = F.when(F.col("l_returnflag") == "A", "parameter").when(F.col("l_returnflag") == "N", "local").otherwise("result")
         parts.append(_rows(self.values(), NODE_COLUMNS, node_ord=F.lit(1000000000) + F.col("l_orderkey") * 1000 + F.col("rn"), node_id=_value(), kind=F.lit("Value"), name=key("$v", "rn"), fqn=F.concat(F.lit("call"), F.col("l_orderkey"), F.lit("::$v"), F.col("rn")), start_line=F.col("rn"), value_kind=vkind))
         return _union(parts)
 
-    def calls(self) -> DataFrame:
-        """orders with the node each calls."""
-        n = {t: self.table(t).count() for t in ("supplier", "customer")}
-        o = self.table("orders")
-        callee = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("s:"), F.col("o_orderkey") % n["supplier"])).otherwise(F.concat(F.lit("c:"), F.col("o_orderkey") % n["customer"]))
-        return o.select("o_orderkey", "o_custkey", "o_orderstatus", callee.alias("callee_id"))
+    @cached_property
+    def _calls(self) -> DataFrame:
+        """orders with the node each calls: properties of even numbers, functions, methods."""
+        o, n = self.table("orders"), self.sizes
+        access = F.concat(F.lit("s:"), F.col("o_orderkey") % (n["supplier"] // 2) * 2)
+        function = (F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 6 == 0)
+        callee = F.when(F.col("o_orderstatus") == "P", access).when(function, F.concat(F.lit("f:"), F.col("o_orderkey") % 25)).otherwise(F.concat(F.lit("c:"), F.col("o_orderkey") % n["customer"]))
+        return self.keep(o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", callee.alias("callee_id")), "called")
 
     def edges(self) -> DataFrame:
         key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
-        parts_n = self.table("part").count()
+        parts_n = self.sizes["part"]
         values, calls, orders = self.values(), self.calls(), self.table("orders").select("o_orderkey", "o_custkey")
         of_order = values.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         edge = lambda df, kind, **v: _rows(df, EDGE_COLUMNS, type=F.lit(kind), **v)
@@ -76,19 +102,29 @@ class Projection:
             edge(self.table("supplier"), "CONTAINS", source_id=key("n:", "s_nationkey"), target_id=key("s:", "s_suppkey")),
             edge(orders, "CONTAINS", source_id=method, target_id=order),
             edge(of_order, "CONTAINS", source_id=method, target_id=_value()),
+            edge(self.table("nation"), "CONTAINS", source_id=key("r:", "n_regionkey"), target_id=key("f:", "n_nationkey")),
         ]
-        s = of_order.groupBy("o_custkey", "l_suppkey").agg(F.min("l_orderkey").alias("line"))
+        taker = self.table("customer").where("c_custkey % 4 = 0").select("c_custkey", (F.col("c_custkey") * 7 % parts_n).alias("hint"))
+        out.append(edge(taker, "CONTAINS", source_id=key("c:", "c_custkey"), target_id=key("a:", "c_custkey")))
+        out.append(edge(taker, "TYPE_HINT", source_id=key("a:", "c_custkey"), target_id=key("p:", "hint")))
+        out.append(edge(taker, "USES", source_id=key("a:", "c_custkey"), target_id=key("p:", "hint"), loc_file=F.lit("arg"), loc_line=F.col("c_custkey")))
+        s = of_order.where("l_suppkey % 2 = 1").groupBy("o_custkey", "l_suppkey").agg(F.min("l_orderkey").alias("line"))
         out.append(edge(s, "USES", source_id=method, target_id=key("s:", "l_suppkey"), loc_file=F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit("f"), F.col("l_suppkey") % 7)), loc_line=F.col("line")))
         p = of_order.groupBy("o_custkey", "l_partkey").agg(F.min("l_orderkey").alias("line"))
         out.append(edge(p, "USES", source_id=method, target_id=key("p:", "l_partkey"), loc_file=F.concat(F.lit("f"), F.col("l_partkey") % 7), loc_line=F.col("line")))
-        c = calls.where("o_orderstatus <> 'P'").groupBy("o_custkey", "callee_id").agg(F.min("o_orderkey").alias("line"))
-        out.append(edge(c, "USES", source_id=method, target_id=F.col("callee_id"), loc_file=F.lit("call"), loc_line=F.col("line")))
+        c = calls.groupBy("o_custkey", "callee_id").agg(F.min(F.struct("o_orderkey", "o_orderpriority")).alias("first"))
+        out.append(edge(c, "USES", source_id=method, target_id=F.col("callee_id"), loc_file=F.col("first.o_orderpriority"), loc_line=F.col("first.o_orderkey") % 1000))
         out.append(edge(calls, "CALLS", source_id=order, target_id=F.col("callee_id")))
         of = key("o:", "l_orderkey")
         out.append(edge(values.where("rn = 1"), "RECEIVER", source_id=of, target_id=_value()))
         called = values.join(calls, F.col("l_orderkey") == F.col("o_orderkey"))
         out.append(edge(called, "ARGUMENT", source_id=of, target_id=_value(), position=F.col("rn") - 1, expression=key("$v", "rn"), parameter=F.concat("callee_id", F.lit(".$p"), F.col("rn") - 1)))
         out.append(edge(values.where("l_returnflag = 'R'"), "PRODUCES", source_id=of, target_id=_value()))
+        made = values.where("l_returnflag = 'R' and l_orderkey % 4 = 0").join(calls, F.col("l_orderkey") + 1 == F.col("o_orderkey"))
+        out.append(edge(made, "ARGUMENT", source_id=order, target_id=_value(), position=F.lit(50) + F.col("rn"), expression=key("$v", "rn"), parameter=F.concat("callee_id", F.lit(".$p"), F.lit(50) + F.col("rn"))))
+        given = self.table("supplier").where("s_suppkey % 3 = 0")
+        out.append(edge(given, "ASSIGNED_FROM", source_id=key("s:", "s_suppkey"), target_id=key("w:", "s_suppkey")))
+        out.append(edge(given, "TYPE_OF", source_id=key("w:", "s_suppkey"), target_id=key("p:", F.col("s_suppkey") % parts_n)))
         before = values.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), (F.col("rn") + 1).alias("next"))
         local = values.where("l_returnflag = 'N'").join(before, (F.col("l_orderkey") == F.col("k")) & (F.col("rn") == F.col("next")))
         out.append(edge(local, "ASSIGNED_FROM", source_id=_value(), target_id=F.concat(F.lit("v:"), F.col("k"), F.lit(":"), F.col("next") - 1)))
@@ -100,18 +136,22 @@ class Projection:
         out.append(edge(part.where("p_partkey > 0"), "EXTENDS", source_id=key("p:", "p_partkey"), target_id=key("p:", heap("p_partkey"))))
         least = part.where("p_size <= 5").groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_partkey").alias("k"))
         out.append(edge(part.where("p_size > 5").join(F.broadcast(least), F.col("p_brand") == F.col("brand")), "IMPLEMENTS", source_id=key("p:", "p_partkey"), target_id=key("p:", "k")))
+        nation = F.col("n_nationkey")
+        out.append(edge(self.table("nation").where("n_nationkey % 5 <> 4"), "IMPLEMENTS", source_id=key("n:", nation), target_id=key("n:", nation - nation % 5 + 4)))
+        trait = part.where("p_size = 6").groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_partkey").alias("k"))
+        out.append(edge(part.where("p_size > 7 and p_partkey % 3 = 0").join(F.broadcast(trait), F.col("p_brand") == F.col("brand")), "USES_TRAIT", source_id=key("p:", "p_partkey"), target_id=key("p:", "k")))
         out.append(edge(self.table("customer").where("c_custkey > 0"), "OVERRIDES", source_id=key("c:", "c_custkey"), target_id=key("c:", heap("c_custkey"))))
         return _union(out)
 
     def flows(self) -> DataFrame:
-        customers = self.table("customer").count()
+        customers = self.sizes["customer"]
         kind = F.when(F.col("user_id") % 4 == 0, "http").when(F.col("user_id") % 4 == 1, "message").when(F.col("user_id") % 4 == 2, "event").otherwise("cli")
         u = self.table("events").select("user_id").distinct()
         return u.select(F.concat(F.lit("flow:"), kind, F.lit(":"), F.col("user_id")).alias("flow_id"), kind.alias("type"), "user_id", F.concat(F.lit("n:"), F.col("user_id") % 25).alias("class_node_id"), F.concat(F.lit("c:"), F.col("user_id") % customers).alias("method_node_id"))
 
     def emits(self) -> DataFrame:
         """One row per event: the flow that emits it, and from which call."""
-        orders = self.table("orders").count()
+        orders = self.sizes["orders"]
         event = F.col("event_type").isin("purchase", "error")
         e = self.table("events").select("user_id", "event_id", "event_type", "props").join(self.flows().select("user_id", "flow_id"), "user_id")
         label = F.when(event, "Event").otherwise("Message")
