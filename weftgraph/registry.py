@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import ProjectedGraph, endpoints, projected
-from .functions.classify import call_reference, receiver_on
+from .functions.classify import REGISTERED, call_reference
 from .functions.text import display_name, line_range, method_fqn, parameter_name
 from .operators import context as C
 from .operators import definition as D
@@ -99,7 +99,7 @@ query("containment_closure", sql("SELECT ancestor_id, distance, count(*) AS n FR
 for _t in ("class", "method"):
     query(f"nearest_{_t}", sql(f"SELECT node_id, owner_id, distance FROM g_near_{_t}", f"g_near_{_t}"))(lambda g, t=_t: getattr(g, f"nearest_{t}").select("node_id", "owner_id", "distance"))
 query("internal_refs", sql("""SELECT r.type, count(*) AS n, count(a.node_id) AS internal FROM (SELECT e.type, e.source_id, coalesce(c.owner_id, e.target_id) AS cls FROM g_edges e LEFT JOIN g_near_class c ON c.node_id = e.target_id
-WHERE e.type IN ('USES', 'EXTENDS', 'IMPLEMENTS')) r LEFT JOIN g_anc a ON a.node_id = r.source_id AND a.ancestor_id = r.cls GROUP BY r.type""", "g_edges", "g_anc", "g_near_class"))(S.internal_references)
+WHERE e.type IN ('USES', 'EXTENDS', 'IMPLEMENTS', 'USES_TRAIT')) r LEFT JOIN g_anc a ON a.node_id = r.source_id AND a.ancestor_id = r.cls GROUP BY r.type""", "g_edges", "g_anc", "g_near_class"))(S.internal_references)
 
 query("usages_direct", sql(f"""SELECT e.source_id, e.target_id, n.fqn AS source_fqn, coalesce(e.loc_file, n.file) AS file, coalesce(e.loc_line, n.start_line) AS line
 FROM (SELECT * FROM g_edges WHERE type = 'USES' AND target_id = 's:3' ORDER BY {_ORDER} LIMIT 100) e JOIN g_nodes n ON n.node_id = e.source_id""", "g_edges", "g_nodes"))(lambda g: S.usages_direct(g, "s:3"))
@@ -139,8 +139,8 @@ query("ref_type_counts", sql("SELECT type, source_kind, target_kind, ref_type, c
 
 @query("ref_type_flags", sql("""SELECT count(*) AS n, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS hinted, CAST(sum(CASE WHEN sibling THEN 1 ELSE 0 END) AS BIGINT) AS siblings FROM (
 SELECT DISTINCT e.source_id, e.target_id, EXISTS (SELECT 1 FROM g_edges h WHERE h.type = 'TYPE_HINT' AND h.source_id = e.source_id AND h.target_id = e.target_id) AS own,
-EXISTS (SELECT 1 FROM g_hint_child h JOIN g_edges c ON c.type = 'CONTAINS' AND c.source_id = h.up WHERE c.target_id = e.source_id AND h.target_id = e.target_id AND h.down_kind = 'Property') AS sibling
-FROM g_edges e JOIN g_nodes t ON t.node_id = e.target_id AND t.kind IN ('Class', 'Interface') WHERE e.type = 'USES')""", "g_edges", "g_nodes", "g_hint_child"))
+EXISTS (SELECT 1 FROM g_hint_child h JOIN g_edges c ON c.type = 'CONTAINS' AND c.source_id = h.up JOIN g_nodes m ON m.node_id = c.target_id AND m.name = '__construct' WHERE c.target_id = e.source_id AND h.target_id = e.target_id AND h.down_kind = 'Property') AS sibling
+FROM g_edges e JOIN g_nodes t ON t.node_id = e.target_id AND t.kind IN ('Class', 'Interface', 'Trait', 'Enum') WHERE e.type = 'USES')""", "g_edges", "g_nodes", "g_hint_child"))
 def _flags(g):
     from .plans.facts import type_flags
 
@@ -149,20 +149,14 @@ def _flags(g):
     return f.agg(F.count(F.lit(1)).alias("n"), one("has_return").alias("hinted"), one("has_class_property").alias("siblings"))
 
 
-query("call_kind_map", sql("""SELECT call_kind, callee_kind, CASE call_kind WHEN 'method' THEN 'method_call' WHEN 'constructor' THEN 'instantiation' WHEN 'access' THEN 'property_access' END AS ref_type, count(*) AS n FROM g_callfact GROUP BY ALL""", "g_callfact"))(
+query("call_kind_map", sql("""SELECT call_kind, callee_kind, CASE call_kind WHEN 'method' THEN 'method_call' WHEN 'method_static' THEN 'static_call' WHEN 'constructor' THEN 'instantiation' WHEN 'access' THEN 'property_access' WHEN 'access_static' THEN 'static_property' WHEN 'function' THEN 'function_call' END AS ref_type, count(*) AS n FROM g_callfact GROUP BY ALL""", "g_callfact"))(
     lambda g: _n(g.calls.withColumn("ref_type", call_reference(F.col("call_kind"), F.col("callee_kind"))), "call_kind", "callee_kind", "ref_type")
 )
-_ON = "CASE WHEN receiver_value_kind IN ('parameter', 'local') THEN receiver_name WHEN receiver_value_kind = 'result' THEN concat(receiver_name, '()') ELSE '$this' END"
-_ON_KIND = "CASE receiver_value_kind WHEN 'parameter' THEN 'param' WHEN 'local' THEN 'local' WHEN 'result' THEN 'result' ELSE 'self' END"
+_ON, _ON_KIND = "on_expr", "on_kind"
+query("receiver_on", sql("SELECT call_id, on_expr, on_kind, on_symbol FROM g_callfact", "g_callfact"))(lambda g: g.calls.select("call_id", "on_expr", "on_kind", "on_symbol"))
 
 
-@query("receiver_on", sql(f"SELECT call_id, {_ON} AS on_expr, {_ON_KIND} AS on_kind FROM g_callfact", "g_callfact"))
-def _on(g):
-    on, kind = receiver_on(F.col("receiver_name"), F.col("receiver_value_kind"))
-    return g.calls.select("call_id", on.alias("on_expr"), kind.alias("on_kind"))
-
-
-query("method_fqn", sql("SELECT node_id, CASE WHEN kind = 'Method' AND NOT ends_with(fqn, '()') THEN concat(fqn, '()') ELSE fqn END AS shown, CASE WHEN kind = 'Method' THEN concat(name, '()') WHEN kind = 'Property' AND NOT starts_with(name, '$') THEN concat('$', name) ELSE name END AS short FROM g_nodes", "g_nodes"))(
+query("method_fqn", sql("SELECT node_id, CASE WHEN kind = 'Method' AND NOT ends_with(fqn, '()') THEN concat(fqn, '()') ELSE fqn END AS shown, CASE WHEN kind IN ('Method', 'Function') THEN concat(name, '()') WHEN kind = 'Property' AND NOT starts_with(name, '$') THEN concat('$', name) ELSE name END AS short FROM g_nodes", "g_nodes"))(
     lambda g: g.nodes.select("node_id", method_fqn(F.col("fqn"), F.col("kind")).alias("shown"), display_name(F.col("kind"), F.col("name")).alias("short"))
 )
 query("param_name", sql("SELECT split_part(parameter, '.', -1) AS name, count(*) AS n FROM g_edges WHERE type = 'ARGUMENT' GROUP BY 1", "g_edges"))(lambda g: _n(g.args.withColumn("name", parameter_name(F.col("parameter"))), "name"))
@@ -198,12 +192,19 @@ WHERE r.source_kind <> 'File' AND NOT EXISTS ({_INSIDE.format('r.source_id', 'r.
 _IN = ("g_refs", "g_near_class", "g_near_method", "g_anc", "g_edges", "g_nodes")
 query("handler_method_call", sql(f"""SELECT c.source_id AS target_class, r.target_id, r.source_id, concat(r.target_name, '()') AS callee FROM incoming r JOIN g_edges c ON c.type = 'CONTAINS' AND c.target_id = r.target_id
 WHERE r.ref_type = 'method_call' AND NOT EXISTS (SELECT 1 FROM ({_INJ}) i WHERE i.target_id = c.source_id AND i.class_id = r.class_id)""", *_IN, ctes=_INCOMING))(C.handler_method_call)
-query("handler_property_groups", sql("SELECT target_id, coalesce(method_id, source_id) AS by, count(*) AS n, string_agg(CAST(coalesce(loc_line, -1) AS VARCHAR), ',' ORDER BY coalesce(loc_line, -1)) AS lines FROM incoming WHERE ref_type = 'property_access' GROUP BY 1, 2", *_IN, ctes=_INCOMING))(C.handler_property_groups)
-query("handler_param_return", sql(f"""SELECT target_id, entry_id, min(ref_type) AS ref_type, count(*) AS n FROM (SELECT *, CASE WHEN ref_type = 'return_type' AND source_kind IN ('Method', 'Function') THEN source_id WHEN source_kind IN {_TYPES} THEN source_id ELSE class_id END AS entry_id
+_AT = """sites AS (SELECT r.source_id, r.target_id, r.loc_file, r.loc_line, min(c.call_id) AS call_id FROM (SELECT DISTINCT source_id, target_id, loc_file, loc_line FROM g_edges WHERE type = 'USES') r JOIN g_callfact c ON c.scope_id = r.source_id AND c.call_file = r.loc_file
+AND (c.call_line = r.loc_line OR (c.call_kind = 'constructor' AND abs(c.call_line - r.loc_line) <= 1)) GROUP BY ALL)"""
+query("handler_property_groups", sql("""SELECT target_id, "by", on_expr, on_kind, count(*) AS n, string_agg(CAST(coalesce(loc_line, -1) AS VARCHAR), ',' ORDER BY coalesce(loc_line, -1)) AS lines FROM (
+SELECT r.target_id, coalesce(r.method_id, r.source_id) AS "by", c.on_expr, c.on_kind, r.loc_line FROM incoming r LEFT JOIN sites t ON t.source_id = r.source_id AND t.target_id = r.target_id AND t.loc_file = r.loc_file AND t.loc_line = r.loc_line
+LEFT JOIN g_callfact c ON c.call_id = t.call_id WHERE r.ref_type = 'property_access') GROUP BY 1, 2, 3, 4""", *_IN, "g_callfact", ctes=f"{_INCOMING}, {_AT}"))(C.handler_property_groups)
+query("handler_param_return", sql(f"""SELECT target_id, entry_id, arg_min(ref_type, (file, line, source_id, ref_type)) AS ref_type, count(*) AS n FROM (SELECT *, coalesce(loc_file, source_file, '') AS file, coalesce(loc_line, source_line, 0) AS line,
+CASE WHEN ref_type = 'return_type' AND source_kind IN ('Method', 'Function') THEN source_id WHEN source_kind IN {_TYPES} THEN source_id ELSE class_id END AS entry_id
 FROM incoming WHERE ref_type IN ('parameter_type', 'return_type', 'type_hint')) WHERE entry_id IS NOT NULL GROUP BY 1, 2""", *_IN, ctes=_INCOMING))(C.handler_param_return)
+_REGISTERED = "('instantiation', 'extends', 'implements', 'property_type', 'method_call', 'property_access', 'parameter_type', 'return_type', 'type_hint')"
+query("registered_refs", sql(f"SELECT ref_type, ref_type IN {_REGISTERED} AS shown, count(*) AS n FROM g_refs GROUP BY 1, 2", "g_refs"))(lambda g: _n(g.refs.withColumn("shown", F.col("ref_type").isin(*REGISTERED)), "ref_type", "shown"))
 _PRIORITY = "CASE ref_type WHEN 'instantiation' THEN 0 WHEN 'extends' THEN 1 WHEN 'implements' THEN 1 WHEN 'property_type' THEN 2 WHEN 'method_call' THEN 3 WHEN 'static_call' THEN 3 WHEN 'property_access' THEN 4 WHEN 'parameter_type' THEN 5 WHEN 'return_type' THEN 5 WHEN 'type_hint' THEN 6 ELSE 10 END"
 query("class_used_by", sql(f"""SELECT target_id, place, source_id, ref_type, CAST(priority AS BIGINT) AS priority, class_id, method_id FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target_id ORDER BY priority, coalesce(loc_file, source_file, ''), coalesce(loc_line, source_line, 0), source_id) AS BIGINT) AS place
-FROM (SELECT *, {_PRIORITY} AS priority FROM incoming r WHERE target_kind IN {_TYPES} AND NOT (ref_type = 'method_call' AND EXISTS (SELECT 1 FROM ({_INJ}) i WHERE i.target_id = r.target_id AND i.class_id = r.class_id)))) WHERE place <= 100""", *_IN, ctes=_INCOMING))(C.used_by)
+FROM (SELECT *, {_PRIORITY} AS priority FROM incoming r WHERE target_kind IN {_TYPES} AND ref_type IN {_REGISTERED} AND NOT (ref_type = 'method_call' AND EXISTS (SELECT 1 FROM ({_INJ}) i WHERE i.target_id = r.target_id AND i.class_id = r.class_id)))) WHERE place <= 100""", *_IN, ctes=_INCOMING))(C.used_by)
 query("used_by_counts", sql("SELECT target_id, ref_type, count(*) AS n, count(DISTINCT method_id) AS methods FROM incoming GROUP BY 1, 2", *_IN, ctes=_INCOMING))(C.used_by_counts)
 query("external_calls", sql(f"""SELECT k.source_id AS class_id, c.call_id, c.scope_id, c.callee_id, {_ON} AS on_expr, {_ON_KIND} AS on_kind FROM g_callfact c JOIN g_edges k ON k.type = 'CONTAINS' AND k.target_id = c.callee_id
 WHERE c.callee_kind = 'Method' AND c.receiver_id IS NOT NULL AND NOT EXISTS ({_INSIDE.format('c.call_id', 'k.source_id')})""", "g_callfact", "g_edges", "g_anc"))(C.external_calls)
@@ -213,10 +214,21 @@ query("method_callers", sql("SELECT callee_id, scope_id, min(call_line) AS line,
 query("callers_with_roots", sql("""SELECT DISTINCT m.node_id, c.scope_id FROM (SELECT node_id, node_id AS callee_id FROM g_nodes WHERE kind = 'Method' UNION ALL
 SELECT w.node_id, w.up FROM walk w WHERE NOT EXISTS (SELECT 1 FROM g_edges e WHERE e.type = 'OVERRIDES' AND e.source_id = w.up)) m JOIN g_callfact c ON c.callee_id = m.callee_id AND c.scope_kind = 'Method'""", "g_edges", "g_nodes", "g_callfact",
     ctes="walk AS (SELECT source_id AS node_id, target_id AS up, 1 AS d FROM g_edges WHERE type = 'OVERRIDES' UNION ALL SELECT w.node_id, e.target_id, w.d + 1 FROM walk w JOIN g_edges e ON e.type = 'OVERRIDES' AND e.source_id = w.up WHERE w.d < 5)"))(C.callers_with_roots)
-query("class_uses", sql(f"""SELECT class_id, used_id, CAST(min(priority) AS BIGINT) AS priority, arg_min(ref_type, concat(priority, ref_type)) AS ref_type, count(*) AS n FROM (SELECT *, {_PRIORITY} AS priority FROM (
+_HINTS = """hinted AS (SELECT class_id, used_id, min(rank) AS rank FROM (
+SELECT c.source_id AS class_id, h.target_id AS used_id, CASE m.kind WHEN 'Property' THEN 1 ELSE 3 END AS rank FROM g_edges c JOIN g_nodes m ON m.node_id = c.target_id AND m.kind IN ('Property', 'Method') JOIN g_edges h ON h.type = 'TYPE_HINT' AND h.source_id = m.node_id WHERE c.type = 'CONTAINS'
+UNION ALL SELECT c.source_id, h.target_id, 2 FROM g_edges c JOIN g_nodes m ON m.node_id = c.target_id AND m.kind = 'Method' JOIN g_edges d ON d.type = 'CONTAINS' AND d.source_id = m.node_id JOIN g_nodes a ON a.node_id = d.target_id AND a.kind = 'Argument'
+JOIN g_edges h ON h.type = 'TYPE_HINT' AND h.source_id = a.node_id WHERE c.type = 'CONTAINS') GROUP BY 1, 2),
+made AS (SELECT DISTINCT c.source_id AS class_id, k.source_id AS used_id FROM g_callfact x JOIN g_edges k ON k.type = 'CONTAINS' AND k.target_id = x.callee_id JOIN g_edges c ON c.type = 'CONTAINS' AND c.target_id = x.scope_id WHERE x.call_kind = 'constructor'),
+level AS (SELECT source_id AS class_id, target_id AS used_id, ref_type FROM g_refs WHERE type IN ('EXTENDS', 'IMPLEMENTS', 'USES_TRAIT'))"""
+query("hinted_types", sql("SELECT class_id, used_id, CASE rank WHEN 1 THEN 'property_type' WHEN 2 THEN 'parameter_type' ELSE 'return_type' END AS hint FROM hinted", "g_refs", "g_edges", "g_callfact", "g_nodes", ctes=_HINTS))(C.hinted_types)
+query("class_uses", sql(f"""SELECT class_id, used_id, ref_type, CAST(CASE WHEN ref_type IN ('extends', 'implements', 'uses_trait') THEN 0 WHEN ref_type = 'property_type' THEN 1 WHEN ref_type IN ('parameter_type', 'return_type') THEN 2 WHEN ref_type = 'instantiation' THEN 3 WHEN ref_type = 'type_hint' THEN 4
+WHEN ref_type IN ('method_call', 'property_access') THEN 5 ELSE 99 END AS BIGINT) AS priority, n FROM (SELECT class_id, used_id, arg_min(ref_type, (CASE WHEN ref_type IN ('extends', 'implements', 'uses_trait') THEN -1 WHEN ref_type = 'instantiation' THEN 0 WHEN ref_type = 'property_type' THEN 1
+WHEN ref_type IN ('method_call', 'property_access') THEN 2 WHEN ref_type = 'parameter_type' THEN 3 WHEN ref_type = 'return_type' THEN 4 WHEN ref_type = 'type_hint' THEN 5 ELSE 10 END, ref_type)) AS ref_type, count(*) AS n FROM (
+SELECT u.class_id, u.used_id, CASE WHEN h.rank IN (1, 3) THEN CASE h.rank WHEN 1 THEN 'property_type' ELSE 'return_type' END WHEN m.class_id IS NOT NULL THEN 'instantiation' WHEN h.rank = 2 THEN 'parameter_type' ELSE u.ref_type END AS ref_type FROM (
 SELECT c.source_id AS class_id, CASE WHEN r.target_kind IN {_TYPES} THEN r.target_id ELSE o.source_id END AS used_id, r.ref_type FROM g_refs r JOIN g_edges c ON c.type = 'CONTAINS' AND c.target_id = r.source_id
-LEFT JOIN g_edges o ON o.type = 'CONTAINS' AND o.target_id = r.target_id WHERE r.type = 'USES'
-UNION ALL SELECT source_id, target_id, ref_type FROM g_refs WHERE type IN ('EXTENDS', 'IMPLEMENTS')) WHERE used_id IS NOT NULL AND used_id <> class_id) GROUP BY 1, 2""", "g_refs", "g_edges"))(C.class_uses)
+LEFT JOIN g_edges o ON o.type = 'CONTAINS' AND o.target_id = r.target_id WHERE r.type = 'USES') u LEFT JOIN hinted h USING (class_id, used_id) LEFT JOIN made m USING (class_id, used_id)
+WHERE u.used_id IS NOT NULL AND u.used_id <> u.class_id AND NOT EXISTS (SELECT 1 FROM level l WHERE l.class_id = u.class_id AND l.used_id = u.used_id)
+UNION ALL SELECT class_id, used_id, ref_type FROM level) GROUP BY 1, 2)""", "g_refs", "g_edges", "g_callfact", "g_nodes", ctes=_HINTS))(C.class_uses)
 
 # --- interfaces ---
 
@@ -231,7 +243,7 @@ LEFT JOIN (SELECT DISTINCT target_id AS callee_id FROM g_edges WHERE type = 'CAL
 
 # --- methods, properties, values ---
 
-query("exec_flow_level1", sql("""SELECT scope_id, call_id, callee_id, CASE call_kind WHEN 'method' THEN 'method_call' WHEN 'constructor' THEN 'instantiation' ELSE 'property_access' END AS ref_type, local_id, local_type_id FROM (
+query("exec_flow_level1", sql("""SELECT scope_id, call_id, callee_id, CASE call_kind WHEN 'method' THEN 'method_call' WHEN 'method_static' THEN 'static_call' WHEN 'constructor' THEN 'instantiation' WHEN 'access' THEN 'property_access' WHEN 'access_static' THEN 'static_property' WHEN 'function' THEN 'function_call' END AS ref_type, local_id, local_type_id FROM (
 SELECT *, row_number() OVER (PARTITION BY scope_id, callee_id ORDER BY call_id) AS k FROM g_callfact WHERE scope_kind = 'Method' AND callee_id <> scope_id) WHERE k = 1""", "g_callfact"))(C.execution_flow)
 query("orphan_filter", sql("""SELECT a.call_id, a.scope_id, a.callee_id FROM g_callfact a WHERE a.callee_kind = 'Property' AND NOT EXISTS (SELECT 1 FROM g_edges x JOIN g_callfact o ON o.call_id = x.source_id
 WHERE x.type = 'ARGUMENT' AND o.scope_id = a.scope_id AND o.call_id <> a.call_id AND contains(x.expression, ltrim(a.callee_name, '$')))""", "g_callfact", "g_edges"))(C.orphan_accesses)
@@ -253,7 +265,7 @@ query("definition_parents", sql("SELECT n.node_id, n.kind, n.fqn, e.source_id AS
 query("definition_children", sql("SELECT e.source_id, n.kind AS child_kind, count(*) AS n, arg_min(e.target_id, n.node_ord) AS first_child FROM g_edges e JOIN g_nodes n ON n.node_id = e.target_id WHERE e.type = 'CONTAINS' GROUP BY 1, 2", "g_edges", "g_nodes"))(D.children)
 query("definition_types", sql("SELECT e.source_id, e.type, string_agg(DISTINCT n.fqn, '|' ORDER BY n.fqn) AS fqn, count(*) AS n FROM g_edges e JOIN g_nodes n ON n.node_id = e.target_id WHERE e.type IN ('TYPE_HINT', 'TYPE_OF') GROUP BY 1, 2", "g_edges", "g_nodes"))(D.types)
 query("definition_supertypes", sql("""SELECT e.source_id, coalesce(string_agg(DISTINCT CASE WHEN type = 'EXTENDS' THEN n.fqn END, '|' ORDER BY CASE WHEN type = 'EXTENDS' THEN n.fqn END), '') AS extends,
-coalesce(string_agg(DISTINCT CASE WHEN type = 'IMPLEMENTS' THEN n.fqn END, '|' ORDER BY CASE WHEN type = 'IMPLEMENTS' THEN n.fqn END), '') AS implements, '' AS traits FROM g_edges e JOIN g_nodes n ON n.node_id = e.target_id WHERE e.type IN ('EXTENDS', 'IMPLEMENTS') GROUP BY 1""", "g_edges", "g_nodes"))(D.supertypes)
+coalesce(string_agg(DISTINCT CASE WHEN type = 'IMPLEMENTS' THEN n.fqn END, '|' ORDER BY CASE WHEN type = 'IMPLEMENTS' THEN n.fqn END), '') AS implements, coalesce(string_agg(DISTINCT CASE WHEN type = 'USES_TRAIT' THEN n.fqn END, '|' ORDER BY CASE WHEN type = 'USES_TRAIT' THEN n.fqn END), '') AS traits FROM g_edges e JOIN g_nodes n ON n.node_id = e.target_id WHERE e.type IN ('EXTENDS', 'IMPLEMENTS', 'USES_TRAIT') GROUP BY 1""", "g_edges", "g_nodes"))(D.supertypes)
 query("definition_flags", sql("SELECT n.node_id, e.source_id IS NOT NULL AS is_override, n.name = '__construct' AS is_constructor, CAST(CASE WHEN e.source_id IS NOT NULL THEN 0 ELSE 2 END AS BIGINT) AS place FROM g_nodes n LEFT JOIN (SELECT DISTINCT source_id FROM g_edges WHERE type = 'OVERRIDES') e ON e.source_id = n.node_id WHERE n.kind = 'Method'", "g_nodes", "g_edges"))(D.method_flags)
 query("value_types", sql("SELECT n.node_id, n.value_kind, t.fqn AS type_fqn, m.owner_id AS scope_id FROM g_nodes n LEFT JOIN g_edges e ON e.type = 'TYPE_OF' AND e.source_id = n.node_id LEFT JOIN g_nodes t ON t.node_id = e.target_id LEFT JOIN g_near_method m ON m.node_id = n.node_id WHERE n.kind = 'Value'", "g_nodes", "g_edges", "g_near_method"))(lambda g: D.value_types(g).select("node_id", "value_kind", "type_fqn", "scope_id"))
 
@@ -381,8 +393,8 @@ from .streaming.reconcile import emit_counts  # noqa: E402
 query("override_methods", sql("SELECT e.source_id AS method_id, e.target_id AS parent_id, a.source_id AS class_id, b.source_id AS parent_class_id FROM g_edges e JOIN g_edges a ON a.type = 'CONTAINS' AND a.target_id = e.source_id JOIN g_edges b ON b.type = 'CONTAINS' AND b.target_id = e.target_id WHERE e.type = 'OVERRIDES'", "g_edges"))(lambda g: T.override_methods(g).select("method_id", "parent_id", "class_id", "parent_class_id"))
 query("interface_methods", sql("SELECT i.node_id AS interface_id, m.node_id AS method_id, m.name AS method_name FROM g_nodes i JOIN g_edges e ON e.type = 'CONTAINS' AND e.source_id = i.node_id JOIN g_nodes m ON m.node_id = e.target_id AND m.kind = 'Method' WHERE i.kind = 'Interface'", "g_nodes", "g_edges"))(lambda g: T.interface_methods(g).select("interface_id", "method_id", "method_name"))
 query("signature_types", sql("SELECT m.node_id AS method_id, t.node_id AS type_id, t.name AS type_name, c.source_id AS class_id FROM g_nodes m JOIN g_edges e ON e.type = 'TYPE_HINT' AND e.source_id = m.node_id JOIN g_nodes t ON t.node_id = e.target_id JOIN g_edges c ON c.type = 'CONTAINS' AND c.target_id = m.node_id WHERE m.kind = 'Method'", "g_nodes", "g_edges"))(lambda g: T.signature_types(g).select("method_id", "type_id", "type_name", "class_id"))
-query("source_chains", sql("""SELECT a.source_id AS call_id, a.position, a.target_id AS value_id, p.source_id AS source_call_id, CASE WHEN c.callee_kind = 'Method' THEN concat(c.callee_name, '()') ELSE c.callee_name END AS made_by,
-CASE c.call_kind WHEN 'method' THEN 'method_call' WHEN 'constructor' THEN 'instantiation' ELSE 'property_access' END AS ref_type FROM g_edges a JOIN g_edges p ON p.type = 'PRODUCES' AND p.target_id = a.target_id JOIN g_callfact c ON c.call_id = p.source_id WHERE a.type = 'ARGUMENT'""", "g_edges", "g_callfact"))(lambda g: T.source_chains(g).select("call_id", "position", "value_id", "source_call_id", "made_by", "ref_type"))
+query("source_chains", sql("""SELECT a.source_id AS call_id, a.position, a.target_id AS value_id, p.source_id AS source_call_id, CASE WHEN c.callee_kind IN ('Method', 'Function') THEN concat(c.callee_name, '()') ELSE c.callee_name END AS made_by,
+CASE c.call_kind WHEN 'method' THEN 'method_call' WHEN 'method_static' THEN 'static_call' WHEN 'constructor' THEN 'instantiation' WHEN 'access' THEN 'property_access' WHEN 'access_static' THEN 'static_property' WHEN 'function' THEN 'function_call' END AS ref_type FROM g_edges a JOIN g_edges p ON p.type = 'PRODUCES' AND p.target_id = a.target_id JOIN g_callfact c ON c.call_id = p.source_id WHERE a.type = 'ARGUMENT'""", "g_edges", "g_callfact"))(lambda g: T.source_chains(g).select("call_id", "position", "value_id", "source_call_id", "made_by", "ref_type"))
 query("argument_keys", sql("SELECT a.source_id AS call_id, a.target_id AS value_id, replace(a.parameter, '::__construct().', '::') AS key, a.expression AS shown, v.value_kind FROM g_edges a JOIN g_nodes v ON v.node_id = a.target_id WHERE a.type = 'ARGUMENT'", "g_edges", "g_nodes"))(T.argument_keys)
 _DEPS = f"deps AS (SELECT c.source_id AS class_id, u.source_id AS member_id, u.target_id FROM g_edges u JOIN g_nodes m ON m.node_id = u.source_id AND m.kind IN ('Method', 'Property') JOIN g_edges c ON c.type = 'CONTAINS' AND c.target_id = u.source_id WHERE u.type = 'USES' AND NOT EXISTS ({_INSIDE.format('u.target_id', 'c.source_id')}))"
 _TC = f"tc AS (SELECT t.target_id, CASE WHEN n.kind IN {_TYPES} THEN t.target_id ELSE o.node_id END AS class_id FROM (SELECT DISTINCT target_id FROM g_edges WHERE type = 'USES') t JOIN g_nodes n ON n.node_id = t.target_id LEFT JOIN (SELECT e.target_id, c.node_id FROM g_edges e JOIN g_nodes c ON c.node_id = e.source_id AND c.kind IN {_TYPES} WHERE e.type = 'CONTAINS') o ON o.target_id = t.target_id)"
@@ -396,7 +408,7 @@ query("return_flows", sql("SELECT e.target_id AS result_id, e.source_id AS local
 query("class_expansion", sql("SELECT node_id, min(depth) AS depth FROM walk GROUP BY node_id HAVING min(depth) > 0", "g_edges", "g_nodes", "g_anc",
     ctes=f"{_DEPS}, {_TC}, hop AS (SELECT source_id AS a, target_id AS b FROM g_edges WHERE type = 'EXTENDS' UNION SELECT d.class_id, t.class_id FROM deps d JOIN tc t ON t.target_id = d.target_id WHERE t.class_id IS NOT NULL), walk AS (SELECT 'n:3' AS node_id, CAST(0 AS BIGINT) AS depth UNION SELECT h.b, w.depth + 1 FROM walk w JOIN hop h ON h.a = w.node_id WHERE w.depth < 2)"))(lambda g: T.class_expansion(g, "n:3"))
 query("ranked_references", sql(f"SELECT target_id, count(*) AS n, CAST(min({_PRIORITY}) AS BIGINT) AS best, count(DISTINCT ref_type) AS kinds FROM g_refs GROUP BY 1", "g_refs"))(T.ranked_references)
-query("calls_at_line", sql("SELECT r.source_id, r.target_id, c.call_id FROM g_refs r JOIN g_callfact c ON c.scope_id = r.source_id WHERE r.type = 'USES' AND r.loc_line IS NOT NULL AND (c.call_line = r.loc_line % 1000 OR (c.call_kind = 'constructor' AND abs(c.call_line - r.loc_line % 1000) <= 1))", "g_refs", "g_callfact"))(T.calls_at_line)
+query("calls_at_line", sql("SELECT source_id, target_id, loc_line, call_id FROM sites", "g_edges", "g_callfact", ctes=_AT))(lambda g: C.reference_calls(g).select("source_id", "target_id", "loc_line", "call_id"))
 query("methods_in_order", sql("SELECT e.source_id AS class_id, count(*) AS n, string_agg(m.node_id, ',' ORDER BY m.start_line, m.node_id) AS methods FROM g_edges e JOIN g_nodes m ON m.node_id = e.target_id AND m.kind = 'Method' WHERE e.type = 'CONTAINS' GROUP BY 1", "g_edges", "g_nodes"))(T.methods_in_order)
 
 
@@ -416,3 +428,5 @@ query("explanation_upsert", "SELECT concat('c:', c_custkey) AS node_id, CASE WHE
 query("event_windows", "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(
     lambda g: emit_counts(g.source.table("events")).select(F.unix_timestamp(F.col("window.start")).alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 )
+
+from . import registry_members  # noqa: E402, F401
