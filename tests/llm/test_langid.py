@@ -30,21 +30,28 @@ def test_gradients_are_right():
             assert abs((up - down) / 2e-2 - g[at]) < 2e-3 * max(1, abs(g[at]) * 10), name
 
 
-def test_pooling_equals_reading_word_by_word():
+def test_pooling_equals_reading_window_by_window(monkeypatch):
+    monkeypatch.setattr(L, "SPAN", 20)
+    monkeypatch.setattr(L, "READ", 7)
     net = L.Network(4, 3)
-    texts = ["ab cd ab\n" + "z" * 60, "", "  ", "é ab"]
+    net.out = net.out * 3
+    texts = ["ab cd ab\n" + "z" * 60, "", "  ", "é ab", "x" * 20, "The quick brown fox " * 40]
     raw = [t.encode() for t in texts]
     offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    reader = L.Reader(net)
-    for _ in range(2):
-        got = reader.pooled(np.frombuffer(b"".join(raw), np.uint8), offs)
-        for i, r in enumerate(raw):
-            total, n = np.zeros(4), 0
-            for w in r.split():
-                for p in L.pieces(w):
-                    total += net.probabilities(L.symbols([p]))[1:-1, 0].sum(0)
-                    n += len(p)
-            assert np.allclose(got[i], total / max(n, 1), atol=1e-5)
+    got = L.pooled(net, np.frombuffer(b"".join(raw), np.uint8), offs)
+    for i, r in enumerate(raw):
+        total = np.zeros(4)
+        for at in range(0, len(r), 20):
+            begin, end = max(0, at - L.MARGIN), min(len(r), at + 20 + L.MARGIN)
+            p = net.probabilities(L.symbols([r[begin:end]]))[:, 0]
+            total += p[at - begin : min(at + 20, len(r)) - begin].sum(0)
+        assert np.allclose(got[i], total / max(len(r), 1), atol=1e-5)
+
+
+def test_state_crosses_words():
+    net = L.Network(3, 5)
+    one, two = (net.probabilities(L.symbols([t]))[-3:, 0] for t in (b"aa the", b"zz the"))
+    assert not np.allclose(one, two, atol=1e-6)
 
 
 def test_held_out_accuracy(spark, sf):

@@ -1,17 +1,18 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-A text is read word by word: the network starts anew at each word (runs of more than PIECE bytes in
-pieces of that length), sees its bytes between two edge marks, and labels every position. A document's
-probabilities are the mean over all its positions. As a word's labels don't depend on its neighbours, a
-worker computes each distinct word once and keeps the sums; whole texts are pooled, no prefixes.
+A text is read as UTF-8 bytes, spaces and all, in windows of SPAN bytes that overlap: the network sees MARGIN
+bytes more on either side, as far as the text goes, so its state crosses words and each position is labelled
+with at least that much of its surroundings. A document's probabilities are the mean over all its positions;
+whole texts are pooled, no prefixes.
 
-Training: backpropagation through time over words of a sample of at most SAMPLE documents a language
-(those whose ids hash lowest), from rows whose crc32(doc_id) mod 4 is not 2 and whose lang isn't null;
-at most WORDS words a language reach the driver, so its memory doesn't grow with the corpus.
+Training: backpropagation through time over stretches of TRAIN bytes of a sample of at most SAMPLE documents
+a language (those whose ids hash lowest), from rows whose crc32(doc_id) mod 4 is not 2 and whose lang isn't
+null; at most STRETCHES a language reach the driver, so its memory doesn't grow with the corpus.
 
 Defined results: null text and text without a letter are ``und`` with score 0; letters outside the
-training languages get some learned label; without training rows all are ``und``; other columns are
-ignored; ties go to the label first in order.
+training languages get some learned label; without training rows all are ``und``; a text of any length is read
+a few windows at a time; repeated rows each get their answer; other columns are ignored; ties go to the label
+first in order.
 """
 
 from __future__ import annotations
@@ -24,15 +25,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import rolling as R
-from .common import SPACES, held, table, text_slices
+from .common import table, text_slices
 
-SAMPLE, WORDS = 600, 12_000
-PIECE = 24
-DIM, HIDDEN = 12, 24
-EPOCHS, BATCH, RATE = 5, 128, 4e-3
-#: Words that a worker keeps.
-KEEP = 1_000_000
+SAMPLE, STRETCHES, TRAIN = 600, 1500, 64
+SPAN, MARGIN = 224, 16
+#: Windows read at once; their lengths are rounded up to STEP.
+READ, STEP = 1024, 16
+DIM, HIDDEN = 8, 8
+EPOCHS, BATCH, RATE = 4, 64, 1e-2
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}")
 
@@ -46,7 +46,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Two GRUs over bytes (0 is the edge mark) and a linear label for every position."""
+    """Two GRUs over bytes and a linear label for every position. Input is a byte plus 1; 0 stands outside the
+    text and puts the state to 0, where it begins."""
 
     NAMES = ("emb", "wf", "uf", "bf", "wb", "ub", "bb", "out", "ob")
 
@@ -72,7 +73,7 @@ class Network:
         return net
 
     def _run(self, x: np.ndarray, d: str, keep: bool):
-        """States (T, N, H) of one direction over inputs x (T, N); all words of a batch are as long."""
+        """States (T, N, H) of one direction over inputs x (T, N), none of them 0."""
         w, u, b = getattr(self, "w" + d), getattr(self, "u" + d), getattr(self, "b" + d)
         table = self.emb @ w + b
         steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
@@ -132,18 +133,61 @@ class Network:
         return [grad[n] for n in self.NAMES]
 
 
-def symbols(words: list[bytes]) -> np.ndarray:
-    """Words of one length as network input (T, N): bytes from 1 on, edge marks around."""
-    x = np.zeros((len(words[0]) + 2, len(words)), np.int64)
-    x[1:-1] = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1).T.astype(np.int64) + 1
-    return x
-
-
-def train(words: list[bytes], labels: np.ndarray, kinds: int, seed: int = 1) -> Network:
-    """Adam over batches of words of one length."""
+    def _gates(self, d: str) -> tuple[np.ndarray, np.ndarray]:
+        """What each input adds to the gates (3H, 257), halved for the sigmoids' tanh, and the state's part (3H, H)."""
+        scale = np.repeat(np.array([0.5, 1], np.float32), [2 * HIDDEN, HIDDEN])[:, None]
+        adds = (self.emb @ getattr(self, "w" + d) + getattr(self, "b" + d)).T * scale
+        adds[:, 0] = np.repeat(np.array([-30, 0], np.float32), [2 * HIDDEN, HIDDEN])
+        return np.ascontiguousarray(adds), np.ascontiguousarray(getattr(self, "u" + d).T * scale)
+
+    def sums(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Per column of x (T, N): the sum of P(label) over its positions lo to hi - 1, as (N, labels).
+        One state after the other; columns side by side, so that each step works on long rows."""
+        T, N, H = len(x), x.shape[1], HIDDEN
+        total, back = np.zeros((len(self.ob), N), np.float32), np.empty((T, H, N), np.float32)
+        out = np.ascontiguousarray(self.out.T)
+        a, g = np.empty((3 * H, N), np.float32), np.empty((3 * H, N), np.float32)
+        for d in "bf":
+            adds, u = self._gates(d)
+            h = np.zeros((H, N), np.float32)
+            for t in range(T - 1, -1, -1) if d == "b" else range(T):
+                np.take(adds, x[t], axis=1, out=a, mode="clip")
+                np.matmul(u, h, out=g)
+                zr = a[: 2 * H]
+                zr += g[: 2 * H]
+                np.tanh(zr, out=zr)
+                zr *= 0.5
+                zr += 0.5
+                c = g[2 * H :]
+                c *= zr[H:]
+                c += a[2 * H :]
+                np.tanh(c, out=c)
+                h -= c
+                h *= zr[:H]
+                h += c
+                if d == "b":
+                    back[t] = h
+                    continue
+                y = out[:, :H] @ h
+                y += out[:, H:] @ back[t]
+                y += self.ob[:, None]
+                y -= y.max(axis=0)
+                np.exp(y, out=y)
+                y *= ((lo <= t) & (t < hi)) / y.sum(axis=0)
+                total += y
+        return total.T
+
+
+def symbols(parts: list[bytes]) -> np.ndarray:
+    """Stretches of one length as network input (T, N)."""
+    return np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), -1).T.astype(np.int64) + 1
+
+
+def train(parts: list[bytes], labels: np.ndarray, kinds: int, seed: int = 1) -> Network:
+    """Adam over batches of stretches of one length."""
     net, rng = Network(kinds, seed), np.random.default_rng(seed)
     by: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
+    for i, w in enumerate(parts):
         by.setdefault(len(w), []).append(i)
     m, v, step = [np.zeros_like(w) for w in net.weights], [np.zeros_like(w) for w in net.weights], 0
     for epoch in range(EPOCHS):
@@ -154,7 +198,7 @@ def train(words: list[bytes], labels: np.ndarray, kinds: int, seed: int = 1) ->
         rate = RATE * (1 - epoch / EPOCHS) + RATE / 20
         for k in rng.permutation(len(batches)):
             some, step = batches[k], step + 1
-            grads = net.gradients(symbols([words[i] for i in some]), labels[some])
+            grads = net.gradients(symbols([parts[i] for i in some]), labels[some])
             for w, g, a, b in zip(net.weights, grads, m, v):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
@@ -162,61 +206,35 @@ def train(words: list[bytes], labels: np.ndarray, kinds: int, seed: int = 1) ->
     return net
 
 
-def pieces(word: bytes) -> list[bytes]:
-    return [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
-
-
-class Reader:
-    """Pools labels over texts; keeps the sums of words by their hash, in sorted arrays."""
-
-    def __init__(self, net: Network):
-        self.net, self.kinds = net, len(net.ob)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros((0, self.kinds), np.float32)
-
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """Sum over a word's positions of P(label); pieces of long words are read apart."""
-        out = np.zeros((len(words), self.kinds), np.float32)
-        by: dict[int, list[tuple[int, bytes]]] = {}
-        for i, w in enumerate(words):
-            for p in pieces(w):
-                by.setdefault(len(p), []).append((i, p))
-        for own in by.values():
-            for at in range(0, len(own), 2048):
-                some = own[at : at + 2048]
-                y = self.net.probabilities(symbols([p for _, p in some]))[1:-1].sum(0)
-                np.add.at(out, [i for i, _ in some], y)
-        return out
-
-    def pooled(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """P(label) of each document, 0 for those without words."""
-        starts, ends, first = R.word_spans(data, offs)
-        hashes = R.word_hashes(data, starts, ends)
-        keys, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        sums = np.zeros((len(keys), self.kinds), np.float32)
-        sums[known] = self.sums[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = data.tobytes()
-            sums[new] = self.word_sums([raw[s:e] for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
-            if len(self.keys) + len(new) > KEEP:
-                self._forget()
-                at = np.zeros(len(keys), np.int64)
-            self.keys = np.insert(self.keys, at[new], keys[new])
-            self.sums = np.insert(self.sums, at[new], sums[new], axis=0)
-        total = np.zeros((len(offs) - 1, self.kinds))
-        full = first[1:] > first[:-1]
-        if full.any():
-            total[full] = np.add.reduceat(sums[back].astype(np.float64), first[:-1][full], axis=0)
-            n = np.add.reduceat(ends - starts, first[:-1][full])
-            total[full] /= n[:, None]
-        return total
+def pooled(net: Network, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """P(label) of each document, 0 for those without bytes."""
+    sizes = np.diff(offs)
+    n = -(-sizes // SPAN)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    core = offs[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * SPAN
+    end = np.minimum(core + SPAN, offs[doc + 1])
+    first, last = np.maximum(core - MARGIN, offs[doc]), np.minimum(end + MARGIN, offs[doc + 1])
+    length = -(-(last - first) // STEP) * STEP
+    order = np.argsort(length, kind="stable")
+    total = np.zeros((len(sizes), len(net.ob)))
+    for at in range(0, len(order), READ):
+        some = order[at : at + READ]
+        place = first[some] + np.arange(length[some[-1]])[:, None]
+        x = np.where(place < last[some], data[np.minimum(place, len(data) - 1)].astype(np.int64) + 1, 0)
+        np.add.at(total, doc[some], net.sums(x, core[some] - first[some], end[some] - first[some]))
+    return total / np.maximum(sizes, 1)[:, None]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, part) for each stretch of TRAIN bytes that has a letter of any script."""
+    for b in batches:
+        langs, texts = b.column(b.schema.get_field_index("lang")), b.column(b.schema.get_field_index("text"))
+        for lang, text in zip(langs, texts):
+            raw = text.as_py().encode()
+            for at in range(0, len(raw), TRAIN * READ):
+                parts = [raw[i : i + TRAIN] for i in range(at, min(at + TRAIN * READ, len(raw)), TRAIN)]
+                parts = [p for p in parts if _letter.search(p.decode(errors="ignore"))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(parts), pa.string()), pa.array(parts, pa.binary())], ["lang", "part"])
 
 
 def learn(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
@@ -227,33 +245,27 @@ def learn(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
         return [], []
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = own.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE).select("doc_id", F.col("lang").alias("kind"))
-    texts = docs.select("doc_id", "lang", "text").join(ids, "doc_id").where("lang = kind")
-    words = texts.select("lang", F.explode(F.split("text", SPACES)).alias("word")).where(F.col("word").rlike(r"\p{L}")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    often = Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("word"), "word")
-    words = words.select("lang", F.substring("word", 1, 64).alias("word"), "n").withColumn("k", F.row_number().over(often)).where(F.col("k") <= WORDS)
-    number, found = {k: i for i, k in enumerate(kinds)}, []
-    for r in words.orderBy("lang", "k").collect():
-        found += [(p, number[r.lang]) for p in pieces(r.word.encode()) for _ in range(min(3, 1 + int(np.log2(r.n)) // 3))]
-    net = train([w for w, _ in found], np.array([i for _, i in found]), len(kinds))
+    texts = docs.select("doc_id", "lang", "text").join(ids, "doc_id").where("lang = kind").select("lang", "text")
+    parts = texts.mapInArrow(_stretches, "lang string, part binary").distinct()
+    some = Window.partitionBy("lang").orderBy(F.xxhash64("part"), "part")
+    parts = parts.withColumn("k", F.row_number().over(some)).where(F.col("k") <= STRETCHES)
+    number, found = {k: i for i, k in enumerate(kinds)}, [(bytes(r.part), r.lang) for r in parts.orderBy("lang", "k").collect()]
+    net = train([p for p, _ in found], np.array([number[k] for _, k in found], np.int64), len(kinds))
     return kinds, net.weights
 
 
-def _reader(weights: list[np.ndarray]) -> Reader:
-    """One reader a worker, kept from task to task."""
-    return held(("langid", hash(tuple(w.tobytes() for w in weights))), lambda: Reader(Network.of(weights)))
-
-
 def predict(docs: DataFrame, model: tuple[list[str], list[np.ndarray]]) -> DataFrame:
     """Per row of docs: doc_id, held_out, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, weights = shared.value
+        net = Network.of(weights) if kinds else None
         for b in batches:
             names, scores = [], []
             texts = b.column(b.schema.get_field_index("text"))
-            for at, rows, data, offs in text_slices(b, "text", holds=True):
-                p = _reader(weights).pooled(data, offs) if kinds else np.zeros((rows, 1))
+            for at, rows, data, offs in text_slices(b, "text"):
+                p = pooled(net, data, offs) if kinds else np.zeros((rows, 1))
                 best = p.argmax(1)
                 for i in range(rows):
                     t = texts[at + i].as_py()
