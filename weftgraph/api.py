@@ -68,7 +68,9 @@ class Api:
         return {"target": target(node), "chain": [target(r) for r in rows]}
 
     def _adjacent(self, start: str, pairs: DataFrame, depth: int, limit: int) -> dict[str, list[tuple[str, dict]]]:
-        """Edges out of every node within depth - 1 hops, in order, ``limit`` at most of each."""
+        """Edges out of every node within depth - 1 hops, in order; of each node those that a walk of ``limit``
+        entries can come to. It takes at most limit of a node's edges and passes over those to at most limit + 1
+        nodes that it has visited, so it needs the first 2 * limit + 2 neighbours, limit edges to each."""
         from pyspark.sql import Window
 
         root = self.g.nodes.where(F.col("node_id") == start).select(F.col("node_id").alias("root_id"), "node_id")
@@ -76,9 +78,12 @@ class Api:
         if depth > 1:
             near = near.union(expand(root, pairs.select("node_id", "next_id").distinct(), depth - 1, self.g.keep).select("node_id"))
         order = [F.asc_nulls_last("loc_file"), F.asc_nulls_last("loc_line"), "next_id"]
-        k = F.row_number().over(Window.partitionBy("node_id").orderBy(*order))
-        # visited nodes are skipped without being counted, so a node may need more than limit edges
-        rows = pairs.join(near.distinct(), "node_id", "left_semi").withColumn("k", k).orderBy("node_id", "k").collect()
+        by_node = Window.partitionBy("node_id")
+        again = F.row_number().over(Window.partitionBy("node_id", "next_id").orderBy(*order))
+        k = F.row_number().over(by_node.orderBy(*order))
+        rows = pairs.join(near.distinct(), "node_id", "left_semi").withColumn("again", again).where(F.col("again") <= limit)
+        rows = rows.withColumn("others", F.sum((F.col("again") == 1).cast("int")).over(by_node.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.where(F.col("others") <= 2 * limit + 2).withColumn("k", k).drop("again", "others").orderBy("node_id", "k").collect()
         out: dict[str, list[tuple[str, dict]]] = {}
         for r in rows:
             out.setdefault(r.node_id, []).append((r.next_id, r.asDict()))
@@ -295,14 +300,14 @@ class Api:
         else:
             return []
         known: dict[str, list[tuple[str, dict]]] = {}
-        level = [node.node_id]
+        level = [(node.node_id, frozenset([node.node_id]))]
         for _ in range(depth):
-            new = []
-            for a, b, e in fetch(level) if level else []:
-                known.setdefault(a, []).append((b, e))
-                if b not in known:
-                    new.append(b)
-            level = sorted(set(new) - set(known))[: 50 * limit]
+            ids = sorted({n for n, _ in level} - known.keys())
+            known |= {n: [] for n in ids}
+            for a, b, e in fetch(ids) if ids else []:
+                known[a].append((b, e))
+            # the walk enters a level from its first place on, and limit places of it at most
+            level = [(b, path | {b}) for n, path in level for b, _ in known[n] if b not in path][:limit]
         found = by_path(node.node_id, lambda n: known.get(n, []), depth, limit)
         out = self._tree(found, self._show_reference)
         if impl and node.kind == "Interface":

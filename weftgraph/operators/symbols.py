@@ -26,26 +26,32 @@ def stages(query: str) -> list:
     return [F.col("fqn") == q, F.lower("fqn") == q.lower(), F.col("fqn").endswith(q) & fuzzy, (F.col("name") == short) & fuzzy, (F.col("name") == bare) & fuzzy if bare != short else F.lit(False), F.col("fqn").contains(q) & fuzzy]
 
 
-def resolve(g: Graph, query: str) -> DataFrame:
-    """Nodes of the first stage with hits, in document order, with the stage (from 1). Stages from the third
-    on give FUZZY_LIMIT nodes at most; an exact hit on a value hides arguments of that name."""
-    stage = F.lit(None).cast("long")
-    for i, s in reversed(list(enumerate(stages(query), 1))):
-        stage = F.when(s, F.lit(i).cast("long")).otherwise(stage)
-    hits = g.nodes.withColumn("stage", stage).where("stage is not null")
-    best = hits.agg(F.min("stage").alias("stage"), F.max(F.when(F.col("stage") == 1, F.col("kind") == "Value")).alias("value"))
-    hits = hits.join(F.broadcast(best), "stage")  # one row
-    hits = hits.where(~((F.col("stage") == 1) & F.coalesce("value", F.lit(False)) & (F.col("kind") == "Argument"))).drop("value")
-    exact = hits.where("stage <= 2")
-    return exact.unionByName(hits.where("stage > 2").orderBy("node_ord").limit(FUZZY_LIMIT))
+def resolve_many(g: Graph, queries: list[str]) -> DataFrame:
+    """For each query, the nodes of the first stage with hits, with the stage (from 1). Stages from the third on
+    give the first FUZZY_LIMIT nodes of the graph; an exact hit on a value hides arguments of that name.
+    Nodes are read twice, however many queries there are."""
+    if not queries:
+        return g.nodes.where(F.lit(False)).withColumn("stage", F.lit(0).cast("long")).withColumn("query", F.lit(""))
+    asked = []
+    for q in dict.fromkeys(queries):
+        stage = F.lit(None).cast("long")
+        for i, s in reversed(list(enumerate(stages(q), 1))):
+            stage = F.when(s, F.lit(i).cast("long")).otherwise(stage)
+        asked.append(F.struct(F.lit(q).alias("query"), stage.alias("stage")))
+    hits = g.nodes.withColumn("hit", F.explode(F.filter(F.array(*asked), lambda h: h.stage.isNotNull())))
+    hits = hits.select(*g.nodes.columns, "hit.stage", "hit.query")
+    best = hits.groupBy("query").agg(F.min("stage").alias("least"), F.max(F.when(F.col("stage") == 1, F.col("kind") == "Value")).alias("value"))
+    hits = hits.join(F.broadcast(best), "query").where("stage = least")  # a row a query
+    hits = hits.where(~((F.col("stage") == 1) & F.coalesce("value", F.lit(False)) & (F.col("kind") == "Argument")))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("node_ord"))  # that many rows a task go on
+    fuzzy = hits.where("stage > 2").withColumn("place", place).where(F.col("place") <= FUZZY_LIMIT)
+    columns = [*g.nodes.columns, "stage", "query"]
+    return hits.where("stage <= 2").select(*columns).unionByName(fuzzy.select(*columns))
 
 
-def resolve_many(g: Graph, queries: list[str]) -> DataFrame:
-    out = None
-    for q in queries:
-        one = resolve(g, q).withColumn("query", F.lit(q))
-        out = one if out is None else out.unionByName(one)
-    return out
+def resolve(g: Graph, query: str) -> DataFrame:
+    """The nodes that one query names, as resolve_many has them."""
+    return resolve_many(g, [query]).drop("query")
 
 
 def owners(g: Graph, node_id: str) -> DataFrame:

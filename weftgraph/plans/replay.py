@@ -2,7 +2,7 @@
 
 A request's tree depends on the order in which nodes are visited and counted, which no set operation keeps.
 Spark extracts the bounded sub-graph (plans/expand.py); these functions replay the walk over it. The sub-graph
-of a request is limited by its depth and by ``limit`` edges a node, so it fits the driver.
+of a request is limited by its depth and by the edges of a node that a walk of ``limit`` entries can come to.
 """
 
 from __future__ import annotations
