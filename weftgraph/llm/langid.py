@@ -245,7 +245,8 @@ def learn(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
         return [], []
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = own.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE).select("doc_id", F.col("lang").alias("kind"))
-    texts = docs.select("doc_id", "lang", "text").join(ids, "doc_id").where("lang = kind").select("lang", "text")
+    # at most SAMPLE ids a language, so the texts stay where they are
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").where("lang = kind").select("lang", "text")
     parts = texts.mapInArrow(_stretches, "lang string, part binary").distinct()
     some = Window.partitionBy("lang").orderBy(F.xxhash64("part"), "part")
     parts = parts.withColumn("k", F.row_number().over(some)).where(F.col("k") <= STRETCHES)
