@@ -32,7 +32,17 @@ def test_random_edits(spark, hot_bytes):
                 w[rnd.randrange(len(w))] = rnd.choice(["x", "", "zz"])
         rows.append((i, "".join(w)))
     rows += [(100, None), (101, ""), (None, rows[0][1]), (3, rows[3][1]), (3, "ab" * 40), (200, "a" * 500)]
-    check(spark, rows, size=16, gram=6, bucket_bytes=500, hot_bytes=hot_bytes)
+    check(spark, rows, size=16, grams=(6, 11, 16), bucket_bytes=500, hot_bytes=hot_bytes)
+
+
+def test_hot_keys_are_cut_by_longer_grams(spark):
+    """One passage among many others: its key has too many different runs for a bucket at every length but the last."""
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, tails = word(190), [word(120) for _ in range(12)]
+    rows = [(i, word(60) + passage + rnd.choice(tails)) for i in range(60)] + [(90, "a" * 700), (91, "ab" * 300), (92, "a" * 900)]
+    for hot_bytes in (1, 2000, 1 << 22):
+        check(spark, rows, hot_bytes=hot_bytes)
 
 
 def test_empty(spark):

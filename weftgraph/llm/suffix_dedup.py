@@ -11,8 +11,9 @@ A byte goes if a string of SIZE bytes that covers it starts anywhere else, in it
    boundary stays wherever neighbours differ. Entries alone between boundaries have no equal and leave.
    After SIZE / 2 turns the intervals left have common prefixes of SIZE bytes: the repeats. No suffixes are
    sorted beyond their shard.
-3. A key with more than HOT_BYTES of different run texts doesn't fit a bucket; its windows are counted in
-   Spark by two 64-bit hashes instead, which has no bound and drops nothing.
+3. A key with more than HOT_BYTES of different run texts doesn't fit a bucket. Its runs are cut by their least
+   gram of the next length of GRAMS and go through 1 and 2 again: equal windows have equal grams of any length,
+   so they meet again. At the last length, SIZE, a key is a window, and those that stand twice are the repeats.
 
 Defined results: null text has no bytes; strings never cross documents; repeated rows repeat each other's
 bytes, whatever their ids; texts under SIZE bytes stay whole; other columns are ignored.
@@ -20,20 +21,23 @@ bytes, whatever their ids; texts under SIZE bytes stay whole; other columns are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import longs, stored, table, text_slices
+from .common import SLICE_BYTES, longs, stored, table, text_slices
 from .substring_dedup import SHIFT, WINDOWS, covered, pack, spans_of
 
-SIZE, GRAM = 200, 32
+SIZE = 200
+GRAMS = 32, 100, 170, SIZE  # the last must be the size of a window
 BUCKET_BYTES, SHARD_BYTES, HOT_BYTES = 1 << 20, 1 << 17, 1 << 22
+RUNS = "key long, run long, doc long, tag long, span long, several boolean"
 
 
 def _symbols(data: np.ndarray) -> np.ndarray:
@@ -152,21 +156,24 @@ def _emit_texts(size: int):
     return go
 
 
-def _emit_windows(size: int):
-    """Every window of the runs asked for, by its hash."""
+def _emit_split(size: int, gram: int):
+    """The runs asked for, cut by their least gram."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs, tags = longs(b, "doc"), longs(b, "tag")
             for at, rows, data, offs in text_slices(b, "text"):
-                hashes = R.window_hashes(_symbols(data), size)
                 for i in range(rows):
-                    spans, keys = _asked(b, at + i)
-                    n, s = spans & WINDOWS, spans >> SHIFT
-                    total = int(n.sum())
-                    if total:
-                        pos = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(total)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, n)), pa.array(hashes[offs[i] + pos].view(np.int64)), pa.array(np.full(total, docs[at + i])), pa.array(np.full(total, tags[at + i])), pa.array(pack(pos, np.ones(total, np.int64)))], ["key", "window", "doc", "tag", "span"])
+                    spans, _ = _asked(b, at + i)
+                    begin, length = spans >> SHIFT, (spans & WINDOWS) + (size - 1)
+                    piece = (np.cumsum(length) - length) // SLICE_BYTES  # runs overlap: together they are longer than the text
+                    for k in np.unique(piece):
+                        s, n = begin[piece == k], length[piece == k]
+                        first = np.concatenate([[0], np.cumsum(n)])
+                        symbols = _symbols(data[offs[i] + np.repeat(s - first[:-1], n) + np.arange(first[-1])])
+                        key, whole, run, start, count, several = R.runs(symbols, first, size, gram, True)
+                        same = [pa.array(np.full(len(key), x[at + i])) for x in (docs, tags)]
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), *same, pa.array(pack(s[run] + start, count)), pa.array(several)], ["key", "run", "doc", "tag", "span", "several"])
 
     return go
 
@@ -189,37 +196,45 @@ def _merge(size: int):
     return go
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = SIZE, grams: tuple[int, ...] = GRAMS, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc, tag, spans) of docs (doc, tag, text): which windows start anywhere else."""
     own = docs.where("text is not null")
-    runs = own.mapInArrow(_emit_runs(size, gram), "key long, run long, doc long, tag long, span long, several boolean")
+    once, all_found = own.dropDuplicates(["doc", "tag"]), []
+    runs = own.mapInArrow(_emit_runs(size, grams[0]), RUNS)
+    for gram, longer in zip(grams, (*grams[1:], None)):
+        found, kinds = _equal_runs(runs, F.lit(gram == size))
+        all_found.append(found)
+        length = F.col("span").bitwiseAND(F.lit(WINDOWS)) + (size - 1)
+        of_key = stored(kinds.groupBy("key").agg(F.sum(length).alias("bytes")), "suffix-bytes")
+        hot = of_key.where(F.col("bytes") > hot_bytes).select("key")
+        total, hottest = of_key.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+        split = hottest > hot_bytes
+        calm = kinds.join(hot, "key", "left_anti") if split else kinds
+        texts = once.join(_asked_for(calm), ["doc", "tag"]).mapInArrow(_emit_texts(size), "key long, doc long, tag long, span long, bytes binary")
+        texts = texts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(max(1, int(total) // bucket_bytes))))
+        all_found.append(stored(texts.groupBy("bucket").applyInArrow(_merge(size), "doc long, tag long, span long"), "suffix-merged"))
+        if not split:
+            break
+        runs = stored(once.join(_asked_for(kinds.join(hot, "key", "left_semi")), ["doc", "tag"]).mapInArrow(_emit_split(size, longer), RUNS), "suffix-split")
+    return functools.reduce(DataFrame.union, all_found).groupBy("doc", "tag").agg(F.collect_set("span").alias("spans"))
+
+
+def _asked_for(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("doc", "tag").agg(F.collect_set(F.struct("key", "span")).alias("asked"))
+
+
+def _equal_runs(runs: DataFrame, windows: Column) -> tuple[DataFrame, DataFrame]:
+    """Spans of runs that stand twice as a whole; and one run of each text, of the keys whose runs differ.
+    Where keys are windows, all runs of a key that stands twice are such spans."""
     keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("r0"), F.max("run").alias("r1"), F.max("several").alias("inside")).where("n > 1 or inside")
-    keys = stored(keys.select("key", F.expr("n > 1 and r0 = r1").alias("pure")), "suffix-keys")
+    keys = stored(keys.select("key", (windows | F.expr("n > 1 and r0 = r1")).alias("pure")), "suffix-keys")
     shared = stored(runs.drop("several").join(keys, "key"), "suffix-runs")
     mixed = shared.where("not pure")
     kinds = mixed.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tag", "span")).alias("first"))
     kinds = stored(kinds.select("key", "run", "n", "first.doc", "first.tag", "first.span"), "suffix-kinds")
     copies = kinds.where("n > 1").select("key", "run")
     own_span = ["doc", "tag", "span"]
-    found = shared.where("pure").select(*own_span).union(mixed.join(copies, ["key", "run"]).select(*own_span))
-
-    length = F.col("span").bitwiseAND(F.lit(WINDOWS)) + (size - 1)
-    of_key = kinds.groupBy("key").agg(F.sum(length).alias("bytes"))
-    total = of_key.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    hot = stored(of_key.where(F.col("bytes") > hot_bytes).select("key"), "suffix-hot")
-    some_hot = bool(hot.head(1))
-    buckets = max(1, int(total) // bucket_bytes)
-    calm = kinds.join(hot, "key", "left_anti") if some_hot else kinds
-    asked = lambda rows: rows.groupBy("doc", "tag").agg(F.collect_set(F.struct("key", "span")).alias("asked"))
-    once = own.dropDuplicates(["doc", "tag"])
-    texts = once.join(asked(calm), ["doc", "tag"]).mapInArrow(_emit_texts(size), "key long, doc long, tag long, span long, bytes binary")
-    texts = texts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    found = found.union(stored(texts.groupBy("bucket").applyInArrow(_merge(size), "doc long, tag long, span long"), "suffix-merged"))
-    if some_hot:
-        windows = stored(once.join(asked(kinds.join(hot, "key", "left_semi")), ["doc", "tag"]).mapInArrow(_emit_windows(size), "key long, window long, doc long, tag long, span long"), "suffix-windows")
-        twice = stored(windows.groupBy("key", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "window"), "suffix-twice")
-        found = found.union(windows.join(twice, ["key", "window"]).select(*own_span))
-    return found.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans"))
+    return shared.where("pure").select(*own_span).union(mixed.join(copies, ["key", "run"]).select(*own_span)), kinds
 
 
 def _cut(size: int):
@@ -239,11 +254,11 @@ def _cut(size: int):
     return go
 
 
-def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, size: int = SIZE, grams: tuple[int, ...] = GRAMS, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, removed (byte intervals), kept_sha256."""
     # rows are known by two hashes of id and text: equal rows have equal spans
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc"), F.xxhash64("text", "doc_id").alias("tag"))
-    spans = repeated_spans(rows.select("doc", "tag", "text"), size, gram, bucket_bytes, hot_bytes)
+    spans = repeated_spans(rows.select("doc", "tag", "text"), size, grams, bucket_bytes, hot_bytes)
     return rows.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(size), "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept_sha256 string")
 
 
