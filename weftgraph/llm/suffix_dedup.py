@@ -40,30 +40,37 @@ BUCKET_BYTES, SHARD_BYTES, HOT_BYTES = 1 << 20, 1 << 17, 1 << 22
 RUNS = "key long, run long, doc long, tag long, span long, several boolean"
 
 
+#: Symbols of 9 bits that one number holds.
+PACKED = 7
+
+
 def _symbols(data: np.ndarray) -> np.ndarray:
     return data.astype(np.uint64) + np.uint64(1)
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of text's suffixes by their first depth symbols at least (prefix doubling; 0 ends a run)."""
-    n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
-    ends = np.flatnonzero(text == 0)
-    rank[ends] = np.arange(len(ends)) - len(ends)  # each end is a symbol of its own, below all others
-    rank += len(ends)
-    h = 1
-    while True:
+    """Order of text's suffixes by their first depth symbols at least (prefix doubling; 0 ends a run).
+    Each end is a symbol of its own, the first the least: suffixes alike up to their ends go by place."""
+    n, h = len(text), PACKED
+    first, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(h):
+        symbol = np.zeros(n, np.int64)
+        symbol[: max(n - k, 0)] = text[k:]
+        open_ &= symbol != 0
+        first = first << 9 | np.where(open_, symbol, 0)
+    order = np.argsort(first, kind="stable")
+    new, rank = np.zeros(n, np.int64), np.empty(n, np.int64)
+    new[1:] = (first[order[1:]] != first[order[:-1]]) | ~open_[order[1:]]
+    rank[order] = np.cumsum(new)
+    while h < depth and h < n and rank[order[-1]] < n - 1:
         after = np.full(n, -1, np.int64)
         after[:-h] = rank[h:]
-        both = rank * (n + len(ends) + 1) + after + 1
+        both = rank * (n + 1) + after + 1
         order = np.argsort(both)
-        new = np.zeros(n, np.int64)
         new[1:] = both[order[1:]] != both[order[:-1]]
         rank[order] = np.cumsum(new)
         h *= 2
-        if h >= depth or h >= n or rank[order[-1]] == n - 1:
-            return order
+    return order
 
 
 class Shard:
