@@ -105,6 +105,17 @@ def test_context(service):
     assert service.context(NS + "I", impl=True)["uses"][-2:][0]["refType"] == "implements"
 
 
+def test_definitions_tell_their_members(service):
+    d = lambda name: service.context(NS + name)["definition"]
+    p = d("E")["properties"][0]
+    assert (p["name"], p["visibility"], p["readonly"]) == ("$id", "private", True)
+    assert d("S")["properties"][0]["type"] == "I" and [m["name"] for m in d("S")["methods"]] == ["run"]
+    assert d("R")["methods"][0]["tags"] == ["override"] and d("I")["methods"] == [{"name": "save"}]
+    assert d("I::save()")["returnType"] == {"fqn": NS + "E", "name": "E"}
+    assert d("S::$repo")["type"] == {"fqn": NS + "I", "name": "I"} and d("S::$repo")["visibility"] == "private"
+    assert d("S::run().$e")["source"]
+
+
 def test_flows(service):
     f = {r["flow_id"]: r for r in service.flows()["rows"]}
     assert set(f) == {"http:1", "msg:1", "cli:1"}

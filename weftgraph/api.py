@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions.classify import CHAINABLE, call_reference, priority
 from .graph import Graph
 from .operators import definition as D
+from .operators import members as M
 from .operators import symbols as S
 from .plans.expand import expand
 from .plans.replay import Entry, breadth_first, by_path, depth_first
@@ -172,9 +173,39 @@ class Api:
             "declaredIn": up and slim({"fqn": up.fqn, "kind": up.kind, "file": up.file, "line": line(up.start_line)}),
             "extends": sup and sup.extends or None, "implements": sup.implements.split("|") if sup and sup.implements else None,
             "types": {k.type: k.fqn for k in kinds} or None, "members": {k.child_kind: k.n for k in kids} or None,
-            "overrides": True if flags and flags.is_override else None,
+            "overrides": True if flags and flags.is_override else None, **self._details(node),
         })
 
+    def _details(self, node) -> dict:
+        """What a definition tells by kind: arguments and return type, properties and methods in order, declared type."""
+        g = self.g
+        rows = lambda df, key: df.where(F.col(key) == node.node_id).collect()
+        typed = lambda fqn, name: slim({"fqn": fqn, "name": name}) or None
+        tell = lambda r, *names: slim({n: r[n] or None for n in names})
+        if node.kind in ("Method", "Function"):
+            found = rows(M.method_definitions(g), "node_id")
+            parts = [a.partition(":") for r in found if r.arguments for a in r.arguments.split(",")]
+            return {"arguments": [slim({"name": n, "type": t or None}) for n, _, t in parts], "returnType": found and typed(found[0].return_fqn, found[0].return_name) or None}
+        if node.kind in ("Class", "Trait", "Enum"):
+            properties = sorted(rows(M.class_properties(g), "class_id"), key=lambda r: r.place)
+            methods = sorted(rows(M.class_methods(g), "class_id"), key=lambda r: r.place)
+            return {
+                "properties": [slim({"name": r.name, "type": r.type_name, **tell(r, "visibility", "readonly", "static", "promoted")}) for r in properties],
+                "methods": [slim({"name": r.name, "signature": r.signature, "tags": r.tags.split(",") if r.tags else None}) for r in methods],
+                "constructorDeps": [slim({"name": r.name, "type": r.type_name}) for r in properties if r.promoted],
+            }
+        if node.kind == "Interface":
+            found = rows(M.interface_definitions(g), "interface_id")
+            return {"methods": [{"name": m} for r in found if r.methods for m in r.methods.split(",")], **({"extends": found[0].extends} if found and found[0].extends else {})}
+        if node.kind in ("Property", "Argument"):
+            found = rows((M.property_definitions if node.kind == "Property" else M.argument_definitions)(g), "node_id")
+            flags = ("visibility", "readonly", "static", "promoted") if node.kind == "Property" else ()
+            return {"type": typed(found[0].type_fqn, found[0].type_name), **tell(found[0], *flags)} if found else {}
+        if node.kind == "Value":
+            found = rows(M.value_definitions(g), "node_id")
+            return {"type": typed(found[0].type_fqn, found[0].type_name), "source": typed(found[0].source_fqn, found[0].source_name)} if found else {}
+        return {}
+
     def context(self, query: str, depth: int = 1, limit: int = 100, impl: bool = False, direct: bool = False, imports: bool = False) -> dict:
         """Definition, USED BY and USES of a symbol, each by kind. A constructor answers for its class.
         direct: only references to the symbol itself, none to its members; imports: files count as users."""

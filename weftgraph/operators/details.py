@@ -125,11 +125,3 @@ def whole_chunks(nodes: DataFrame, docs: DataFrame, max_tokens: int) -> DataFram
 def class_prefixes(docs: DataFrame, lines: int = 20) -> DataFrame:
     """The head of a class without known methods: its first lines."""
     return docs.select("doc_id", F.md5(F.array_join(F.slice(F.split("text", "\n"), 1, lines), "\n").cast("binary")).alias("prefix_md5"))
-
-
-def flow_context(g: ProjectedGraph, most: int = 12) -> DataFrame:
-    """Per flow: the symbols its entry method uses, nearest first, at most ``most``."""
-    f = g.flows.select("flow_id", F.col("method_node_id").alias("source_id"))
-    u = f.join(g.of_type("USES").select("source_id", "target_id").distinct(), "source_id")
-    k = F.row_number().over(Window.partitionBy("flow_id").orderBy("target_id"))
-    return u.withColumn("k", k.cast("long")).where(F.col("k") <= most).select("flow_id", "k", "target_id")

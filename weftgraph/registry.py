@@ -418,7 +418,6 @@ def _texts(g):
 
 query("whole_chunks", sql(f"SELECT n.node_id, n.kind, CAST(length({_CUT}) AS BIGINT) AS chars, length(text) > 400 AS cut FROM documents d JOIN g_nodes n ON n.node_id = concat('c:', d.doc_id)", "g_nodes"))(lambda g: T.whole_chunks(g.nodes.select("node_id", "kind"), _texts(g), 100))
 query("class_prefix", "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[1:20], chr(10))) AS prefix_md5 FROM documents")(lambda g: T.class_prefixes(g.source.table("documents")))
-query("flow_context", sql("SELECT flow_id, CAST(k AS BIGINT) AS k, target_id FROM (SELECT f.flow_id, u.target_id, row_number() OVER (PARTITION BY f.flow_id ORDER BY u.target_id) AS k FROM g_flows f JOIN (SELECT DISTINCT source_id, target_id FROM g_edges WHERE type = 'USES') u ON u.source_id = f.method_node_id) WHERE k <= 12", "g_flows", "g_edges"))(T.flow_context)
 query("find_message", sql("SELECT id, sources, targets FROM (SELECT s.id, s.sources, coalesce(t.targets, 0) AS targets FROM (SELECT to_id AS id, count(DISTINCT flow_id) AS sources FROM g_emits WHERE to_label = 'Message' GROUP BY 1) s LEFT JOIN (SELECT from_id, count(DISTINCT flow_id) AS targets FROM g_handled_by GROUP BY 1) t ON t.from_id = s.id) WHERE contains(lower(id), 'ic') ORDER BY id LIMIT 50", *_F))(lambda g: W.find(W.list_entities(g, "Message"), "id", [], "IC"))
 query("legacy_sweep", sql("SELECT type, count(*) AS n FROM g_edges WHERE type <> 'OVERRIDES' GROUP BY 1", "g_edges"))(lambda g: _n(g.edges.where("type <> 'OVERRIDES'"), "type"))
 query("orphan_vectors", sql("SELECT collection, count(*) AS n FROM g_vectors WHERE CAST(substr(node_id, 3) AS BIGINT) % 5 <> 0 GROUP BY 1", "g_vectors"))(lambda g: _n(without_orphans(g.vectors, g.source.table("part").where("p_partkey % 5 = 0").select(F.concat(F.lit("p:"), "p_partkey").alias("node_id")), "node_id"), "collection"))
@@ -429,4 +428,4 @@ query("event_windows", "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS B
     lambda g: emit_counts(g.source.table("events")).select(F.unix_timestamp(F.col("window.start")).alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 )
 
-from . import registry_members  # noqa: E402, F401
+from . import registry_enrichment, registry_members  # noqa: E402, F401
