@@ -159,16 +159,19 @@ def handler_param_return(g: Graph) -> DataFrame:
 
 
 def hinted_types(g: Graph) -> DataFrame:
-    """(class_id, used_id, hint): types that a class's members declare, a property's before a parameter's before
-    a method's own."""
+    """(class_id, used_id, hint, hint_line): types that a class's members declare, a property's before a
+    parameter's before a method's own; of one sort the earliest line, where one is known."""
     kind = g.nodes.select(F.col("node_id").alias("member_id"), "kind")
+    lines = g.nodes.select(F.col("node_id").alias("hinted_id"), F.col("start_line").alias("hint_line"))
     members = _contains(g, "class_id", "member_id").join(kind, "member_id")
     hints = g.of_type("TYPE_HINT").select(F.col("source_id").alias("hinted_id"), F.col("target_id").alias("used_id"))
     own = members.select("class_id", F.col("member_id").alias("hinted_id"), F.when(F.col("kind") == "Property", 1).when(F.col("kind") == "Method", 3).alias("rank"))
     argument = kind.where("kind = 'Argument'").select(F.col("member_id").alias("hinted_id"))
     arguments = _contains(g, "member_id", "hinted_id").join(argument, "hinted_id").join(members.where("kind = 'Method'"), "member_id").select("class_id", "hinted_id", F.lit(2).alias("rank"))
-    best = own.union(arguments).where("rank is not null").join(hints, "hinted_id").groupBy("class_id", "used_id").agg(F.min("rank").alias("rank"))
-    return best.select("class_id", "used_id", F.when(F.col("rank") == 1, "property_type").when(F.col("rank") == 2, "parameter_type").otherwise("return_type").alias("hint"))
+    best = own.union(arguments).where("rank is not null").join(hints, "hinted_id").join(lines, "hinted_id")
+    unknown = F.col("hint_line").isNull()
+    best = best.groupBy("class_id", "used_id").agg(F.min(F.struct("rank", unknown.alias("unknown"), "hint_line")).alias("b")).select("class_id", "used_id", "b.rank", "b.hint_line")
+    return best.select("class_id", "used_id", "hint_line", F.when(F.col("rank") == 1, "property_type").when(F.col("rank") == 2, "parameter_type").otherwise("return_type").alias("hint"))
 
 
 def instantiated(g: Graph) -> DataFrame:

@@ -220,7 +220,6 @@ UNION ALL SELECT c.source_id, h.target_id, 2 FROM g_edges c JOIN g_nodes m ON m.
 JOIN g_edges h ON h.type = 'TYPE_HINT' AND h.source_id = a.node_id WHERE c.type = 'CONTAINS') GROUP BY 1, 2),
 made AS (SELECT DISTINCT c.source_id AS class_id, k.source_id AS used_id FROM g_callfact x JOIN g_edges k ON k.type = 'CONTAINS' AND k.target_id = x.callee_id JOIN g_edges c ON c.type = 'CONTAINS' AND c.target_id = x.scope_id WHERE x.call_kind = 'constructor'),
 level AS (SELECT source_id AS class_id, target_id AS used_id, ref_type FROM g_refs WHERE type IN ('EXTENDS', 'IMPLEMENTS', 'USES_TRAIT'))"""
-query("hinted_types", sql("SELECT class_id, used_id, CASE rank WHEN 1 THEN 'property_type' WHEN 2 THEN 'parameter_type' ELSE 'return_type' END AS hint FROM hinted", "g_refs", "g_edges", "g_callfact", "g_nodes", ctes=_HINTS))(C.hinted_types)
 query("class_uses", sql(f"""SELECT class_id, used_id, ref_type, CAST(CASE WHEN ref_type IN ('extends', 'implements', 'uses_trait') THEN 0 WHEN ref_type = 'property_type' THEN 1 WHEN ref_type IN ('parameter_type', 'return_type') THEN 2 WHEN ref_type = 'instantiation' THEN 3 WHEN ref_type = 'type_hint' THEN 4
 WHEN ref_type IN ('method_call', 'property_access') THEN 5 ELSE 99 END AS BIGINT) AS priority, n FROM (SELECT class_id, used_id, arg_min(ref_type, (CASE WHEN ref_type IN ('extends', 'implements', 'uses_trait') THEN -1 WHEN ref_type = 'instantiation' THEN 0 WHEN ref_type = 'property_type' THEN 1
 WHEN ref_type IN ('method_call', 'property_access') THEN 2 WHEN ref_type = 'parameter_type' THEN 3 WHEN ref_type = 'return_type' THEN 4 WHEN ref_type = 'type_hint' THEN 5 ELSE 10 END, ref_type)) AS ref_type, count(*) AS n FROM (

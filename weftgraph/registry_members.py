@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .operators import context as C
 from .operators import members as M
 from .oracle import sql
 from .registry import query
@@ -67,3 +68,10 @@ UNION ALL SELECT node_id, NULL, node_id FROM g_nodes WHERE kind = 'Method') a ON
 query("property_inputs", sql("""SELECT p.property_id, p.parameter_id, c.call_id, a.value_id FROM promoted p JOIN g_edges k ON k.type = 'CONTAINS' AND k.target_id = p.property_id JOIN g_edges m ON m.type = 'CONTAINS' AND m.source_id = k.source_id
 JOIN g_callfact c ON c.callee_id = m.target_id AND c.call_kind = 'constructor' LEFT JOIN (SELECT source_id, parameter, min(target_id) AS value_id FROM g_edges WHERE type = 'ARGUMENT' GROUP BY 1, 2) a ON a.source_id = c.call_id AND a.parameter = p.parameter""", *_NE, "g_callfact", ctes=_PROMOTED))(M.property_inputs)
 query("property_breakdown", sql("SELECT callee_id AS property_id, scope_id AS method_id, on_expr, on_kind, count(*) AS accesses, min(call_line) AS line FROM g_callfact WHERE callee_kind = 'Property' AND scope_kind IN ('Method', 'Function') GROUP BY 1, 2, 3, 4", "g_callfact"))(M.property_breakdown)
+
+query("hinted_types", sql("""SELECT class_id, used_id, min(hint_line) AS hint_line, any_value(CASE rank WHEN 1 THEN 'property_type' WHEN 2 THEN 'parameter_type' ELSE 'return_type' END) AS hint FROM (
+SELECT class_id, used_id, hint_line, rank, min(rank) OVER (PARTITION BY class_id, used_id) AS best FROM (
+  SELECT k.source_id AS class_id, h.target_id AS used_id, m.start_line AS hint_line, CASE m.kind WHEN 'Property' THEN 1 ELSE 3 END AS rank FROM g_edges k JOIN g_nodes m ON m.node_id = k.target_id AND m.kind IN ('Property', 'Method')
+  JOIN g_edges h ON h.type = 'TYPE_HINT' AND h.source_id = m.node_id WHERE k.type = 'CONTAINS'
+  UNION ALL SELECT k.source_id, h.target_id, a.start_line, 2 FROM g_edges k JOIN g_nodes m ON m.node_id = k.target_id AND m.kind = 'Method' JOIN g_edges c ON c.type = 'CONTAINS' AND c.source_id = m.node_id
+  JOIN g_nodes a ON a.node_id = c.target_id AND a.kind = 'Argument' JOIN g_edges h ON h.type = 'TYPE_HINT' AND h.source_id = a.node_id WHERE k.type = 'CONTAINS')) WHERE rank = best GROUP BY 1, 2""", *_NE))(C.hinted_types)
