@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, minhash, quality, substring_dedup, suffix_dedup, toxicity, warc
+from . import bpe, chat, decontaminate, langid, minhash, quality, sort_means, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_warc_zstd": warc.op8_warc_zstd,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_language_id": langid.op10_language_id,
+    "op11_sort_means": sort_means.op11_sort_means,
 }
 
 ORACLES: dict[str, str] = {
     "op4_chat_format": chat.OP4_SQL,
+    "op11_sort_means": sort_means.OP11_SQL,
 }
