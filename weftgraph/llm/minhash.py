@@ -142,29 +142,32 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _lists(keys), _lists(bits), pa.array(filled)], ["doc_id", "n_shingles", "set1", "set2", "bands", "sketch", "filled"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        left, right = b.column(b.schema.get_field_index("text_a")), b.column(b.schema.get_field_index("text_b"))
-        yes = np.zeros(b.num_rows, bool)
-        at = 0
-        while at < b.num_rows:
-            rows = min(64, b.num_rows - at)
-            both = pa.concat_arrays([left.slice(at, rows), right.slice(at, rows)])
-            got = []
-            for _, _, data, offs in text_slices(pa.RecordBatch.from_arrays([both], ["t"]), "t"):
-                sets, edges = shingle_sets(data, offs)
-                got += [sets[s:e] for s, e in zip(edges[:-1].tolist(), edges[1:].tolist())]
-            for i in range(rows):
-                x, y = got[i], got[rows + i]
-                if len(x) and len(y):
-                    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    yes[at + i] = 100 * common >= PERCENT * (len(x) + len(y) - common)
-            at += rows
-        keep = pa.array(yes)
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).filter(keep) for c in ("a", "b")], ["a", "b"])
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirm(percent: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = b.column(b.schema.get_field_index("text_a")), b.column(b.schema.get_field_index("text_b"))
+            yes = np.zeros(b.num_rows, bool)
+            at = 0
+            while at < b.num_rows:
+                rows = min(64, b.num_rows - at)
+                both = pa.concat_arrays([left.slice(at, rows), right.slice(at, rows)])
+                got = []
+                for _, _, data, offs in text_slices(pa.RecordBatch.from_arrays([both], ["t"]), "t"):
+                    sets, edges = shingle_sets(data, offs)
+                    got += [sets[s:e] for s, e in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                for i in range(rows):
+                    x, y = got[i], got[rows + i]
+                    if len(x) and len(y):
+                        common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                        yes[at + i] = 100 * common >= percent * (len(x) + len(y) - common)
+                at += rows
+            keep = pa.array(yes)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    return go
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those pairs (a, b), stored ones, whose full sets are similar enough."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     if pairs.count() <= FEW_PAIRS:
@@ -172,7 +175,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     texts = texts.dropDuplicates(["doc_id", "text"])
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return both.mapInArrow(_confirm, "a long, b long")
+    return both.mapInArrow(_confirm(percent), "a long, b long")
 
 
 #: What the tests of a pair read of either side; the other side's names end in _b.

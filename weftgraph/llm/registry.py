@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, minhash, prefix_trie, quality, sort_means, substring_dedup, suffix_dedup, toxicity, warc
+from . import bpe, chat, decontaminate, langid, minhash, partenum, prefix_trie, quality, sort_means, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
     "op11_sort_means": sort_means.op11_sort_means,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_partenum_join": partenum.op13_partenum_join,
 }
 
 ORACLES: dict[str, str] = {
     "op4_chat_format": chat.OP4_SQL,
     "op11_sort_means": sort_means.OP11_SQL,
     "op12_prefix_trie": prefix_trie.OP12_SQL,
+    "op13_partenum_join": partenum.OP13_SQL,
 }
