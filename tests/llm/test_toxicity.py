@@ -28,6 +28,8 @@ def test_viterbi_is_the_best_of_all_readings(chars):
 
     def readings(token):
         """(score, text) of every path, by recursion."""
+        begin, end = len(token) - len(token.lstrip(".$")), len(token.rstrip(".$"))
+
         def go(k, context, score, text):
             if k == len(token):
                 yield score + chars._step(context, T.EDGE), text
@@ -43,7 +45,11 @@ def test_viterbi_is_the_best_of_all_readings(chars):
                 yield from go(k + 1, context, score + T.SEPARATED, text)
             elif not reads:
                 yield from go(k + 1, context, score + T.SEPARATED + T.SUBSTITUTED, text)
+            elif k >= end or k < begin:
+                yield from go(k + 1, context, score + T.DROPPED, text)
 
+        if not any(c.isalpha() for c in token) and max(go(0, T.EDGE + T.EDGE, 0.0, ""))[0] <= T.NUMERAL:
+            return 0.0, token
         return max(go(0, T.EDGE + T.EDGE, 0.0, ""))
 
     for _ in range(60):
@@ -143,3 +149,21 @@ def test_the_character_model_counts_all_allowed_rows(spark):
     got = T.char_model(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
     whole = T.CharModel.of_trigrams(want)
     assert len(own) > 5500 and (got.log, got.new, got.unseen) == (whole.log, whole.new, whole.unseen)
+
+
+@pytest.mark.parametrize("seen", ["a$$", "@$$", "455", "a55", "A$$!!", "a s s"])
+def test_marks_at_the_end_and_tokens_without_letters(seen):
+    model = T.CharModel(dict.fromkeys(["pass", "class", "ass", "a", "as", "the", "cost", "has"], 50))
+    assert "ass" in T.Features(model, None).of_text(f"the {seen} cost")
+
+
+@pytest.mark.parametrize("seen,meant", [("pa$$", "pass"), ("cla$$", "class"), ("bull$h!t", "bullshit"), ("id io t", "idiot"), ("12 cost!", "cost"), ("cost (the)", "the")])
+def test_words_that_end_in_marks(seen, meant):
+    model = T.CharModel(dict.fromkeys(["pass", "class", "bullshit", "idiot", "a", "the", "cost", "has", "it"], 50))
+    assert meant in T.Features(model, None).of_text(seen)
+
+
+def test_chance_pieces_are_not_scored():
+    model = T.CharModel(dict.fromkeys(["bullshit", "bull", "the"], 50))
+    assert not {"bull", "h", "t"} & T.Features(model, None).of_text("bull$h!t")
+    assert T.restore_text("455 1200 $5", T.CharModel(dict.fromkeys(["the", "people"], 50))) == "455 1200 $5"

@@ -1,16 +1,19 @@
 """Toxicity by noisy-channel deobfuscation and a linear score of the restored text.
 
 Channel: a writer may replace letters (leetspeak), repeat them, or put separators or spaces between
-them. A token or spaced-out run that shows any of it becomes a lattice, whatever its length: each character
-is read as itself, as a letter it may stand for, as a repeat of the letter before, or as nothing; a separator
-or space also as the end of a word. Viterbi finds the likeliest words under a character trigram model times
-the channel's probabilities. Plain tokens are their own restoration.
+them. A token or run of short pieces that shows any of it becomes a lattice, whatever its length and whether
+or not it has a letter: each character is read as itself, as a letter it may stand for, as a repeat of the
+letter before, or as nothing; a separator or space also as the end of a word. Marks that stand for letters
+belong to the lattice at a token's end too, where it weighs them against punctuation. Viterbi finds the
+likeliest words under a character trigram model times the channel's probabilities. Plain tokens are their own
+restoration; of others only what is restored is scored.
 
 Score: logistic regression over the presence of restored words and of their beginnings.
 
 Learning uses labelled rows whose crc32(doc_id) mod 3 is not 1: the character model counts the trigrams of
 all their words; the features and their weights come from a sample of at most SAMPLE of either label (those
-whose ids hash lowest). What the driver gets is bounded by the alphabet's trigrams, SAMPLE and FEATURES.
+whose ids hash lowest). What the driver gets is bounded by the alphabet's trigrams and SAMPLE: a feature
+stands in LEAST_SHARE of the toxic sample at least.
 Nothing but text enters a score.
 
 Defined results: null and empty texts score the model's bias; without labelled rows of both kinds every
@@ -19,6 +22,7 @@ score is 0; repeated rows score alike; a label outside 0 and 1 is no label; othe
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, held, stored, table
 
-#: Documents of either label that the regression learns from, features at most.
-SAMPLE, FEATURES = 3000, 400
+#: Documents of either label that the regression learns from.
+SAMPLE = 3000
 THRESHOLD = 0.7
 #: A feature is in this share of the toxic sample at least, and RATIO times as common as in the other.
 LEAST_SHARE, RATIO = 0.004, 8.0
@@ -46,10 +50,15 @@ LEET = {
 SEPARATORS = set(".-_*~'`^:/\\,;#+=&%​­")
 #: Logarithms of the channel's probabilities.
 KEPT, SUBSTITUTED, SEPARATED, REPEATED, DOUBLED = math.log(0.9), math.log(0.08), math.log(0.05), math.log(0.02), math.log(0.001)
+#: A mark at a token's end or beginning is punctuation: exclamation marks and brackets mostly, others that stand
+#: for letters seldom.
+EXCLAIMED, DROPPED = math.log(0.5), math.log(0.004)
+#: A token without any letter is the number or sign that it is, unless it reads likelier as words.
+NUMERAL = -13.0
 EDGE = "\x02"
 
 # no character is both letter and separator here, so a long run is read once
-_spaced = re.compile(r"(?<!\S)(?:[^\s.\-_*][ .\-_*]{1,3}){2,}[^\s.\-_*](?![^\s.,;:!?])")
+_spaced = re.compile(r"(?<!\S)(?:[^\s.\-_*]{1,2}[ .\-_*]{1,3}){2,}[^\s.\-_*]{1,2}(?![^\s.,;:!?])")
 # plain letters of which no two alike are neighbours have one reading: themselves; all else is decoded
 _suspicious = re.compile(r"[\W\d_]|(.)\1")
 # no word has five equal letters in a row: more of them say no more than four
@@ -57,7 +66,8 @@ _stretched = re.compile(r"([^\W_])(?:[ .\-_*]*\1){4,}")
 _word = re.compile(r"[^\W_]+")
 # a letter alone is a word only if nothing touches it: i.d.i.o.t has none
 _plain = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])|(?<!\S)[^\W\d_](?!\S)")
-_trailing = "".join(SEPARATORS) + "!?()[]{}<>\"|@$"
+# what no reading uses: the lattice decides about the rest
+_trailing = "".join((SEPARATORS | set("?)[]{}<>\"")) - LEET.keys())
 
 
 def trigrams(words: dict[str, int]) -> Counter:
@@ -100,6 +110,8 @@ class CharModel:
         token = _stretched.sub(r"\1\1\1\1", token)
         # a path is a chain of (what came before, letter): the few contexts share their beginnings
         best: dict[str, tuple[float, tuple | None]] = {EDGE + EDGE: (0.0, None)}
+        marks = lambda chars: sum(1 for _ in itertools.takewhile(lambda c: not c.isalnum(), chars))
+        begin, end = marks(token), len(token) - marks(reversed(token))
         for k, c in enumerate(token):
             new: dict[str, tuple[float, tuple | None]] = {}
             own = c.isalpha()
@@ -113,6 +125,8 @@ class CharModel:
                         moves.append((EDGE + EDGE, score + SEPARATED + self._step(context, EDGE), (path, " ")))
                 elif not reads:
                     moves.append((context, score + SEPARATED + SUBSTITUTED, path))
+                elif k >= end or k < begin:
+                    moves.append((context, score + (EXCLAIMED if c in "!¡(" else DROPPED), path))
                 for r, p in reads:
                     if r == context[1]:
                         moves.append((context, score + p + (REPEATED if many else DOUBLED), path))
@@ -120,8 +134,10 @@ class CharModel:
                     if key not in new or s > new[key][0]:
                         new[key] = (s, t)
             best = new
-        path = max(((s + self._step(k, EDGE), k) for k, (s, _) in best.items()), default=(0.0, ""))[1]
-        path, letters = best[path][1] if best else None, []
+        score, last = max((s + self._step(k, EDGE), k) for k, (s, _) in best.items())
+        if score <= NUMERAL and not any(map(str.isalpha, token)):
+            return token
+        path, letters = best[last][1], []
         while path is not None:
             path, r = path
             letters.append(r)
@@ -134,13 +150,13 @@ def beginnings(word: str) -> list[str]:
 
 def _hides(bare: str) -> bool:
     """Whether a token without its trailing punctuation may read otherwise than it stands."""
-    return len(bare) >= 3 and any(c.isalpha() for c in bare) and _suspicious.search(bare) is not None
+    return _suspicious.search(bare) is not None
 
 
 def restored(token: str, model: CharModel) -> list[str]:
-    """The words a token (no spaces in it, lower case) stands for: as it reads and, where it may hide others, restored."""
-    own, bare = _word.findall(token), token.rstrip(_trailing)
-    return own + model.restore(bare).split() if _hides(bare) else own
+    """The words a token (no spaces in it, lower case) stands for: as it reads or, where it may hide others, restored."""
+    bare = token.rstrip(_trailing)
+    return model.restore(bare).split() if _hides(bare) else _word.findall(bare)
 
 
 def restore_text(text: str, model: CharModel) -> str:
@@ -151,7 +167,7 @@ def restore_text(text: str, model: CharModel) -> str:
     def meant(m: re.Match) -> str:
         bare = m[0].rstrip(_trailing)
         got = model.restore(bare) if _hides(bare) else bare
-        return m[0] if got == bare else got
+        return m[0] if got in (bare, re.sub(r"\W+\Z", "", bare)) else got
 
     return re.sub(r"\S+", meant, low)
 
@@ -179,9 +195,8 @@ class Features:
         for t in set(text.split()):
             if got := self.of_token(t):
                 out.update(got)
-        for m in _spaced.finditer(text):
-            got = [f for w in self.model.restore(m[0].lower()).split() for f in beginnings(w)]
-            out.update(got if self.number is None else (self.number[f] for f in got if f in self.number))
+        for run in {m[0] for m in _spaced.finditer(text)}:
+            out.update(self.of_token(run))
         return out
 
 
@@ -302,7 +317,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     found = texts.mapInArrow(_counted(named), "name string, toxic int").groupBy("name").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     share = (F.col("t") + 0.5) / size[1] / ((F.col("n") - F.col("t") + 0.5) / size[0])
     found = found.where(F.col("t") >= max(3, math.ceil(LEAST_SHARE * size[1]))).where(share >= RATIO)
-    names = sorted(r.name for r in found.orderBy(F.desc("t"), "name").limit(FEATURES).collect())
+    names = sorted(r.name for r in found.collect())
     number = {n: i for i, n in enumerate(names)}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
