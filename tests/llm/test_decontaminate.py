@@ -82,9 +82,9 @@ def test_normal_form():
 
 
 def test_empty_tables_and_filter(spark):
-    docs = spark.createDataFrame([(1, "x" * 40, "k"), (2, "some quite other text", None), (None, "x" * 40, "k")], "doc_id long, text string, item_id string")
+    docs = spark.createDataFrame([(1, "x" * 40, "k"), (2, "some quite other text", None), (None, "x" * 40, "k"), (None, "clean", "c"), (None, None, "n")], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(7, "X" * 30)], "item_id long, text string")
-    assert sorted((r.doc_id or 0, r.item_id or "") for r in D.without_leaks(docs, bench).collect()) == [(0, "k"), (2, "")]
+    assert sorted((r.doc_id or 0, r.item_id or "") for r in D.without_leaks(docs, bench).collect()) == [(0, "c"), (0, "n"), (2, "")]
     assert D.contaminated(docs, bench.limit(0)).count() == 0
     assert D.contaminated(docs.limit(0), bench).count() == 0
 

@@ -213,10 +213,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: int = EDITS, q: i
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
+def _clean(batches: Iterator[pa.RecordBatch], own: Items) -> Iterator[pa.RecordBatch]:
+    """The rows that hold no item."""
+    for b in batches:
+        keep = np.ones(b.num_rows, bool)
+        for at, _, data, offs in text_slices(b, "text"):
+            low, edges, _ = normal(data, offs)
+            for doc, *_ in own.matches(low, edges):
+                keep[at + doc] = False
+        yield b.filter(pa.array(keep))
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item."""
+    """docs without those that hold a benchmark item. Rows with one doc_id go together; a row without one is
+    judged by its own text."""
     gone = stored(contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "decontaminate-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    alone = docs.where("doc_id is null")
+    for block in blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(Items(block, EDITS, Q))
+        alone = alone.mapInArrow(lambda batches, shared=shared: _clean(batches, shared.value), docs.schema)
+    return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns).union(alone)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
