@@ -10,7 +10,8 @@ decontaminate  documents that hold a benchmark passage go
 tokens         byte-level BPE: ids, their number and hash, and the hash of the bytes they decode to
 
 Defined results: a null or empty text scores the model's bias, resembles nothing, has no words and no tokens, and is
-kept; rows with one doc_id are judged together, and rows without one are kept by near_dedup and substring; of
+kept; rows with one doc_id are judged together; rows without one are kept by near_dedup and substring, and judged
+by their own text in toxicity and decontaminate; of
 repeated rows all are kept or none; ties go to the smaller id; empty tables give an empty result; a very long
 text is one row like any other; further columns, whatever their names, go through untouched up to the last stage.
 
