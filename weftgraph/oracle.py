@@ -6,6 +6,10 @@ each query has an independent counterpart.
 
 from __future__ import annotations
 
+import re
+
+EDGE_TYPES = ["CONTAINS", "USES", "USES_TRAIT", "TYPE_HINT", "TYPE_OF", "ARGUMENT", "ASSIGNED_FROM", "CALLS", "RECEIVER", "PRODUCES", "EXTENDS", "IMPLEMENTS", "OVERRIDES"]
+
 VIEWS: dict[str, tuple[str, list[str]]] = {
     "g_values": (
         r"""SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag,
@@ -38,6 +42,8 @@ UNION ALL SELECT 600000000 + c_custkey, concat('a:', c_custkey), 'Argument', '$p
        FROM customer JOIN g_class ON c_nationkey = n_nationkey WHERE c_custkey % 4 = 0
 UNION ALL SELECT 700000000 + s_suppkey, concat('w:', s_suppkey), 'Value', concat('$', s_name), concat(fqn, '::__construct().$', s_name), concat(r_name, '.php'), s_suppkey, NULL, 'parameter'
        FROM supplier JOIN g_class ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 800000000 + c_custkey, concat('q:', c_custkey), 'Value', '$p0', concat('c:', c_custkey, '.$p0'), concat(r_name, '.php'), c_custkey, NULL, 'parameter'
+       FROM customer JOIN g_class ON c_nationkey = n_nationkey WHERE c_custkey % 4 = 0
 UNION ALL SELECT 1000000000 + l_orderkey * 1000 + rn, concat('v:', l_orderkey, ':', rn), 'Value', concat('$v', rn), concat('call', l_orderkey, '::$v', rn), NULL, rn, NULL,
        CASE l_returnflag WHEN 'A' THEN 'parameter' WHEN 'N' THEN 'local' ELSE 'result' END FROM g_values""",
         ['g_values', 'g_class'],
@@ -63,6 +69,9 @@ UNION ALL SELECT 'CONTAINS', concat('c:', c_custkey), concat('a:', c_custkey), N
 UNION ALL SELECT 'TYPE_HINT', concat('a:', c_custkey), concat('p:', c_custkey * 7 % (SELECT count(*) FROM part)), NULL, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 4 = 0
 UNION ALL SELECT 'USES', concat('a:', c_custkey), concat('p:', c_custkey * 7 % (SELECT count(*) FROM part)), 'arg', c_custkey, NULL, NULL, NULL FROM customer WHERE c_custkey % 4 = 0
 UNION ALL SELECT 'ARGUMENT', concat('o:', o_orderkey), concat('v:', l_orderkey, ':', rn), NULL, NULL, 50 + rn, concat('$v', rn), concat(callee_id, '.$p', 50 + rn) FROM g_values JOIN g_calls ON l_orderkey + 1 = o_orderkey WHERE l_returnflag = 'R' AND l_orderkey % 4 = 0
+UNION ALL SELECT 'CONTAINS', concat('c:', c_custkey), concat('q:', c_custkey), NULL, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT 'TYPE_OF', concat('q:', c_custkey), concat('p:', c_custkey * 7 % (SELECT count(*) FROM part)), NULL, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT 'ARGUMENT', concat('o:', o_orderkey), concat('q:', o_custkey), NULL, NULL, 40, '$p0', concat(callee_id, '.$p0') FROM g_calls WHERE o_custkey % 4 = 0 AND o_orderkey % 3 = 0
 UNION ALL SELECT 'ASSIGNED_FROM', concat('s:', s_suppkey), concat('w:', s_suppkey), NULL, NULL, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 3 = 0
 UNION ALL SELECT 'TYPE_OF', concat('w:', s_suppkey), concat('p:', s_suppkey % (SELECT count(*) FROM part)), NULL, NULL, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 3 = 0
 UNION ALL SELECT 'USES_TRAIT', concat('p:', a.p_partkey), concat('p:', b.k), NULL, NULL, NULL, NULL, NULL FROM part a JOIN (SELECT p_brand AS brand, min(p_partkey) AS k FROM part WHERE p_size = 6 GROUP BY p_brand) b ON a.p_brand = b.brand WHERE a.p_size > 7 AND a.p_partkey % 3 = 0
@@ -165,6 +174,21 @@ UNION ALL SELECT target_id, source_id, 'assigned' FROM g_edges WHERE type = 'ASS
 }
 
 
+_TYPE = re.compile(r"'(" + "|".join(EDGE_TYPES) + r")'")
+
+
+def _edges_of(texts: list[str]) -> str:
+    """g_edges with the branches that these texts can read: if each mention of it names types, those of the types named."""
+    view = VIEWS["g_edges"][0]
+    whole = " ".join(texts)
+    mentions, tests = len(re.findall(r"\bg_edges\b", whole)), len(re.findall(r"\btype (?:=|IN)", whole))
+    if tests < mentions or re.search(r"\btype (?:<>|NOT)", whole):
+        return view
+    named = set(_TYPE.findall(whole))
+    own = [b for b in view.split("UNION ALL SELECT ") if _TYPE.search(b)[1] in named]
+    return "UNION ALL SELECT ".join(own) if own and own[0].startswith("SELECT") else "SELECT '' AS type, '' AS source_id, '' AS target_id, '' AS loc_file, 0::BIGINT AS loc_line, 0::BIGINT AS position, '' AS expression, '' AS parameter WHERE false\nUNION ALL SELECT " + "UNION ALL SELECT ".join(own)
+
+
 def sql(body: str, *views: str, ctes: str = "") -> str:
     """body over the views it names, with further common table expressions of its own."""
     order: list[str] = []
@@ -177,7 +201,11 @@ def sql(body: str, *views: str, ctes: str = "") -> str:
 
     for v in views:
         add(v)
+    if "g_edges" in order:
+        views_of = {v: VIEWS[v][0] for v in order} | {"g_edges": _edges_of([body, ctes] + [VIEWS[v][0] for v in order if v != "g_edges"])}
+    else:
+        views_of = {v: VIEWS[v][0] for v in order}
     # each computed once, however often it is named; a recursive one can't be told so
     once = lambda v: "" if f"FROM {v} " in VIEWS[v][0] else "MATERIALIZED "
-    parts = [f"{v} AS {once(v)}(\n{VIEWS[v][0]}\n)" for v in order] + ([ctes] if ctes else [])
+    parts = [f"{v} AS {once(v)}(\n{views_of[v]}\n)" for v in order] + ([ctes] if ctes else [])
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body

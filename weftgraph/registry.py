@@ -427,4 +427,4 @@ query("event_windows", "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS B
     lambda g: emit_counts(g.source.table("events")).select(F.unix_timestamp(F.col("window.start")).alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 )
 
-from . import registry_enrichment, registry_members  # noqa: E402, F401
+from . import registry_enrichment, registry_members, registry_values  # noqa: E402, F401

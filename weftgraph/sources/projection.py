@@ -71,6 +71,8 @@ class Projection:
         parts.append(_rows(taker, NODE_COLUMNS, node_ord=F.lit(600000000) + F.col("c_custkey"), node_id=key("a:", "c_custkey"), kind=F.lit("Argument"), name=F.lit("$p0"), fqn=F.concat("fqn", F.lit("::"), name, F.lit("().$p0")), file=php("r_name"), start_line=F.col("c_custkey")))
         given = self.table("supplier").where("s_suppkey % 3 = 0").join(cls, F.col("s_nationkey") == F.col("n_nationkey"))
         parts.append(_rows(given, NODE_COLUMNS, node_ord=F.lit(700000000) + F.col("s_suppkey"), node_id=key("w:", "s_suppkey"), kind=F.lit("Value"), name=prop, fqn=F.concat("fqn", F.lit("::__construct()."), prop), file=php("r_name"), start_line=F.col("s_suppkey"), value_kind=F.lit("parameter")))
+        # the parameter that arguments named <method>.$p0 go to
+        parts.append(_rows(taker, NODE_COLUMNS, node_ord=F.lit(800000000) + F.col("c_custkey"), node_id=key("q:", "c_custkey"), kind=F.lit("Value"), name=F.lit("$p0"), fqn=F.concat(F.lit("c:"), F.col("c_custkey"), F.lit(".$p0")), file=php("r_name"), start_line=F.col("c_custkey"), value_kind=F.lit("parameter")))
         fifth, sixth = F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") % 6 == 0
         kind = F.when(F.col("o_orderstatus") == "F", F.when(fifth, "method_static").otherwise("method"))
         kind = kind.when(F.col("o_orderstatus") == "O", F.when(sixth, "function").otherwise("constructor")).otherwise(F.when(fifth, "access_static").otherwise("access"))
@@ -108,6 +110,10 @@ class Projection:
         out.append(edge(taker, "CONTAINS", source_id=key("c:", "c_custkey"), target_id=key("a:", "c_custkey")))
         out.append(edge(taker, "TYPE_HINT", source_id=key("a:", "c_custkey"), target_id=key("p:", "hint")))
         out.append(edge(taker, "USES", source_id=key("a:", "c_custkey"), target_id=key("p:", "hint"), loc_file=F.lit("arg"), loc_line=F.col("c_custkey")))
+        out.append(edge(taker, "CONTAINS", source_id=key("c:", "c_custkey"), target_id=key("q:", "c_custkey")))
+        out.append(edge(taker, "TYPE_OF", source_id=key("q:", "c_custkey"), target_id=key("p:", "hint")))
+        handed = calls.where("o_custkey % 4 = 0 and o_orderkey % 3 = 0")
+        out.append(edge(handed, "ARGUMENT", source_id=order, target_id=key("q:", "o_custkey"), position=F.lit(40), expression=F.lit("$p0"), parameter=F.concat("callee_id", F.lit(".$p0"))))
         s = of_order.where("l_suppkey % 2 = 1").groupBy("o_custkey", "l_suppkey").agg(F.min("l_orderkey").alias("line"))
         out.append(edge(s, "USES", source_id=method, target_id=key("s:", "l_suppkey"), loc_file=F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit("f"), F.col("l_suppkey") % 7)), loc_line=F.col("line")))
         p = of_order.groupBy("o_custkey", "l_partkey").agg(F.min("l_orderkey").alias("line"))
