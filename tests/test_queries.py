@@ -21,7 +21,7 @@ def plain(x):
     return round(x, 6) if isinstance(x, float) else x
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, db, name):
     out = registry.entries()[name](spark, SF)
     cols = sorted(out.columns)

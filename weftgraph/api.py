@@ -68,13 +68,14 @@ class Api:
         rows = S.owners(self.g, node.node_id).join(self.g.nodes.select("node_id", "name"), "node_id").orderBy("distance").collect()
         return {"target": target(node), "chain": [target(r) for r in rows]}
 
-    def _adjacent(self, start: str, pairs: DataFrame, depth: int, limit: int) -> dict[str, list[tuple[str, dict]]]:
-        """Edges out of every node within depth - 1 hops, in order; of each node those that a walk of ``limit``
+    def _adjacent(self, start: str | list[str], pairs: DataFrame, depth: int, limit: int) -> dict[str, list[tuple[str, dict]]]:
+        """Edges out of every node within depth - 1 hops of one or more, in order; of each node those that a walk of ``limit``
         entries can come to. It takes at most limit of a node's edges and passes over those to at most limit + 1
         nodes that it has visited, so it needs the first 2 * limit + 2 neighbours, limit edges to each."""
         from pyspark.sql import Window
 
-        root = self.g.nodes.where(F.col("node_id") == start).select(F.col("node_id").alias("root_id"), "node_id")
+        starts = [start] if isinstance(start, str) else sorted(set(start))
+        root = self.g.nodes.where(F.col("node_id").isin(starts)).select(F.lit("all").alias("root_id"), "node_id")
         near = root.select("node_id")
         if depth > 1:
             near = near.union(expand(root, pairs.select("node_id", "next_id").distinct(), depth - 1, self.g.keep).select("node_id"))
@@ -113,19 +114,11 @@ class Api:
         key, other = ("target_id", "source_id") if not up else ("source_id", "target_id")
         first = (S.deps_members if up else S.usages_members)(self.g, node.node_id, limit) if node.kind in S.CONTAINERS else None
         rows = first.orderBy("place").collect() if first is not None else []
-        edges = self._adjacent(node.node_id, pairs, depth, limit)
         if rows:
+            edges = self._adjacent([r[other] for r in rows], pairs, depth - 1, limit) if depth > 1 else {}
             edges[node.node_id] = [(r[other], {"loc_file": r.file, "loc_line": r.line}) for r in rows]
-            if depth > 1:
-                start = self.g.nodes.where(F.col("node_id").isin([r[other] for r in rows])).select(F.lit("all").alias("root_id"), "node_id")
-                near = start.select("node_id")
-                if depth > 2:
-                    near = near.union(expand(start, pairs.select("node_id", "next_id").distinct(), depth - 2, self.g.keep).select("node_id"))
-                for r in pairs.join(near.distinct(), "node_id", "left_semi").orderBy("node_id", F.asc_nulls_last("loc_file"), F.asc_nulls_last("loc_line"), "next_id").collect():
-                    if r.node_id != node.node_id:
-                        edges.setdefault(r.node_id, [])
-                        if (r.next_id, r.asDict()) not in edges[r.node_id]:
-                            edges[r.node_id].append((r.next_id, r.asDict()))
+        else:
+            edges = self._adjacent(node.node_id, pairs, depth, limit)
         found = depth_first(node.node_id, lambda n: edges.get(n, []), depth, limit)
 
         def show(e: Entry, n) -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .operators import trees as T
 from .operators import values as V
 from .oracle import sql
 from .registry import query
@@ -38,3 +39,7 @@ pairs AS MATERIALIZED (SELECT m.node_id, g.next_id FROM made m JOIN given g ON g
 _BACK = "back AS (SELECT DISTINCT node_id AS root_id, node_id, CAST(1 AS BIGINT) AS level FROM entries UNION SELECT b.root_id, p.next_id, b.level + 1 FROM back b JOIN pairs p ON p.node_id = b.node_id WHERE b.level < 5)"
 query("value_origin", sql("SELECT b.root_id AS value_id, e.call_id, min(b.level) AS level FROM back b JOIN entries e ON e.node_id = b.node_id GROUP BY 1, 2", "g_nodes", "g_edges", "g_callfact",
     ctes=", ".join([_MADE, _PARAMETERS, _GIVEN, _BACK])))(V.value_origin)
+
+# trees in visiting order: SQL has no walk with a shared count; tests hold them against one
+query("usages_tree")(lambda g: T.uses_trees(g, False))
+query("deps_tree")(lambda g: T.uses_trees(g, True))
