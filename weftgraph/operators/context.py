@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import LAST_USE, REGISTERED, TYPES, USES_CHOICE, USES_PRIORITY, call_reference, priority
 from ..functions.text import method_fqn
 from ..graph import Graph
+from .lookups import as_of
 
 
 def _owner(table: DataFrame, key: str, name: str) -> DataFrame:
@@ -95,7 +96,7 @@ def used_by(g: Graph, limit: int = 100) -> DataFrame:
     inj = injections(g).withColumn("injected", F.lit(True))
     r = r.join(inj, ["target_id", "class_id"], "left").where("not (ref_type = 'method_call' and coalesce(injected, false))")
     r = r.withColumn("priority", priority(F.col("ref_type")))
-    order = Window.partitionBy("target_id").orderBy("priority", F.coalesce("loc_file", "source_file", F.lit("")), F.coalesce("loc_line", "source_line", F.lit(0)), "source_id")
+    order = Window.partitionBy("target_id").orderBy("priority", F.coalesce("loc_file", "source_file", F.lit("")), F.coalesce("loc_line", "source_line", F.lit(0)), "source_id", "ref_type", "type")
     r = r.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
     return r.select("target_id", "place", "source_id", "ref_type", "priority", "class_id", "method_id")
 
@@ -245,12 +246,27 @@ def consumed_calls(g: Graph) -> DataFrame:
     return made.join(used, "value_id").where("call_id <> by").select("call_id").distinct()
 
 
+def _grams(text, size):
+    """The distinct substrings of that many characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(0), F.length(text) - size + 1))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(size)))))
+
+
 def orphan_accesses(g: Graph) -> DataFrame:
-    """Property accesses whose property's name is in no argument of another call of the same method."""
+    """Property accesses whose property's name is in no argument of another call of the same method. A text that
+    contains a name contains its first three characters: scope and these are joined on, and what meets is tested."""
     a = g.calls.where("callee_kind = 'Property'").select("call_id", "scope_id", "callee_id", F.regexp_replace("callee_name", r"^\$", "").alias("name"))
     said = g.args.where("expression is not null").join(g.calls.select("call_id", "scope_id"), "call_id").select("scope_id", F.col("call_id").alias("other_id"), "expression").distinct()
-    hit = a.join(said, "scope_id").where("other_id <> call_id and contains(expression, name)").select("call_id").distinct()
-    return a.join(hit, "call_id", "left_anti").select("call_id", "scope_id", "callee_id")
+    texts = None
+    for size in (1, 2, 3):
+        part = said.select("scope_id", "other_id", "expression", F.explode(_grams(F.col("expression"), size)).alias("gram"))
+        lead = F.col("name").substr(F.lit(1), F.lit(3))
+        some = a.where(F.length("name") == size if size < 3 else F.length("name") >= 3).withColumn("gram", lead)
+        hit = some.join(part, ["scope_id", "gram"]).where("other_id <> call_id and contains(expression, name)").select("call_id")
+        texts = hit if texts is None else texts.union(hit)
+    none = F.length("name") == 0  # an empty name is in every text
+    empty = a.where(none).join(said, "scope_id").where("other_id <> call_id").select("call_id")
+    return a.join(texts.union(empty).distinct(), "call_id", "left_anti").select("call_id", "scope_id", "callee_id")
 
 
 def type_references(g: Graph) -> DataFrame:
@@ -305,7 +321,7 @@ def flow_reach(g: Graph, depth: int = 3) -> DataFrame:
 
 def nearest_calls(g: Graph) -> DataFrame:
     """For each use of a method or property: the call in the source whose line is closest to the place."""
-    r = g.refs.where("ref_type in ('method_call', 'property_access')").select("source_id", "target_id", "loc_line")
-    c = g.calls.select(F.col("scope_id").alias("source_id"), F.col("callee_id").alias("target_id"), "call_id", "call_line")
-    both = r.join(c, ["source_id", "target_id"]).withColumn("off", F.abs(F.col("call_line") - F.coalesce("loc_line", F.lit(0))).cast("long"))
-    return _rank(both, ["source_id", "target_id"], "off", "call_id").select("source_id", "target_id", "call_id", "off")
+    r = g.refs.where("ref_type in ('method_call', 'property_access')").select("source_id", "target_id", F.coalesce("loc_line", F.lit(0)).alias("line"))
+    c = g.calls.where("call_line is not null").select(F.col("scope_id").alias("source_id"), F.col("callee_id").alias("target_id"), F.col("call_id").alias("hit"), F.col("call_line").alias("line"))
+    near = as_of(r, c, ["source_id", "target_id"]).groupBy("source_id", "target_id").agg(F.min(F.struct("off", "hit")).alias("b"))
+    return near.select("source_id", "target_id", F.col("b.hit").alias("call_id"), F.col("b.off").cast("long").alias("off"))

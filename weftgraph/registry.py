@@ -203,7 +203,7 @@ FROM incoming WHERE ref_type IN ('parameter_type', 'return_type', 'type_hint'))
 _REGISTERED = "('instantiation', 'extends', 'implements', 'property_type', 'method_call', 'property_access', 'parameter_type', 'return_type', 'type_hint')"
 query("registered_refs", sql(f"SELECT ref_type, ref_type IN {_REGISTERED} AS shown, count(*) AS n FROM g_refs GROUP BY 1, 2", "g_refs"))(lambda g: _n(g.refs.withColumn("shown", F.col("ref_type").isin(*REGISTERED)), "ref_type", "shown"))
 _PRIORITY = "CASE ref_type WHEN 'instantiation' THEN 0 WHEN 'extends' THEN 1 WHEN 'implements' THEN 1 WHEN 'property_type' THEN 2 WHEN 'method_call' THEN 3 WHEN 'static_call' THEN 3 WHEN 'property_access' THEN 4 WHEN 'parameter_type' THEN 5 WHEN 'return_type' THEN 5 WHEN 'type_hint' THEN 6 ELSE 10 END"
-query("class_used_by", sql(f"""SELECT target_id, place, source_id, ref_type, CAST(priority AS BIGINT) AS priority, class_id, method_id FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target_id ORDER BY priority, coalesce(loc_file, source_file, ''), coalesce(loc_line, source_line, 0), source_id) AS BIGINT) AS place
+query("class_used_by", sql(f"""SELECT target_id, place, source_id, ref_type, CAST(priority AS BIGINT) AS priority, class_id, method_id FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target_id ORDER BY priority, coalesce(loc_file, source_file, ''), coalesce(loc_line, source_line, 0), source_id, ref_type, type) AS BIGINT) AS place
 FROM (SELECT *, {_PRIORITY} AS priority FROM incoming r WHERE target_kind IN {_TYPES} AND ref_type IN {_REGISTERED} AND NOT (ref_type = 'method_call' AND EXISTS (SELECT 1 FROM ({_INJ}) i WHERE i.target_id = r.target_id AND i.class_id = r.class_id)))) WHERE place <= 100""", *_IN, ctes=_INCOMING))(C.used_by)
 query("used_by_counts", sql("SELECT target_id, ref_type, count(*) AS n, count(DISTINCT method_id) AS methods FROM incoming GROUP BY 1, 2", *_IN, ctes=_INCOMING))(C.used_by_counts)
 query("external_calls", sql(f"""SELECT k.source_id AS class_id, c.call_id, c.scope_id, c.callee_id, {_ON} AS on_expr, {_ON_KIND} AS on_kind FROM g_callfact c JOIN g_edges k ON k.type = 'CONTAINS' AND k.target_id = c.callee_id

@@ -1,7 +1,8 @@
-"""Queries over the flow of values across methods."""
+"""Queries over the flow of values across methods, ordered trees, and the calls behind references."""
 
 from __future__ import annotations
 
+from .operators import lookups as L
 from .operators import trees as T
 from .operators import values as V
 from .oracle import sql
@@ -43,3 +44,17 @@ query("value_origin", sql("SELECT b.root_id AS value_id, e.call_id, min(b.level)
 # trees in visiting order: SQL has no walk with a shared count; tests hold them against one
 query("usages_tree")(lambda g: T.uses_trees(g, False))
 query("deps_tree")(lambda g: T.uses_trees(g, True))
+
+_PLACES = "places AS MATERIALIZED (SELECT DISTINCT e.source_id, e.target_id, e.loc_file, e.loc_line, coalesce(e.loc_file, n.file) AS file, coalesce(e.loc_line, n.start_line) AS at FROM g_edges e JOIN g_nodes n ON n.node_id = e.source_id WHERE e.type = 'USES')"
+_FOUND = """found AS (
+SELECT p.source_id, p.target_id, p.loc_file, p.loc_line, 1 AS strategy, c.call_id, abs(coalesce(c.call_line, 0) - coalesce(p.at, 0)) AS off FROM places p JOIN g_callfact c ON c.callee_id = p.target_id JOIN g_anc a ON a.node_id = c.call_id AND a.ancestor_id = p.source_id
+UNION ALL SELECT p.source_id, p.target_id, p.loc_file, p.loc_line, 2, c.call_id, abs(c.call_line - p.at) FROM places p JOIN g_callfact c ON c.callee_id = p.target_id AND c.call_file = p.file WHERE c.call_line IS NOT NULL AND p.at IS NOT NULL
+UNION ALL SELECT p.source_id, p.target_id, p.loc_file, p.loc_line, 3, c.call_id, abs(coalesce(c.call_line, 0) - coalesce(p.at, 0)) FROM places p JOIN g_edges k ON k.type = 'CONTAINS' AND k.source_id = p.target_id
+  JOIN g_callfact c ON c.callee_id = k.target_id AND c.call_kind = 'constructor' AND c.callee_name = '__construct' JOIN g_anc a ON a.node_id = c.call_id AND a.ancestor_id = p.source_id)"""
+query("nearest_call", sql("SELECT source_id, target_id, loc_file, loc_line, CAST(strategy AS BIGINT) AS strategy, call_id, CAST(off AS BIGINT) AS off FROM found QUALIFY row_number() OVER (PARTITION BY source_id, target_id, loc_file, loc_line ORDER BY strategy, off, call_id) = 1",
+    "g_nodes", "g_edges", "g_callfact", "g_anc", ctes=f"{_PLACES}, {_FOUND}"))(L.nearest_call)
+_FIRST = "arg_min({0}, (CASE WHEN c.call_line = r.loc_line THEN 0 ELSE 1 END, c.call_id)) FILTER (WHERE {0} IS NOT NULL)"
+query("best_receiver", sql(f"""SELECT class_id, caller_id, property_id, loc_line, {_FIRST.format('receiver_name')} AS receiver, {_FIRST.format('receiver_value_kind')} AS receiver_kind, {_FIRST.format('on_symbol')} AS through FROM (
+SELECT DISTINCT k.source_id AS class_id, e.source_id AS caller_id, e.target_id AS property_id, e.loc_line FROM g_edges e JOIN g_nodes p ON p.node_id = e.target_id AND p.kind = 'Property' JOIN g_nodes s ON s.node_id = e.source_id AND s.kind IN ('Method', 'Function')
+  JOIN g_edges k ON k.type = 'CONTAINS' AND k.target_id = e.target_id WHERE e.type = 'USES' AND NOT EXISTS (SELECT 1 FROM g_anc a WHERE a.node_id = e.source_id AND a.ancestor_id = k.source_id)) r
+LEFT JOIN g_callfact c ON c.scope_id = r.caller_id AND c.callee_id = r.property_id AND c.callee_kind = 'Property' GROUP BY 1, 2, 3, 4""", "g_nodes", "g_edges", "g_callfact", "g_anc"))(L.best_receiver)
