@@ -7,7 +7,8 @@ import contextlib
 import re
 import tempfile
 import uuid
-from functools import cached_property
+from collections.abc import Callable
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,13 @@ class Graph:
         at = spark._jvm.org.apache.hadoop.fs.Path(self.path)  # derived tables go when the driver ends
         atexit.register(_delete, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
         self._nodes, self._edges = nodes, edges
+        self._facts: dict[str, DataFrame] = {}
+
+    def fact(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What make() gives, stored on first use."""
+        if name not in self._facts:
+            self._facts[name] = self.keep(make(), name)
+        return self._facts[name]
 
     def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """df, stored and read again; partitioned, with few files a partition but large ones split."""
@@ -56,6 +64,12 @@ class Graph:
     def nodes(self) -> DataFrame:
         return self.keep(self._nodes.sortWithinPartitions("kind", "fqn"), "nodes")
 
+    @cached_property
+    def by_name(self) -> DataFrame:
+        """nodes with lower_fqn, sorted by it over all files, so that a look-up by name reads a few row groups."""
+        nodes = self.nodes.withColumn("lower_fqn", F.lower("fqn"))
+        return self.keep(nodes.repartitionByRange("lower_fqn").sortWithinPartitions("lower_fqn"), "by-name")
+
     @cached_property
     def edges(self) -> DataFrame:
         """Edges whose both ends exist; others are dropped, as on any import."""
@@ -117,6 +131,16 @@ def endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
 
 
+def stored_fact(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
+    """f, computed once for each graph and read from there by all who ask for it."""
+
+    @wraps(f)
+    def go(g: Graph) -> DataFrame:
+        return g.fact(f.__name__.replace("_", "-"), lambda: f(g))
+
+    return go
+
+
 class ProjectedGraph(Graph):
     """The graph of a directory of star-schema tables, with its flows and vectors."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import LAST_USE, REGISTERED, TYPES, USES_CHOICE, USES_PRIORITY, call_reference, priority
 from ..functions.text import method_fqn
-from ..graph import Graph
+from ..graph import Graph, stored_fact
 from .lookups import as_of
 
 
@@ -30,6 +30,7 @@ def _rank(df: DataFrame, key: list[str], *order) -> DataFrame:
 # --- used by: classes ---
 
 
+@stored_fact
 def reference_calls(g: Graph) -> DataFrame:
     """(source_id, target_id, loc_file, loc_line, call_id): of each use the call behind it, which stands in the
     source, in the same file and on the same line, a constructor's up to one off; the least id of several."""
@@ -45,6 +46,7 @@ def class_children(g: Graph) -> DataFrame:
     return g.refs.where("ref_type in ('extends', 'implements')").select("target_id", "source_id", "ref_type", F.col("source_file").alias("file"), F.col("source_line").alias("line"))
 
 
+@stored_fact
 def incoming(g: Graph) -> DataFrame:
     """References from outside, not from files, with the class and method around their source."""
     r = g.refs.where("source_kind <> 'File'")
@@ -53,6 +55,7 @@ def incoming(g: Graph) -> DataFrame:
     return r.join(inside, ["source_id", "target_id"], "left_anti")
 
 
+@stored_fact
 def injections(g: Graph) -> DataFrame:
     """(target_id, class_id): classes that hold a property of the target's type, or a method whose sibling
     property does."""
@@ -159,6 +162,7 @@ def handler_param_return(g: Graph) -> DataFrame:
 # --- uses ---
 
 
+@stored_fact
 def hinted_types(g: Graph) -> DataFrame:
     """(class_id, used_id, hint, hint_line): types that a class's members declare, a property's before a
     parameter's before a method's own; of one sort the earliest line, where one is known."""
@@ -175,6 +179,7 @@ def hinted_types(g: Graph) -> DataFrame:
     return best.select("class_id", "used_id", "hint_line", F.when(F.col("rank") == 1, "property_type").when(F.col("rank") == 2, "parameter_type").otherwise("return_type").alias("hint"))
 
 
+@stored_fact
 def instantiated(g: Graph) -> DataFrame:
     """(class_id, used_id): classes whose constructors a class's methods call."""
     c = g.calls.where("call_kind = 'constructor'").join(_contains(g, "used_id", "callee_id"), "callee_id")

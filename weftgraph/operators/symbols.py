@@ -17,36 +17,62 @@ def normalized(query: str) -> str:
     return query.strip().lstrip("\\")
 
 
-def stages(query: str) -> list:
-    """Conditions of the cascade, in order; the first that any node meets decides."""
+def _fuzzy(query: str) -> list:
+    """Conditions of the stages after exact and case-insensitive names, in order."""
     q = normalized(query)
     short = q.split("::")[-1]
     bare = short.rstrip("()")
-    fuzzy = F.col("kind").isin(SEARCHABLE)
-    return [F.col("fqn") == q, F.lower("fqn") == q.lower(), F.col("fqn").endswith(q) & fuzzy, (F.col("name") == short) & fuzzy, (F.col("name") == bare) & fuzzy if bare != short else F.lit(False), F.col("fqn").contains(q) & fuzzy]
+    return [F.col("fqn").endswith(q), F.col("name") == short, F.col("name") == bare if bare != short else F.lit(False), F.col("fqn").contains(q)]
 
 
-def resolve_many(g: Graph, queries: list[str]) -> DataFrame:
-    """For each query, the nodes of the first stage with hits, with the stage (from 1). Stages from the third on
-    give the first FUZZY_LIMIT nodes of the graph; an exact hit on a value hides arguments of that name.
-    Nodes are read twice, however many queries there are."""
-    if not queries:
-        return g.nodes.where(F.lit(False)).withColumn("stage", F.lit(0).cast("long")).withColumn("query", F.lit(""))
+def _hits(nodes: DataFrame, queries: list[str], stages) -> DataFrame:
+    """nodes, a row for each query with the first of its stages (number, condition) that the node meets."""
     asked = []
-    for q in dict.fromkeys(queries):
+    for q in queries:
         stage = F.lit(None).cast("long")
-        for i, s in reversed(list(enumerate(stages(q), 1))):
+        for i, s in reversed(stages(q)):
             stage = F.when(s, F.lit(i).cast("long")).otherwise(stage)
         asked.append(F.struct(F.lit(q).alias("query"), stage.alias("stage")))
-    hits = g.nodes.withColumn("hit", F.explode(F.filter(F.array(*asked), lambda h: h.stage.isNotNull())))
-    hits = hits.select(*g.nodes.columns, "hit.stage", "hit.query")
-    best = hits.groupBy("query").agg(F.min("stage").alias("least"), F.max(F.when(F.col("stage") == 1, F.col("kind") == "Value")).alias("value"))
-    hits = hits.join(F.broadcast(best), "query").where("stage = least")  # a row a query
-    hits = hits.where(~((F.col("stage") == 1) & F.coalesce("value", F.lit(False)) & (F.col("kind") == "Argument")))
-    place = F.row_number().over(Window.partitionBy("query").orderBy("node_ord"))  # that many rows a task go on
-    fuzzy = hits.where("stage > 2").withColumn("place", place).where(F.col("place") <= FUZZY_LIMIT)
+    hits = nodes.withColumn("hit", F.explode(F.filter(F.array(*asked), lambda h: h.stage.isNotNull())))
+    return hits.select("*", "hit.stage", "hit.query").drop("hit")
+
+
+def _decided(hits: DataFrame, least: dict[str, int]) -> DataFrame:
+    """Of each query the hits of the stage that decides it."""
+    if not least:
+        return hits.where(F.lit(False))
+    return hits.where(F.create_map(*[F.lit(x) for item in least.items() for x in item])[F.col("query")] == F.col("stage"))
+
+
+def resolve_many(g: Graph, queries: list[str]) -> DataFrame:
+    """For each query, the nodes of the first stage with hits, with the stage (from 1). Stages from the third on
+    give the first FUZZY_LIMIT nodes of the graph; an exact hit on a value hides arguments of that name.
+    Full names are looked up in the table sorted by them, which skips all row groups but a few; only queries
+    that name nothing so read the searchable nodes, once for all of them."""
     columns = [*g.nodes.columns, "stage", "query"]
-    return hits.where("stage <= 2").select(*columns).unionByName(fuzzy.select(*columns))
+    if not queries:
+        return g.nodes.where(F.lit(False)).withColumn("stage", F.lit(0).cast("long")).withColumn("query", F.lit("")).select(*columns)
+    queries = list(dict.fromkeys(queries))
+    lower = lambda q: F.lower(F.lit(normalized(q)))
+    named = g.by_name.where(F.col("lower_fqn").isin(*[lower(q) for q in queries]))
+    named = _hits(named, queries, lambda q: [(1, F.col("fqn") == normalized(q)), (2, F.col("lower_fqn") == lower(q))])
+    best = named.groupBy("query").agg(F.min("stage").alias("least"), F.max((F.col("stage") == 1) & (F.col("kind") == "Value")).alias("value")).collect()  # a row a query
+    values = [r.query for r in best if r.value]
+    hidden = (F.col("stage") == 1) & (F.col("kind") == "Argument") & F.col("query").isin(values)
+    out = _decided(named, {r.query: r.least for r in best}).where(~hidden).select(*columns)
+    left = [q for q in queries if q not in {r.query for r in best}]
+    if not left:
+        return out
+    any_of = F.lit(False)
+    for q in left:
+        for s in _fuzzy(q)[1:]:  # what ends with a text contains it
+            any_of = any_of | s
+    some = g.nodes.where(F.col("kind").isin(SEARCHABLE)).where(any_of)
+    hits = g.keep(_hits(some, left, lambda q: list(enumerate(_fuzzy(q), 3))), "fuzzy-hits")
+    best = hits.groupBy("query").agg(F.min("stage").alias("least")).collect()  # a row a query
+    place = F.row_number().over(Window.partitionBy("query").orderBy("node_ord"))  # that many rows a task go on
+    fuzzy = _decided(hits, {r.query: r.least for r in best}).withColumn("place", place).where(F.col("place") <= FUZZY_LIMIT)
+    return out.unionByName(fuzzy.select(*columns))
 
 
 def resolve(g: Graph, query: str) -> DataFrame:
