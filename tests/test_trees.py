@@ -8,6 +8,8 @@ from weftgraph.graph import projected
 from weftgraph.operators import trees as T
 from weftgraph.plans.replay import depth_first
 
+from .test_values import Program
+
 
 def rows_of(entries, root):
     out = []
@@ -66,3 +68,70 @@ def test_all_classes_equal_the_walk(spark, sf, up):
         top = [(r[other], {"loc_file": r.loc_file, "loc_line": r.loc_line}) for r in first]
         want = rows_of(depth_first(root, lambda n: top if n == root else every.get(n, []), 3, 40), root)  # noqa: B023
         assert got.get(root, []) == want, root
+
+
+def flow_program(n, seed):
+    p = Program()
+    rnd = random.Random(seed)
+    methods = [f"m{i}" for i in range(n)]
+    for m in methods:
+        p.node(m, "Method", f"App::{m}()")
+    p.node("prop", "Property", "App::$prop")
+    own = defaultdict(list)
+    for i in range(6 * n):
+        m, to = rnd.choice(methods), rnd.choice([*methods, "prop"])
+        args = [(v, None) for v in rnd.sample(own[m], min(len(own[m]), rnd.choice([0, 0, 1])))]
+        out = rnd.random() < 0.5
+        p.call(f"c{i:03}", m, to, args=args, result=f"r{i:03}" if out else None, local=f"l{i:03}" if out and rnd.random() < 0.5 else None, kind="access" if to == "prop" else "method")
+        own[m] += [f"r{i:03}"] * out
+    return p
+
+
+def flowed(p, root, depth, limit):
+    """The walk of one method: a shared count, callees seen on the path."""
+    by = lambda kind: [e for e in p.edges if e[0] == kind]
+    scope, callee, made = {e[2]: e[1] for e in by("CONTAINS")}, {e[1]: e[2] for e in by("CALLS")}, {e[2]: e[1] for e in by("PRODUCES")}
+    local = {e[2]: e[1] for e in by("ASSIGNED_FROM")}
+    consumed = {made[e[2]] for e in by("ARGUMENT") + by("RECEIVER") if e[2] in made and made[e[2]] != e[1] and scope[made[e[2]]] == scope[e[1]]}
+    out, count = [], 0
+
+    def go(m, level, seen, parent):
+        nonlocal count
+        here = set()
+        for c in sorted(c for c in callee if scope[c] == m and c not in consumed):
+            if count >= limit:
+                return
+            if callee[c] in here or callee[c] in seen:
+                continue
+            here.add(callee[c])
+            count += 1
+            result = next((r for r, by_call in made.items() if by_call == c), None)
+            out.append((count, level, parent, c, callee[c], local.get(result)))
+            if level < depth:
+                go(callee[c], level + 1, seen | {callee[c]}, c)
+
+    go(root, 1, {root}, None)
+    return out
+
+
+@pytest.mark.parametrize("limit", [4, 25, 1000])
+def test_execution_flow_equals_the_walk(spark, limit):
+    p = flow_program(9, limit)
+    got = defaultdict(list)
+    for r in T.execution_trees(p.graph(spark), 3, limit).collect():
+        got[r.root_id].append((r.place, r.depth, r.parent_id, r.call_id, r.callee_id, r.local_id))
+    for m in (f"m{i}" for i in range(9)):
+        assert sorted(got[m]) == flowed(p, m, 3, limit), m
+
+
+def test_accesses_that_an_argument_spells_out_are_not_shown(spark):
+    p = Program()
+    for m in ("run", "use"):
+        p.node(m, "Method", f"App::{m}()")
+    for name in ("id", "other"):
+        p.node(f"p.{name}", "Property", f"App::${name}")
+        p.call(f"read.{name}", "run", f"p.{name}", kind="access")
+    p.value("v", "local", "run")
+    p.call("send", "run", "use")
+    p.edges.append(("ARGUMENT", "send", "v", None, None, 0, "f($this->id)", None))
+    assert sorted((r.place, r.call_id) for r in T.execution_trees(p.graph(spark)).collect()) == [(2, "read.other"), (3, "send")]

@@ -100,3 +100,9 @@ def line_range(text: Column, start: Column, end: Column) -> Column:
 def shorten_parameter(parameter: Column) -> Column:
     """A parameter's key in output: no constructor part, App\\C::$x for App\\C::__construct().$x."""
     return F.regexp_replace(parameter, r"::__construct\(\)\.", "::")
+
+
+def grams(text: Column, size: int) -> Column:
+    """The distinct substrings of that many characters; null if there is none."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(size)))))

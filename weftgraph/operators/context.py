@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import LAST_USE, REGISTERED, TYPES, USES_CHOICE, USES_PRIORITY, call_reference, priority
-from ..functions.text import method_fqn
+from ..functions.text import grams, method_fqn
 from ..graph import Graph, stored_fact
 from .lookups import as_of
 
@@ -251,12 +251,6 @@ def consumed_calls(g: Graph) -> DataFrame:
     return made.join(used, "value_id").where("call_id <> by").select("call_id").distinct()
 
 
-def _grams(text, size):
-    """The distinct substrings of that many characters."""
-    at = F.sequence(F.lit(1), F.greatest(F.lit(0), F.length(text) - size + 1))
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(size)))))
-
-
 def orphan_accesses(g: Graph) -> DataFrame:
     """Property accesses whose property's name is in no argument of another call of the same method. A text that
     contains a name contains its first three characters: scope and these are joined on, and what meets is tested."""
@@ -264,7 +258,7 @@ def orphan_accesses(g: Graph) -> DataFrame:
     said = g.args.where("expression is not null").join(g.calls.select("call_id", "scope_id"), "call_id").select("scope_id", F.col("call_id").alias("other_id"), "expression").distinct()
     texts = None
     for size in (1, 2, 3):
-        part = said.select("scope_id", "other_id", "expression", F.explode(_grams(F.col("expression"), size)).alias("gram"))
+        part = said.select("scope_id", "other_id", "expression", F.explode(grams(F.col("expression"), size)).alias("gram"))
         lead = F.col("name").substr(F.lit(1), F.lit(3))
         some = a.where(F.length("name") == size if size < 3 else F.length("name") >= 3).withColumn("gram", lead)
         hit = some.join(part, ["scope_id", "gram"]).where("other_id <> call_id and contains(expression, name)").select("call_id")

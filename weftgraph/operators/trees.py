@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..functions.classify import call_reference
+from ..functions.text import grams
+from ..graph import Graph, stored_fact
 from ..plans.expand import expand
 from ..plans.replay import Entry, depth_first
 from ..schema import CONTAINERS
@@ -92,3 +94,58 @@ def uses_trees(g: Graph, up: bool, depth: int = 3, limit: int = 100) -> DataFram
     top = top.withColumn("k", seat).withColumn("again", F.row_number().over(again)).where("again = 1")
     starts = g.keep(top.groupBy("root_id").agg(F.sort_array(F.collect_list(F.struct("k", "next_id", "loc_file", "loc_line"))).alias("nexts")), "tree-starts")
     return walks(near, starts, depth, limit, g.keep)
+
+
+# --- execution flow: what a method's calls do, call by call ---
+
+
+@stored_fact
+def flow_entries(g: Graph) -> DataFrame:
+    """(scope_id, k, call_id, callee_id, local_id, ref_type, orphan): the calls a method's flow shows, in the order of their
+    ids: of each callee the first; none whose result is the receiver or an argument of another call of the method. An
+    orphan is a property access that an argument of the flow's calls already spells out: counted, but not shown."""
+    c = g.calls.where("scope_kind in ('Method', 'Function')")
+    scope = c.select("call_id", "scope_id")
+    made = g.of_type("PRODUCES").select(F.col("source_id").alias("call_id"), F.col("target_id").alias("value_id"))
+    made = made.join(g.nodes.where("value_kind = 'result'").select(F.col("node_id").alias("value_id")), "value_id").join(scope, "call_id")
+    used = g.of_type("RECEIVER", "ARGUMENT").select(F.col("target_id").alias("value_id"), F.col("source_id").alias("by"))
+    used = used.join(scope.toDF("by", "scope_id"), "by")
+    consumed = made.join(used, ["value_id", "scope_id"]).where("call_id <> by").select("call_id").distinct()
+    c = c.join(consumed, "call_id", "left_anti")
+    again = F.row_number().over(Window.partitionBy("scope_id", F.coalesce("callee_id", "call_id")).orderBy("call_id"))
+    c = c.withColumn("again", again).where("again = 1").withColumn("k", F.row_number().over(Window.partitionBy("scope_id").orderBy("call_id")))
+    c = g.keep(c.withColumn("ref_type", call_reference(F.col("call_kind"), F.col("callee_kind"))), "flow-calls")
+    name = F.regexp_extract("callee_fqn", r"::\$(.*)\z", 1)
+    read = c.where("ref_type = 'property_access' and local_id is null and on_expr is not null").withColumn("name", name).where("name <> ''")
+    read = read.select("call_id", "scope_id", F.concat("on_expr", F.lit("->"), "name").alias("text"))
+    read = read.withColumn("gram", F.col("text").substr(F.length("text") - 2, F.lit(3)))  # four characters at least
+    said = g.args.where("expression is not null").select("call_id", "expression").join(c.select("call_id", "scope_id"), "call_id").select("scope_id", "expression").distinct()
+    said = said.withColumn("gram", F.explode(grams(F.col("expression"), 3)))
+    orphan = read.join(said, ["scope_id", "gram"]).where("contains(expression, text)").select("call_id").distinct().withColumn("orphan", F.lit(True))
+    return c.join(orphan, "call_id", "left").select("scope_id", "k", "call_id", "callee_id", "local_id", "ref_type", F.coalesce("orphan", F.lit(False)).alias("orphan"))
+
+
+def execution_trees(g: Graph, depth: int = 3, limit: int = 100) -> DataFrame:
+    """(root_id, place, depth, parent_id, call_id, callee_id, local_id, ref_type): for every method and function its flow, the
+    calls of what it calls below, to ``depth``. A path never comes to a callee twice, nor back to its root; the count of
+    ``limit`` entries is shared by a whole tree.
+
+    Nothing else is shared, so an entry's place is its rank among all paths: paths are arrays of places, compared
+    place by place. Of a level a root keeps the first ``limit`` paths, as no later one can have a place up to limit."""
+    e = flow_entries(g)
+    at = Window.partitionBy("root_id").orderBy("path")
+    shown = ["call_id", "callee_id", "local_id", "ref_type", "orphan"]
+    unseen = lambda seen: F.col("callee_id").isNull() | ~F.array_contains(seen, F.col("callee_id"))
+    level = e.withColumnRenamed("scope_id", "root_id").withColumns({"path": F.array("k"), "seen": F.array("root_id"), "parent_id": F.lit(None).cast("string")})
+    level = level.where(unseen("seen")).select("root_id", "path", "seen", "parent_id", *shown)
+    found, n = None, 1
+    while True:
+        level = g.keep(level.withColumn("r", F.row_number().over(at)).where(F.col("r") <= limit).drop("r"), "flow-level")
+        found = level if found is None else found.union(level)
+        if n == depth or not level.head(1):
+            break
+        up = level.where("callee_id is not null").select("root_id", "path", F.array_append("seen", F.col("callee_id")).alias("seen"), F.col("call_id").alias("parent_id"), F.col("callee_id").alias("scope_id"))
+        below = up.join(e, "scope_id").where(unseen("seen"))
+        level, n = below.select("root_id", F.array_append("path", F.col("k")).alias("path"), "seen", "parent_id", *shown), n + 1
+    out = found.withColumn("place", F.row_number().over(at).cast("long")).where((F.col("place") <= limit) & ~F.col("orphan"))
+    return out.select("root_id", "place", F.size("path").cast("long").alias("depth"), "parent_id", "call_id", "callee_id", "local_id", "ref_type")

@@ -58,3 +58,16 @@ query("best_receiver", sql(f"""SELECT class_id, caller_id, property_id, loc_line
 SELECT DISTINCT k.source_id AS class_id, e.source_id AS caller_id, e.target_id AS property_id, e.loc_line FROM g_edges e JOIN g_nodes p ON p.node_id = e.target_id AND p.kind = 'Property' JOIN g_nodes s ON s.node_id = e.source_id AND s.kind IN ('Method', 'Function')
   JOIN g_edges k ON k.type = 'CONTAINS' AND k.target_id = e.target_id WHERE e.type = 'USES' AND NOT EXISTS (SELECT 1 FROM g_anc a WHERE a.node_id = e.source_id AND a.ancestor_id = k.source_id)) r
 LEFT JOIN g_callfact c ON c.scope_id = r.caller_id AND c.callee_id = r.property_id AND c.callee_kind = 'Property' GROUP BY 1, 2, 3, 4""", "g_nodes", "g_edges", "g_callfact", "g_anc"))(L.best_receiver)
+
+_REF = "CASE c.call_kind WHEN 'method' THEN 'method_call' WHEN 'method_static' THEN 'static_call' WHEN 'constructor' THEN 'instantiation' WHEN 'access' THEN 'property_access' WHEN 'access_static' THEN 'static_property' WHEN 'function' THEN 'function_call' END"
+_ENTRIES = f"""consumed AS MATERIALIZED (SELECT DISTINCT p.source_id AS call_id FROM g_edges p JOIN g_nodes v ON v.node_id = p.target_id AND v.value_kind = 'result' JOIN g_edges u ON u.type IN ('RECEIVER', 'ARGUMENT') AND u.target_id = p.target_id AND u.source_id <> p.source_id
+  JOIN g_callfact a ON a.call_id = p.source_id JOIN g_callfact b ON b.call_id = u.source_id AND b.scope_id = a.scope_id WHERE p.type = 'PRODUCES'),
+shown AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY call_id) AS k FROM (SELECT c.*, {_REF} AS ref_type FROM g_callfact c WHERE c.scope_kind IN {_CALLABLE} AND c.call_id NOT IN (SELECT call_id FROM consumed)
+  QUALIFY row_number() OVER (PARTITION BY c.scope_id, coalesce(c.callee_id, c.call_id) ORDER BY c.call_id) = 1)),
+entry AS MATERIALIZED (SELECT s.scope_id, s.k, s.call_id, s.callee_id, s.local_id, s.ref_type, s.ref_type = 'property_access' AND s.local_id IS NULL AND s.on_expr IS NOT NULL AND EXISTS (SELECT 1 FROM g_edges x JOIN shown o ON o.call_id = x.source_id
+  WHERE x.type = 'ARGUMENT' AND o.scope_id = s.scope_id AND contains(x.expression, concat(s.on_expr, '->', split_part(s.callee_fqn, '::$', 2)))) AS orphan FROM shown s)"""
+_TREE = """tree AS (SELECT scope_id AS root_id, [k] AS path, [scope_id] AS seen, CAST(NULL AS VARCHAR) AS parent_id, call_id, callee_id, local_id, ref_type, orphan FROM entry WHERE callee_id IS DISTINCT FROM scope_id
+UNION ALL SELECT t.root_id, list_append(t.path, e.k), list_append(t.seen, t.callee_id), t.call_id, e.call_id, e.callee_id, e.local_id, e.ref_type, e.orphan FROM tree t JOIN entry e ON e.scope_id = t.callee_id
+  WHERE len(t.path) < 3 AND (e.callee_id IS NULL OR NOT list_contains(t.seen, e.callee_id) AND e.callee_id <> t.callee_id))"""
+query("exec_flow_tree", sql("SELECT root_id, place, CAST(len(path) AS BIGINT) AS depth, parent_id, call_id, callee_id, local_id, ref_type FROM (SELECT *, CAST(row_number() OVER (PARTITION BY root_id ORDER BY path) AS BIGINT) AS place FROM tree) WHERE place <= 100 AND NOT orphan",
+    "g_nodes", "g_edges", "g_callfact", ctes=f"{_ENTRIES}, {_TREE}"))(T.execution_trees)
