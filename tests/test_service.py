@@ -91,7 +91,10 @@ def test_context(service):
     c = service.context(NS + "S::run()", depth=2)
     assert c["definition"]["declaredIn"]["fqn"] == NS + "S"
     assert [(e["fqn"], e["refType"]) for e in c["usedBy"]] == [(NS + "C::act()", "method_call")]
-    assert [(e["fqn"], e["refType"]) for e in c["uses"]] == [(NS + "E::$id", "property_access"), (NS + "E::__construct()", "instantiation"), (NS + "I::save()", "method_call")]
+    # what was read of $in goes to the constructor, so it is an argument there and no entry of its own
+    assert [(e["fqn"], e["refType"], e.get("variable")) for e in c["uses"]] == [(NS + "E::__construct()", "instantiation", "S.run.e"), (NS + "I::save()", "method_call", None)]
+    assert c["uses"][0]["arguments"] == [{"position": 0, "parameter": NS + "E::__construct().$id", "expression": "$in->id", "value": "c1::r", "valueKind": "result", "source": {"fqn": NS + "E::$id", "on": "$in"}}]
+    assert c["uses"][1]["arguments"][0]["type"] == NS + "E"
     assert service.context(NS + "E::__construct()")["target"]["fqn"] == NS + "E"
     e = service.context(NS + "E", depth=2)["usedBy"]
     assert [(x["fqn"], x["refType"]) for x in e] == [(NS + "S::run()", "instantiation"), (NS + "E::$id", "property_access"), (NS + "C", "type_hint"), (NS + "S", "type_hint")]
@@ -101,7 +104,12 @@ def test_context(service):
     i = service.context(NS + "I", depth=2)["usedBy"]
     assert [(x["fqn"], x["refType"]) for x in i] == [(NS + "R", "implements"), (NS + "S::$repo", "property_type"), (NS + "S", "property_type")] or [(x["fqn"], x["refType"]) for x in i] == [(NS + "R", "implements"), (NS + "S::$repo", "property_type")]
     v = service.context("c1::r", depth=3)["usedBy"]
-    assert fqns(v) == ["c2::r"] and fqns(v[0]["children"]) == [NS + "S::run().$e"]
+    assert [(x["fqn"], x["depth"]) for x in v] == [(NS + "E::__construct()", 1), (NS + "I::save()", 2)]
+    assert fqns(service.context("c1::r")["uses"]) == [NS + "E::$id"]
+    p = service.context(NS + "E::$id", depth=2)
+    assert [(x["fqn"], x["on"], x["sites"]) for x in p["usedBy"]] == [(NS + "S::run()", "$in", 1)] and fqns(p["usedBy"][0]["children"]) == [NS + "C::act()"]
+    assert [(x["fqn"], x["refType"]) for x in p["uses"]] == [("c1::r", "argument")]
+    assert [(x["fqn"], x["refType"]) for x in service.context(NS + "I")["uses"]] == [(NS + "E", "return_type")]
     assert service.context(NS + "I", impl=True)["uses"][-2:][0]["refType"] == "implements"
 
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.classify import CHAINABLE, call_reference, priority
+from .functions.classify import CHAINABLE, LAST_USE, USES_PRIORITY, call_reference, priority
 from .graph import Graph
 from .operators import definition as D
 from .operators import members as M
 from .operators import symbols as S
+from .operators import values as V
+from .operators.trees import flow_entries
 from .plans.expand import expand
 from .plans.replay import Entry, breadth_first, by_path, depth_first
 from .schema import INHERITABLE
@@ -97,17 +99,36 @@ class Api:
 
     def _tree(self, entries: list[Entry], show) -> list[dict]:
         ids: set[str] = set()
+        calls: set[str] = set()
 
         def gather(es):
             for e in es:
                 ids.add(e.node_id)
+                if e.edge.get("call_id"):
+                    calls.add(e.edge["call_id"])
                 gather(e.children)
 
         gather(entries)
-        nodes = self._nodes(ids)
-        make = lambda e: slim({**show(e, nodes.get(e.node_id)), "children": [make(c) for c in e.children]})
+        nodes, given = self._nodes(ids), self._arguments(calls)
+        make = lambda e: slim({**show(e, nodes.get(e.node_id)), "arguments": given.get(e.edge.get("call_id")), "children": [make(c) for c in e.children]})
         return [make(e) for e in entries]
 
+    def _arguments(self, calls: set[str]) -> dict[str, list[dict]]:
+        """What each of a request's calls is given, by position, and which call each argument comes from."""
+        if not calls:
+            return {}
+        g = self.g
+        a = g.args.where(F.col("call_id").isin(sorted(calls)))
+        kind = g.nodes.select(F.col("node_id").alias("value_type_id"), F.col("fqn").alias("type_fqn"))
+        made = g.calls.select(F.col("call_id").alias("source_call_id"), F.col("callee_fqn").alias("source_fqn"), F.col("on_expr").alias("source_on"))
+        rows = a.join(kind, "value_type_id", "left").join(made, "source_call_id", "left").orderBy("call_id", "position", "value_id").collect()
+        out: dict[str, list[dict]] = {}
+        for r in rows:
+            source = slim({"fqn": r.source_fqn, "on": r.source_on})
+            shown = {"position": r.position, "parameter": r.parameter, "expression": r.expression or None, "value": r.value_fqn, "valueKind": r.value_kind, "type": r.type_fqn, "source": source or None}
+            out.setdefault(r.call_id, []).append(slim(shown))
+        return out
+
     def _walk_uses(self, query: str, depth: int, limit: int, up: bool) -> dict:
         node = self.one(query)
         pairs = self._pairs(["USES"], up)
@@ -210,7 +231,7 @@ class Api:
 
     def _show_reference(self, e: Entry, n) -> dict:
         d = e.edge
-        return {"depth": e.depth, "id": e.node_id, "kind": n and n.kind, "fqn": n.fqn if n else e.node_id, "file": d.get("file"), "line": line(d.get("line")), "refType": d.get("ref_type"), "on": d.get("on_expr"), "onKind": d.get("on_kind"), "callee": d.get("callee"), "accessCount": d.get("accesses"), "methodCount": d.get("methods"), "sites": d.get("sites")}
+        return {"depth": e.depth, "id": e.node_id, "kind": n and n.kind, "fqn": n.fqn if n else e.node_id, "file": d.get("file"), "line": line(d.get("line")), "refType": d.get("ref_type"), "on": d.get("on_expr"), "onKind": d.get("on_kind"), "callee": d.get("callee"), "accessCount": d.get("accesses"), "methodCount": d.get("methods"), "sites": d.get("sites"), "variable": d.get("local_id"), "crossedFrom": d.get("crossed_from")}
 
     def _refs_in(self, ids: list[str], imports: bool = False) -> list:
         """References to these nodes with the call behind each, ordered by priority, file and line."""
@@ -218,9 +239,9 @@ class Api:
         r = g.refs.where(F.col("target_id").isin(ids))
         r = r if imports else r.where("source_kind <> 'File'")
         c = g.calls.where(F.col("callee_id").isin(ids)).groupBy(F.col("scope_id").alias("source_id"), F.col("callee_id").alias("target_id"))
-        c = c.agg(F.min_by(F.struct("on_expr", "on_kind", call_reference(F.col("call_kind"), F.col("callee_kind")).alias("call_ref")), "call_id").alias("c"))
+        c = c.agg(F.min_by(F.struct("call_id", "on_expr", "on_kind", call_reference(F.col("call_kind"), F.col("callee_kind")).alias("call_ref")), "call_id").alias("c"))
         r = r.join(c, ["source_id", "target_id"], "left").withColumn("ref_type", F.coalesce("c.call_ref", "ref_type"))
-        return r.select("target_id", "source_id", "ref_type", F.coalesce("loc_file", "source_file").alias("file"), F.coalesce("loc_line", "source_line").alias("line"), "c.on_expr", "c.on_kind", priority(F.col("ref_type")).alias("p")).orderBy("p", F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), "source_id").collect()
+        return r.select("target_id", "source_id", "ref_type", F.coalesce("loc_file", "source_file").alias("file"), F.coalesce("loc_line", "source_line").alias("line"), "c.call_id", "c.on_expr", "c.on_kind", priority(F.col("ref_type")).alias("p")).orderBy("p", F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), "source_id").collect()
 
     def _class_entries(self, node, depth: int, limit: int, imports: bool) -> list[Entry]:
         """USED BY of a class by kinds of reference, in this order: subtypes, instantiations, properties of its
@@ -266,7 +287,12 @@ class Api:
     def used_by(self, node, depth: int, limit: int, direct: bool = False, imports: bool = False) -> list[dict]:
         g = self.g
         if node.kind == "Value":
-            return self._value_walk(node.node_id, depth, limit, forward=True)
+            return self._value_flow(node.node_id, depth, limit)
+        if node.kind == "Property":
+            sites = M.property_breakdown(g).where(F.col("property_id") == node.node_id).orderBy(F.asc_nulls_last("line"), "method_id", "on_expr").limit(limit).collect()
+            walk = [Entry(r.method_id, 1, {"ref_type": "property_access", "line": r.line, "on_expr": r.on_expr, "on_kind": r.on_kind, "sites": r.accesses}) for r in sites]
+            self._expand_callers(walk, {node.node_id, *(e.node_id for e in walk)}, depth, limit, len(walk))
+            return self._tree(walk, self._show_reference)
         if node.kind in ("Class", "Interface") and not direct:
             return self._tree(self._with_callers(self._class_entries(node, depth, limit, imports), node.node_id, depth, limit), self._show_reference)
         inside = {r.node_id for r in g.anc.where(F.col("ancestor_id") == node.node_id).select("node_id").collect()} if node.kind in INHERITABLE else set()
@@ -312,15 +338,22 @@ class Api:
 
         g = self.g
         if node.kind == "Value":
-            return self._value_walk(node.node_id, depth, limit, forward=False)
+            return self._value_origin(node.node_id, depth, limit)
         if node.kind in ("Class", "Interface"):
             table = C.class_uses(g)
+            if node.kind == "Interface":  # a contract uses what its signatures name, and what it extends
+                own = g.nodes.where("kind = 'Interface'").select(F.col("node_id").alias("class_id"))
+                named = M.interface_uses(g).select(F.col("interface_id").alias("class_id"), "used_id", "ref_type").withColumn("priority", priority(F.col("ref_type"), USES_PRIORITY, LAST_USE))
+                table = table.where("ref_type = 'extends'").unionByName(table.where("ref_type <> 'extends'").join(own, "class_id", "left_anti")).select("class_id", "used_id", "ref_type", "priority").unionByName(named)
             fetch = lambda ids: [(r.class_id, r.used_id, {"ref_type": r.ref_type}) for r in table.where(F.col("class_id").isin(ids)).orderBy("priority", "used_id").collect()]
         elif node.kind in ("Method", "Function"):
-            table = C.execution_flow(g)
-            fetch = lambda ids: [(r.scope_id, r.callee_id, {"ref_type": r.ref_type, "call_id": r.call_id}) for r in table.where(F.col("scope_id").isin(ids)).orderBy("call_id").collect()]
+            table = flow_entries(g)
+            fetch = lambda ids: [(r.scope_id, r.callee_id or r.call_id, {"ref_type": r.ref_type, "call_id": r.call_id, "local_id": r.local_id, "orphan": r.orphan, "file": r.call_file, "line": r.call_line}) for r in table.where(F.col("scope_id").isin(ids)).where(F.col("k") <= limit + depth).orderBy("scope_id", "k").collect()]
         elif node.kind == "Property":
-            fetch = lambda ids: [(r.property_id, r.target_id, {"ref_type": "property_type"}) for r in C.typed_properties(g).where(F.col("property_id").isin(ids)).orderBy("target_id").collect()]
+            typed = C.typed_properties(g).select("property_id", "target_id", F.lit("property_type").alias("ref_type"), F.lit(None).cast("string").alias("call_id"))
+            given = M.property_inputs(g).select("property_id", F.coalesce("value_id", "call_id").alias("target_id"), F.lit("argument").alias("ref_type"), "call_id")
+            table = typed.union(given)
+            fetch = lambda ids: [(r.property_id, r.target_id, {"ref_type": r.ref_type, "call_id": r.call_id}) for r in table.where(F.col("property_id").isin(ids)).orderBy(F.desc("ref_type"), "target_id", "call_id").limit(limit).collect()]
         else:
             return []
         known: dict[str, list[tuple[str, dict]]] = {}
@@ -332,7 +365,7 @@ class Api:
                 known[a].append((b, e))
             # the walk enters a level from its first place on, and limit places of it at most
             level = [(b, path | {b}) for n, path in level for b, _ in known[n] if b not in path][:limit]
-        found = by_path(node.node_id, lambda n: known.get(n, []), depth, limit)
+        found = self._shown(by_path(node.node_id, lambda n: known.get(n, []), depth, limit))
         out = self._tree(found, self._show_reference)
         if impl and node.kind == "Interface":
             rows = C.implementors(g).where(F.col("interface_id") == node.node_id).orderBy("distance", "class_id").limit(limit).collect()
@@ -340,9 +373,31 @@ class Api:
             out += [slim({"depth": 1, "id": r.class_id, "kind": names[r.class_id].kind, "fqn": names[r.class_id].fqn, "refType": "implements"}) for r in rows]
         return out
 
-    def _value_walk(self, start: str, depth: int, limit: int, forward: bool) -> list[dict]:
-        """Along the data flow: where a value goes, or where it comes from."""
-        a, b = ("source_id", "target_id") if forward else ("target_id", "source_id")
-        flow = self.g.dataflow.select(F.col(a).alias("node_id"), F.col(b).alias("next_id"), F.col("kind").alias("ref_type"), F.lit(None).cast("string").alias("loc_file"), F.lit(None).cast("long").alias("loc_line"))
-        edges = self._adjacent(start, flow, depth, limit)
-        return self._tree(depth_first(start, lambda n: edges.get(n, []), depth, limit), self._show_reference)
+    def _shown(self, entries: list[Entry]) -> list[Entry]:
+        """Without accesses that an argument beside them spells out."""
+        for e in entries:
+            e.children = self._shown(e.children)
+        return [e for e in entries if not e.edge.get("orphan")]
+
+    def _calls_of(self, rows: list, more) -> list[dict]:
+        """Entries of calls (call_id, level), each shown as what it calls."""
+        calls = {r.call_id: r for r in self.g.calls.where(F.col("call_id").isin(sorted(r.call_id for r in rows))).withColumn("ref_type", call_reference(F.col("call_kind"), F.col("callee_kind"))).collect()} if rows else {}
+        entries = []
+        for r in rows:
+            c = calls[r.call_id]
+            edge = {"ref_type": c.ref_type, "file": c.call_file, "line": c.call_line, "on_expr": c.on_expr, "on_kind": c.on_kind, "call_id": r.call_id, **more(r)}
+            entries.append(Entry(c.callee_id or r.call_id, r.level, edge))
+        return self._tree(entries, self._show_reference)
+
+    def _value_flow(self, start: str, depth: int, limit: int) -> list[dict]:
+        """The calls that consume a value's content, within methods and across them, each at its least level."""
+        roots = self.g.nodes.where(F.col("node_id") == start).select(F.col("node_id").alias("value_id"))
+        rows = V.value_flow(self.g, roots, depth).orderBy("level", "call_id").limit(limit).collect()
+        return self._calls_of(rows, lambda r: {"crossed_from": r.crossed_from})
+
+    def _value_origin(self, start: str, depth: int, limit: int) -> list[dict]:
+        """The calls that a value's content comes from, each at its least level."""
+        roots = self.g.nodes.where(F.col("node_id") == start).select("node_id")
+        rows = V.value_origin(self.g, depth, roots).orderBy("level", "call_id").limit(limit).collect()
+        return self._calls_of(rows, lambda r: {})
+

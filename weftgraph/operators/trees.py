@@ -101,7 +101,7 @@ def uses_trees(g: Graph, up: bool, depth: int = 3, limit: int = 100) -> DataFram
 
 @stored_fact
 def flow_entries(g: Graph) -> DataFrame:
-    """(scope_id, k, call_id, callee_id, local_id, ref_type, orphan): the calls a method's flow shows, in the order of their
+    """(scope_id, k, call_id, callee_id, local_id, ref_type, orphan, call_file, call_line): the calls a method's flow shows, in the order of their
     ids: of each callee the first; none whose result is the receiver or an argument of another call of the method. An
     orphan is a property access that an argument of the flow's calls already spells out: counted, but not shown."""
     c = g.calls.where("scope_kind in ('Method', 'Function')")
@@ -122,7 +122,7 @@ def flow_entries(g: Graph) -> DataFrame:
     said = g.args.where("expression is not null").select("call_id", "expression").join(c.select("call_id", "scope_id"), "call_id").select("scope_id", "expression").distinct()
     said = said.withColumn("gram", F.explode(grams(F.col("expression"), 3)))
     orphan = read.join(said, ["scope_id", "gram"]).where("contains(expression, text)").select("call_id").distinct().withColumn("orphan", F.lit(True))
-    return c.join(orphan, "call_id", "left").select("scope_id", "k", "call_id", "callee_id", "local_id", "ref_type", F.coalesce("orphan", F.lit(False)).alias("orphan"))
+    return c.join(orphan, "call_id", "left").select("scope_id", "k", "call_id", "callee_id", "local_id", "ref_type", F.coalesce("orphan", F.lit(False)).alias("orphan"), "call_file", "call_line")
 
 
 def execution_trees(g: Graph, depth: int = 3, limit: int = 100) -> DataFrame:
