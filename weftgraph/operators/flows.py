@@ -50,10 +50,10 @@ def dispatches_in(g: ProjectedGraph) -> DataFrame:
 
 
 def list_entities(g: ProjectedGraph, label: str) -> DataFrame:
-    """Messages or events with numbers of distinct sources and targets, each counted before joining."""
-    s = g.emits.where(F.col("to_label") == label).groupBy(F.col("to_id").alias("id")).agg(F.countDistinct("flow_id").alias("sources"))
-    t = g.handled_by.where(F.col("from_label") == label).groupBy(F.col("from_id").alias("id")).agg(F.countDistinct("flow_id").alias("targets"))
-    return s.join(t, "id", "left").select("id", "sources", F.coalesce("targets", F.lit(0)).alias("targets"))
+    """Messages or events with numbers of distinct sources and targets; one that has only either counts too."""
+    s = g.emits.where(F.col("to_label") == label).select(F.col("to_id").alias("id"), F.col("flow_id").alias("source"), F.lit(None).cast("string").alias("target"))
+    t = g.handled_by.where(F.col("from_label") == label).select(F.col("from_id").alias("id"), F.lit(None).cast("string"), "flow_id")
+    return s.union(t).groupBy("id").agg(F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets"))
 
 
 def list_http_clients(g: ProjectedGraph) -> DataFrame:

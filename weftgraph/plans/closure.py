@@ -1,4 +1,4 @@
-"""Transitive closures, built once per graph by joins level after level, so that queries need no recursion."""
+"""Transitive closures, built once per graph by joins that double the distance, so that queries need no recursion."""
 
 from __future__ import annotations
 
@@ -13,20 +13,29 @@ Keep = Callable[[DataFrame, str], DataFrame]
 def closure(pairs: DataFrame, keep: Keep, most: int | None = None) -> DataFrame:
     """(node_id, ancestor_id, distance) along pairs (node_id, parent_id), the shortest distance of each.
 
-    Every level joins the last one's new rows only; keep(df, name) cuts the lineage. Cycles end, since a pair
-    found before isn't new. most bounds the distance."""
-    step = keep(pairs.select("node_id", F.col("parent_id").alias("ancestor_id")).distinct(), "closure-step")
-    found = step.withColumn("distance", F.lit(1).cast("long"))
-    new, level = found, 1
-    while most is None or level < most:
-        level += 1
-        up = step.select(F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"))
-        grown = new.join(up, "ancestor_id").select("node_id", F.col("next").alias("ancestor_id")).distinct()
-        new = keep(grown.join(found.select("node_id", "ancestor_id"), ["node_id", "ancestor_id"], "left_anti").withColumn("distance", F.lit(level).cast("long")), "closure-level")
-        if not new.head(1):
+    Rounds double the distance: with all pairs closer than 2**k and those exactly that far apart, the pairs up to
+    twice as far are a near one and a far one, since a shortest way splits at any place. A chain of n nodes takes
+    log2(n) rounds. keep(df, name) cuts the lineage. Cycles end, since a pair found before isn't new. most bounds
+    the distance."""
+    key, step = ["node_id", "ancestor_id"], 1
+    far = keep(pairs.select("node_id", F.col("parent_id").alias("ancestor_id")).distinct(), "closure-far")
+    found = far.withColumn("distance", F.lit(1).cast("long"))
+    near = None  # closer than step
+    while True:
+        onward = far.select(F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"))
+        if near is not None:
+            grown = near.join(onward, "ancestor_id").groupBy("node_id", F.col("next").alias("ancestor_id")).agg((F.min("distance") + step).alias("distance"))
+            known = near.select(*key).union(far.select(*key))
+            found = found.union(keep(grown.join(known, key, "left_anti").select(*key, "distance"), "closure-near"))
+        near, step = found, step * 2
+        if most is not None and step > most:
             break
-        found = found.union(new)
-    return found
+        twice = far.join(onward, "ancestor_id").select("node_id", F.col("next").alias("ancestor_id")).distinct()
+        far = keep(twice.join(near.select(*key), key, "left_anti"), "closure-far")
+        if not far.head(1):
+            break
+        found = near.union(far.withColumn("distance", F.lit(step).cast("long")))
+    return found if most is None else found.where(F.col("distance") <= most)
 
 
 def containment(edges: DataFrame, keep: Keep) -> DataFrame:

@@ -288,7 +288,7 @@ query("find_flow", sql("SELECT f.flow_id, f.type, f.class_node_id, f.method_node
 query("flow_dispatch_out", sql("""SELECT m.flow_id, m.to_label, m.to_id, count(DISTINCT m.call_node_id) AS calls, count(*) AS n, coalesce(max(h.handlers), 0) AS handlers FROM g_emits m LEFT JOIN (SELECT from_id, count(DISTINCT flow_id) AS handlers FROM g_handled_by GROUP BY 1) h ON h.from_id = m.to_id GROUP BY 1, 2, 3""", *_F))(W.dispatches_out)
 query("flow_dispatch_in", sql("SELECT h.flow_id, h.from_label, h.from_id, h.priority, coalesce(e.emitters, 0) AS emitters FROM g_handled_by h LEFT JOIN (SELECT to_id, count(DISTINCT flow_id) AS emitters FROM g_emits GROUP BY 1) e ON e.to_id = h.from_id", *_F))(W.dispatches_in)
 for _label, _name in (("Message", "list_messages"), ("Event", "list_events")):
-    query(_name, sql(f"SELECT s.id, s.sources, coalesce(t.targets, 0) AS targets FROM (SELECT to_id AS id, count(DISTINCT flow_id) AS sources FROM g_emits WHERE to_label = '{_label}' GROUP BY 1) s LEFT JOIN (SELECT from_id, count(DISTINCT flow_id) AS targets FROM g_handled_by GROUP BY 1) t ON t.from_id = s.id", *_F))(lambda g, l=_label: W.list_entities(g, l))
+    query(_name, sql(f"SELECT coalesce(s.id, t.from_id) AS id, coalesce(s.sources, 0) AS sources, coalesce(t.targets, 0) AS targets FROM (SELECT to_id AS id, count(DISTINCT flow_id) AS sources FROM g_emits WHERE to_label = '{_label}' GROUP BY 1) s FULL JOIN (SELECT from_id, count(DISTINCT flow_id) AS targets FROM g_handled_by WHERE from_label = '{_label}' GROUP BY 1) t ON t.from_id = s.id", *_F))(lambda g, l=_label: W.list_entities(g, l))
 query("list_http_clients", """WITH e AS (SELECT user_id, event_type, json_extract_string(props, '$.k') AS k FROM events) SELECT concat('http:', k) AS id, count(DISTINCT CASE WHEN event_type = 'error' THEN user_id END) AS flows FROM e WHERE k IS NOT NULL GROUP BY k""")(W.list_http_clients)
 for _entity, _name in (("message:click", "message_detail"), ("event:error", "event_detail")):
     query(_name, sql(f"SELECT 'source' AS side, flow_id, count(DISTINCT call_node_id) AS calls, CAST(NULL AS BIGINT) AS priority FROM g_emits WHERE to_id = '{_entity}' GROUP BY flow_id UNION ALL SELECT 'target', flow_id, NULL, priority FROM g_handled_by WHERE from_id = '{_entity}'", *_F))(lambda g, e=_entity: W.entity_detail(g, e))
