@@ -1,6 +1,7 @@
-"""Projects on disk: a folder per project, imported by writing a new version and then naming it current.
+"""Projects on disk: a folder per project. An import writes the tables that it changes and then adds one row to a
+list of versions, which names the folder of every table; tables that an import doesn't change stay where they are.
 
-Readers follow the name, so an import that fails half way changes nothing. Uniqueness of ids takes the place
+Readers follow the last row, so they see all of an import or nothing of it. Uniqueness of ids takes the place
 of constraints; partitions by kind and type take the place of indexes.
 """
 
@@ -29,29 +30,41 @@ class Project:
     def __init__(self, spark: SparkSession, root: str, name: str = "default"):
         self.spark, self.path = spark, f"{root.rstrip('/')}/{name}"
 
-    # A one-row table names the current version; it is written last.
+    # Versions: rows of a number and the folder of each table. A file with one row appears at once or not at all.
 
-    def _current(self) -> str | None:
+    def _current(self) -> tuple[int, dict[str, str]]:
         try:
-            rows = self.spark.read.json(f"{self.path}/current").collect()
+            rows = self.spark.read.schema("version long, tables map<string, string>").json(f"{self.path}/versions").collect()
         except Exception as e:  # noqa: BLE001 - Spark says in the text that a path is missing
             if "PATH_NOT_FOUND" in str(e):
-                return None
+                return 0, {}
             raise
-        return rows[0].version if rows else None
-
-    def _switch(self, version: str) -> None:
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{self.path}/current")
+        last = max(rows, key=lambda r: r.version, default=None)
+        return (last.version, dict(last.tables)) if last else (0, {})
+
+    def _switch(self, at: str, written: list[str], keep: bool = True) -> None:
+        """A version in which the tables written are in the folder at, and all others where they were."""
+        number, tables = self._current()
+        tables = (tables if keep else {}) | {n: f"{at}/{n}" for n in written}
+        row = self.spark.createDataFrame([(number + 1, tables)], "version long, tables map<string, string>")
+        row.coalesce(1).write.mode("append").json(f"{self.path}/versions")
         self.__dict__.pop("graph", None)
 
     def table(self, name: str) -> DataFrame | None:
-        version = self._current()
-        try:
-            return self.spark.read.parquet(f"{self.path}/{version}/{name}") if version else None
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+        at = self._current()[1].get(name)
+        return self.spark.read.parquet(f"{self.path}/{at}") if at else None
+
+    def vacuum(self) -> int:
+        """Deletes the folders that the last version doesn't name; how many. For when no one reads an older one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        store = path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        needed = {at.split("/")[0] for at in self._current()[1].values()}
+        own = self.graph.path.rsplit("/", 1)[-1] if "graph" in self.__dict__ else ""
+        gone = 0
+        for x in store.listStatus(path(self.path)):
+            if x.isDirectory() and x.getPath().getName() not in {"versions", own, *needed}:
+                gone += bool(store.delete(x.getPath(), True))
+        return gone
 
     @cached_property
     def graph(self) -> Graph:
@@ -67,15 +80,12 @@ class Project:
         nodes, edges = read_symbols(self.spark, document)
         version = uuid.uuid4().hex
         at = f"{self.path}/{version}"
-        kept = {n: t for n in (*FLOW_KEYS, "flow_edges", "embeddings") if (t := self.table(n)) is not None}
         nodes.sortWithinPartitions("kind", "fqn").write.parquet(f"{at}/nodes")
         stored = self.spark.read.parquet(f"{at}/nodes")
         endpoints(edges, stored).hint("rebalance", "type").write.partitionBy("type").parquet(f"{at}/edges")
-        for n, t in kept.items():
-            t.write.parquet(f"{at}/{n}")
         if validate:
             self._validate(nodes, edges, stored, self.spark.read.parquet(f"{at}/edges"))
-        self._switch(version)
+        self._switch(version, ["nodes", "edges"])
         return self.counts()
 
     def _validate(self, nodes, edges, stored_nodes, stored_edges) -> None:
@@ -122,12 +132,12 @@ class Project:
         made = e.join(ids.toDF("from_label", "from_id"), ["from_label", "from_id"], "left_semi").join(ids.toDF("to_label", "to_id"), ["to_label", "to_id"], "left_semi")
         made.select(*T.FLOW_EDGES.names).write.parquet(f"{at}/flow_edges")
         report["edges"] = {"wanted": e.count(), "made": self.spark.read.parquet(f"{at}/flow_edges").count()}
-        for n in ("nodes", "edges"):
-            if (t := self.table(n)) is not None:
-                (t.write.partitionBy("type") if n == "edges" else t.write).parquet(f"{at}/{n}")
-        if (v := self.table("embeddings")) is not None:
-            (without_orphans(v, deleted, "flow_id") if "flow_id" in v.columns else v).write.parquet(f"{at}/embeddings")
-        self._switch(version)
+        written = [*FLOW_KEYS, "flow_edges"]
+        v = self.table("embeddings")
+        if v is not None and "flow_id" in v.columns and report["flows"].get("deleted"):
+            without_orphans(v, deleted, "flow_id").write.parquet(f"{at}/embeddings")
+            written.append("embeddings")
+        self._switch(version, written)
         return report
 
     def verify(self) -> dict:
@@ -144,4 +154,4 @@ class Project:
         version = uuid.uuid4().hex
         self.spark.createDataFrame([], T.NODES).write.parquet(f"{self.path}/{version}/nodes")
         self.spark.createDataFrame([], T.EDGES).write.parquet(f"{self.path}/{version}/edges")
-        self._switch(version)
+        self._switch(version, ["nodes", "edges"], keep=False)
