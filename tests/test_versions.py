@@ -59,3 +59,27 @@ def test_an_import_leaves_other_tables_where_they_are(spark, tmp_path):
     assert p.vacuum() == 1 and p.table("nodes").count() == nodes and p.table("flows").count() == 3
     p.reset()
     assert p.table("flows") is None and p.table("nodes").count() == 0
+
+
+def test_a_project_is_enriched_once(spark, tmp_path):
+    (tmp_path / "symbols.json").write_text(json.dumps(document()))
+    (tmp_path / "code/src").mkdir(parents=True)
+    (tmp_path / "code/src/app.php").write_text("\n".join(f"line {i}" for i in range(40)))
+    p = Project(spark, f"file://{tmp_path}/home", "shop")
+    p.import_symbols(f"file://{tmp_path}/symbols.json")
+    n = p.table("nodes").where("kind in ('Class', 'Method')").count()
+
+    def explain(prompt, tokens, heat):
+        if "App\\R2" in prompt.split("\n")[0] + prompt.split("Symbol")[-1].split("\n")[0]:
+            raise ValueError("no")
+        return f"about {len(prompt)}"
+
+    sources, embed = f"file://{tmp_path}/code", lambda text: [1.0, 0.5]
+    first = p.enrich(sources, explain, embed)
+    assert first["total"] == n and first["failed"] >= 1 and first["done"] + first["failed"] == n
+    again = p.enrich(sources, lambda *a: "second", embed)
+    assert (again["skipped"], again["done"]) == (first["done"], first["failed"])
+    said = {r.node_id: r.explanation for r in p.table("nodes").collect()}
+    assert said["R2"] == "second" and said["S.run"].startswith("about") and said["f"] is None
+    v = p.table("embeddings").collect()
+    assert len(v) == n and len({r.vec_id for r in v}) == n and {r.collection for r in v} == {"explain_embeddings"}

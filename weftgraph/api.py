@@ -5,7 +5,7 @@ Trees follow one JSON contract: lines count from 1, names are camelCase, absent
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions.classify import CHAINABLE, LAST_USE, USES_PRIORITY, call_reference, priority
@@ -74,8 +74,6 @@ class Api:
         """Edges out of every node within depth - 1 hops of one or more, in order; of each node those that a walk of ``limit``
         entries can come to. It takes at most limit of a node's edges and passes over those to at most limit + 1
         nodes that it has visited, so it needs the first 2 * limit + 2 neighbours, limit edges to each."""
-        from pyspark.sql import Window
-
         starts = [start] if isinstance(start, str) else sorted(set(start))
         root = self.g.nodes.where(F.col("node_id").isin(starts)).select(F.lit("all").alias("root_id"), "node_id")
         near = root.select("node_id")
@@ -233,15 +231,25 @@ class Api:
         d = e.edge
         return {"depth": e.depth, "id": e.node_id, "kind": n and n.kind, "fqn": n.fqn if n else e.node_id, "file": d.get("file"), "line": line(d.get("line")), "refType": d.get("ref_type"), "on": d.get("on_expr"), "onKind": d.get("on_kind"), "callee": d.get("callee"), "accessCount": d.get("accesses"), "methodCount": d.get("methods"), "sites": d.get("sites"), "variable": d.get("local_id"), "crossedFrom": d.get("crossed_from")}
 
-    def _refs_in(self, ids: list[str], imports: bool = False) -> list:
-        """References to these nodes with the call behind each, ordered by priority, file and line."""
+    def _refs_in(self, ids: list[str], imports: bool = False, limit: int = 100, only: str | None = None, outside: bool = False) -> list:
+        """References to these nodes with the call behind each, ordered by priority, file and line: of each node those
+        that a walk of ``limit`` entries can come to, which are the first from each of 2 * limit + 2 sources. outside:
+        none from inside the node; only: of one type."""
         g = self.g
         r = g.refs.where(F.col("target_id").isin(ids))
         r = r if imports else r.where("source_kind <> 'File'")
         c = g.calls.where(F.col("callee_id").isin(ids)).groupBy(F.col("scope_id").alias("source_id"), F.col("callee_id").alias("target_id"))
         c = c.agg(F.min_by(F.struct("call_id", "on_expr", "on_kind", call_reference(F.col("call_kind"), F.col("callee_kind")).alias("call_ref")), "call_id").alias("c"))
         r = r.join(c, ["source_id", "target_id"], "left").withColumn("ref_type", F.coalesce("c.call_ref", "ref_type"))
-        return r.select("target_id", "source_id", "ref_type", F.coalesce("loc_file", "source_file").alias("file"), F.coalesce("loc_line", "source_line").alias("line"), "c.call_id", "c.on_expr", "c.on_kind", priority(F.col("ref_type")).alias("p")).orderBy("p", F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), "source_id").collect()
+        r = r.select("target_id", "source_id", "ref_type", F.coalesce("loc_file", "source_file").alias("file"), F.coalesce("loc_line", "source_line").alias("line"), "c.call_id", "c.on_expr", "c.on_kind", priority(F.col("ref_type")).alias("p"))
+        if only:
+            r = r.where(F.col("ref_type") == only)
+        if outside:
+            r = r.join(g.anc.select(F.col("node_id").alias("source_id"), F.col("ancestor_id").alias("target_id")), ["source_id", "target_id"], "left_anti")
+        order = ["p", F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), "source_id", "ref_type", F.coalesce("on_expr", F.lit(""))]
+        r = r.withColumn("k", F.row_number().over(Window.partitionBy("target_id", "source_id").orderBy(*order))).where("k = 1")
+        r = r.withColumn("k", F.row_number().over(Window.partitionBy("target_id").orderBy(*order))).where(F.col("k") <= 2 * limit + 2)
+        return r.drop("k").orderBy(*order).collect()
 
     def _class_entries(self, node, depth: int, limit: int, imports: bool) -> list[Entry]:
         """USED BY of a class by kinds of reference, in this order: subtypes, instantiations, properties of its
@@ -280,7 +288,7 @@ class Api:
         groups = [Entry(r.callee_id, 1, {"ref_type": "property_access", "line": r.line, "accesses": r.accesses, "methods": r.methods}) for r in accesses]
         seen = {e.node_id for e in made}
         hints = [Entry(r.entry_id, 1, {"ref_type": r.ref_type}) for r in C.handler_param_return(g).where(F.col("target_id") == i).orderBy("entry_id").limit(limit).collect() if r.entry_id not in seen]
-        files = [Entry(r.source_id, 1, r.asDict()) for r in self._refs_in([i], True) if r.ref_type == "type_hint"] if imports else []
+        files = [Entry(r.source_id, 1, r.asDict()) for r in self._refs_in([i], True, limit, "type_hint")] if imports else []
         known = {e.node_id for e in hints}
         return [*subtypes, *made, *props, *order(free.values()), *groups, *hints, *(e for e in files if e.node_id not in known)][:limit]
 
@@ -295,10 +303,7 @@ class Api:
             return self._tree(walk, self._show_reference)
         if node.kind in ("Class", "Interface") and not direct:
             return self._tree(self._with_callers(self._class_entries(node, depth, limit, imports), node.node_id, depth, limit), self._show_reference)
-        inside = {r.node_id for r in g.anc.where(F.col("ancestor_id") == node.node_id).select("node_id").collect()} if node.kind in INHERITABLE else set()
-        seen: dict[str, list[tuple[str, dict]]] = {}
-
-        rows = [(r.source_id, r.asDict()) for r in self._refs_in([node.node_id], imports) if r.source_id not in inside]
+        rows = [(r.source_id, r.asDict()) for r in self._refs_in([node.node_id], imports, limit, outside=node.kind in INHERITABLE)]
         walk = depth_first(node.node_id, lambda n: rows, 1, limit)
         visited = {node.node_id, *(e.node_id for e in walk)}
         self._expand_callers(walk, visited, depth, limit, len(walk))
@@ -316,7 +321,7 @@ class Api:
         level = [e for e in level if e.edge.get("ref_type") in CHAINABLE]
         for d in range(2, depth + 1):
             rows: dict[str, list] = {}
-            for r in self._refs_in([e.node_id for e in level]) if level else []:
+            for r in self._refs_in([e.node_id for e in level], limit=limit) if level else []:
                 rows.setdefault(r.target_id, []).append(r)
             found = []
             for e in level:

@@ -127,6 +127,16 @@ class Service:
         row = self.spark.createDataFrame([(node.node_id, node.fqn, self._text(node, project) or "")], "node_id string, fqn string, source string")
         return {"results": [r.asDict() for r in X.enrich(row, self.explain, self.embed).collect()]}
 
+    def enrich_project(self, force: bool = False, project: str = "default") -> dict:
+        """Explains and embeds all methods and classes whose source is at hand, but those explained before (unless
+        forced). Answers are stored first and then read, so no service is asked twice; nodes get their explanations,
+        and the collection embeddings the new vectors."""
+        if self.explain is None or self.embed is None:
+            raise UnknownSymbol("no explaining or embedding service is configured")
+        if not self.sources:
+            raise UnknownSymbol("no folder of sources is configured")
+        return self.project(project).enrich(self.sources, self.explain, self.embed, force)
+
     def enrich_status(self, project: str = "default") -> dict:
         g = self.project(project).graph
         done = g.nodes.where(F.lit(False)).select("node_id") if "explanation" not in g.nodes.columns else g.nodes.where("explanation is not null").select("node_id")

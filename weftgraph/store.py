@@ -7,6 +7,7 @@ of constraints; partitions by kind and type take the place of indexes.
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import cached_property
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from . import schema as T
 from .graph import Graph, endpoints
+from .operators import enrichment as N
+from .operators import texts as X
 from .operators.reconcile import applied, orphans, reconcile, without_orphans
 from .sources.documents import DEFAULT_NAMESPACES, read_flows, read_symbols
 
@@ -140,6 +143,36 @@ class Project:
         self._switch(version, written)
         return report
 
+    def enrich(self, sources: str, explain, embed, force: bool = False) -> dict:
+        """Runs enrichment over all methods and classes whose file lies under sources; the numbers of each outcome.
+        A node that has an explanation keeps it unless a new one is made."""
+        nodes, version = self.table("nodes"), uuid.uuid4().hex
+        at = f"{self.path}/{version}"
+        old = [F.col(c) if c in nodes.columns else F.lit(None).cast("string").alias(c) for c in PRESERVED]
+        known = nodes.select("node_id", *old)
+        wanted = nodes.where(F.col("kind").isin(T.ENRICHABLE))
+        scheme = r"^[a-z0-9+.\-]+:/*"
+        top = re.sub(scheme, "/", sources.rstrip("/"))
+        folder = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sources)
+        own = F.regexp_replace("path", scheme, "/").substr(F.lit(len(top) + 2), F.length("path"))
+        files = folder.select(own.alias("file"), F.col("content").cast("string").alias("text"))
+        texts = X.source(files, wanted).select("node_id", "source")
+        prompts = N.symbol_prompts(self.graph, texts)
+        N.run(prompts, known.where("explanation is not null").select(F.col("node_id").alias("id")), explain, embed, force).write.parquet(f"{at}/results")
+        done = self.spark.read.parquet(f"{at}/results")
+        said = done.where("status = 'done'").select(F.col("id").alias("node_id"), F.col("explanation").alias("said"), "vector")
+        both = nodes.drop(*PRESERVED).join(known, "node_id").join(said.drop("vector"), "node_id", "left")
+        both = both.withColumns({"explanation": F.coalesce("said", "explanation"), "explain_model": F.when(F.col("said").isNotNull(), "explain").otherwise(F.col("explain_model"))}).drop("said")
+        both.sortWithinPartitions("kind", "fqn").write.parquet(f"{at}/nodes")
+        name = F.lit("explain_embeddings")
+        vectors = said.select(F.xxhash64("node_id", name).alias("vec_id"), name.alias("collection"), "node_id", F.col("vector").alias("embedding"))
+        if (v := self.table("embeddings")) is not None:
+            other = v.join(vectors.select("node_id", "collection"), ["node_id", "collection"], "left_anti")
+            vectors = other.unionByName(vectors, allowMissingColumns=True)
+        vectors.write.parquet(f"{at}/embeddings")
+        self._switch(version, ["nodes", "embeddings"])
+        return N.totals(done).first().asDict()
+
     def verify(self) -> dict:
         """Rows and distinct ids of every table; they must agree."""
         out = {}
