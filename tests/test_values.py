@@ -163,7 +163,7 @@ def walked(p, root, depth):
 
 def test_random_programs_equal_all_paths(spark):
     rnd = random.Random(11)
-    for _ in range(3):
+    for _ in range(2):
         p = Program()
         methods = [f"m{i}" for i in range(5)]
         for m in methods:

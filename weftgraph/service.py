@@ -20,11 +20,12 @@ class Service:
     """Commands over projects under one folder. ``embed`` and ``explain`` stand for outside services; without
     them, the commands that need one say so."""
 
-    def __init__(self, spark: SparkSession, root: str, sources: str | None = None, embed: Callable[[str], list[float]] | None = None, explain: Callable[[str, str], str] | None = None):
+    def __init__(self, spark: SparkSession, root: str, sources: str | None = None, embed: Callable[[str], list[float]] | None = None, explain: Callable[[str, str], str] | None = None, complete: Callable[[str, int, float], str] | None = None):
+        self.complete = complete
         self.spark, self.root, self.sources, self.embed, self.explain = spark, root, sources, embed, explain
         self._projects: dict[str, Project] = {}
         self.commands: dict[str, Callable[..., dict]] = {
-            n: getattr(self, n) for n in ("resolve", "owners", "usages", "deps", "inherit", "overrides", "context", "flows", "messages", "events", "http_clients", "source", "chunks", "search", "enrich", "enrich_status", "verify", "counts", "import_symbols", "import_flows", "projects", "reset")
+            n: getattr(self, n) for n in ("resolve", "owners", "usages", "deps", "inherit", "overrides", "context", "flows", "messages", "events", "http_clients", "source", "chunks", "search", "enrich", "enrich_project", "enrich_status", "verify", "counts", "import_symbols", "import_flows", "projects", "reset", "vacuum")
         }
 
     def project(self, name: str = "default") -> Project:
@@ -131,11 +132,11 @@ class Service:
         """Explains and embeds all methods and classes whose source is at hand, but those explained before (unless
         forced). Answers are stored first and then read, so no service is asked twice; nodes get their explanations,
         and the collection embeddings the new vectors."""
-        if self.explain is None or self.embed is None:
-            raise UnknownSymbol("no explaining or embedding service is configured")
+        if self.complete is None or self.embed is None:
+            raise UnknownSymbol("no completing or embedding service is configured")
         if not self.sources:
             raise UnknownSymbol("no folder of sources is configured")
-        return self.project(project).enrich(self.sources, self.explain, self.embed, force)
+        return self.project(project).enrich(self.sources, self.complete, self.embed, force)
 
     def enrich_status(self, project: str = "default") -> dict:
         g = self.project(project).graph
@@ -159,3 +160,7 @@ class Service:
     def reset(self, project: str = "default") -> dict:
         self.project(project).reset()
         return {"reset": project}
+
+    def vacuum(self, project: str = "default") -> dict:
+        """Deletes what the current version doesn't name; for when no one reads an older one."""
+        return {"deleted": self.project(project).vacuum()}
