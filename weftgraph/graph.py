@@ -37,14 +37,18 @@ def _delete(store, at) -> None:
         store.delete(at, True)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(_delete, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+
+
 class Graph:
     """nodes and edges as Parquet, partitioned by kind and type; closures and facts are built on first use
     and stored beside them, so that a lost executor costs a read and no recomputation."""
 
     def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
-        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)  # derived tables go when the driver ends
-        atexit.register(_delete, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+        delete_at_exit(spark, self.path)  # derived tables go when the driver ends
         self._nodes, self._edges = nodes, edges
         self._facts: dict[str, DataFrame] = {}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as T
 from ..functions.text import signature
+from .elements import objects
 
 DEFAULT_NAMESPACES = ("App\\",)
 
@@ -16,11 +17,16 @@ def _full(column):
     return F.when(F.length(column) > 0, column)
 
 
+def _arrays(schema, *names: str) -> dict:
+    """The schemas of the objects in a document's arrays."""
+    return {n: schema[n].dataType.elementType for n in names or schema.names}
+
+
 def read_symbols(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of symbol documents, in the schemas NODES and EDGES. Places in the document become
-    node_ord and edge_ord."""
-    doc = spark.read.schema(T.DOCUMENT).json(path, multiLine=True)
-    n = doc.select(F.posexplode("nodes").alias("node_ord", "n"))
+    node_ord and edge_ord. A document of any size is read by many tasks (`elements.py`)."""
+    found = objects(spark, path, _arrays(T.DOCUMENT, "nodes", "edges"))
+    n = found["nodes"].select(F.col("place").alias("node_ord"), F.col("x").alias("n"))
     flat = lambda r, p="": [F.col(f"n.{r}.{c}").alias(f"{p}{c}") for c in ("start_line", "start_col", "end_line", "end_col")]
     docs = F.when(F.size("n.documentation") > 0, F.col("n.documentation"))
     sign = signature(F.col("n.kind"), F.col("n.documentation"))
@@ -29,7 +35,7 @@ def read_symbols(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         *flat("range"), *flat("enclosing_range", "enclosing_"), docs.alias("documentation"),
         *[_full(F.col(f"n.{c}")).alias(c) for c in ("value_kind", "type_symbol", "call_kind")], sign.alias("signature"),
     )
-    e = doc.select(F.posexplode("edges").alias("edge_ord", "e")).select(
+    e = found["edges"].select(F.col("place").alias("edge_ord"), F.col("x").alias("e")).select(
         F.col("edge_ord").cast("long").alias("edge_ord"), F.upper("e.type").alias("type"), F.col("e.source").alias("source_id"), F.col("e.target").alias("target_id"),
         F.col("e.location.file").alias("loc_file"), F.col("e.location.line").alias("loc_line"), F.col("e.position").alias("position"), _full(F.col("e.expression")).alias("expression"), _full(F.col("e.parameter")).alias("parameter"),
     )
@@ -52,8 +58,8 @@ def flow_name(kind, entry):
 def read_flows(spark: SparkSession, path: str, namespaces: tuple[str, ...] = DEFAULT_NAMESPACES) -> dict[str, DataFrame]:
     """flows, messages, events, http_clients and flow_edges of an application-flow document. Only flows are
     filtered by namespace; edges to flows outside it are dropped when their ends are looked up."""
-    doc = spark.read.schema(T.FLOW_DOCUMENT).json(path, multiLine=True)
-    f = doc.select(F.explode("flows").alias("f")).select("f.*")
+    found = objects(spark, path, _arrays(T.FLOW_DOCUMENT))
+    f = found["flows"].select("x.*")
     inside = F.lit(False)
     for p in namespaces:
         inside = inside | F.col("entry.fqn").startswith(p)
@@ -65,7 +71,7 @@ def read_flows(spark: SparkSession, path: str, namespaces: tuple[str, ...] = DEF
         only("http", text("entry.route")).alias("route"), only("http", F.coalesce("entry.http_methods", F.array().cast("array<string>"))).alias("http_methods"),
         only("message", text("entry.message")).alias("message_class"), only("event", text("entry.event")).alias("event_name"), only("cli", text("entry.command_name")).alias("command_name"),
     )
-    m, e, h = (doc.select(F.explode(c).alias("x")).select("x.*") for c in ("messages", "events", "http_clients"))
+    m, e, h = (found[c].select("x.*") for c in ("messages", "events", "http_clients"))
 
     def edge(df, type_, a, a_id, b, b_id, call=None, priority=None):
         none = lambda t: F.lit(None).cast(t)
