@@ -184,7 +184,8 @@ def objects(spark: SparkSession, path: str, arrays: dict[str, StructType | None]
             if inside or depth not in (0, -1):  # a `}` too many is counted where text follows the last one
                 raise Malformed(f"{file} isn't a whole document")
 
-        for r in text.mapInArrow(_depths, from_arrow_schema(DEPTHS)).orderBy("file", "split").toLocalIterator():
+        # sorted here, a row a split: a sort in Spark would read the text once more to draw its sample
+        for r in sorted(text.mapInArrow(_depths, from_arrow_schema(DEPTHS)).collect(), key=lambda r: (r.file, r.split)):
             if r.file != file:
                 whole()
                 file, inside, depth = r.file, 0, 0
@@ -194,7 +195,7 @@ def objects(spark: SparkSession, path: str, arrays: dict[str, StructType | None]
         known = spark.sparkContext.broadcast(states)  # a row a split
         begun, file = {}, None
         runs = text.mapInArrow(_arrays(known), from_arrow_schema(RUNS))
-        for r in runs.orderBy("file", "split", "run").toLocalIterator():
+        for r in sorted(runs.collect(), key=lambda r: (r.file, r.split, r.run)):
             if r.file != file:
                 file, array, n = r.file, None, 0
             if r.run == 0:
