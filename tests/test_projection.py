@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from weftgraph import registry
-from weftgraph.graph import projected
+from weftgraph.graph import ProjectedGraph, projected
 from weftgraph.plans.closure import closure, forest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -47,3 +47,10 @@ def test_a_forest_is_the_closure_of_all_its_pairs(spark):
     keep = lambda df, name: spark.createDataFrame(df.collect(), df.schema)
     got = forest(frame(inner), frame(outer), keep).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, closure(frame(inner + outer), keep).collect()))
+
+
+def test_nodes_that_are_no_values_are_read_without_numbering_values(spark, sf):
+    g = ProjectedGraph(spark, sf)
+    assert g.of_kind("Method", "Property").count() > 0 and g.ends("target", "TYPE_HINT").count() > 0
+    assert g.containing("Method", "Call").count() > 0
+    assert "_values" not in vars(g.source)

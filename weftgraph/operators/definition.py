@@ -28,14 +28,14 @@ def children(g: Graph) -> DataFrame:
 
 def types(g: Graph) -> DataFrame:
     """Types of properties, methods and values: the first hint's name, or all types of a value, joined."""
-    n = g.nodes.select(F.col("node_id").alias("target_id"), "fqn", "name")
+    n = g.ends("target", "TYPE_HINT", "TYPE_OF").select(F.col("node_id").alias("target_id"), "fqn", "name")
     t = g.of_type("TYPE_HINT", "TYPE_OF").select("type", "source_id", "target_id").join(n, "target_id")
     return t.groupBy("source_id", "type").agg(_joined("fqn").alias("fqn"), F.count(F.lit(1)).alias("n"))
 
 
 def supertypes(g: Graph) -> DataFrame:
     """Per class: what it extends, implements, and uses as traits, joined."""
-    n = g.nodes.select(F.col("node_id").alias("target_id"), "fqn")
+    n = g.ends("target", "EXTENDS", "IMPLEMENTS", "USES_TRAIT").select(F.col("node_id").alias("target_id"), "fqn")
     e = g.of_type("EXTENDS", "IMPLEMENTS", "USES_TRAIT").select("type", "source_id", "target_id").join(n, "target_id")
     of = lambda t: _joined(F.when(F.col("type") == t, F.col("fqn")))
     return e.groupBy("source_id").agg(of("EXTENDS").alias("extends"), of("IMPLEMENTS").alias("implements"), of("USES_TRAIT").alias("traits"))
@@ -44,7 +44,7 @@ def supertypes(g: Graph) -> DataFrame:
 def method_flags(g: Graph) -> DataFrame:
     """Per method: does it override one, is it a constructor, and its display order (overriding first)."""
     over = g.of_type("OVERRIDES").select(F.col("source_id").alias("node_id")).distinct().withColumn("o", F.lit(True))
-    m = g.nodes.where("kind = 'Method'").join(over, "node_id", "left")
+    m = g.of_kind("Method").join(over, "node_id", "left")
     o = F.coalesce("o", F.lit(False))
     return m.select("node_id", o.alias("is_override"), (F.col("name") == "__construct").alias("is_constructor"), F.when(o, 0).otherwise(2).cast("long").alias("place"))
 
@@ -59,7 +59,7 @@ def promoted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def value_types(g: Graph) -> DataFrame:
     """Per value: kind, type, and the method around it."""
-    v = g.nodes.where("kind = 'Value'").select("node_id", "value_kind")
+    v = g.of_kind("Value").select("node_id", "value_kind")
     t = types(g).where("type = 'TYPE_OF'").select(F.col("source_id").alias("node_id"), F.col("fqn").alias("type_fqn"))
     return v.join(t, "node_id", "left").join(g.nearest_method.select("node_id", F.col("owner_id").alias("scope_id")), "node_id", "left")
 

@@ -9,10 +9,11 @@ from ..functions.classify import TYPES, call_reference, priority
 from ..functions.text import display_name, shorten_parameter, truncated
 from ..graph import Graph, ProjectedGraph
 from ..plans.expand import expand
+from ..schema import NODE_KINDS
 
 
-def _contains(g: Graph, up: str, down: str) -> DataFrame:
-    return g.of_type("CONTAINS").select(F.col("source_id").alias(up), F.col("target_id").alias(down))
+def _contains(g: Graph, up: str, down: str, *kinds: str) -> DataFrame:
+    return g.containing(*(kinds or NODE_KINDS)).select(F.col("source_id").alias(up), F.col("target_id").alias(down))
 
 
 def _names(g: Graph, key: str, *columns: str) -> DataFrame:
@@ -22,21 +23,21 @@ def _names(g: Graph, key: str, *columns: str) -> DataFrame:
 def override_methods(g: Graph) -> DataFrame:
     """(method_id, parent_id, class_id, parent_class_id): overriding methods with the classes of both."""
     e = g.of_type("OVERRIDES").select(F.col("source_id").alias("method_id"), F.col("target_id").alias("parent_id"))
-    return e.join(_contains(g, "class_id", "method_id"), "method_id").join(_contains(g, "parent_class_id", "parent_id"), "parent_id")
+    return e.join(_contains(g, "class_id", "method_id", "Method"), "method_id").join(_contains(g, "parent_class_id", "parent_id", "Method"), "parent_id")
 
 
 def interface_methods(g: Graph) -> DataFrame:
     """Contract methods: of each interface, its own methods by name."""
-    i = g.nodes.where("kind = 'Interface'").select(F.col("node_id").alias("interface_id"))
-    m = g.nodes.where("kind = 'Method'").select(F.col("node_id").alias("method_id"), F.col("name").alias("method_name"))
-    return _contains(g, "interface_id", "method_id").join(i, "interface_id").join(m, "method_id")
+    i = g.of_kind("Interface").select(F.col("node_id").alias("interface_id"))
+    m = g.of_kind("Method").select(F.col("node_id").alias("method_id"), F.col("name").alias("method_name"))
+    return _contains(g, "interface_id", "method_id", "Method").join(i, "interface_id").join(m, "method_id")
 
 
 def signature_types(g: Graph) -> DataFrame:
     """(method_id, type_id, type_name): hints of methods, with the class they stand in."""
-    m = g.nodes.where("kind = 'Method'").select(F.col("node_id").alias("method_id"))
+    m = g.of_kind("Method").select(F.col("node_id").alias("method_id"))
     e = g.of_type("TYPE_HINT").select(F.col("source_id").alias("method_id"), F.col("target_id").alias("type_id")).join(m, "method_id")
-    return e.join(_names(g, "type_id", "name"), "type_id").join(_contains(g, "class_id", "method_id"), "method_id")
+    return e.join(g.ends("target", "TYPE_HINT").select(F.col("node_id").alias("type_id"), F.col("name").alias("type_name")), "type_id").join(_contains(g, "class_id", "method_id", "Method"), "method_id")
 
 
 def source_chains(g: Graph) -> DataFrame:
@@ -53,8 +54,8 @@ def argument_keys(g: Graph) -> DataFrame:
 
 def member_dependencies(g: Graph) -> DataFrame:
     """(class_id, member_id, target_id): what members of a class use outside it."""
-    m = g.nodes.where("kind in ('Method', 'Property')").select(F.col("node_id").alias("member_id"))
-    u = g.of_type("USES").select(F.col("source_id").alias("member_id"), "target_id").join(m, "member_id").join(_contains(g, "class_id", "member_id"), "member_id")
+    m = g.of_kind("Method", "Property").select(F.col("node_id").alias("member_id"))
+    u = g.of_type("USES").select(F.col("source_id").alias("member_id"), "target_id").join(m, "member_id").join(_contains(g, "class_id", "member_id", "Method", "Property"), "member_id")
     inside = g.anc.select(F.col("node_id").alias("target_id"), F.col("ancestor_id").alias("class_id"))
     return u.join(inside, ["target_id", "class_id"], "left_anti")
 
@@ -66,8 +67,8 @@ def constructor_targets(g: Graph) -> DataFrame:
 
 def target_classes(g: Graph) -> DataFrame:
     """Of each used symbol: itself if it is a class, else its direct container if that is one."""
-    cls = g.nodes.where(F.col("kind").isin(*TYPES)).select(F.col("node_id").alias("owner_id"))
-    t = g.of_type("USES").select("target_id").distinct().join(g.nodes.select(F.col("node_id").alias("target_id"), "kind"), "target_id")
+    cls = g.of_kind(*TYPES).select(F.col("node_id").alias("owner_id"))
+    t = g.of_type("USES").select("target_id").distinct().join(g.ends("target", "USES").select(F.col("node_id").alias("target_id"), "kind"), "target_id")
     up = _contains(g, "owner_id", "target_id").join(cls, "owner_id")
     t = t.join(up, "target_id", "left").select("target_id", F.when(F.col("kind").isin(*TYPES), F.col("target_id")).otherwise(F.col("owner_id")).alias("class_id"))
     return t.where("class_id is not null")
@@ -110,8 +111,8 @@ def ranked_references(g: Graph) -> DataFrame:
 
 def methods_in_order(g: Graph) -> DataFrame:
     """Per class: its methods by start line, as one string, as chunking takes them."""
-    m = g.nodes.where("kind = 'Method'").select(F.col("node_id").alias("method_id"), "start_line")
-    m = _contains(g, "class_id", "method_id").join(m, "method_id")
+    m = g.of_kind("Method").select(F.col("node_id").alias("method_id"), "start_line")
+    m = _contains(g, "class_id", "method_id", "Method").join(m, "method_id")
     order = F.sort_array(F.collect_list(F.struct("start_line", "method_id")))
     return m.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(order, lambda x: x.method_id), ",").alias("methods"))
 

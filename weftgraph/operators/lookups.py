@@ -43,7 +43,7 @@ def nearest_call(g: Graph) -> DataFrame:
     first strategy that finds any: 1 a call of the target inside the source; 2 a call of the target in the same
     file; 3 a constructor call inside the source, where the target is the constructed class. Of several the
     nearest by line, then the least id. A place without file or line takes the source's own."""
-    n = g.nodes.select(F.col("node_id").alias("source_id"), "file", "start_line")
+    n = g.ends("source", "USES").select(F.col("node_id").alias("source_id"), "file", "start_line")
     r = g.of_type("USES").select("source_id", "target_id", "loc_file", "loc_line").distinct().join(n, "source_id")
     r = r.select("source_id", "target_id", "loc_file", "loc_line", F.coalesce("loc_file", "file").alias("file"), F.coalesce("loc_line", "start_line").alias("at"))
     r = r.withColumn("line", F.coalesce("at", F.lit(0)))
@@ -72,8 +72,8 @@ def best_receiver(g: Graph) -> DataFrame:
     method or function outside its class, on what it is read: of the caller's accesses those on the line of
     the use come first, then by id; each column takes its first that there is."""
     holds = g.of_type("CONTAINS").select(F.col("source_id").alias("class_id"), F.col("target_id").alias("property_id"))
-    prop = g.nodes.where("kind = 'Property'").select(F.col("node_id").alias("property_id"))
-    caller = g.nodes.where("kind in ('Method', 'Function')").select(F.col("node_id").alias("caller_id"))
+    prop = g.of_kind("Property").select(F.col("node_id").alias("property_id"))
+    caller = g.of_kind("Method", "Function").select(F.col("node_id").alias("caller_id"))
     r = g.of_type("USES").select(F.col("source_id").alias("caller_id"), F.col("target_id").alias("property_id"), "loc_line").distinct()
     r = r.join(prop, "property_id").join(caller, "caller_id").join(holds, "property_id")
     r = r.join(g.anc.select(F.col("node_id").alias("caller_id"), F.col("ancestor_id").alias("class_id")), ["caller_id", "class_id"], "left_anti")

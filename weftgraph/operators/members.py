@@ -25,7 +25,7 @@ def _documentation(g: Graph) -> Column:
 
 def _of_kind(g: Graph, key: str, *kinds: str) -> DataFrame:
     """Nodes of these kinds, with what a definition reads."""
-    n = g.nodes.where(F.col("kind").isin(*kinds))
+    n = g.of_kind(*kinds)
     signature = F.col("signature") if "signature" in g.nodes.columns else F.lit(None).cast("string")
     return n.select(F.col("node_id").alias(key), "kind", "name", "node_ord", _documentation(g).alias("documentation"), signature.alias("signature"))
 
@@ -40,7 +40,7 @@ def first_types(g: Graph, *kinds: str) -> DataFrame:
 def _promoted(g: Graph) -> DataFrame:
     """(property_id, parameter_id): properties that a constructor's parameter is assigned to."""
     v = g.nodes.where(F.col("fqn").contains("__construct()") & (F.col("kind") == "Value") & (F.col("value_kind") == "parameter")).select(F.col("node_id").alias("parameter_id"))
-    p = g.nodes.where("kind = 'Property'").select(F.col("node_id").alias("property_id"))
+    p = g.of_kind("Property").select(F.col("node_id").alias("property_id"))
     e = g.of_type("ASSIGNED_FROM").select(F.col("source_id").alias("property_id"), F.col("target_id").alias("parameter_id"))
     return e.join(p, "property_id").join(v, "parameter_id")
 
@@ -122,7 +122,7 @@ def value_definitions(g: Graph) -> DataFrame:
     n = g.nodes.select(F.col("node_id").alias("target_id"), "fqn", "name")
     t = g.of_type("TYPE_OF").select(F.col("source_id").alias("node_id"), "target_id").join(n, "target_id")
     t = t.groupBy("node_id").agg(F.sort_array(F.collect_set(F.struct("target_id", "fqn", "name"))).alias("t"))  # a union type's worth
-    v = g.nodes.where("kind = 'Value'").select("node_id", "value_kind")
+    v = g.of_kind("Value").select("node_id", "value_kind")
     calls = g.calls.where("callee_id is not null").select("call_id", "callee_fqn", display_name(F.col("callee_kind"), F.col("callee_name")).alias("callee_name"))
     made = g.of_type("PRODUCES").select(F.col("source_id").alias("call_id"), F.col("target_id").alias("from_id")).join(calls, "call_id")
     made = made.groupBy("from_id").agg(F.min(F.struct("call_id", "callee_fqn", "callee_name")).alias("c"))

@@ -95,13 +95,13 @@ def enrichable(g: Graph, explained: DataFrame, deny: list[str], kinds: list[str]
 
 def status(g: Graph, explained: DataFrame, kinds: list[str]) -> DataFrame:
     """Per kind: nodes, and those explained."""
-    n = g.nodes.where(F.col("kind").isin(kinds)).select("node_id", "kind")
+    n = g.of_kind(*kinds).select("node_id", "kind")
     return n.join(explained.select("node_id", F.lit(1).alias("e")), "node_id", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("total"), F.count("e").alias("explained"))
 
 
 def type_context(g: Graph) -> DataFrame:
     """Per method: names of the types it hints at, joined."""
-    t = g.nodes.select(F.col("node_id").alias("target_id"), "fqn")
+    t = g.ends("target", "TYPE_HINT").select(F.col("node_id").alias("target_id"), "fqn")
     return g.of_type("TYPE_HINT").join(t, "target_id").groupBy(F.col("source_id").alias("node_id")).agg(F.array_join(F.sort_array(F.collect_set("fqn")), ",").alias("types"))
 
 
@@ -110,7 +110,7 @@ def usage_context(g: Graph, limit: int = 5) -> DataFrame:
     u = g.of_type("USES").select("target_id", "source_id").distinct()
     k = F.row_number().over(Window.partitionBy("target_id").orderBy("source_id"))
     u = u.withColumn("k", k.cast("long")).where(F.col("k") <= limit)
-    t = g.nodes.where("kind in ('Class', 'Interface')").select(F.col("node_id").alias("target_id"))
+    t = g.of_kind("Class", "Interface").select(F.col("node_id").alias("target_id"))
     return u.join(t, "target_id", "left_semi").select(F.col("target_id").alias("node_id"), "k", "source_id")
 
 

@@ -76,7 +76,7 @@ def walks(near: DataFrame, starts: DataFrame, depth: int, limit: int, keep) -> D
 
 def _member_starts(g: Graph, edges: DataFrame, limit: int) -> DataFrame:
     """(root_id, nexts) of every container: the first ``limit`` edges of it and all in it, then one a neighbour."""
-    roots = g.nodes.where(F.col("kind").isin(*CONTAINERS)).select(F.col("node_id").alias("root_id"))
+    roots = g.of_kind(*CONTAINERS).select(F.col("node_id").alias("root_id"))
     inside = g.anc.select(F.col("ancestor_id").alias("root_id"), "node_id").join(roots, "root_id").union(roots.select("root_id", F.col("root_id").alias("node_id")))
     every = _cut(edges.join(inside, "node_id"), "root_id", limit, "source_id", "target_id").drop("k")
     return every.select("root_id", "next_id", "loc_file", "loc_line", "source_id", "target_id")
