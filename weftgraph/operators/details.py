@@ -56,13 +56,13 @@ def member_dependencies(g: Graph) -> DataFrame:
     """(class_id, member_id, target_id): what members of a class use outside it."""
     m = g.of_kind("Method", "Property").select(F.col("node_id").alias("member_id"))
     u = g.of_type("USES").select(F.col("source_id").alias("member_id"), "target_id").join(m, "member_id").join(_contains(g, "class_id", "member_id", "Method", "Property"), "member_id")
-    inside = g.anc.select(F.col("node_id").alias("target_id"), F.col("ancestor_id").alias("class_id"))
+    inside = g.above("Method", "Function", "Argument", "Property").select(F.col("node_id").alias("target_id"), F.col("ancestor_id").alias("class_id"))
     return u.join(inside, ["target_id", "class_id"], "left_anti")
 
 
 def constructor_targets(g: Graph) -> DataFrame:
     """(scope_id, class_id): classes that a method instantiates."""
-    return g.calls.where("call_kind = 'constructor'").join(_contains(g, "class_id", "callee_id"), "callee_id").select("scope_id", "class_id").distinct()
+    return g.sites.where("call_kind = 'constructor'").join(_contains(g, "class_id", "callee_id"), "callee_id").select("scope_id", "class_id").distinct()
 
 
 def target_classes(g: Graph) -> DataFrame:
@@ -76,7 +76,7 @@ def target_classes(g: Graph) -> DataFrame:
 
 def merged_sites(g: Graph) -> DataFrame:
     """Per class and callee: its call sites as method:line, and the line if there is one site only."""
-    c = g.calls.where("callee_id is not null").join(g.nearest_class.select(F.col("node_id").alias("call_id"), F.col("owner_id").alias("class_id")), "call_id")
+    c = g.sites.where("callee_id is not null").join(g.class_of("Call").select(F.col("node_id").alias("call_id"), F.col("owner_id").alias("class_id")), "call_id")
     site = F.concat("scope_id", F.lit(":"), F.coalesce(F.col("call_line").cast("string"), F.lit("?")))
     return c.groupBy("class_id", "callee_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(site)), ",").alias("sites"), F.when(F.count(F.lit(1)) == 1, F.min("call_line")).alias("line"))
 

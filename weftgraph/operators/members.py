@@ -218,7 +218,7 @@ def property_inputs(g: Graph) -> DataFrame:
     argument in the parameter's name where there is one."""
     p = _promoted(g).join(_contains(g, "class_id", "property_id"), "property_id")
     p = p.join(g.nodes.select(F.col("node_id").alias("parameter_id"), F.col("fqn").alias("parameter")), "parameter_id")
-    made = g.calls.where("call_kind = 'constructor'").select("call_id", "callee_id").join(_contains(g, "class_id", "callee_id"), "callee_id").select("class_id", "call_id")
+    made = g.sites.where("call_kind = 'constructor'").select("call_id", "callee_id").join(_contains(g, "class_id", "callee_id"), "callee_id").select("class_id", "call_id")
     passed = g.args.select("call_id", "parameter", "value_id").groupBy("call_id", "parameter").agg(F.min("value_id").alias("value_id"))
     return p.join(made, "class_id").join(passed, ["call_id", "parameter"], "left").select("property_id", "parameter_id", "call_id", "value_id")
 

@@ -28,7 +28,7 @@ def depth_first(root: str, edges: Callable[[str], Iterable[tuple[str, dict]]], d
     def walk(node: str, level: int) -> list[Entry]:
         nonlocal count
         out: list[Entry] = []
-        if level > depth:
+        if level > depth or count >= limit:
             return out
         for other, edge in edges(node):
             if count >= limit:
