@@ -32,29 +32,36 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, "line", *[F.col(f"row.{c}").alias(c) for c in rest], F.col("near.hit").alias("hit"), F.col("near.off").alias("off"))
 
 
+#: Kinds that a call can end at.
+CALLED = "Method", "Function", "Property"
+
+
 def _inside(g: Graph) -> DataFrame:
-    """(source_id, call_id): calls and all that contain them."""
-    call = g.calls.select(F.col("call_id").alias("node_id"))
-    return g.anc.join(call, "node_id").select(F.col("ancestor_id").alias("source_id"), F.col("node_id").alias("call_id"))
+    """(source_id, call_id): calls and what contains them, of that what can use anything."""
+    call = g.sites.select(F.col("call_id").alias("node_id"))
+    user = g.ends("source", "USES").select(F.col("node_id").alias("ancestor_id"))
+    return g.above("Call").join(user, "ancestor_id", "left_semi").join(call, "node_id").select(F.col("ancestor_id").alias("source_id"), F.col("node_id").alias("call_id"))
 
 
 def nearest_call(g: Graph) -> DataFrame:
     """(source_id, target_id, loc_file, loc_line, strategy, call_id, off) of each place of use with a call behind it, by the
     first strategy that finds any: 1 a call of the target inside the source; 2 a call of the target in the same
     file; 3 a constructor call inside the source, where the target is the constructed class. Of several the
-    nearest by line, then the least id. A place without file or line takes the source's own."""
+    nearest by line, then the least id. A place without file or line takes the source's own. Uses of what no call
+    could stand behind are left out first: most are of types."""
+    line = F.coalesce("call_line", F.lit(0))
+    c = g.sites.where("callee_id is not null").select("call_id", F.col("callee_id").alias("target_id"), F.col("call_file").alias("file"), line.alias("line"), "call_line", "call_kind", "callee_name")
+    holds = g.containing(*CALLED).select(F.col("source_id").alias("class_id"), F.col("target_id").alias("ctor_id"))
+    constructing = c.where("call_kind = 'constructor' and callee_name = '__construct'").join(holds, F.col("target_id") == F.col("ctor_id"))
+    behind = c.select("target_id").union(constructing.select("class_id")).distinct()
     n = g.ends("source", "USES").select(F.col("node_id").alias("source_id"), "file", "start_line")
-    r = g.of_type("USES").select("source_id", "target_id", "loc_file", "loc_line").distinct().join(n, "source_id")
+    r = g.of_type("USES").select("source_id", "target_id", "loc_file", "loc_line").join(behind, "target_id", "left_semi").distinct().join(n, "source_id")
     r = r.select("source_id", "target_id", "loc_file", "loc_line", F.coalesce("loc_file", "file").alias("file"), F.coalesce("loc_line", "start_line").alias("at"))
     r = r.withColumn("line", F.coalesce("at", F.lit(0)))
-    line = F.coalesce("call_line", F.lit(0))
-    c = g.calls.where("callee_id is not null").select("call_id", F.col("callee_id").alias("target_id"), F.col("call_file").alias("file"), line.alias("line"), "call_line", "call_kind", "callee_name")
-    inside = _inside(g).join(c, "call_id")
-    own = inside.select("source_id", "target_id", "line", F.col("call_id").alias("hit"))
+    inside = _inside(g)
+    own = inside.join(c, "call_id").select("source_id", "target_id", "line", F.col("call_id").alias("hit"))
     same = c.where("file is not null and call_line is not null").select("target_id", "file", "line", F.col("call_id").alias("hit"))
-    holds = g.of_type("CONTAINS").select(F.col("source_id").alias("class_id"), F.col("target_id").alias("ctor_id"))
-    built = inside.where("call_kind = 'constructor' and callee_name = '__construct'").join(holds, F.col("target_id") == F.col("ctor_id"))
-    built = built.select("source_id", F.col("class_id").alias("target_id"), "line", F.col("call_id").alias("hit"))
+    built = inside.join(constructing, "call_id").select("source_id", F.col("class_id").alias("target_id"), "line", F.col("call_id").alias("hit"))
     keys = ["source_id", "target_id"]
     found = [
         as_of(r, own, keys).withColumn("strategy", F.lit(1)),
@@ -76,7 +83,7 @@ def best_receiver(g: Graph) -> DataFrame:
     caller = g.of_kind("Method", "Function").select(F.col("node_id").alias("caller_id"))
     r = g.of_type("USES").select(F.col("source_id").alias("caller_id"), F.col("target_id").alias("property_id"), "loc_line").distinct()
     r = r.join(prop, "property_id").join(caller, "caller_id").join(holds, "property_id")
-    r = r.join(g.anc.select(F.col("node_id").alias("caller_id"), F.col("ancestor_id").alias("class_id")), ["caller_id", "class_id"], "left_anti")
+    r = r.join(g.above("Method", "Function").select(F.col("node_id").alias("caller_id"), F.col("ancestor_id").alias("class_id")), ["caller_id", "class_id"], "left_anti")
     c = g.calls.where("callee_kind = 'Property'").select(F.col("scope_id").alias("caller_id"), F.col("callee_id").alias("property_id"), "call_id", "call_line", "receiver_name", "receiver_value_kind", "on_symbol")
     c = r.join(c, ["caller_id", "property_id"], "left").withColumn("exact", F.coalesce(F.when(F.col("call_line") == F.col("loc_line"), 0), F.lit(1)))
 
