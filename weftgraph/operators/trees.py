@@ -4,7 +4,9 @@ A tree depends on visiting order: a node is shown where a depth-first walk comes
 after ``limit`` entries. What it has shown so far decides what it shows next, so no set operation gives the
 tree; but a walk of limit entries looks at limit + 1 neighbours of a node at most, since each is an entry, or
 was one, or is the root. So Spark orders and cuts every node's neighbours, extends all roots by joins, and
-walks each root's piece, which is bounded by limit and depth whatever the graph's size, in parallel.
+walks each root's piece, which is bounded by limit and depth whatever the graph's size, in parallel. Most walks
+end among the first few lists of neighbours: a root is first given those, and more only if its walk asks for one
+it lacks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from ..plans.expand import expand
 from ..plans.replay import Entry, depth_first
 from ..schema import CONTAINERS
 
+#: How many lists of neighbours a root's walk is given at first.
+LISTS = 16
+
 TREE = "root_id string, place long, depth long, node_id string, parent_id string, loc_file string, loc_line long"
 
 
@@ -48,15 +53,55 @@ def neighbours(pairs: DataFrame, limit: int) -> DataFrame:
 
 
 def walks(near: DataFrame, starts: DataFrame, depth: int, limit: int, keep) -> DataFrame:
-    """The trees (TREE) of starts (root_id, nexts) over near (node_id, nexts)."""
+    """The trees (TREE) of starts (root_id, nexts) over near (node_id, nexts). In each round a root gets the lists that
+    stand first by path, four times as many as before; those whose walk lacks none are done, and the last round,
+    if any root comes to it, has all lists."""
+    found, left, lists = None, starts, LISTS
+    while depth > 1 and lists <= limit:
+        tried = keep(_walked(_first_lists(near, left, depth, lists), left, depth, limit), "tree-walks")
+        found = tried if found is None else found.union(tried)
+        lacking = tried.where("place = 0").select("root_id")
+        if not lacking.head(1):
+            return found.where("place > 0")
+        left, lists = keep(left.join(lacking, "root_id", "left_semi"), "tree-starts"), lists * 4
+    rest = _walked(_all_lists(near, left, depth, keep), left, depth, limit)
+    return (rest if found is None else found.union(rest)).where("place > 0")
+
+
+def _first_lists(near: DataFrame, starts: DataFrame, depth: int, lists: int) -> DataFrame:
+    """(root_id, node_id, nexts): the lists a walk comes to first, by path, of a fifth as many neighbours of the root;
+    null where a node has none."""
+    at = Window.partitionBy("root_id").orderBy("path")
+    place = lambda p: F.col(p).cast("int")
+    level = starts.select("root_id", F.posexplode(F.slice("nexts.next_id", 1, max(1, lists // 5))).alias("p", "node_id"))
+    level = level.select("root_id", "node_id", F.array(place("p")).alias("path"))
+    asked = level
+    for _ in range(depth - 2):
+        ids = near.select("node_id", F.slice("nexts.next_id", 1, lists).alias("ids"))
+        down = level.join(ids, "node_id").select("root_id", "path", F.posexplode("ids").alias("p", "node_id"))
+        down = down.select("root_id", "node_id", F.array_append("path", place("p")).alias("path"))
+        level = down.withColumn("r", F.row_number().over(at)).where(F.col("r") <= lists).drop("r")
+        asked = asked.union(level)
+    asked = asked.where("node_id <> root_id").groupBy("root_id", "node_id").agg(F.min("path").alias("path"))
+    asked = asked.withColumn("r", F.row_number().over(at)).where(F.col("r") <= lists).select("root_id", "node_id")
+    return asked.join(near, "node_id", "left").select("root_id", "node_id", F.coalesce("nexts", F.array().cast(near.schema["nexts"].dataType)).alias("nexts"))
+
+
+def _all_lists(near: DataFrame, starts: DataFrame, depth: int, keep) -> DataFrame:
+    """(root_id, node_id, nexts): every list a walk can come to; null where a node has none."""
     pairs = near.select("node_id", F.explode("nexts.next_id").alias("next_id"))
     begin = starts.select("root_id", F.explode("nexts.next_id").alias("node_id")).distinct()
     reached = begin
     if depth > 2:
         reached = reached.union(expand(begin, pairs, depth - 2, keep).select("root_id", "node_id")).distinct()
-    pieces = starts.select("root_id", F.lit(None).cast("string").alias("node_id"), "nexts")
-    if depth > 1:
-        pieces = pieces.union(reached.where("node_id <> root_id").join(near, "node_id").select("root_id", "node_id", "nexts"))
+    reached = reached if depth > 1 else reached.limit(0)
+    asked = reached.where("node_id <> root_id").join(near, "node_id", "left")
+    return asked.select("root_id", "node_id", F.coalesce("nexts", F.array().cast(near.schema["nexts"].dataType)).alias("nexts"))
+
+
+def _walked(lists: DataFrame, starts: DataFrame, depth: int, limit: int) -> DataFrame:
+    """The trees (TREE) of starts over their lists, or of a root that lacks one a row of place 0."""
+    pieces = starts.select("root_id", F.lit(None).cast("string").alias("node_id"), "nexts").union(lists)
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own = {n if isinstance(n, str) else key[0]: [(e["next_id"], e) for e in nexts] for n, nexts in zip(rows.node_id, rows.nexts)}
@@ -67,7 +112,10 @@ def walks(near: DataFrame, starts: DataFrame, depth: int, limit: int, keep) -> D
                 out.append((key[0], len(out) + 1, e.depth, e.node_id, parent, e.edge["loc_file"], e.edge["loc_line"]))
                 put(e.children, e.node_id)
 
-        put(depth_first(key[0], lambda n: own.get(n, []), depth, limit), key[0])
+        try:
+            put(depth_first(key[0], own.__getitem__, depth, limit), key[0])
+        except KeyError:
+            out = [(key[0], 0, 0, None, None, None, None)]
         shown = pd.DataFrame(out, columns=[c.split()[0] for c in TREE.split(", ")])
         return shown.astype({"place": "int64", "depth": "int64", "loc_line": "Int64"})
 
@@ -77,7 +125,8 @@ def walks(near: DataFrame, starts: DataFrame, depth: int, limit: int, keep) -> D
 def _member_starts(g: Graph, edges: DataFrame, limit: int) -> DataFrame:
     """(root_id, nexts) of every container: the first ``limit`` edges of it and all in it, then one a neighbour."""
     roots = g.of_kind(*CONTAINERS).select(F.col("node_id").alias("root_id"))
-    inside = g.anc.select(F.col("ancestor_id").alias("root_id"), "node_id").join(roots, "root_id").union(roots.select("root_id", F.col("root_id").alias("node_id")))
+    anc = g.above("Method", "Argument", "Function", "Property")  # what edges of use end at
+    inside = anc.select(F.col("ancestor_id").alias("root_id"), "node_id").join(roots, "root_id").union(roots.select("root_id", F.col("root_id").alias("node_id")))
     every = _cut(edges.join(inside, "node_id"), "root_id", limit, "source_id", "target_id").drop("k")
     return every.select("root_id", "next_id", "loc_file", "loc_line", "source_id", "target_id")
 
@@ -131,20 +180,32 @@ def execution_trees(g: Graph, depth: int = 3, limit: int = 100) -> DataFrame:
     ``limit`` entries is shared by a whole tree.
 
     Nothing else is shared, so an entry's place is its rank among all paths: paths are arrays of places, compared
-    place by place. Of a level a root keeps the first ``limit`` paths, as no later one can have a place up to limit."""
+    place by place. Of a level a root keeps the first ``limit`` paths, as no later one can have a place up to limit.
+    Nor can a path with too many below those before it: each of these has as many entries as its callee's flow, but
+    for at most one for each callee on the path."""
     e = flow_entries(g)
+    many = e.groupBy(F.col("scope_id").alias("callee_id")).agg(F.count(F.lit(1)).alias("below"))
+    e = g.keep(e.drop("call_file", "call_line").join(many, "callee_id", "left"), "flow-below") if depth > 1 else e.withColumn("below", F.lit(0).cast("long"))
     at = Window.partitionBy("root_id").orderBy("path")
-    shown = ["call_id", "callee_id", "local_id", "ref_type", "orphan"]
+    shown = ["call_id", "callee_id", "local_id", "ref_type", "orphan", "below"]
+    least = F.greatest(F.coalesce("below", F.lit(0)) - F.size("seen") - 1, F.lit(0))
+    ahead = F.coalesce(F.sum(least).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     unseen = lambda seen: F.col("callee_id").isNull() | ~F.array_contains(seen, F.col("callee_id"))
     level = e.withColumnRenamed("scope_id", "root_id").withColumns({"path": F.array("k"), "seen": F.array("root_id"), "parent_id": F.lit(None).cast("string")})
     level = level.where(unseen("seen")).select("root_id", "path", "seen", "parent_id", *shown)
     found, n = None, 1
     while True:
-        level = g.keep(level.withColumn("r", F.row_number().over(at)).where(F.col("r") <= limit).drop("r"), "flow-level")
-        found = level if found is None else found.union(level)
+        level = level.withColumn("r", F.row_number().over(at)).where(F.col("r") <= limit)
+        if n < depth:
+            level = level.withColumn("r", F.col("r") + ahead).where(F.col("r") <= limit)
+        else:
+            level = level.drop("seen")
+        level = g.keep(level, "flow-level")
+        part = level.select("root_id", "path", "parent_id", *shown[:-1])
+        found = part if found is None else found.union(part)
         if n == depth or not level.head(1):
             break
-        up = level.where("callee_id is not null").select("root_id", "path", F.array_append("seen", F.col("callee_id")).alias("seen"), F.col("call_id").alias("parent_id"), F.col("callee_id").alias("scope_id"))
+        up = level.where((F.col("r") < limit) & F.col("below").isNotNull()).select("root_id", "path", F.array_append("seen", F.col("callee_id")).alias("seen"), F.col("call_id").alias("parent_id"), F.col("callee_id").alias("scope_id"))
         below = up.join(e, "scope_id").where(unseen("seen"))
         level, n = below.select("root_id", F.array_append("path", F.col("k")).alias("path"), "seen", "parent_id", *shown), n + 1
     out = found.withColumn("place", F.row_number().over(at).cast("long")).where((F.col("place") <= limit) & ~F.col("orphan"))
