@@ -13,26 +13,28 @@ from pyspark.sql import functions as F
 from ..functions.classify import TYPES, call_reference
 from ..functions.text import display_name, is_abstract, property_facts
 from ..graph import Graph
+from .context import CALLED
 
 
 def _contains(g: Graph, up: str, down: str) -> DataFrame:
-    return g.of_type("CONTAINS").select(F.col("source_id").alias(up), F.col("target_id").alias(down))
+    """CONTAINS edges of all but values and calls, after which nothing here asks."""
+    return g.containing(*CALLED).select(F.col("source_id").alias(up), F.col("target_id").alias(down))
 
 
 def _documentation(g: Graph) -> Column:
-    return F.col("documentation") if "documentation" in g.nodes.columns else F.lit(None).cast("array<string>")
+    return F.col("documentation") if "documentation" in g.of_kind("Class").columns else F.lit(None).cast("array<string>")
 
 
 def _of_kind(g: Graph, key: str, *kinds: str) -> DataFrame:
     """Nodes of these kinds, with what a definition reads."""
     n = g.of_kind(*kinds)
-    signature = F.col("signature") if "signature" in g.nodes.columns else F.lit(None).cast("string")
+    signature = F.col("signature") if "signature" in n.columns else F.lit(None).cast("string")
     return n.select(F.col("node_id").alias(key), "kind", "name", "node_ord", _documentation(g).alias("documentation"), signature.alias("signature"))
 
 
 def first_types(g: Graph, *kinds: str) -> DataFrame:
     """(node_id, type_fqn, type_name): the first type of each symbol by edges of these kinds."""
-    n = g.nodes.select(F.col("node_id").alias("target_id"), "fqn", "name")
+    n = g.ends("target", *kinds).select(F.col("node_id").alias("target_id"), "fqn", "name")
     e = g.of_type(*kinds).select(F.col("source_id").alias("node_id"), "target_id").join(n, "target_id")
     return e.groupBy("node_id").agg(F.min(F.struct("target_id", "fqn", "name")).alias("t")).select("node_id", F.col("t.fqn").alias("type_fqn"), F.col("t.name").alias("type_name"))
 
@@ -151,7 +153,7 @@ def calls_through_properties(g: Graph) -> DataFrame:
     the property holds. Everything else behind a property (its USED BY below an injection, the calls that a
     contract sees) filters these rows."""
     p = _of_kind(g, "property_id", "Property").select("property_id")
-    p = p.join(g.nodes.select(F.col("node_id").alias("property_id"), F.col("fqn").alias("on_symbol")), "property_id").join(_contains(g, "class_id", "property_id"), "property_id")
+    p = p.join(g.of_kind("Property").select(F.col("node_id").alias("property_id"), F.col("fqn").alias("on_symbol")), "property_id").join(_contains(g, "class_id", "property_id"), "property_id")
     c = g.calls.where("on_symbol is not null and callee_id is not null").select("call_id", "callee_id", F.col("scope_id").alias("method_id"), "on_symbol")
     c = c.join(_contains(g, "class_id", "method_id"), "method_id")
     return p.join(c, ["class_id", "on_symbol"]).select("property_id", "class_id", "call_id", "callee_id", "method_id")
@@ -164,7 +166,7 @@ def contract_calls(g: Graph) -> DataFrame:
     i = _of_kind(g, "interface_id", "Interface").select("interface_id")
     m = _of_kind(g, "method_id", "Method").select("method_id", "name").join(_contains(g, "interface_id", "method_id"), "method_id").select("interface_id", "name").distinct()
     some = m.select("interface_id").distinct().withColumn("declares", F.lit(True))
-    names = g.nodes.select(F.col("node_id").alias("callee_id"), "name")
+    names = g.ends("target", "CALLS").select(F.col("node_id").alias("callee_id"), "name")
     rows = calls_through_properties(g).join(hint, "property_id").join(i, "interface_id").join(names, "callee_id")
     rows = rows.join(some, "interface_id", "left").join(m.withColumn("named", F.lit(True)), ["interface_id", "name"], "left")
     return rows.where("declares is null or named").select("interface_id", "property_id", "call_id", "callee_id")
