@@ -144,7 +144,7 @@ def value_definitions(g: Graph) -> DataFrame:
 
 def member_references(g: Graph) -> DataFrame:
     """Per call: the member it refers to as displayed, how, and on what."""
-    c = g.calls.where("callee_id is not null")
+    c = g.member_calls()
     return c.select("call_id", "callee_id", display_name(F.col("callee_kind"), F.col("callee_name")).alias("shown"), call_reference(F.col("call_kind"), F.col("callee_kind")).alias("ref_type"), "on_expr", "on_kind", F.col("call_file").alias("file"), F.col("call_line").alias("line"))
 
 
