@@ -26,10 +26,12 @@ def children(g: Graph) -> DataFrame:
     return c.groupBy("source_id", "child_kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node_ord", "target_id")).alias("m")).select("source_id", "child_kind", "n", F.col("m.target_id").alias("first_child"))
 
 
-def types(g: Graph) -> DataFrame:
-    """Types of properties, methods and values: the first hint's name, or all types of a value, joined."""
-    n = g.ends("target", "TYPE_HINT", "TYPE_OF").select(F.col("node_id").alias("target_id"), "fqn", "name")
-    t = g.of_type("TYPE_HINT", "TYPE_OF").select("type", "source_id", "target_id").join(n, "target_id")
+def types(g: Graph, *kinds: str) -> DataFrame:
+    """Types of properties, methods and values: the first hint's name, or all types of a value, joined. By edges of
+    these kinds, or both."""
+    kinds = kinds or ("TYPE_HINT", "TYPE_OF")
+    n = g.ends("target", *kinds).select(F.col("node_id").alias("target_id"), "fqn")
+    t = g.of_type(*kinds).select("type", "source_id", "target_id").join(n, "target_id")
     return t.groupBy("source_id", "type").agg(_joined("fqn").alias("fqn"), F.count(F.lit(1)).alias("n"))
 
 
@@ -60,8 +62,8 @@ def promoted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def value_types(g: Graph) -> DataFrame:
     """Per value: kind, type, and the method around it."""
     v = g.of_kind("Value").select("node_id", "value_kind")
-    t = types(g).where("type = 'TYPE_OF'").select(F.col("source_id").alias("node_id"), F.col("fqn").alias("type_fqn"))
-    return v.join(t, "node_id", "left").join(g.nearest_method.select("node_id", F.col("owner_id").alias("scope_id")), "node_id", "left")
+    t = types(g, "TYPE_OF").select(F.col("source_id").alias("node_id"), F.col("fqn").alias("type_fqn"))
+    return v.join(t, "node_id", "left").join(g.method_of("Value").select("node_id", F.col("owner_id").alias("scope_id")), "node_id", "left")
 
 
 def property_docs(docs: DataFrame) -> DataFrame:
