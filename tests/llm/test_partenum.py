@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from weftgraph.llm import partenum as P
 
@@ -124,3 +125,17 @@ def test_very_long_texts(spark):
     rnd = random.Random(8)
     words = [f"w{rnd.randrange(3000)}" for _ in range(80_000)]
     check(spark, [(1, " ".join(words)), (2, " ".join(words[:75_000])), (3, " ".join(words[:40_000]))])
+
+
+def test_dealt_signatures_are_short_and_meet_as_whole_ones_do():
+    rnd = np.random.default_rng(7)
+    sig = np.sort(rnd.integers(0, 1 << 64, 4096, np.uint64)) & P.MASK
+    short = P._short(sig.tobytes())
+    assert (P._long(short) == sig).all() and len(short) <= 6 * len(sig)
+    text = " ".join(f"w{i}" for i in rnd.integers(0, 500, 2000))
+    rows = next(P._deal(4)(iter([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])])))
+    sets, edges = P.shingle_sets(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    want = np.unique(P.signatures(sets, edges)[0] & P.MASK)
+    got = [P._long(s.as_py()) for s in rows.column("sigs")]
+    assert (np.sort(np.concatenate(got)) == want).all()
+    assert sum(len(s.as_py()) for s in rows.column("sigs")) <= 6 * len(want)
