@@ -139,3 +139,18 @@ def test_dealt_signatures_are_short_and_meet_as_whole_ones_do():
     got = [P._long(s.as_py()) for s in rows.column("sigs")]
     assert (np.sort(np.concatenate(got)) == want).all()
     assert sum(len(s.as_py()) for s in rows.column("sigs")) <= 6 * len(want)
+
+
+def test_buckets_of_a_task_are_laid_out_one_at_a_time(monkeypatch):
+    rnd = np.random.default_rng(9)
+    sig, key = rnd.integers(0, 1 << 64, 6000, np.uint64) & P.MASK, rnd.integers(0, 1 << 64, 6000, np.uint64)
+    halves = [(np.concatenate([sig[:4000], sig[:9]]), np.concatenate([key[:4000], key[9:18]])), (sig[2000:], key[2000:] + P.U(1))]
+    rows = [(b, w, P._short(s), k) for pair in halves for b, w, s, k in P._packed(*pair, 64, 0)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], ["bucket", "whole", "sigs", "sets"]) for part in (rows[:50], rows[50:])]
+    laid, distinct = [], P._distinct
+    monkeypatch.setattr(P, "_distinct", lambda s, k: laid.append(len(s)) or distinct(s, k))
+    got = {(int(np.int64(s)), int(np.int64(k))) for b in P._meet(iter(batches)) for s, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    both = [(s, k) for s, k in zip(sig[2000:4000], key[2000:4000])] + [(s, k + P.U(1)) for s, k in zip(sig[2000:4000], key[2000:4000])]
+    twice = [(s, k) for s, k in zip(sig[:9], key[:9])] + [(s, k) for s, k in zip(sig[:9], key[9:18])]
+    assert got == {(int(s.view(np.int64)), int(k.view(np.int64))) for s, k in both + twice}
+    assert sum(laid) >= 8000 and max(laid) < 400

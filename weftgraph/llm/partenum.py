@@ -55,7 +55,7 @@ SPARE = 6
 #: Bits of the parity sketch.
 BITS = 1024
 #: Entries that a task packs before it deals them, and entries that a bucket holds about.
-FLUSH, BUCKET = 1 << 20, 1 << 19
+FLUSH, BUCKET = 1 << 19, 1 << 19
 #: Another turn follows while open signatures ask for more than so many comparisons a row, and the last turn
 #: linked one in LINKED of the pairs it tried. Turns only save the last round work: it is whole in any case.
 COMPARISONS, LINKED = 16, 8
@@ -232,17 +232,18 @@ def _entries(sig: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, set1) of the signatures that several sets of the bucket have."""
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    """(sig, set1) of the signatures that several sets of a bucket have. Buckets stay packed until their turn, since a task
+    may get many: only one is laid out and sorted at a time."""
+    kept: dict[int, list[tuple[bytes, bytes]]] = {}
     for b in batches:
-        for whole, s, k in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
-            sig, key = _long(s.as_py()), np.frombuffer(k.as_py(), U)
+        for bucket, whole, s, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
             if whole:
-                yield from _entries(sig, key)
+                yield from _entries(_long(s.as_py()), np.frombuffer(k.as_py(), U))
             else:
-                kept.append((sig, key))
-    if kept:
-        sig, key, several = _distinct(np.concatenate([s for s, _ in kept]), np.concatenate([k for _, k in kept]))
+                kept.setdefault(bucket, []).append((s.as_py(), k.as_py()))
+    while kept:
+        rows = kept.popitem()[1]
+        sig, key, several = _distinct(np.concatenate([_long(s) for s, _ in rows]), np.concatenate([np.frombuffer(k, U) for _, k in rows]))
         yield from _entries(sig[several], key[several])
 
 
