@@ -83,7 +83,7 @@ def merged_sites(g: Graph) -> DataFrame:
 
 def access_counts(g: Graph) -> DataFrame:
     """Per property: accesses, and the methods they come from."""
-    a = g.refs.where("ref_type = 'property_access'")
+    a = g.refs_to("Property").where("ref_type = 'property_access'")
     return a.groupBy(F.col("target_id").alias("property_id")).agg(F.count(F.lit(1)).alias("accesses"), F.countDistinct("source_id").alias("methods"))
 
 
@@ -105,7 +105,7 @@ def class_expansion(g: Graph, node_id: str, depth: int = 2) -> DataFrame:
 
 def ranked_references(g: Graph) -> DataFrame:
     """Per target: references by priority, how many of each, and the best."""
-    r = g.refs.withColumn("priority", priority(F.col("ref_type")))
+    r = g.refs_to().withColumn("priority", priority(F.col("ref_type")))
     return r.groupBy("target_id").agg(F.count(F.lit(1)).alias("n"), F.min("priority").alias("best"), F.countDistinct("ref_type").alias("kinds"))
 
 
