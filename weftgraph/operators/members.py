@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.classify import TYPES, call_reference
 from ..functions.text import display_name, is_abstract, property_facts
 from ..graph import Graph
+from ..plans.expand import expand
+from ..plans.product import paired
 from .context import CALLED
 
 
@@ -172,15 +174,37 @@ def contract_calls(g: Graph) -> DataFrame:
     return rows.where("declares is null or named").select("interface_id", "property_id", "call_id", "callee_id")
 
 
+#: Levels that supertypes of a few classes are followed; beyond them all types are closed.
+LEVELS = 32
+
+
+def _supertypes(g: Graph, classes: DataFrame) -> DataFrame:
+    """(class_id, ancestor_id): all that stands above classes (class_id)."""
+    stored = lambda: g.inherits.select(F.col("node_id").alias("class_id"), "ancestor_id")
+    if g.stores("inherits"):
+        return stored()
+    pairs = g.of_type("EXTENDS", "IMPLEMENTS").select(F.col("source_id").alias("node_id"), F.col("target_id").alias("next_id"))
+    start = g.keep(classes.select(F.col("class_id").alias("node_id")).distinct().join(pairs, "node_id").select(F.col("node_id").alias("root_id"), F.col("next_id").alias("node_id")).distinct(), "supertypes")
+    above = expand(start, pairs, LEVELS, g.keep)
+    if above.where(F.col("depth") == LEVELS).head(1):
+        return stored()
+    return start.union(above.select("root_id", "node_id")).toDF("class_id", "ancestor_id")
+
+
 def interface_methods_of(g: Graph) -> DataFrame:
     """(method_id, interface_method_id): methods of the same name in the interfaces that a method's class, or a
-    class above it, implements."""
+    class above it, implements. Methods of one interface give each pair once, so only the pairs of those that
+    stand in several are compared with each other."""
     m = _of_kind(g, "method_id", "Method").select("method_id", "name")
     own = m.join(_contains(g, "class_id", "method_id"), "method_id")
-    up = g.inherits.select(F.col("node_id").alias("class_id"), F.col("ancestor_id").alias("interface_id"))
     of = m.withColumnRenamed("method_id", "interface_method_id").join(_contains(g, "interface_id", "interface_method_id"), "interface_method_id")
-    of = of.join(_of_kind(g, "interface_id", "Interface").select("interface_id"), "interface_id")
-    return own.join(up, "class_id").join(of, ["interface_id", "name"]).select("method_id", "interface_method_id").distinct()
+    of = of.join(_of_kind(g, "interface_id", "Interface").select("interface_id"), "interface_id").distinct()
+    up = _supertypes(g, own.select("class_id")).withColumnRenamed("ancestor_id", "interface_id").join(of.select("interface_id").distinct(), "interface_id")
+    asked = g.keep(own.join(up, "class_id").select("method_id", "interface_id", "name").distinct(), "interfaces-above")
+    several = of.groupBy("interface_method_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("interface_method_id")
+    by, shown = ["interface_id", "name"], ["method_id", "interface_method_id"]
+    once = paired(asked, of.join(several, "interface_method_id", "left_anti"), by, "method_id", g.keep).select(*shown)
+    return once.union(asked.join(of.join(several, "interface_method_id", "left_semi"), by).select(*shown).distinct())
 
 
 def interface_children(g: Graph) -> DataFrame:
