@@ -241,12 +241,19 @@ def interface_uses(g: Graph) -> DataFrame:
 
 def property_inputs(g: Graph) -> DataFrame:
     """Per promoted property: its constructor's parameter, and the calls that construct its class, with the
-    argument in the parameter's name where there is one."""
+    argument in the parameter's name where there is one. A call comes with what it passes to such parameters, so the
+    pairs of properties and calls, as many as the result has, need no join of their own."""
     p = _promoted(g).join(_contains(g, "class_id", "property_id"), "property_id")
-    p = p.join(g.nodes.select(F.col("node_id").alias("parameter_id"), F.col("fqn").alias("parameter")), "parameter_id")
-    made = g.sites.where("call_kind = 'constructor'").select("call_id", "callee_id").join(_contains(g, "class_id", "callee_id"), "callee_id").select("class_id", "call_id")
-    passed = g.args.select("call_id", "parameter", "value_id").groupBy("call_id", "parameter").agg(F.min("value_id").alias("value_id"))
-    return p.join(made, "class_id").join(passed, ["call_id", "parameter"], "left").select("property_id", "parameter_id", "call_id", "value_id")
+    p = p.join(g.of_kind("Value").select(F.col("node_id").alias("parameter_id"), F.col("fqn").alias("parameter")), "parameter_id")
+    p = g.keep(p, "promoted")
+    calls = g.of_kind("Call").where("call_kind = 'constructor'").select(F.col("node_id").alias("call_id"))
+    callee = g.of_type("CALLS").groupBy(F.col("source_id").alias("call_id")).agg(F.min("target_id").alias("callee_id"))
+    made = calls.join(callee, "call_id").join(_contains(g, "class_id", "callee_id"), "callee_id").select("class_id", "call_id")
+    passed = g.of_type("ARGUMENT").select(F.col("source_id").alias("call_id"), "parameter", F.col("target_id").alias("value_id"))
+    passed = passed.join(p.select("parameter").distinct(), "parameter", "left_semi").groupBy("call_id", "parameter").agg(F.min("value_id").alias("value_id"))
+    passed = passed.groupBy("call_id").agg(F.map_from_entries(F.collect_list(F.struct("parameter", "value_id"))).alias("passed"))  # a call's arguments
+    rows = paired(made.join(passed, "call_id", "left"), p, ["class_id"], "call_id", g.keep)
+    return rows.select("property_id", "parameter_id", "call_id", F.col("passed")[F.col("parameter")].alias("value_id"))
 
 
 def property_breakdown(g: Graph) -> DataFrame:
